@@ -282,6 +282,12 @@ class Encoder:
         yield from self._segment(buffer, True)
 
 
+@lru_cache(maxsize=4)
+def shared_encoder(path: str) -> Encoder:
+    """One encoder for each process: its word cache serves every task that runs there."""
+    return Encoder(path)
+
+
 class Decoder:
     """Ids to text: a state machine over bytes that keeps at most the three bytes of an unfinished character."""
 
@@ -322,7 +328,7 @@ def bpe_encode(df: DataFrame, text: str = "text", path: str | None = None, diges
     kinds = "n_tokens long, ids_sha256 string, decoded_sha256 string" + ("" if digests_only else ", ids array<int>")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, decoder = Encoder(path), Decoder(path)
+        encoder, decoder = shared_encoder(path), Decoder(path)
         for batch in batches:
             n, raw, back, ids = [], [], [], []
             for value in batch.column(batch.schema.get_field_index(text)):

@@ -3,9 +3,20 @@
 from __future__ import annotations
 
 from corpusloom.llm.bpe import op2_bpe_roundtrip
+from corpusloom.llm.mixing import OP9_SQL, op9_mix_sources
+from corpusloom.llm.quality import op1_quality
+from corpusloom.llm.secrets import op10_secrets
+from corpusloom.llm.url_filter import OP5_SQL, op5_url_filter
 
 QUERIES = {
+    "op1_quality": op1_quality,
     "op2_bpe_roundtrip": op2_bpe_roundtrip,
+    "op5_url_filter": op5_url_filter,
+    "op9_mix_sources": op9_mix_sources,
+    "op10_secrets": op10_secrets,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op5_url_filter": OP5_SQL,
+    "op9_mix_sources": OP9_SQL,
+}
