@@ -1,16 +1,17 @@
 """A quality classifier by compression: zstandard dictionaries of good and of bad labelled text.
 
-A text is compressed twice, with a dictionary trained on good text and with one trained on bad text. The difference of
-the sizes over their sum says which kind of text it resembles; a logistic curve, fitted on labelled rows that did not
-train the dictionaries, turns it into a score. The texts are scored whole.
+A text is compressed twice, in blocks of BLOCK bytes, with a dictionary trained on good text and with one trained on bad
+text. Blocks keep the dictionaries' influence alike in short and in very long texts. The difference of the compressed
+sizes for each byte of text says which kind the text resembles; a logistic curve, fitted on labelled rows that did not
+train the dictionaries and weighted to the share of each label, turns it into a score. Texts are scored whole.
 
 Bounds of the fit, the only thing held on the driver: TRAIN_ROWS labelled rows per label and purpose (dictionary,
 calibration), those of the smallest hash, of at most TRAIN_CHARS characters each. They do not grow with the corpus.
 
 Defined results: a null text counts as empty; an empty text has a difference of 0 and scores what the curve gives
-there; a text of any length is compressed in one pass; repeated rows score alike. Without labelled rows of both kinds
-every score is the prior, 0.5 if there are none. Labels that are null or neither 0 nor 1, and labels of a document that
-has several different ones, are not learned from. Columns named like the added ones are replaced.
+there; repeated rows score alike. Without labelled rows of both kinds every score is the prior, 0.5 if there are none.
+Labels that are null or neither 0 nor 1, and labels of a document that has several different ones, are not learned from.
+Columns named like the added ones are replaced.
 """
 
 from __future__ import annotations
@@ -26,10 +27,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusloom.llm.common import table, without
+from corpusloom.llm.common import Scratch, table, without
 
-TRAIN_ROWS, TRAIN_CHARS = 1500, 20_000
-DICT_BYTES, LEVEL = 64_000, 3
+TRAIN_ROWS, TRAIN_CHARS = 1000, 10_000
+DICT_BYTES, LEVEL, BLOCK = 32_000, 3, 512
 THRESHOLD = 0.7
 
 
@@ -53,11 +54,12 @@ class Scorer:
             self.kits.append(zstandard.ZstdCompressor(level=LEVEL, dict_data=d, write_content_size=False, write_dict_id=False) if d else None)
 
     def difference(self, data: bytes) -> float:
-        """(bad - good) / (bad + good) of the compressed sizes: positive where the good dictionary helps more."""
+        """(bad - good) / length, of the compressed sizes: positive where the good dictionary helps more."""
         if not data or None in self.kits:
             return 0.0
-        good, bad = (len(k.compress(data)) for k in self.kits)
-        return (bad - good) / (bad + good)
+        blocks = [data[at : at + BLOCK] for at in range(0, len(data), BLOCK)]
+        good, bad = (sum(map(len, map(k.compress, blocks))) for k in self.kits)
+        return (bad - good) / len(data)
 
     def score(self, data: bytes) -> float:
         z = self.model.slope * self.difference(data) + self.model.offset
@@ -69,15 +71,11 @@ def held_out(doc_id: F.Column) -> F.Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and offset by Newton's method with a slight pull to zero; classes weigh alike."""
-    if len(x) == 0 or y.min() == y.max():
-        p = float((y.sum() + 1) / (len(y) + 2)) if len(y) else 0.5
-        return 0.0, math.log(p / (1 - p))
+def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
+    """Slope and offset by Newton's method with a slight pull to zero."""
     scale = float(np.abs(x).mean()) or 1.0
     a = np.stack([x / scale, np.ones_like(x)], axis=1)
-    weight = np.where(y == 1, 0.5 / y.sum(), 0.5 / (1 - y).sum()) * len(y)
-    w, pull = np.zeros(2), np.array([1e-2, 1e-6]) * len(y)
+    w, pull = np.zeros(2), np.array([1e-4, 1e-6]) * weight.sum()
     for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -60, 60)))
         grad = a.T @ (weight * (p - y)) + pull * w
@@ -91,27 +89,39 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "quality") -> Model:
     """Learns from labelled rows that are not held out."""
+    spark = docs.sparkSession
+    h = F.xxhash64(F.col(id_col).cast("string"))
     wanted = labels.filter(F.col(label).isin(0, 1) & ~held_out(F.col(id_col)))
-    wanted = wanted.groupBy(id_col).agg(F.min(label).alias("label_low"), F.max(label).alias("label_high")).filter("label_low = label_high")
-    texts = docs.select(F.col(id_col), F.col(text).alias("label_text")).filter(F.length("label_text").between(1, TRAIN_CHARS))
-    rows = texts.join(wanted.select(id_col, "label_low"), id_col).select(
-        "label_low", "label_text", F.xxhash64(F.col(id_col).cast("string"), "label_text").alias("h")
-    )
-    use = F.pmod("h", F.lit(2))
+    wanted = wanted.groupBy(id_col).agg(F.min(label).alias("label_low"), F.max(label).alias("label_high"))
+    wanted = wanted.filter("label_low = label_high").select(id_col, F.col("label_low").alias("label_is"), h.alias("label_hash"))
+    counts = {r["label_is"]: r["count"] for r in wanted.groupBy("label_is").count().collect()}
+    n = [counts.get(0, 0), counts.get(1, 0)]
+    prior = (n[1] + 1) / (sum(n) + 2)
+    flat = Model(b"", b"", 0.0, math.log(prior / (1 - prior)))
+    if not all(n):
+        return flat
+    # as many ids as may be needed, and as many again for those whose texts are missing, empty or long
+    below = [min(1.0, 8 * TRAIN_ROWS / k) * 2**62 for k in n]
+    near = F.shiftrightunsigned("label_hash", 2) < F.when(F.col("label_is") == 1, F.lit(below[1])).otherwise(F.lit(below[0]))
+    picked = Scratch(spark, "quality-ids").put(wanted.filter(near))
+    texts = docs.select(id_col, F.col(text).alias("label_text")).filter(F.length("label_text").between(1, TRAIN_CHARS))
+    rows = Scratch(spark, "quality-texts").put(texts.join(picked, id_col).select("label_is", "label_hash", "label_text"))
     groups = {}
-    for want in (1, 0):
+    for kind in (1, 0):
         for purpose in (0, 1):
-            part = rows.filter((F.col("label_low") == want) & (use == purpose)).orderBy("h", "label_text").limit(TRAIN_ROWS)
-            groups[want, purpose] = [r["label_text"].encode() for r in part.select("label_text").collect()]
+            part = rows.filter((F.col("label_is") == kind) & (F.pmod("label_hash", F.lit(2)) == purpose))
+            part = part.orderBy("label_hash", "label_text").limit(TRAIN_ROWS)
+            groups[kind, purpose] = [r["label_text"].encode() for r in part.select("label_text").collect()]
     if not groups[1, 0] or not groups[0, 0]:
-        y = np.array([1.0] * len(groups[1, 0] + groups[1, 1]) + [0.0] * len(groups[0, 0] + groups[0, 1]))
-        return Model(b"", b"", *_logistic(np.zeros(0 if not len(y) else len(y)), y))
+        return flat
     share = min(sum(map(len, groups[k, 0])) for k in (0, 1))
-    plain = Model(_dictionary(groups[1, 0], share), _dictionary(groups[0, 0], share), 1.0, 0.0)
-    scorer = Scorer(plain)
-    pairs = [(scorer.difference(x), float(k)) for k in (1, 0) for x in groups[k, 1] or groups[k, 0]]
-    x, y = np.array([p[0] for p in pairs]), np.array([p[1] for p in pairs])
-    return Model(plain.good, plain.bad, *_logistic(x, y))
+    good, bad = (_dictionary(groups[k, 0], share) for k in (1, 0))
+    scorer = Scorer(Model(good, bad, 1.0, 0.0))
+    held = {k: groups[k, 1] or groups[k, 0] for k in (0, 1)}
+    x = np.array([scorer.difference(t) for k in (0, 1) for t in held[k]])
+    y = np.array([float(k) for k in (0, 1) for _ in held[k]])
+    weight = np.array([n[k] / sum(n) / len(held[k]) for k in (0, 1) for _ in held[k]])
+    return Model(good, bad, *_logistic(x, y, weight))
 
 
 def _dictionary(texts: list[bytes], share: int) -> bytes:
@@ -120,7 +130,7 @@ def _dictionary(texts: list[bytes], share: int) -> bytes:
     for x in texts:
         if kept and used + len(x) > share:
             break
-        kept.append(x)
+        kept += [x[at : at + BLOCK] for at in range(0, len(x), BLOCK)]
         used += len(x)
     size = min(DICT_BYTES, max(256, used // 4))
     try:
