@@ -48,10 +48,10 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", scratch: Scratch |
         after = scratch.put(_small_star(_large_star(now)))
         scratch.drop(now)
         now = after
-        seen = now.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v") % 1_000_000_007).alias("h"), F.sum("v").alias("s")).first()
-        if seen["n"] == 0 or (seen["n"], seen["h"], seen["s"]) == mark:
+        seen = now.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v") % 1_000_000_007).alias("h")).first()
+        if seen["n"] == 0 or (seen["n"], seen["h"]) == mark:
             break
-        mark = (seen["n"], seen["h"], seen["s"])
+        mark = (seen["n"], seen["h"])
     else:
         raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")
     roots = now.groupBy(F.col("v").alias("node")).agg(F.lit(1).alias("one")).select("node", F.col("node").alias("component"))

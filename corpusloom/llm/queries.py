@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from corpusloom.llm.bpe import op2_bpe_roundtrip
 from corpusloom.llm.embedding_dedup import OP3_SQL, op3_embedding_dedup
+from corpusloom.llm.jaccard_join import op4_jaccard_join
 from corpusloom.llm.mixing import OP9_SQL, op9_mix_sources
 from corpusloom.llm.quality import op1_quality
 from corpusloom.llm.secrets import op10_secrets
+from corpusloom.llm.substring_dedup import op7_substring_dedup
 from corpusloom.llm.topk import OP6_SQL, op6_topk
 from corpusloom.llm.url_filter import OP5_SQL, op5_url_filter
 from corpusloom.llm.warc import op8_warc_derivatives
@@ -15,8 +17,10 @@ QUERIES = {
     "op1_quality": op1_quality,
     "op2_bpe_roundtrip": op2_bpe_roundtrip,
     "op3_embedding_dedup": op3_embedding_dedup,
+    "op4_jaccard_join": op4_jaccard_join,
     "op5_url_filter": op5_url_filter,
     "op6_topk": op6_topk,
+    "op7_substring_dedup": op7_substring_dedup,
     "op8_warc_derivatives": op8_warc_derivatives,
     "op9_mix_sources": op9_mix_sources,
     "op10_secrets": op10_secrets,

@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from corpusloom.llm.common import table, without
-from corpusloom.llm.textgrams import Words, ngrams, words_of
+from corpusloom.llm.textgrams import Words, ngrams, slices, words_of
 
 WINDOW, ANCHOR = 20, 6
 
@@ -65,7 +65,7 @@ def _documents(words: Words) -> np.ndarray:
 
 def _emit_anchors(window: int, anchor: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 1)):
             words = words_of(batch.column(1))
             starts, at, grams = canonical_anchors(words, window, anchor)
             if not len(starts):
@@ -86,8 +86,7 @@ def _emit_windows(window: int, anchor: int):
     """Texts with the positions of their repeated anchors in; each such anchor with its windows' hashes out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            batch = batch.filter(batch.column(2).is_valid())
+        for batch in (part for whole in batches for part in slices(whole.filter(whole.column(2).is_valid()), 1)):
             if not batch.num_rows:
                 continue
             words, spots = words_of(batch.column(1)), batch.column(2)

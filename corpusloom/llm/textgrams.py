@@ -124,3 +124,20 @@ def ngrams(h: np.ndarray, n: int) -> np.ndarray:
         out = out[: len(more)] * np.uint64(pow(STEP, take, 1 << 64)) + more
         have += take
     return mix(out[: len(h) - n + 1] + np.uint64(n))
+
+
+SLICE = 8 << 20
+
+
+def slices(batch: pa.RecordBatch, column: int) -> list[pa.RecordBatch]:
+    """A batch in parts of at most SLICE bytes of text each, or of one row."""
+    values = batch.column(column)
+    if not len(values):
+        return [batch]
+    _, offsets = text_bytes(values)
+    out, at = [], 0
+    while at < len(values):
+        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + SLICE, side="right")) - 1)
+        out.append(batch.slice(at, to - at))
+        at = to
+    return out
