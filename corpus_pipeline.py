@@ -1,15 +1,69 @@
-"""Documents to training tokens: each stage calls one operator and hands a table on."""
+"""Documents to training tokens: each stage calls one operator and hands its table on.
+
+run() applies the stages to documents. Each stage takes (spark, docs, sf_dir); all but the last return the columns of
+documents, the last the token ids of each copy that the mix keeps.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
 from corpusloom.llm.bpe import bpe_encode
+from corpusloom.llm.common import Scratch, table
+from corpusloom.llm.jaccard_join import keep_one_of_each
+from corpusloom.llm.mixing import mix_sources
+from corpusloom.llm.quality import fit, score_quality
+from corpusloom.llm.secrets import redact, scan_secrets
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go."""
+    model = fit(docs, table(spark, sf_dir, "labels").select("doc_id", "quality"))
+    return score_quality(docs, model).filter("predicted = 1").select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates stays."""
+    return keep_one_of_each(docs).select(*docs.columns)
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets give way to a mark; every document stays."""
+    found = redact(scan_secrets(docs))
+    if "n_chars" in found.columns:
+        size = F.length("text").cast(docs.schema["n_chars"].dataType)
+        found = found.withColumn("n_chars", F.when(F.size("all_spans") > 0, size).otherwise(F.col("n_chars")))
+    return found.select(*docs.columns)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Copies by source towards the target weights, in random order."""
+    return mix_sources(docs).select(*docs.columns)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of whole texts, with the digests of ids and of the decoded text."""
+    return bpe_encode(docs.select("doc_id", "source", "lang", "text")).select("doc_id", "source", "lang", "n_tokens", "ids", "ids_sha256", "decoded_sha256")
+
+
+STAGES = [
+    ("quality", quality),
+    ("near_duplicates", near_duplicates),
+    ("secrets", secrets),
+    ("mixing", mixing),
+    ("tokens", tokens),
+]
 
-STAGES: list = []
+#: SQL cannot express the classifier, the shingle join or the merges; tests compare with brute force instead.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages in order; what a stage keeps is written to the shared folder, and read by the next."""
+    scratch, docs = Scratch(spark, "pipeline"), table(spark, sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = scratch.put(docs)
     return docs
