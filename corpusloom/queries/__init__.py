@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from corpusloom.queries import graph, ingest
 
-
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+MODULES = (ingest, graph)
+QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
+ORACLES = {name: sql for module in MODULES for name, sql in module.ORACLES.items()}
+flagship = ingest.f1_reason_hist
