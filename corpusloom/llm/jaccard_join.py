@@ -9,12 +9,14 @@ both prefixes, so all candidates meet in the short lists and the long ones are n
 comes from a count of shingles that recur nearby, in a table of fixed size; it need not be exact, only the same for all.
 
 1. Texts of equal sets are one class, named by a hash of the set; copies send one prefix per batch of rows.
-2. Prefix shingles are dealt by hash. Lists with one class go.
-3. Every class of a list is paired with the list's least class, which is linear in the postings. Pairs whose size or
-   parity bitmaps (the symmetric difference is at least the number of differing bits) rule T out go. The others are
-   searched, and links give first components: a group of near copies becomes one, without its pairs.
-4. Lists that still hold several components are searched for pairs across components, with the same bounds, in blocks;
-   so every pair that shares a prefix shingle is either inside one component, ruled out by a bound, or searched.
+2. Prefix shingles are dealt by hash. In a list sorted by size, classes without a neighbour of fitting size go.
+3. Every class is paired with one other: of the leaders of its lists (the least class of a run of fitting sizes) the one
+   it meets most. Pairs whose parity bitmaps rule T out (sets differ in at least as many elements as their bitmaps in
+   bits) go. The others are searched, and links give first components: a group of near copies becomes one, without its
+   pairs.
+4. Lists that still hold several components, one of those with equal members, are looked through for pairs across
+   components, with the same bounds, in blocks; so every pair that shares a prefix shingle is either inside one
+   component, ruled out by a bound, or searched.
 5. A search takes a text as query and its candidates as the indexed texts. T - L occurrences are asked of the short
    lists, which are merged; the L longest lists are only probed, by binary search, for candidates that reached it. The
    overlap is then exact.
@@ -100,8 +102,8 @@ def _count_nearby(size: int):
 
 
 def sign(s: np.ndarray) -> bytes:
-    """Parity bitmap of a set: about two bits for each element, a power of two in number, so that larger ones fold."""
-    bits = min(MAX_SIGN_BITS, max(64, 1 << int(2 * len(s) - 1).bit_length()))
+    """Parity bitmap of a set: about a bit for each element, a power of two in number, so that larger ones fold."""
+    bits = min(MAX_SIGN_BITS, max(64, 1 << int(3 * len(s) // 4).bit_length()))
     at = (mix(s + np.uint64(0x2545F4914F6CDD1D)) & np.uint64(bits - 1)).astype(np.int64)
     return np.packbits((np.bincount(at, minlength=bits) & 1).astype(np.uint8)).tobytes()
 
@@ -337,25 +339,32 @@ class JaccardJoin:
         cells = self._order()
         described = put(self.rows.mapInArrow(_describe(self.size, self.percent, cells), "id long, n long, c long, prefix array<long>, sig binary"))
         known = described.filter("id IS NOT NULL AND c IS NOT NULL")
-        postings = known.filter("prefix IS NOT NULL").select("c", F.explode("prefix").alias("h"))
-        over = Window.partitionBy("h")
-        shared = postings.withColumn("low", F.min("c").over(over)).withColumn("high", F.max("c").over(over)).filter("low <> high").select("h", "c", "low")
-        shared = put(shared)
+        postings = known.filter("prefix IS NOT NULL").select("c", "n", F.explode("prefix").alias("h"))
+        # one row for each class of a list; both steps use the exchange by shingle
+        listed = postings.repartition("h").groupBy("h", "c").agg(F.min("n").alias("n"))
+        over = Window.partitionBy("h").orderBy("n", "c")
+        fits = lambda a, b: F.coalesce(100 * a >= self.percent * b, F.lit(False))
+        near = listed.withColumn("down", fits(F.lag("n").over(over), F.col("n"))).withColumn("up", fits(F.col("n"), F.lead("n").over(over)))
+        near = near.withColumn("run", F.sum((~F.col("down")).cast("int")).over(over)).filter("down OR up")
+        shared = put(near.withColumn("low", F.min("c").over(Window.partitionBy("h", "run"))).select("h", "c", "n", "low"))
         wanted = shared.groupBy("c").agg(F.lit(1).alias("one")).select("c")
         signs = put(known.filter("sig IS NOT NULL").join(wanted, "c", "left_semi").groupBy("c").agg(F.min("n").alias("n"), F.min("sig").alias("sig")))
         first = known.select("id", "c").join(wanted, "c", "left_semi").groupBy("c").agg(F.min("id").alias("id"))
         members = put(described.select("id", "n", "c"))
         texts = put(self.rows.join(first, "id").select("c", "t"))
         drop(described)
-        stars = shared.filter("c <> low").groupBy(F.col("low").alias("a"), F.col("c").alias("b")).agg(F.lit(1).alias("one"))
+        leaders = shared.filter("c <> low").groupBy("c", "low").agg(F.count(F.lit(1)).alias("k"))
+        stars = leaders.groupBy("c").agg(F.max(F.struct("k", "low"))["low"].alias("a")).select("a", F.col("c").alias("b"))
         left, right = (signs.select(F.col("c").alias(x), F.col("n").alias(f"n{x}"), F.col("sig").alias(f"sig{x}")) for x in "ab")
-        full = stars.join(left, "a").join(right, "b").filter(100 * F.least("na", "nb") >= self.percent * F.greatest("na", "nb"))
+        full = stars.join(right, "b").join(left, "a").filter(100 * F.least("na", "nb") >= self.percent * F.greatest("na", "nb"))
         bounded = put(full.select("a", "b", "na", "nb", "siga", "sigb").mapInArrow(_bound(self.percent), "a long, b long"))
         links = put(self._verify(bounded, texts))
         joined = put(components(links, scratch=self.scratch))
-        placed = shared.select("h", "c").join(joined.select(F.col("node").alias("c"), "component"), "c", "left").withColumn("component", F.coalesce("component", "c"))
-        mixed = placed.groupBy("h").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("h")
-        open_lists = placed.join(mixed, "h", "left_semi").join(signs, "c").select("h", "c", "n", "component", "sig")
+        placed = shared.select("h", "c", "n").join(joined.select(F.col("node").alias("c"), "component"), "c", "left").withColumn("component", F.coalesce("component", "c"))
+        # lists of several components; of lists with equal members one is enough
+        mixed = placed.groupBy("h").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("k"), F.bit_xor(F.xxhash64("c")).alias("who")).filter("low <> high")
+        mixed = mixed.groupBy("k", "who").agg(F.min("h").alias("h")).select("h")
+        open_lists = placed.join(mixed, "h", "left_semi").join(signs.select("c", "sig"), "c").select("h", "c", "n", "component", "sig")
         dealt = open_lists.repartition("h").sortWithinPartitions("h", "n", "c")
         more = dealt.mapInArrow(_across(self.percent), "a long, b long").groupBy("a", "b").agg(F.lit(1).alias("one")).select("a", "b")
         more = put(more.join(bounded.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"))
