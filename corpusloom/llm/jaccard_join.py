@@ -10,10 +10,11 @@ comes from a count of shingles that recur nearby, in a table of fixed size; it n
 
 1. Texts of equal sets are one class, named by a hash of the set; copies send one prefix per batch of rows.
 2. Prefix shingles are dealt by hash. In a list sorted by size, classes without a neighbour of fitting size go.
-3. Every class is paired with one other: of the leaders of its lists (the least class of a run of fitting sizes) the one
-   it meets most. Pairs whose parity bitmaps rule T out (sets differ in at least as many elements as their bitmaps in
-   bits) go. The others are searched, and links give first components: a group of near copies becomes one, without its
-   pairs.
+3. In rounds, every class is paired with a few others: in each of ORDERS hash orders, of the leaders of its lists (the
+   first class of a run of fitting sizes) the one it meets most. Pairs whose parity bitmaps rule T out (sets differ in at
+   least as many elements as their bitmaps in bits) go. The others are searched, and links join components: a group of
+   near copies becomes one after a round or two, without its pairs. A round's pairs grow with the classes, not with the
+   groups.
 4. Lists that still hold several components, one of those with equal members, are looked through for pairs across
    components, with the same bounds, in blocks; so every pair that shares a prefix shingle is either inside one
    component, ruled out by a bound, or searched.
@@ -48,6 +49,7 @@ SHINGLE, PERCENT = 5, 80
 CELL_BITS = 18
 MAX_SIGN_BITS = 1 << 16
 GROUP = 256
+ORDERS, ROUNDS = 4, 2
 
 
 def required(a, b, percent: int = PERCENT):
@@ -333,6 +335,12 @@ class JaccardJoin:
         dealt = roles.join(texts, "c").select("g", "q", "c", "t").repartition("g").sortWithinPartitions("g")
         return dealt.mapInArrow(_search(self.size, self.percent), "a long, b long, overlap long")
 
+    def _placed(self, shared: DataFrame, joined: DataFrame | None) -> DataFrame:
+        """Lists with the component of each class."""
+        if joined is None:
+            return shared.withColumn("component", F.col("c"))
+        return shared.join(joined.select(F.col("node").alias("c"), "component"), "c", "left").withColumn("component", F.coalesce("component", "c"))
+
     def run(self) -> DataFrame:
         """(id, n_shingles, component_id), a row for each row."""
         put, drop = self.scratch.put, self.scratch.drop
@@ -346,31 +354,42 @@ class JaccardJoin:
         fits = lambda a, b: F.coalesce(100 * a >= self.percent * b, F.lit(False))
         near = listed.withColumn("down", fits(F.lag("n").over(over), F.col("n"))).withColumn("up", fits(F.col("n"), F.lead("n").over(over)))
         near = near.withColumn("run", F.sum((~F.col("down")).cast("int")).over(over)).filter("down OR up")
-        shared = put(near.withColumn("low", F.min("c").over(Window.partitionBy("h", "run"))).select("h", "c", "n", "low"))
+        shared = put(near.select("h", F.col("run").cast("int").alias("run"), "c", F.col("n").cast("int").alias("n")))
         wanted = shared.groupBy("c").agg(F.lit(1).alias("one")).select("c")
         signs = put(known.filter("sig IS NOT NULL").join(wanted, "c", "left_semi").groupBy("c").agg(F.min("n").alias("n"), F.min("sig").alias("sig")))
         first = known.select("id", "c").join(wanted, "c", "left_semi").groupBy("c").agg(F.min("id").alias("id"))
         members = put(described.select("id", "n", "c"))
         texts = put(self.rows.join(first, "id").select("c", "t"))
         drop(described)
-        leaders = shared.filter("c <> low").groupBy("c", "low").agg(F.count(F.lit(1)).alias("k"))
-        stars = leaders.groupBy("c").agg(F.max(F.struct("k", "low"))["low"].alias("a")).select("a", F.col("c").alias("b"))
         left, right = (signs.select(F.col("c").alias(x), F.col("n").alias(f"n{x}"), F.col("sig").alias(f"sig{x}")) for x in "ab")
-        full = stars.join(right, "b").join(left, "a").filter(100 * F.least("na", "nb") >= self.percent * F.greatest("na", "nb"))
-        bounded = put(full.select("a", "b", "na", "nb", "siga", "sigb").mapInArrow(_bound(self.percent), "a long, b long"))
-        links = put(self._verify(bounded, texts))
-        joined = put(components(links, scratch=self.scratch))
-        placed = shared.select("h", "c", "n").join(joined.select(F.col("node").alias("c"), "component"), "c", "left").withColumn("component", F.coalesce("component", "c"))
+        tested = links = joined = None
+        for turn in range(ROUNDS):
+            placed = self._placed(shared, joined)
+            lists = Window.partitionBy("h", "run")
+            firsts = [F.min(F.struct(F.xxhash64("c", F.lit(turn * ORDERS + i)).alias("k"), "c", "component")).over(lists) for i in range(ORDERS)]
+            led = placed.withColumn("lead", F.array(*firsts)).select("c", "component", F.posexplode("lead").alias("i", "lead"))
+            led = led.filter("component <> lead.component").groupBy("c", "i", F.col("lead.c").alias("a")).agg(F.count(F.lit(1)).alias("k"))
+            stars = led.groupBy("c", "i").agg(F.max(F.struct("k", "a"))["a"].alias("a")).groupBy("a", F.col("c").alias("b")).agg(F.lit(1).alias("one")).select("a", "b")
+            if tested is not None:
+                stars = stars.join(tested, ["a", "b"], "left_anti")
+            full = stars.join(right, "b").join(left, "a").filter(100 * F.least("na", "nb") >= self.percent * F.greatest("na", "nb"))
+            bounded = put(full.select("a", "b", "na", "nb", "siga", "sigb").mapInArrow(_bound(self.percent), "a long, b long"))
+            tested = bounded if tested is None else tested.union(bounded)
+            found = put(self._verify(bounded, texts))
+            links = found if links is None else links.union(found)
+            known_links = found.select("a", "b") if joined is None else joined.select(F.col("node").alias("a"), F.col("component").alias("b")).union(found.select("a", "b"))
+            joined = put(components(known_links, scratch=self.scratch))
+        placed = self._placed(shared, joined)
         # lists of several components; of lists with equal members one is enough
         mixed = placed.groupBy("h").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("k"), F.bit_xor(F.xxhash64("c")).alias("who")).filter("low <> high")
         mixed = mixed.groupBy("k", "who").agg(F.min("h").alias("h")).select("h")
         open_lists = placed.join(mixed, "h", "left_semi").join(signs.select("c", "sig"), "c").select("h", "c", "n", "component", "sig")
         dealt = open_lists.repartition("h").sortWithinPartitions("h", "n", "c")
         more = dealt.mapInArrow(_across(self.percent), "a long, b long").groupBy("a", "b").agg(F.lit(1).alias("one")).select("a", "b")
-        more = put(more.join(bounded.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"))
+        more = put(more.join(tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"))
         found = put(self._verify(more, texts))
         self.links = links.union(found)
-        for done in (shared, signs, texts, bounded, more):
+        for done in (shared, signs, texts, more):
             drop(done)
         # what is left to join: first components as nodes
         roots = joined.withColumnRenamed("node", "a").union(found.select("a", "b"))
