@@ -7,6 +7,7 @@ import ipaddress
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # --- fixed values -----------------------------------------------------------------------------------------------
 RESERVED_OWNERS = "orgs settings marketplace explore topics collections trending sponsors features pricing login join notifications new search apps".split()
@@ -101,7 +102,7 @@ def _private_v4(b: bytes) -> bool:
     return first in (0, 10, 127) or first >= 224 or second in ranges.get(first, ())
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(T.BooleanType())
 def is_private_address_udf(ip: pd.Series) -> pd.Series:
     """F18, for addresses of both versions."""
     return ip.map(_private).astype(bool)
