@@ -104,8 +104,9 @@ def _count_nearby(size: int):
 
 
 def sign(s: np.ndarray) -> bytes:
-    """Parity bitmap of a set: about a bit for each element, a power of two in number, so that larger ones fold."""
-    bits = min(MAX_SIGN_BITS, max(64, 1 << int(3 * len(s) // 4).bit_length()))
+    """Parity bitmap of a set: at least four bits for each element, which makes the bound nearly exact; a power of two
+    in number, so that larger ones fold."""
+    bits = min(MAX_SIGN_BITS, max(64, 1 << int(4 * len(s) - 1).bit_length()))
     at = (mix(s + np.uint64(0x2545F4914F6CDD1D)) & np.uint64(bits - 1)).astype(np.int64)
     return np.packbits((np.bincount(at, minlength=bits) & 1).astype(np.uint8)).tobytes()
 
