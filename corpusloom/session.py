@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import io
 import os
+import tempfile
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,3 +27,22 @@ def build_session(app: str = "corpusloom", cpus: int | str = "*", shuffle: int =
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Sends this package to the executors once per session, unless their PYTHONPATH already has it."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    if root in (os.environ.get("PYTHONPATH") or "").split(os.pathsep) or getattr(spark, "_corpusloom_shipped", False):
+        return
+    data = io.BytesIO()
+    with zipfile.ZipFile(data, "w") as z:
+        for folder, _, names in os.walk(os.path.join(root, "corpusloom")):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    z.write(path, os.path.relpath(path, root))
+    path = os.path.join(tempfile.mkdtemp(prefix="corpusloom-"), "corpusloom.zip")  # served to executors while the driver lives
+    with open(path, "wb") as f:
+        f.write(data.getvalue())
+    spark.sparkContext.addPyFile(path)
+    spark._corpusloom_shipped = True
