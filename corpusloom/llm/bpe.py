@@ -38,7 +38,7 @@ from pyspark.sql import types as T
 from corpusloom.llm.common import table, without
 
 BLOCK = 1 << 15
-CACHE_WORDS, CACHE_CHARS = 200_000, 48
+CACHE_WORDS, CACHE_CHARS = 400_000, 48
 SPACE = r"\p{White_Space}"
 SPLIT = regex.compile(
     rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|{SPACE}+(?!{'[^' + SPACE + ']'})|{SPACE}+"
@@ -52,7 +52,7 @@ RUNS = {
 #: A word that ends this many characters before the end of what is read is final: the longest contraction has three.
 HELD = 4
 #: Windows up to this many bytes take the plain loop over all pairs, longer ones the heap.
-SHORT, NEVER = 32, (1 << 60, -1)
+SHORT, NEVER = 32, 1 << 60
 
 
 def default_path() -> str:
@@ -89,6 +89,8 @@ class MergeTable:
         pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in merges]
         self.rules = [(vocab[u], vocab[v], vocab[u + v]) for u, v in pairs]
         self.merge = {(u, v): (rank, made) for rank, (u, v, made) in enumerate(self.rules)}
+        self.rank = {pair: rank for pair, (rank, _) in self.merge.items()}
+        self.made = [made for _, _, made in self.rules]
         self.lookahead = self._lookahead()
 
     def _lookahead(self) -> int:
@@ -123,14 +125,19 @@ class MergeTable:
             return ids
         merge = self.merge
         if n <= SHORT:
-            get = merge.get
-            while len(ids) > 1:
-                found = [get(x, NEVER) for x in zip(ids, ids[1:])]
-                rank, made = low = min(found)
-                if rank == NEVER[0]:
+            get, made = self.rank.get, self.made
+            ranks = [get(x, NEVER) for x in zip(ids, ids[1:])]
+            while ranks:
+                low = min(ranks)
+                if low == NEVER:
                     break
-                i = found.index(low)
-                ids[i : i + 2] = [made]
+                i = ranks.index(low)
+                ids[i] = new = made[low]
+                del ids[i + 1], ranks[i]
+                if i < len(ranks):
+                    ranks[i] = get((new, ids[i + 1]), NEVER)
+                if i:
+                    ranks[i - 1] = get((ids[i - 1], new), NEVER)
             return ids
         nxt, prv = list(range(1, n + 1)), list(range(-1, n - 1))
         heap = []
