@@ -33,8 +33,9 @@ SEED = 97
 
 
 def plan_tables(largest: int, threshold: float) -> tuple[int, int]:
-    """Bits and tables: about one unrelated row per bucket, and a miss of a pair at the threshold below MISS."""
-    bits = min(30, max(4, math.ceil(math.log2(max(2, largest)))))
+    """Bits and tables: about one unrelated row in eight buckets, so that few vectors move, and a miss of a pair at the
+    threshold below MISS."""
+    bits = min(30, max(4, math.ceil(math.log2(max(2, largest))) + 3))
     together = (1 - math.acos(threshold) / math.pi) ** bits
     return bits, max(1, math.ceil(math.log(MISS) / math.log1p(-together)))
 
@@ -61,7 +62,7 @@ def _sign(bits: int, tables: int):
             for n in np.unique(sizes):
                 rows = np.flatnonzero(sizes == n)
                 out[rows] = buckets(np.stack([flat[offsets[i] : offsets[i] + n] for i in rows]), bits, tables)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(rep) * tables + 1, tables), pa.int32()), pa.array(out.ravel(), pa.int64()))
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(rep) * tables + 1, tables), pa.int32()), pa.array(out.ravel().astype(np.int32), pa.int32()))
             yield pa.RecordBatch.from_arrays([rep, lists], names=["rep", "sig"])
 
     return run
@@ -142,19 +143,20 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector: str = "embedd
     """One row per input row: id, n_links, component_id, kept."""
     spark = df.sparkSession
     scratch = Scratch(spark, "embedding-dedup")
-    rows = df.select(F.col(id_col).alias("id"), F.col(label).alias("label"), F.col(vector).cast("array<double>").alias("v"))
+    kind = "array<float>" if df.schema[vector].dataType.simpleString() == "array<float>" else "array<double>"
+    rows = df.select(F.col(id_col).alias("id"), F.col(label).alias("label"), F.col(vector).cast(kind).alias("v"))
     usable = F.coalesce(
         F.col("label").isNotNull() & F.col("id").isNotNull() & (F.size("v") > 0)
         & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0),
         F.lit(False),
     )
-    key = F.when(usable, F.sha2(F.concat_ws(",", F.col("label").cast("string"), F.transform("v", lambda x: (x + F.lit(0.0)).cast("string"))), 256))
+    key = F.when(usable, F.sha2(F.concat_ws(",", F.col("label").cast("string"), F.transform("v", lambda x: (x.cast("double") + F.lit(0.0)).cast("string"))), 256))
     rows = scratch.put(rows.select("id", "label", "v", key.alias("class")))
     classes = rows.filter("class IS NOT NULL").groupBy("class").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("weight"), F.first("label").alias("label"), F.first("v").alias("v"))
     classes = scratch.put(classes)
     largest = classes.groupBy("label").count().agg(F.max("count").alias("n")).first()["n"] or 1
     bits, tables = plan_tables(largest, threshold)
-    signed = classes.select("rep", "v").mapInArrow(_sign(bits, tables), "rep long, sig array<long>")
+    signed = classes.select("rep", "v").mapInArrow(_sign(bits, tables), "rep long, sig array<int>")
     # a class and its signs, by its representative; ids may repeat, so the class stays the key
     signed = scratch.put(classes.select("class", "rep", "label").join(signed.groupBy("rep").agg(F.first("sig").alias("sig")), "rep"))
     placed = signed.select("class", "label", F.posexplode("sig").alias("t", "bucket"))
