@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -34,6 +35,11 @@ class Scratch:
         self.paths[id(out)] = path
         return out
 
+    def free(self) -> None:
+        """Lets Spark remove the shuffle files of finished steps now: it does so once the driver has collected its garbage."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
     def drop(self, df: DataFrame) -> None:
         """Deletes a table put earlier; the caller no longer reads it."""
         path = self.paths.pop(id(df), None)

@@ -49,7 +49,7 @@ SHINGLE, PERCENT = 5, 80
 CELL_BITS = 18
 MAX_SIGN_BITS = 1 << 16
 GROUP = 256
-ORDERS, ROUNDS = 4, 2
+ORDERS, ROUNDS = 6, 1
 
 
 def required(a, b, percent: int = PERCENT):
@@ -126,32 +126,44 @@ def possible(a, b, differing, percent: int = PERCENT):
     return (100 * low >= percent * high) & (most >= required(a, b, percent))
 
 
-def _describe(size: int, percent: int, cells: np.ndarray):
-    """Per row: id, set size, class; for the first row of a class in a slice also prefix and bitmap."""
+def _describe(size: int):
+    """Per row: id, set size, class; for the first row of a class in a slice also its bitmap."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, 1):
-                ns, names, prefixes, signs, known = [], [], [], [], set()
+                ns, names, signs, known = [], [], [], set()
                 for _, s in shingle_sets(part.column(1), size):
+                    name = set_name(s) if len(s) else None
+                    ns.append(len(s))
+                    names.append(name)
+                    signs.append(None if name is None or name in known else sign(s))
+                    known.add(name)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ns, pa.int64()), pa.array(names, pa.int64()), pa.array(signs, pa.binary())], names=["id", "n", "c", "sig"])
+
+    return run
+
+
+def _prefixes(size: int, percent: int, cells: np.ndarray):
+    """Class, set size and prefix of the first row of each class in a slice."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, 0):
+                ns, names, prefixes, known = [], [], [], set()
+                for _, s in shingle_sets(part.column(0), size):
                     n = len(s)
-                    ns.append(n)
                     name = set_name(s) if n else None
-                    names.append(name)
-                    if not n or name in known:
-                        prefixes.append(None)
-                        signs.append(None)
+                    if name is None or name in known:
                         continue
                     known.add(name)
                     take = n - -(-percent * n // 100) + 1
                     rank = cells[(s >> np.uint64(64 - CELL_BITS)).astype(np.int64)]
                     chosen = s[np.argsort(rank, kind="stable")[:take]] if rank.any() else s[:take]
+                    ns.append(n)
+                    names.append(name)
                     prefixes.append(chosen.view(np.int64))
-                    signs.append(sign(s))
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(ns, pa.int64()), pa.array(names, pa.int64()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(signs, pa.binary())],
-                    names=["id", "n", "c", "prefix", "sig"],
-                )
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(ns, pa.int32()), pa.array(prefixes, pa.list_(pa.int64()))], names=["c", "n", "prefix"])
 
     return run
 
@@ -346,9 +358,10 @@ class JaccardJoin:
         """(id, n_shingles, component_id), a row for each row."""
         put, drop = self.scratch.put, self.scratch.drop
         cells = self._order()
-        described = put(self.rows.mapInArrow(_describe(self.size, self.percent, cells), "id long, n long, c long, prefix array<long>, sig binary"))
+        described = put(self.rows.mapInArrow(_describe(self.size), "id long, n long, c long, sig binary"))
         known = described.filter("id IS NOT NULL AND c IS NOT NULL")
-        postings = known.filter("prefix IS NOT NULL").select("c", "n", F.explode("prefix").alias("h"))
+        prefixes = self.rows.filter("id IS NOT NULL").select("t").mapInArrow(_prefixes(self.size, self.percent, cells), "c long, n int, prefix array<long>")
+        postings = prefixes.select("c", "n", F.explode("prefix").alias("h"))
         # one row for each class of a list; both steps use the exchange by shingle
         listed = postings.repartition("h").groupBy("h", "c").agg(F.min("n").alias("n"))
         over = Window.partitionBy("h").orderBy("n", "c")
@@ -356,16 +369,20 @@ class JaccardJoin:
         near = listed.withColumn("down", fits(F.lag("n").over(over), F.col("n"))).withColumn("up", fits(F.col("n"), F.lead("n").over(over)))
         near = near.withColumn("run", F.sum((~F.col("down")).cast("int")).over(over)).filter("down OR up")
         shared = put(near.select("h", F.col("run").cast("int").alias("run"), "c", F.col("n").cast("int").alias("n")))
+        self.scratch.free()
         wanted = shared.groupBy("c").agg(F.lit(1).alias("one")).select("c")
         signs = put(known.filter("sig IS NOT NULL").join(wanted, "c", "left_semi").groupBy("c").agg(F.min("n").alias("n"), F.min("sig").alias("sig")))
-        first = known.select("id", "c").join(wanted, "c", "left_semi").groupBy("c").agg(F.min("id").alias("id"))
+        first = put(known.select("id", "c").join(wanted, "c", "left_semi").groupBy("c").agg(F.min("id").alias("id")))
         members = put(described.select("id", "n", "c"))
-        texts = put(self.rows.join(first, "id").select("c", "t"))
         drop(described)
+        self.scratch.free()
+        texts = put(self.rows.join(first, "id").select("c", "t"))
+        self.scratch.free()
         left, right = (signs.select(F.col("c").alias(x), F.col("n").alias(f"n{x}"), F.col("sig").alias(f"sig{x}")) for x in "ab")
         tested = links = joined = None
         for turn in range(ROUNDS):
             placed = self._placed(shared, joined)
+            placed = placed.select("h", "run", "c", "component").repartition("h")
             lists = Window.partitionBy("h", "run")
             firsts = [F.min(F.struct(F.xxhash64("c", F.lit(turn * ORDERS + i)).alias("k"), "c", "component")).over(lists) for i in range(ORDERS)]
             led = placed.withColumn("lead", F.array(*firsts)).select("c", "component", F.posexplode("lead").alias("i", "lead"))
@@ -379,6 +396,7 @@ class JaccardJoin:
             found = put(self._verify(bounded, texts))
             links = found if links is None else links.union(found)
             known_links = found.select("a", "b") if joined is None else joined.select(F.col("node").alias("a"), F.col("component").alias("b")).union(found.select("a", "b"))
+            self.scratch.free()
             joined = put(components(known_links, scratch=self.scratch))
         placed = self._placed(shared, joined)
         # lists of several components; of lists with equal members one is enough
@@ -388,7 +406,9 @@ class JaccardJoin:
         dealt = open_lists.repartition("h").sortWithinPartitions("h", "n", "c")
         more = dealt.mapInArrow(_across(self.percent), "a long, b long").groupBy("a", "b").agg(F.lit(1).alias("one")).select("a", "b")
         more = put(more.join(tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"))
+        self.scratch.free()
         found = put(self._verify(more, texts))
+        self.scratch.free()
         self.links = links.union(found)
         for done in (shared, signs, texts, more):
             drop(done)
