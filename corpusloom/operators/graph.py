@@ -324,3 +324,67 @@ def nearest_config(files: DataFrame, configs: DataFrame) -> DataFrame:
 
 def running_rank(df: DataFrame, by: list[str], order: list[Column], name: str = "rank") -> DataFrame:
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
+
+
+# --- what manifests say about a repository ----------------------------------------------------------------------
+
+COMPILER = "compilerOptions struct<baseUrl:string,paths:map<string,array<string>>>"
+
+
+def alias_table(files: DataFrame) -> DataFrame:
+    """(repo_id, scope, prefix, targets) from tsconfig and jsconfig files; a base url is an alias with an empty prefix."""
+    configs = files.filter(P.basename(F.col("path")).rlike(CONFIG_MANIFESTS))
+    parsed = configs.select("repo_id", P.dirname(F.col("path")).alias("scope"), F.from_json(clean_json(F.col("content")), COMPILER)["compilerOptions"].alias("o"))
+    base = F.coalesce(P.join_path(F.col("scope"), F.coalesce("o.baseUrl", F.lit("."))), F.col("scope"))
+    parsed = parsed.filter("o IS NOT NULL").withColumn("base", base)
+    named = parsed.select("repo_id", "scope", "base", F.explode("o.paths").alias("key", "listed"))
+    named = named.select("repo_id", "scope", F.regexp_replace("key", r"\*$", "").alias("prefix"), F.transform("listed", lambda t: F.coalesce(P.join_path(F.col("base"), F.regexp_replace(t, r"\*$", "")), F.lit(""))).alias("targets"))
+    plain = parsed.filter("o.baseUrl IS NOT NULL").select("repo_id", F.lit("").alias("scope"), F.lit("").alias("prefix"), F.array("base").alias("targets"))
+    return named.unionByName(plain)
+
+
+def project_hints(files: DataFrame) -> DataFrame:
+    """Per repository go_module, py_roots, psr4, dart_package, deps and src_has_main."""
+    path, text = F.col("path"), F.col("content")
+    at = lambda name: F.max(F.when(path == name, text))
+    found = files.groupBy("repo_id").agg(
+        at("go.mod").alias("go_mod"),
+        at("composer.json").alias("composer"),
+        at("pubspec.yaml").alias("pubspec"),
+        F.max(path.rlike(r"^src/.*\.py$")).alias("src_py"),
+        F.max(path.rlike(r"^src/(main|index)\.")).alias("src_has_main"),
+        F.sort_array(F.collect_set(F.when(path.rlike(r"(^|/)(pyproject\.toml|setup\.py)$") & (P.dirname(path) != ""), P.dirname(path)))).alias("py_dirs"),
+    )
+    first = lambda c, pattern: F.nullif(F.regexp_extract(c, pattern, 1), F.lit(""))
+    psr4 = F.from_json(F.get_json_object(clean_json(F.col("composer")), "$.autoload.psr-4"), "map<string,string>")
+    rules = F.transform(F.map_entries(psr4), lambda e: F.struct(e["key"].alias("prefix"), F.regexp_replace(e["value"], "/$", "").alias("dir")))
+    roots = F.concat(F.array(F.lit("")), F.when(F.col("src_py"), F.array(F.lit("src"))).otherwise(F.array().cast("array<string>")), F.flatten(F.transform("py_dirs", lambda d: F.array(d, F.concat(d, F.lit("/src"))))))
+    deps = dependencies(files).groupBy("repo_id").agg(F.collect_set("dep").alias("deps"))
+    out = found.select(
+        "repo_id", first("go_mod", r"(?m)^module\s+(\S+)").alias("go_module"), roots.alias("py_roots"), rules.alias("psr4"),
+        first("pubspec", r"(?m)^name:\s*([\w_]+)").alias("dart_package"), "src_has_main",
+    )
+    return out.join(deps, "repo_id", "left").withColumn("deps", F.coalesce("deps", F.array().cast("array<string>")))
+
+
+def declared_entries(files: DataFrame) -> DataFrame:
+    """(repo_id, path): files that manifests and pages name as starting points."""
+    folder, j = P.dirname(F.col("path")), clean_json(F.col("content"))
+    base = P.basename(F.col("path"))
+    value = lambda p: F.get_json_object("j", p)
+    manifests = files.filter(base == "package.json").withColumn("j", j)
+    bins = F.when(F.startswith(value("$.bin"), F.lit("{")), F.map_values(F.from_json(value("$.bin"), "map<string,string>"))).otherwise(F.array(value("$.bin")))
+    command = r"(?:^|\s)((?:\./)?[\w./-]+\.(?:js|mjs|cjs|ts|mts|py))(?=\s|$)"
+    scripts = F.flatten(F.array(*[F.regexp_extract_all(F.coalesce(value(f"$.scripts.{k}"), F.lit("")), F.lit(command), F.lit(1)) for k in ("start", "dev", "serve")]))
+    exports = F.when(~F.startswith(value("$.exports"), F.lit("{")), value("$.exports"))
+    named = manifests.select("repo_id", folder.alias("dir"), F.explode(F.concat(F.array(value("$.main"), value("$.module"), exports), bins, scripts)).alias("spec"))
+    pages = files.filter(base == "index.html").select("repo_id", folder.alias("dir"), F.explode(all_matches(F.col("content"), r"""<script[^>]{1,500}?src=["']([^"':]{1,300})["']""")).alias("spec"))
+    specs = named.unionByName(pages.withColumn("spec", F.regexp_replace("spec", "^/", ""))).filter("spec IS NOT NULL AND spec <> ''")
+    joined = specs.select("repo_id", P.join_path(F.col("dir"), F.regexp_replace("spec", r"^\./", "")).alias("base")).distinct().filter("base IS NOT NULL")
+    options = joined.select("repo_id", "base", F.posexplode(js_candidates(F.col("base"))).alias("rank", "path")).filter("path IS NOT NULL")
+    hit = options.join(files.select("repo_id", "path"), ["repo_id", "path"]).groupBy("repo_id", "base").agg(F.min_by("path", "rank").alias("path"))
+    block = F.regexp_extract(F.col("content"), r"\[(?:project\.scripts|tool\.poetry\.scripts)\]([\s\S]*?)(?:\n\[|\z)", 1)
+    modules = files.filter(base == "pyproject.toml").select("repo_id", F.explode(F.regexp_extract_all(block, F.lit(r"""=\s*["']([\w.]+):"""), F.lit(1))).alias("m"))
+    stems = modules.select("repo_id", F.explode(F.array(F.lit(""), F.lit("src/"))).alias("root"), F.replace("m", F.lit("."), F.lit("/")).alias("stem"))
+    python = stems.select("repo_id", F.explode(F.array(F.concat("root", "stem", F.lit(".py")), F.concat("root", "stem", F.lit("/__init__.py")))).alias("path"))
+    return hit.select("repo_id", "path").unionByName(python.join(files.select("repo_id", "path"), ["repo_id", "path"], "left_semi")).distinct()
