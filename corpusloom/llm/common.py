@@ -21,7 +21,9 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 class Scratch:
-    """Parquet tables in the shared folder that cut lineage: a lost executor costs a re-read, not a recomputation."""
+    """Parquet tables in the shared folder that cut lineage: a lost executor costs a re-read, not a recomputation.
+
+    What is not dropped before goes when the driver's JVM ends."""
 
     def __init__(self, spark: SparkSession, what: str):
         self.spark, self.root, self.n = spark, f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}", 0
@@ -31,6 +33,9 @@ class Scratch:
         self.n += 1
         path = f"{self.root}/{self.n:04d}"
         df.write.parquet(path)
+        if self.n == 1:
+            root, fs = self._at(self.root)
+            fs.deleteOnExit(root)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(out)] = path
         return out
@@ -44,9 +49,12 @@ class Scratch:
         """Deletes a table put earlier; the caller no longer reads it."""
         path = self.paths.pop(id(df), None)
         if path:
-            jvm = self.spark.sparkContext._jvm
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+            at, fs = self._at(path)
+            fs.delete(at, True)
+
+    def _at(self, path: str):
+        at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return at, at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
 
 def without(df: DataFrame, *names: str) -> DataFrame:
