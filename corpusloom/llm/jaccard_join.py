@@ -49,7 +49,7 @@ SHINGLE, PERCENT = 5, 80
 CELL_BITS = 18
 MAX_SIGN_BITS = 1 << 16
 GROUP = 256
-ORDERS, ROUNDS = 6, 1
+ORDERS, ROUNDS = 4, 2
 
 
 def required(a, b, percent: int = PERCENT):
@@ -322,7 +322,9 @@ def _search(size: int, percent: int):
 
 
 class JaccardJoin:
-    """The join over one table; `links` and `members` hold what the last run found."""
+    """The join over one table; `links` and `members` hold what the last run found.
+
+    All joins are sort-merge joins: no side has a size bound, and one plan serves every size."""
 
     def __init__(self, df: DataFrame, id_col: str = "doc_id", text: str = "text", size: int = SHINGLE, percent: int = PERCENT):
         self.spark, self.size, self.percent = df.sparkSession, size, percent
@@ -340,19 +342,19 @@ class JaccardJoin:
     def _verify(self, pairs: DataFrame, texts: DataFrame) -> DataFrame:
         """Links among pairs (a: query, b); a query with many candidates becomes several groups."""
         many = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("k"))
-        split = pairs.join(many, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.ceil(F.col("k") / F.lit(GROUP))))
+        split = pairs.join(many.hint("merge"), "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.ceil(F.col("k") / F.lit(GROUP))))
         split = split.select(F.xxhash64("a", "salt").alias("g"), "a", "b")
         roles = split.select("g", F.lit(False).alias("q"), F.col("b").alias("c")).union(
             split.groupBy("g", "a").agg(F.lit(1).alias("one")).select("g", F.lit(True).alias("q"), F.col("a").alias("c"))
         )
-        dealt = roles.join(texts, "c").select("g", "q", "c", "t").repartition("g").sortWithinPartitions("g")
+        dealt = roles.join(texts.hint("merge"), "c").select("g", "q", "c", "t").repartition("g").sortWithinPartitions("g")
         return dealt.mapInArrow(_search(self.size, self.percent), "a long, b long, overlap long")
 
     def _placed(self, shared: DataFrame, joined: DataFrame | None) -> DataFrame:
         """Lists with the component of each class."""
         if joined is None:
             return shared.withColumn("component", F.col("c"))
-        return shared.join(joined.select(F.col("node").alias("c"), "component"), "c", "left").withColumn("component", F.coalesce("component", "c"))
+        return shared.join(joined.select(F.col("node").alias("c"), "component").hint("merge"), "c", "left").withColumn("component", F.coalesce("component", "c"))
 
     def run(self) -> DataFrame:
         """(id, n_shingles, component_id), a row for each row."""
@@ -371,12 +373,12 @@ class JaccardJoin:
         shared = put(near.select("h", F.col("run").cast("int").alias("run"), "c", F.col("n").cast("int").alias("n")))
         self.scratch.free()
         wanted = shared.groupBy("c").agg(F.lit(1).alias("one")).select("c")
-        signs = put(known.filter("sig IS NOT NULL").join(wanted, "c", "left_semi").groupBy("c").agg(F.min("n").alias("n"), F.min("sig").alias("sig")))
-        first = put(known.select("id", "c").join(wanted, "c", "left_semi").groupBy("c").agg(F.min("id").alias("id")))
+        signs = put(known.filter("sig IS NOT NULL").join(wanted.hint("merge"), "c", "left_semi").groupBy("c").agg(F.min("n").alias("n"), F.min("sig").alias("sig")))
+        first = put(known.select("id", "c").join(wanted.hint("merge"), "c", "left_semi").groupBy("c").agg(F.min("id").alias("id")))
         members = put(described.select("id", "n", "c"))
         drop(described)
         self.scratch.free()
-        texts = put(self.rows.join(first, "id").select("c", "t"))
+        texts = put(self.rows.join(first.hint("merge"), "id").select("c", "t"))
         self.scratch.free()
         left, right = (signs.select(F.col("c").alias(x), F.col("n").alias(f"n{x}"), F.col("sig").alias(f"sig{x}")) for x in "ab")
         tested = links = joined = None
@@ -389,8 +391,8 @@ class JaccardJoin:
             led = led.filter("component <> lead.component").groupBy("c", "i", F.col("lead.c").alias("a")).agg(F.count(F.lit(1)).alias("k"))
             stars = led.groupBy("c", "i").agg(F.max(F.struct("k", "a"))["a"].alias("a")).groupBy("a", F.col("c").alias("b")).agg(F.lit(1).alias("one")).select("a", "b")
             if tested is not None:
-                stars = stars.join(tested, ["a", "b"], "left_anti")
-            full = stars.join(right, "b").join(left, "a").filter(100 * F.least("na", "nb") >= self.percent * F.greatest("na", "nb"))
+                stars = stars.join(tested.hint("merge"), ["a", "b"], "left_anti")
+            full = stars.join(right.hint("merge"), "b").join(left.hint("merge"), "a").filter(100 * F.least("na", "nb") >= self.percent * F.greatest("na", "nb"))
             bounded = put(full.select("a", "b", "na", "nb", "siga", "sigb").mapInArrow(_bound(self.percent), "a long, b long"))
             tested = bounded if tested is None else tested.union(bounded)
             found = put(self._verify(bounded, texts))
@@ -402,10 +404,10 @@ class JaccardJoin:
         # lists of several components; of lists with equal members one is enough
         mixed = placed.groupBy("h").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("k"), F.bit_xor(F.xxhash64("c")).alias("who")).filter("low <> high")
         mixed = mixed.groupBy("k", "who").agg(F.min("h").alias("h")).select("h")
-        open_lists = placed.join(mixed, "h", "left_semi").join(signs.select("c", "sig"), "c").select("h", "c", "n", "component", "sig")
+        open_lists = placed.join(mixed.hint("merge"), "h", "left_semi").join(signs.select("c", "sig").hint("merge"), "c").select("h", "c", "n", "component", "sig")
         dealt = open_lists.repartition("h").sortWithinPartitions("h", "n", "c")
         more = dealt.mapInArrow(_across(self.percent), "a long, b long").groupBy("a", "b").agg(F.lit(1).alias("one")).select("a", "b")
-        more = put(more.join(tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"))
+        more = put(more.join(tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).hint("merge"), ["a", "b"], "left_anti"))
         self.scratch.free()
         found = put(self._verify(more, texts))
         self.scratch.free()
@@ -416,9 +418,9 @@ class JaccardJoin:
         roots = joined.withColumnRenamed("node", "a").union(found.select("a", "b"))
         final = components(roots.toDF("a", "b"), scratch=self.scratch)
         self.members = members
-        placed = members.join(final.select(F.col("node").alias("c"), "component"), "c", "left").withColumn("component", F.coalesce("component", "c"))
+        placed = members.join(final.select(F.col("node").alias("c"), "component").hint("merge"), "c", "left").withColumn("component", F.coalesce("component", "c"))
         least = placed.filter("id IS NOT NULL AND c IS NOT NULL").groupBy("component").agg(F.min("id").alias("least"))
-        out = placed.join(least, "component", "left")
+        out = placed.join(least.hint("merge"), "component", "left")
         return out.select("id", F.col("n").alias("n_shingles"), F.when(F.col("c").isNull(), F.col("id")).otherwise(F.when(F.col("id").isNotNull(), F.col("least"))).alias("component_id"))
 
 
