@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from corpusloom.functions import text as X
 
+# --- fixed values: phrases of the script and the document -------------------------------------------------------
 LAST_STOP = "Last stop. Where to go when you want to change something."
 
 
