@@ -4,12 +4,15 @@ Two texts link when the Jaccard similarity of their shingle sets is at least 0.8
 a and b they then share at least T = ceil(4 (a + b) / 9) shingles.
 
 Where lists are short. A shingle's inverted list holds the texts that have it. In a global order with the frequent
-shingles last, a text's first n - ceil(0.8 n) + 1 shingles are its short lists: of two linked texts, some shingle is in
-both prefixes, so all candidates meet in the short lists and the long ones are never built across the corpus. The order
+shingles last, a text's first n - ceil(0.8 n) + k(n) shingles are its short lists, k(n) = 1 + n // 20. Two linked texts
+share ceil(0.8 n) shingles or more for either n, of which at most ceil(0.8 n) - k(n) lie outside the prefix; so the text
+whose prefix ends first has k of the shared ones in it, and they are in the other's prefix too. All candidates meet in k
+short lists or more, texts with fewer meetings are out, and the long lists are never built across the corpus. The order
 comes from a count of shingles that recur nearby, in a table of fixed size; it need not be exact, only the same for all.
 
 1. Texts of equal sets are one class, named by a hash of the set; copies send one prefix per batch of rows.
-2. Prefix shingles are dealt by hash. In a list sorted by size, classes without a neighbour of fitting size go.
+2. Prefix shingles are dealt by hash. In a list sorted by size, classes without a neighbour of fitting size go; so do
+   classes left in fewer lists than k of the smallest size that fits theirs.
 3. In rounds, every class is paired with a few others: in each of ORDERS hash orders, of the leaders of its lists (the
    first class of a run of fitting sizes) the one it meets most. Pairs whose parity bitmaps rule T out (sets differ in at
    least as many elements as their bitmaps in bits) go. The others are searched, and links join components: a group of
@@ -57,6 +60,11 @@ def required(a, b, percent: int = PERCENT):
     return -((-percent * (a + b)) // (100 + percent))
 
 
+def meetings(n):
+    """k: in how many short lists a text of n shingles meets a linked one, if its prefix ends first."""
+    return 1 + n // 20
+
+
 def shingle_sets(column: pa.Array, size: int = SHINGLE) -> Iterator[tuple[int, np.ndarray]]:
     """For each row its sorted distinct shingle hashes."""
     words = words_of(column, lower=True)
@@ -157,7 +165,7 @@ def _prefixes(size: int, percent: int, cells: np.ndarray):
                     if name is None or name in known:
                         continue
                     known.add(name)
-                    take = n - -(-percent * n // 100) + 1
+                    take = min(n, n - -(-percent * n // 100) + meetings(n))
                     rank = cells[(s >> np.uint64(64 - CELL_BITS)).astype(np.int64)]
                     chosen = s[np.argsort(rank, kind="stable")[:take]] if rank.any() else s[:take]
                     ns.append(n)
@@ -370,9 +378,14 @@ class JaccardJoin:
         fits = lambda a, b: F.coalesce(100 * a >= self.percent * b, F.lit(False))
         near = listed.withColumn("down", fits(F.lag("n").over(over), F.col("n"))).withColumn("up", fits(F.col("n"), F.lead("n").over(over)))
         near = near.withColumn("run", F.sum((~F.col("down")).cast("int")).over(over)).filter("down OR up")
-        shared = put(near.select("h", F.col("run").cast("int").alias("run"), "c", F.col("n").cast("int").alias("n")))
+        met = put(near.select("h", F.col("run").cast("int").alias("run"), "c", F.col("n").cast("int").alias("n")))
+        self.scratch.free()
+        # the smallest fitting size is ceil(percent of n); its k is the least number of meetings with it
+        least_k = F.floor(F.ceil(F.col("n") * F.lit(self.percent) / 100) / 20) + 1
+        wanted = put(met.groupBy("c", "n").agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") >= least_k).select("c"))
+        shared = put(met.join(wanted.hint("merge"), "c", "left_semi"))
+        drop(met)
         self.scratch.free()
-        wanted = shared.groupBy("c").agg(F.lit(1).alias("one")).select("c")
         signs = put(known.filter("sig IS NOT NULL").join(wanted.hint("merge"), "c", "left_semi").groupBy("c").agg(F.min("n").alias("n"), F.min("sig").alias("sig")))
         first = put(known.select("id", "c").join(wanted.hint("merge"), "c", "left_semi").groupBy("c").agg(F.min("id").alias("id")))
         members = put(described.select("id", "n", "c"))
