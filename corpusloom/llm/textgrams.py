@@ -126,7 +126,7 @@ def ngrams(h: np.ndarray, n: int) -> np.ndarray:
     return mix(out[: len(h) - n + 1] + np.uint64(n))
 
 
-SLICE = 8 << 20
+SLICE = 4 << 20
 
 
 def slices(batch: pa.RecordBatch, column: int) -> list[pa.RecordBatch]:
