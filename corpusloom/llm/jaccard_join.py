@@ -53,6 +53,7 @@ CELL_BITS = 18
 MAX_SIGN_BITS = 1 << 16
 GROUP = 256
 ORDERS, ROUNDS = 4, 2
+SPREAD, REMEMBERED = 8, 1_000_000
 
 
 def required(a, b, percent: int = PERCENT):
@@ -246,6 +247,7 @@ def _across(percent: int):
                     found.update(zip(np.minimum(x, y).tolist(), np.maximum(x, y).tolist(), strict=True))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sent: set[tuple[int, int]] = set()
         for batch in _groups(batches, 0):
             h, c, n, comp = (batch.column(k).to_numpy() for k in range(4))
             sigs = batch.column(4)
@@ -254,6 +256,10 @@ def _across(percent: int):
             for lo, hi in zip(edges[:-1], edges[1:], strict=True):
                 own = [np.frombuffer(sigs[i].as_buffer(), np.uint8) for i in range(lo, hi)]
                 pairs(n[lo:hi], c[lo:hi], comp[lo:hi], own, found)
+            found -= sent
+            if len(sent) > REMEMBERED:
+                sent.clear()
+            sent |= found
             if found:
                 a, b = zip(*found, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
@@ -415,10 +421,11 @@ class JaccardJoin:
             joined = put(components(known_links, scratch=self.scratch))
         placed = self._placed(shared, joined)
         # lists of several components; of lists with equal members one is enough
-        mixed = placed.groupBy("h").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("k"), F.bit_xor(F.xxhash64("c")).alias("who")).filter("low <> high")
-        mixed = mixed.groupBy("k", "who").agg(F.min("h").alias("h")).select("h")
-        open_lists = placed.join(mixed.hint("merge"), "h", "left_semi").join(signs.select("c", "sig").hint("merge"), "c").select("h", "c", "n", "component", "sig")
-        dealt = open_lists.repartition("h").sortWithinPartitions("h", "n", "c")
+        mixed = placed.groupBy("h").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("k"), F.bit_xor(F.xxhash64("c")).alias("who"), F.min("c").alias("lead")).filter("low <> high")
+        mixed = mixed.groupBy("k", "who").agg(F.min(F.struct("h", "lead")).alias("m")).select("m.h", "m.lead")
+        open_lists = placed.join(mixed.hint("merge"), "h").join(signs.select("c", "sig").hint("merge"), "c").select("h", "c", "n", "component", "sig", "lead")
+        # lists of one least class meet in SPREAD tasks, which send a pair once each
+        dealt = open_lists.withColumn("part", F.pmod("h", F.lit(SPREAD))).repartition("lead", "part").sortWithinPartitions("h", "n", "c").select("h", "c", "n", "component", "sig")
         more = dealt.mapInArrow(_across(self.percent), "a long, b long").groupBy("a", "b").agg(F.lit(1).alias("one")).select("a", "b")
         more = put(more.join(tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).hint("merge"), ["a", "b"], "left_anti"))
         self.scratch.free()
