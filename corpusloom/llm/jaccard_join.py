@@ -136,18 +136,21 @@ def possible(a, b, differing, percent: int = PERCENT):
 
 
 def _describe(size: int):
-    """Per row: id, set size, class; for the first row of a class in a slice also its bitmap."""
+    """Per row: id, set size, class; for the first row with an id of a class in a slice also its bitmap."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, 1):
                 ns, names, signs, known = [], [], [], set()
-                for _, s in shingle_sets(part.column(1), size):
+                for i, s in shingle_sets(part.column(1), size):
                     name = set_name(s) if len(s) else None
                     ns.append(len(s))
                     names.append(name)
-                    signs.append(None if name is None or name in known else sign(s))
-                    known.add(name)
+                    # rows without id are left out later, and a bitmap with them
+                    carries = name is not None and name not in known and part.column(0)[i].is_valid
+                    signs.append(sign(s) if carries else None)
+                    if carries:
+                        known.add(name)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ns, pa.int64()), pa.array(names, pa.int64()), pa.array(signs, pa.binary())], names=["id", "n", "c", "sig"])
 
     return run

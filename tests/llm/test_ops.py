@@ -249,6 +249,15 @@ def test_jaccard_repeated_and_null_ids(spark):
     assert jaccard_join.near_duplicate_groups(df.limit(0)).count() == 0
 
 
+def test_jaccard_null_id_ahead_of_copies(spark):
+    words = [f"w{i}" for i in range(40)]
+    text, near = " ".join(words), " ".join([*words[:-1], "other"])
+    df = spark.createDataFrame([(None, text), (8, text), (None, near), (4, near), (6, text), (9, "p q r s t u")], DOCS).coalesce(1)
+    got = sorted((r["doc_id"] or -1, r["component_id"]) for r in jaccard_join.near_duplicate_groups(df).collect())
+    assert got == [(-1, None), (-1, None), (4, 4), (6, 4), (8, 4), (9, 9)]
+    assert sorted((r["doc_id"] or -1) for r in jaccard_join.keep_one_of_each(df).collect()) == [-1, -1, 4, 9]
+
+
 @settings(max_examples=80, deadline=None)
 @given(st.sets(st.integers(0, 60), min_size=1), st.lists(st.sets(st.integers(0, 60), min_size=1), max_size=8))
 def test_t_occurrence(query, texts):
