@@ -25,7 +25,9 @@ comes from a count of shingles that recur nearby, in a table of fixed size; it n
    lists, which are merged; the L longest lists are only probed, by binary search, for candidates that reached it. The
    overlap is then exact.
 
-Components need no more: a link that is not searched joins texts that are already joined.
+Components need no more: a link that is not searched joins texts that are already joined. An exact run leaves step 3
+out and takes each class for a component in step 4: every link between different texts is found, at the price of the
+pairs of each group.
 
 Defined results: texts without words, null included, have an empty set and link with nothing; with fewer words than a
 shingle the whole sequence is the only element; a null id gets a null component and links with nothing; rows of equal id
@@ -225,7 +227,7 @@ def _joined(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
 def _across(percent: int):
     """Lists sorted by shingle and size in; possible pairs of different components out, smaller name first."""
 
-    def pairs(n: np.ndarray, c: np.ndarray, comp: np.ndarray, sigs: list[np.ndarray], found: set) -> None:
+    def pairs(n: np.ndarray, c: np.ndarray, comp: np.ndarray, sigs: list[np.ndarray], found: set) -> Iterator[None]:
         width = np.array([len(s) for s in sigs])
         for w in np.unique(width):
             near = np.flatnonzero((width == w) | (width == 2 * w))
@@ -248,24 +250,32 @@ def _across(percent: int):
                     good = possible(n[i[u]], n[j[v]], differing, percent)
                     x, y = c[i[u[good]]], c[j[v[good]]]
                     found.update(zip(np.minimum(x, y).tolist(), np.maximum(x, y).tolist(), strict=True))
+                    yield
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sent: set[tuple[int, int]] = set()
+        found: set[tuple[int, int]] = set()
+
+        def fresh() -> Iterator[pa.RecordBatch]:
+            new = found - sent
+            found.clear()
+            if len(sent) > REMEMBERED:
+                sent.clear()
+            sent.update(new)
+            if new:
+                a, b = zip(*new, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
         for batch in _groups(batches, 0):
             h, c, n, comp = (batch.column(k).to_numpy() for k in range(4))
             sigs = batch.column(4)
-            found: set[tuple[int, int]] = set()
             edges = np.flatnonzero(np.r_[True, h[1:] != h[:-1], True])
             for lo, hi in zip(edges[:-1], edges[1:], strict=True):
                 own = [np.frombuffer(sigs[i].as_buffer(), np.uint8) for i in range(lo, hi)]
-                pairs(n[lo:hi], c[lo:hi], comp[lo:hi], own, found)
-            found -= sent
-            if len(sent) > REMEMBERED:
-                sent.clear()
-            sent |= found
-            if found:
-                a, b = zip(*found, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+                for _ in pairs(n[lo:hi], c[lo:hi], comp[lo:hi], own, found):
+                    if len(found) > REMEMBERED:
+                        yield from fresh()
+            yield from fresh()
 
     return run
 
@@ -339,7 +349,8 @@ def _search(size: int, percent: int):
 
 
 class JaccardJoin:
-    """The join over one table; `links` and `members` hold what the last run found.
+    """The join over one table; `members` (id, n, c) holds the class of each row after a run, `links` (a, b, overlap) every
+    pair of linked classes once after an exact run. Other runs search what components need and have no links to show.
 
     All joins are sort-merge joins: no side has a size bound, and one plan serves every size."""
 
@@ -373,8 +384,8 @@ class JaccardJoin:
             return shared.withColumn("component", F.col("c"))
         return shared.join(joined.select(F.col("node").alias("c"), "component").hint("merge"), "c", "left").withColumn("component", F.coalesce("component", "c"))
 
-    def run(self) -> DataFrame:
-        """(id, n_shingles, component_id), a row for each row."""
+    def run(self, exact: bool = False) -> DataFrame:
+        """(id, n_shingles, component_id), a row for each row; exact: pairs inside components are searched too."""
         put, drop = self.scratch.put, self.scratch.drop
         cells = self._order()
         described = put(self.rows.mapInArrow(_describe(self.size), "id long, n long, c long, sig binary"))
@@ -403,8 +414,8 @@ class JaccardJoin:
         texts = put(self.rows.join(first.hint("merge"), "id").select("c", "t"))
         self.scratch.free()
         left, right = (signs.select(F.col("c").alias(x), F.col("n").alias(f"n{x}"), F.col("sig").alias(f"sig{x}")) for x in "ab")
-        tested = links = joined = None
-        for turn in range(ROUNDS):
+        tested = joined = None
+        for turn in range(0 if exact else ROUNDS):
             placed = self._placed(shared, joined)
             placed = placed.select("h", "run", "c", "component").repartition("h")
             lists = Window.partitionBy("h", "run")
@@ -418,7 +429,6 @@ class JaccardJoin:
             bounded = put(full.select("a", "b", "na", "nb", "siga", "sigb").mapInArrow(_bound(self.percent), "a long, b long"))
             tested = bounded if tested is None else tested.union(bounded)
             found = put(self._verify(bounded, texts))
-            links = found if links is None else links.union(found)
             known_links = found.select("a", "b") if joined is None else joined.select(F.col("node").alias("a"), F.col("component").alias("b")).union(found.select("a", "b"))
             self.scratch.free()
             joined = put(components(known_links, scratch=self.scratch))
@@ -430,15 +440,17 @@ class JaccardJoin:
         # lists of one least class meet in SPREAD tasks, which send a pair once each
         dealt = open_lists.withColumn("part", F.pmod("h", F.lit(SPREAD))).repartition("lead", "part").sortWithinPartitions("h", "n", "c").select("h", "c", "n", "component", "sig")
         more = dealt.mapInArrow(_across(self.percent), "a long, b long").groupBy("a", "b").agg(F.lit(1).alias("one")).select("a", "b")
-        more = put(more.join(tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).hint("merge"), ["a", "b"], "left_anti"))
+        if tested is not None:
+            more = more.join(tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).hint("merge"), ["a", "b"], "left_anti")
+        more = put(more)
         self.scratch.free()
         found = put(self._verify(more, texts))
         self.scratch.free()
-        self.links = links.union(found)
+        self.links = found if exact else None
         for done in (shared, signs, texts, more):
             drop(done)
         # what is left to join: first components as nodes
-        roots = joined.withColumnRenamed("node", "a").union(found.select("a", "b"))
+        roots = found.select("a", "b") if joined is None else joined.withColumnRenamed("node", "a").union(found.select("a", "b"))
         final = components(roots.toDF("a", "b"), scratch=self.scratch)
         self.members = members
         placed = members.join(final.select(F.col("node").alias("c"), "component").hint("merge"), "c", "left").withColumn("component", F.coalesce("component", "c"))
@@ -453,6 +465,13 @@ def near_duplicate_groups(df: DataFrame, id_col: str = "doc_id", text: str = "te
     return out.withColumnRenamed("id", id_col)
 
 
+def near_duplicate_links(df: DataFrame, id_col: str = "doc_id", text: str = "text", size: int = SHINGLE, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
+    """Every link between different texts: pairs of classes (a, b, overlap), and the members (id_col, class) of classes."""
+    join = JaccardJoin(df, id_col, text, size, percent)
+    join.run(exact=True)
+    return join.links, join.members.filter("id IS NOT NULL AND c IS NOT NULL").select(F.col("id").alias(id_col), F.col("c").alias("class"))
+
+
 def keep_one_of_each(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows whose id is the least of their group; rows without id stay. Of rows of equal id and text all stay."""
     groups = near_duplicate_groups(df, id_col, text).select(F.col(id_col).alias("group_id"), "component_id")

@@ -258,6 +258,29 @@ def test_jaccard_null_id_ahead_of_copies(spark):
     assert sorted((r["doc_id"] or -1) for r in jaccard_join.keep_one_of_each(df).collect()) == [-1, -1, 4, 9]
 
 
+def test_jaccard_exact_links(spark):
+    rows = jaccard_fixture(3)
+    links, members = jaccard_join.near_duplicate_links(spark.createDataFrame(rows + [(None, rows[0][1]), (300, rows[0][1])], DOCS).repartition(3))
+    held = defaultdict(set)
+    for r in members.collect():
+        held[r["class"]].add(r["doc_id"])
+    found = [(r["a"], r["b"], r["overlap"]) for r in links.collect()]
+    assert len({frozenset(x[:2]) for x in found}) == len(found)
+    got = {(frozenset([frozenset(held[a]), frozenset(held[b])]), n) for a, b, n in found}
+    same = defaultdict(set)
+    for d, t in [*rows, (300, rows[0][1])]:
+        w = re.findall(r"[^\x20\x09-\x0D]+", (t or "").lower())
+        if w:
+            same[frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4)))].add(d)
+    sets = list(same)
+    want = set()
+    for i, x in enumerate(sets):
+        for y in sets[:i]:
+            if 100 * len(x & y) >= 80 * len(x | y):
+                want.add((frozenset([frozenset(same[x]), frozenset(same[y])]), len(x & y)))
+    assert got == want and len(want) == 160
+
+
 @settings(max_examples=80, deadline=None)
 @given(st.sets(st.integers(0, 60), min_size=1), st.lists(st.sets(st.integers(0, 60), min_size=1), max_size=8))
 def test_t_occurrence(query, texts):
