@@ -1,7 +1,7 @@
 """Secret scans in SQL functions only: fixed patterns, and sliding-window Shannon entropy per character class.
 
 Base findings are three kinds of pattern. The method adds candidates: runs of token characters, each belonging to the
-narrowest class that holds all of it (hex, then base64). A window slides over a candidate; the counts of its characters
+narrowest class that holds all of it (hex, base36 and base32 with separators, then base64). A window slides over a candidate; the counts of its characters
 change by one in and one out, and with them the sum of c * log2(c), so the entropy of each window costs one step. A
 candidate whose highest window reaches its class's threshold, that mixes character kinds as its class asks, that no
 allow-list pattern suppresses and that no base finding covers is added.
@@ -42,8 +42,11 @@ class CharClass:
     bits: float
 
 
+#: Letters of one case need no other kind but a digit; names whose parts are a word, a number or both in that order stay.
 CLASSES = (
     CharClass("hex_entropy", r"^[0-9A-Fa-f]+$", (r"[0-9]", r"[A-Fa-f]"), 3.0),
+    CharClass("base36_entropy", r"^[a-z0-9+/_-]+=*$", (r"[0-9]", r"[a-z]", r"^(?!(?:[a-z]*[0-9]*[+/_-])*+[a-z]*[0-9]*=*$)"), 3.2),
+    CharClass("base32_entropy", r"^[A-Z0-9+/_-]+=*$", (r"[0-9]", r"[A-Z]", r"^(?!(?:[A-Z]*[0-9]*[+/_-])*+[A-Z]*[0-9]*=*$)"), 3.2),
     CharClass("base64_entropy", r"^[A-Za-z0-9+/_-]+=*$", (r"[0-9]", r"[A-Z]", r"[a-z]"), 3.6),
 )
 #: Candidates that are no secrets: plain words, identifiers of words and numbers, UUIDs, published example keys.

@@ -521,6 +521,21 @@ def test_secret_scan(spark):
     assert secrets.scan_secrets(df.limit(0)).count() == 0
 
 
+def test_secret_keys_of_one_case(spark):
+    rng = random.Random(10)
+    key = lambda alphabet, n: "".join(rng.choice(alphabet) for _ in range(n))
+    lower, upper = "abcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+    keys = [key(lower, 32) for _ in range(10)] + ["sk_live_" + key(lower, 24) for _ in range(5)] + [key(upper, 32) for _ in range(10)]
+    plain = ["docs/2024/01/introduction-to-part2", "ISO-8859-1/UTF-8/RFC2616", "getElementsByTagNameAndIndex", "a-" * 30, "-" * 4_000, "a1-" * 400, "z1" * 40, "PARAGRAPH-SECTION-0012"]
+    rows = [(i, f"seed {k}, then") for i, k in enumerate(keys + plain)]
+    out = secrets.scan_secrets(spark.createDataFrame(rows, DOCS))
+    found = {r["doc_id"]: [(s["start"], s["end"]) for s in r["all_spans"]] for r in out.collect()}
+    assert [found[i] for i in range(len(keys))] == [[(5, 5 + len(k))] for k in keys]
+    assert [found[len(keys) + i] for i in range(len(plain))] == [[] for _ in plain]
+    clean = {r["doc_id"]: r["text"] for r in secrets.redact(out).collect()}
+    assert all(clean[i] == "seed [SECRET], then" for i in range(len(keys)))
+
+
 def test_secret_query(spark, sf_dir):
     got = {r["doc_id"]: (r["n_assign"], r["n_access"], r["n_hex"], r["base_sha256"], r["spans"]) for r in QUERIES["op10_secrets"](spark, sf_dir).collect()}
     for d, t in texts_of(sf_dir).items():
