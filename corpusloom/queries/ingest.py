@@ -310,6 +310,14 @@ def g17_notebooks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", I.notebook_text(raw).alias("text"))
 
 
+def g17_notebooks_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole texts as the first line of a notebook's notes."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    source = F.when(F.col("text").isNotNull(), F.to_json(F.array(F.concat("text", F.lit("\n")), F.lit("two"))))
+    raw = F.concat(F.lit('{"cells":[{"cell_type":"markdown","source":'), source, F.lit('},{"cell_type":"code","source":"x = '), F.col("doc_id").cast("string"), F.lit('"},{"cell_type":"code","source":" "}]}'))
+    return docs.select("doc_id", I.notebook_text(raw).alias("text"))
+
+
 G17_SQL = r"""SELECT doc_id, '# --- Cell 1 (notes) ---' || chr(10) || '# ' || regexp_replace(substr(text, 1, 40), '["\\\n]', ' ', 'g') || chr(10) || '# two' || chr(10) || chr(10)
   || '# --- Cell 2 (code) ---' || chr(10) || 'x = ' || doc_id AS text FROM documents"""
 
@@ -319,7 +327,7 @@ QUERIES = {
     "f8_ignore_last_match": f8_ignore_last_match, "f11_ignore_anti_join": f11_ignore_anti_join, "f17_readme": f17_readme, "p1_path_parts": p1_path_parts,
     "p3_language": p3_language, "p4_category": p4_category, "p7_entry_paths": p7_entry_paths, "p8_importance": p8_importance,
     "t2_greedy_trim": t2_greedy_trim, "t3_skip_listing": t3_skip_listing, "a1_ingest_stats": a1_ingest_stats, "a2_language_share": a2_language_share,
-    "g17_notebooks": g17_notebooks,
+    "g17_notebooks": g17_notebooks, "g17_notebooks_whole": g17_notebooks_whole,
 }
 ORACLES = {
     "f1_classify_path": F1_SQL, "f1_reason_hist": HIST_SQL, "f2_secret_names": F2_SQL, "f3_skipped_dirs": F3_SQL, "f4_decode_text": F4_SQL, "f5_empty": F5_SQL,
