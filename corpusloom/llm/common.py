@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,8 +17,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where that is unset."""
-    return (spark.sparkContext.getConf().get("spark.checkpoint.dir") or LOCAL_CHECKPOINTS).rstrip("/")
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a local folder serves a local
+    master; on a cluster it would be another one on each machine, so there it is an error."""
+    conf = spark.sparkContext.getConf()
+    named = conf.get("spark.checkpoint.dir")
+    if not named and not re.match(r"local($|\[)", conf.get("spark.master", "")):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return (named or LOCAL_CHECKPOINTS).rstrip("/")
 
 
 class Scratch:
