@@ -10,8 +10,11 @@ count once without a shuffle of pairs. A group returns sums of links and the edg
 pairs.
 
 Defined results: vectors that are null, empty or zero, hold null or non-finite components, or have a null label link
-with nothing and are components of their own; vectors of different lengths do not link; rows with equal ids count as
-vectors of their own and share a component; an empty table gives an empty table.
+with nothing and are components of their own; vectors of different lengths do not link; usable rows with equal ids count
+as vectors of their own, link by their own vectors and share a component; very large and very small components are
+scaled by a power of two first; an empty table gives an empty table.
+
+A bucket of n near copies costs what its links cost: every vector meets n / BLOCK blocks in each table that holds it.
 """
 
 from __future__ import annotations
@@ -27,7 +30,7 @@ from pyspark.sql import functions as F
 from corpusloom.llm.common import Scratch, table
 from corpusloom.llm.components import components
 
-BLOCK, SMALL = 1000, 24
+BLOCK = 512
 MISS = 1e-6
 SEED = 97
 
@@ -35,7 +38,7 @@ SEED = 97
 def plan_tables(largest: int, threshold: float) -> tuple[int, int]:
     """Bits and tables: about one unrelated row in eight buckets, so that few vectors move, and a miss of a pair at the
     threshold below MISS."""
-    bits = min(30, max(4, math.ceil(math.log2(max(2, largest))) + 3))
+    bits = min(60, max(4, math.ceil(math.log2(max(2, largest))) + 3))
     together = (1 - math.acos(threshold) / math.pi) ** bits
     return bits, max(1, math.ceil(math.log(MISS) / math.log1p(-together)))
 
@@ -47,23 +50,31 @@ def buckets(vectors: np.ndarray, bits: int, tables: int) -> np.ndarray:
     return signs.astype(np.int64) @ (1 << np.arange(bits, dtype=np.int64))
 
 
+def scaled(vectors: np.ndarray) -> np.ndarray:
+    """Rows times a power of two that brings the largest component near one, so that squares neither overflow nor vanish."""
+    _, power = np.frexp(np.abs(vectors).max(axis=1))
+    return np.ldexp(vectors, -power[:, None])
+
+
 def _matrix(column: pa.Array) -> np.ndarray:
     values = column.flatten().to_numpy(zero_copy_only=False)
     return values.reshape(len(column), -1)
 
 
 def _sign(bits: int, tables: int):
+    kind = pa.int32() if bits < 32 else pa.int64()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rep, vectors = batch.column(0), batch.column(1)
+            cid, vectors = batch.column(0), batch.column(2)
             sizes = np.diff(np.asarray(vectors.offsets))
-            out = np.empty((len(rep), tables), np.int64)
+            out = np.empty((len(cid), tables), np.int64)
             flat, offsets = vectors.values.to_numpy(zero_copy_only=False).astype(np.float64), np.asarray(vectors.offsets)
             for n in np.unique(sizes):
                 rows = np.flatnonzero(sizes == n)
-                out[rows] = buckets(np.stack([flat[offsets[i] : offsets[i] + n] for i in rows]), bits, tables)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(rep) * tables + 1, tables), pa.int32()), pa.array(out.ravel().astype(np.int32), pa.int32()))
-            yield pa.RecordBatch.from_arrays([rep, lists], names=["rep", "sig"])
+                out[rows] = buckets(scaled(np.stack([flat[offsets[i] : offsets[i] + n] for i in rows])), bits, tables)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(cid) * tables + 1, tables), pa.int32()), pa.array(out.ravel()).cast(kind))
+            yield pa.RecordBatch.from_arrays([cid, batch.column(1), lists], names=["cid", "label", "sig"])
 
     return run
 
@@ -83,8 +94,8 @@ def _local_roots(links: np.ndarray) -> np.ndarray:
 def _compare(threshold: float):
     """Sorted groups in; (a, links, null) and (a, null, b) out."""
 
-    def group(rep, weight, t, side, vec, sig, out):
-        n = len(rep)
+    def group(cid, weight, t, side, vec, sig, out):
+        n = len(cid)
         if n < 2:
             return
         links = vec @ vec.T >= threshold
@@ -100,7 +111,7 @@ def _compare(threshold: float):
         rows = np.flatnonzero(links.any(axis=1))
         sums = links @ weight
         root = _local_roots(links)
-        out.append((rep[rows], sums[rows], rep[root[rows]]))
+        out.append((cid[rows], sums[rows], cid[root[rows]]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
@@ -118,7 +129,7 @@ def _compare(threshold: float):
     def work(rows: pa.Table) -> Iterator[pa.RecordBatch]:
         rows = rows.combine_chunks()
         col = lambda c: rows.column(c).to_numpy()
-        g, rep, weight, t, side = col("g"), col("rep"), col("weight"), col("t"), col("side")
+        g, cid, weight, t, side = col("g"), col("cid"), col("weight"), col("t"), col("side")
         vectors, sigs = rows.column("v").chunk(0), rows.column("sig").chunk(0)
         sizes, out = np.diff(np.asarray(vectors.offsets)), []
         flat, offsets = vectors.values.to_numpy(zero_copy_only=False).astype(np.float64), np.asarray(vectors.offsets)
@@ -129,9 +140,9 @@ def _compare(threshold: float):
                 continue
             for n in np.unique(sizes[lo:hi]):
                 at = lo + np.flatnonzero(sizes[lo:hi] == n)
-                vec = np.stack([flat[offsets[i] : offsets[i] + n] for i in at])
+                vec = scaled(np.stack([flat[offsets[i] : offsets[i] + n] for i in at]))
                 vec /= np.sqrt((vec * vec).sum(axis=1))[:, None]
-                group(rep[at], weight[at], int(t[lo]), side[at], vec, sig[at], out)
+                group(cid[at], weight[at], int(t[lo]), side[at], vec, sig[at], out)
         if out:
             a, links, b = (np.concatenate([o[k] for o in out]) for k in range(3))
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(links, pa.int64()), pa.array(b, pa.int64())], names=["a", "links", "b"])
@@ -152,29 +163,36 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector: str = "embedd
     )
     key = F.when(usable, F.sha2(F.concat_ws(",", F.col("label").cast("string"), F.transform("v", lambda x: (x.cast("double") + F.lit(0.0)).cast("string"))), 256))
     rows = scratch.put(rows.select("id", "label", "v", key.alias("class")))
+    # a class has a number of its own, as ids may repeat with other vectors; the written table fixes the numbers
     classes = rows.filter("class IS NOT NULL").groupBy("class").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("weight"), F.first("label").alias("label"), F.first("v").alias("v"))
-    classes = scratch.put(classes)
-    largest = classes.groupBy("label").count().agg(F.max("count").alias("n")).first()["n"] or 1
-    bits, tables = plan_tables(largest, threshold)
-    signed = classes.select("rep", "v").mapInArrow(_sign(bits, tables), "rep long, sig array<int>")
-    # a class and its signs, by its representative; ids may repeat, so the class stays the key
-    signed = scratch.put(classes.select("class", "rep", "label").join(signed.groupBy("rep").agg(F.first("sig").alias("sig")), "rep"))
-    placed = signed.select("class", "label", F.posexplode("sig").alias("t", "bucket"))
+    classes = scratch.put(classes.withColumn("cid", F.monotonically_increasing_id()))
+    of_label = classes.groupBy("label").count().agg(F.max("count").alias("n")).first()
+    bits, tables = plan_tables(of_label["n"] or 1, threshold)
+    kind = "int" if bits < 32 else "long"
+    label_type = classes.schema["label"].dataType.simpleString()
+    signed = scratch.put(classes.select("cid", "label", "v").mapInArrow(_sign(bits, tables), f"cid long, label {label_type}, sig array<{kind}>"))
+    placed = signed.select("cid", "label", F.posexplode("sig").alias("t", "bucket"))
     sizes = placed.groupBy("label", "t", "bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
     shared = placed.join(sizes, ["label", "t", "bucket"])
     blocks = F.ceil(F.col("size") / F.lit(BLOCK)).cast("int")
-    shared = shared.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
+    shared = shared.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
     spread = shared.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     low, high = F.least("own", "other"), F.greatest("own", "other")
-    spread = spread.select("class", "t", F.xxhash64("label", "t", "bucket", low, high).alias("g"), F.when(low != high, (F.col("own") == high).cast("int") + 1).otherwise(0).alias("side"))
-    full = spread.join(classes.select("class", "rep", "weight", "v").join(signed.select("class", "sig"), "class"), "class")
-    dealt = full.select("g", "t", "side", "rep", "weight", "v", "sig").repartition("g").sortWithinPartitions("g")
+    spread = spread.select("cid", "t", F.xxhash64("label", "t", "bucket", low, high).alias("g"), F.when(low != high, (F.col("own") == high).cast("int") + 1).otherwise(0).alias("side"))
+    full = spread.join(classes.select("cid", "weight", "v").join(signed.select("cid", "sig"), "cid"), "cid")
+    dealt = full.select("g", "t", "side", "cid", "weight", "v", "sig").repartition("g").sortWithinPartitions("g")
     found = scratch.put(dealt.mapInArrow(_compare(threshold), "a long, links long, b long"))
-    links = found.groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("class_links"))
-    joined = components(found.filter("a <> b").select("a", "b"), scratch=scratch).select(F.col("node").alias("rep"), "component")
-    of_class = classes.select("class", "rep", "weight").join(links, "rep", "left").join(joined, "rep", "left")
-    out = rows.select("id", "class").join(of_class, "class", "left")
-    component = F.coalesce("component", "rep", "id")
+    links = found.groupBy(F.col("a").alias("cid")).agg(F.sum("links").alias("class_links"))
+    numbered = scratch.put(rows.join(classes.select("class", "cid"), "class", "left").select("id", "cid"))
+    # classes that share an id are one component
+    shared_ids = numbered.filter("cid IS NOT NULL").groupBy("id").agg(F.min("cid").alias("b"), F.max("cid").alias("high")).filter("b < high").select("id", "b")
+    same = numbered.join(shared_ids, "id").filter("cid <> b").select(F.col("cid").alias("a"), "b")
+    joined = components(found.filter("a <> b").select("a", "b").union(same), scratch=scratch).select(F.col("node").alias("cid"), F.col("component").alias("root"))
+    of_class = classes.select("cid", "rep", "weight").join(joined, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
+    least = of_class.groupBy("root").agg(F.min("rep").alias("component"))
+    of_class = of_class.join(least, "root").join(links, "cid", "left")
+    out = numbered.join(of_class, "cid", "left")
+    component = F.coalesce("component", "id")
     return out.select(
         F.col("id").alias(id_col),
         (F.coalesce("class_links", F.lit(0)) + F.coalesce(F.col("weight") - 1, F.lit(0))).cast("long").alias("n_links"),
