@@ -3,18 +3,23 @@
 Vectors become integers; a dimension is a term and its value in a vector the posting's weight. A shard is a batch of
 candidates with, for each dimension, the least and the largest value; from these follow bounds of what a query's term
 can add. As weights may be negative, a term counts by its surplus over its least possible addition in the shard. Terms
-are ordered by the span of their bounds. The widest are essential: their postings are traversed for all candidates of the
-shard. The others are non-essential: they are probed term group by term group, only for candidates whose score so far
-plus the bounds of what is left can still reach the query's k-th best score. That threshold carries over from shard to
-shard in a task. Each task returns its k best per query and a last step merges them.
-
-Queries go out in blocks of QUERY_BLOCK rows, each a closure of bounded size, and every block meets every shard; so
-neither queries nor candidates are ever held whole.
+are ordered by the span of their bounds. With the query's k-th best score so far as threshold, the non-essential terms
+are the longest tail of that order whose spans add up to less than the threshold asks for: a candidate without surplus
+in the essential terms cannot reach it. Essential postings are traversed for all candidates of the shard, the others are
+probed term group by term group, only for candidates whose score so far plus the bounds of what is left can still
+compete. The threshold rises from shard to shard, and the cut moves with it. Each task returns its k best per query and
+a last step merges them.
+
+Queries and candidates are both rows of one exchange: queries lie in blocks of about QUERY_BLOCK, candidates in parts of
+about PART, both by hash, and every pair of a block and a part is a group. A task holds one block of queries and one
+shard of candidates at a time. The plan does not depend on the number of queries, and nothing but two counts comes to
+the driver. What is shuffled are the candidates once for each block and the queries once for each part.
 
 Defined results: null vectors and those with null or non-finite components take part on neither side; a zero vector
 scores 0; ties go to the smaller id; a query with fewer than k other vectors gets them all; a repeated id is a candidate
-each time, and not for a query of the same id; vectors of other lengths than a query are not compared with it; an empty
-table gives an empty table.
+each time, and not for a query of the same id; of queries with equal ids the answers are merged into one; vectors of
+other lengths than a query are not compared with it; a score beyond 64 bits counts as the nearest 64-bit number; an
+empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -29,10 +34,10 @@ from pyspark.sql.window import Window
 
 from corpusloom.llm.common import Scratch, table
 
-QUERY_BLOCK, SHARD = 2048, 4096
-FIRST_SHARE = 0.5
+QUERY_BLOCK, PART, SHARD = 8192, 8192, 4096
 #: Integers below this keep every product and sum exact in double precision, which is what makes the products fast.
 EXACT = 2.0**53
+LARGEST = 2**63 - 1
 
 
 def to_integers(values: np.ndarray, scale: int) -> np.ndarray:
@@ -42,7 +47,9 @@ def to_integers(values: np.ndarray, scale: int) -> np.ndarray:
 def read_vectors(column: pa.Array) -> tuple[np.ndarray, list[np.ndarray]]:
     """The rows that hold a usable vector, and their values as doubles."""
     rows, out = [], []
-    values, offsets = column.values, np.asarray(column.offsets)
+    offsets = np.asarray(column.offsets)
+    values = column.values.slice(offsets[0], offsets[-1] - offsets[0])
+    offsets = offsets - offsets[0]
     flat = values.to_numpy(zero_copy_only=False).astype(np.float64) if len(values) else np.zeros(0)
     good = np.isfinite(flat)  # nulls became nan
     for i, valid in enumerate(column.is_valid().to_pylist()):
@@ -68,35 +75,41 @@ class ShardSearch:
         self.best[q] = sorted(pool)[: self.k]
 
     def add(self, ids: np.ndarray, vectors: np.ndarray) -> None:
+        """Candidates of a shard: those of moderate size by MaxScore, the others in whole numbers of any size."""
+        limit = np.sqrt(EXACT / (4 * vectors.shape[1]))
+        small = np.abs(vectors).max(axis=1) < limit
+        plain = np.abs(self.queries).max(axis=1) < limit
+        if small.any() and plain.any():
+            self._add_bounded(np.flatnonzero(plain), ids[small], vectors[small])
+        for some, queries in ((small, ~plain), (~small, np.ones(len(plain), bool))):
+            if some.any() and queries.any():
+                self._add_exactly(np.flatnonzero(queries), ids[some], vectors[some])
+
+    def _add_bounded(self, chosen: np.ndarray, ids: np.ndarray, vectors: np.ndarray) -> None:
         low, high = vectors.min(axis=0), vectors.max(axis=0)
         dims = vectors.shape[1]
-        biggest = np.maximum(np.abs(low), np.abs(high))
-        if float((np.abs(self.queries).max(axis=0) * biggest).sum()) >= EXACT:
-            self._add_exactly(ids, vectors)
-            return
-        least = np.minimum(self.queries * low, self.queries * high)
-        most = np.maximum(self.queries * low, self.queries * high)
-        order = np.argsort(least - most, axis=1, kind="stable")
-        for q in range(len(self.ids)):
-            query, own = self.queries[q], order[q]
-            left = np.concatenate([np.cumsum(most[q][own][::-1])[::-1], [0.0]])
-            floor = -self.best[q][-1][0] if len(self.best[q]) == self.k else -np.inf
-            cut = max(1, int(dims * FIRST_SHARE))
-            if np.isfinite(floor):
-                if left[0] < floor:
-                    continue
-                # terms are essential until what is left cannot lift a candidate with typical essential scores
-                span = np.cumsum((most[q] - least[q])[own])
-                cut = max(1, min(dims, int(np.searchsorted(span, FIRST_SHARE * span[-1])) + 1))
-            alive = np.arange(len(ids))[ids != self.ids[q]]
-            part = vectors[:, own[:cut]] @ query[own[:cut]]
-            part = part[alive]
+        for q in chosen:
+            query = self.queries[q]
+            a, b = query * low, query * high
+            least, most = np.minimum(a, b), np.maximum(a, b)
+            span = most - least
+            own = np.argsort(-span, kind="stable")
+            # what the terms from a place on can add at most, and the span of their bounds
+            left = np.r_[np.cumsum(most[own][::-1])[::-1], 0.0]
+            spans = np.r_[np.cumsum(span[own][::-1])[::-1], 0.0]
+            floor = float(-self.best[q][-1][0]) if len(self.best[q]) == self.k else -np.inf
+            if left[0] < floor:
+                continue
+            # essential: up to the place from which the spans no longer add up to what the threshold asks for
+            cut = dims if floor == -np.inf else max(1, int(np.searchsorted(-spans, -(floor - least.sum()), side="right")))
+            cut = min(cut, dims)
+            alive = np.flatnonzero(ids != self.ids[q])
+            part = (vectors[:, own[:cut]] @ query[own[:cut]])[alive]
             at = cut
-            while True:
-                if np.isfinite(floor):
+            while len(alive):
+                if floor > -np.inf:
                     keep = part + left[at] >= floor
-                    if not keep.all():
-                        alive, part = alive[keep], part[keep]
+                    alive, part = alive[keep], part[keep]
                 if at >= dims or not len(alive):
                     break
                 to = min(dims, at + max(4, dims // 8))
@@ -105,60 +118,82 @@ class ShardSearch:
             if len(alive):
                 self._keep(q, part, ids[alive])
 
-    def _add_exactly(self, ids: np.ndarray, vectors: np.ndarray) -> None:
-        """Values too large for exact doubles: whole numbers of any size, without bounds."""
+    def _add_exactly(self, chosen: np.ndarray, ids: np.ndarray, vectors: np.ndarray) -> None:
+        """Values whose products may leave the exact doubles."""
         rows = [[int(x) for x in v] for v in vectors]
-        for q, query in enumerate(self.queries):
-            whole = [int(x) for x in query]
-            pool = self.best[q] + [(-sum(a * b for a, b in zip(whole, v, strict=True)), int(i)) for i, v in zip(ids, rows, strict=True) if i != self.ids[q]]
+        for q in chosen:
+            whole = [int(x) for x in self.queries[q]]
+            scores = (max(-LARGEST - 1, min(LARGEST, sum(a * b for a, b in zip(whole, v, strict=True)))) for v in rows)
+            pool = self.best[q] + [(-s, int(i)) for i, s in zip(ids, scores, strict=True) if i != self.ids[q]]
             self.best[q] = sorted(pool)[: self.k]
 
 
 def maxscore_topk(candidates: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector: str = "embedding", k: int = 10, scale: int = 1024) -> DataFrame:
     """(query_id, rank, id, score) for each query's k best candidates."""
-    spark = candidates.sparkSession
-    scratch = Scratch(spark, "topk")
-    stored = scratch.put(queries.select(F.col(id_col).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).filter("v IS NOT NULL AND id IS NOT NULL"))
-    total = stored.count()
-    blocks = max(1, -(-total // QUERY_BLOCK))
-    rows = candidates.select(F.col(id_col).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).filter("id IS NOT NULL")
-    parts = []
-    for b in range(blocks):
-        # blocks by hash: about QUERY_BLOCK rows each
-        chosen = stored.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b).collect()
-        by_size: dict[int, tuple[list[int], list[np.ndarray]]] = {}
-        for r in chosen:
-            if r["v"] and all(x is not None and np.isfinite(x) for x in r["v"]):
-                ids, vs = by_size.setdefault(len(r["v"]), ([], []))
-                ids.append(r["id"])
-                vs.append(to_integers(np.array(r["v"]), scale))
-        if by_size:
-            parts.append(rows.mapInArrow(_searcher({n: (np.array(i), np.stack(v)) for n, (i, v) in by_size.items()}, k, scale), "query_id long, id long, score long"))
-    if not parts:
-        return spark.createDataFrame([], "query_id long, rank int, id long, score long")
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.union(p)
+    scratch = Scratch(candidates.sparkSession, "topk")
+    kind = "array<float>" if {df.schema[vector].dataType.simpleString() for df in (candidates, queries)} == {"array<float>"} else "array<double>"
+    rows = lambda df: df.select(F.col(id_col).cast("long").alias("id"), F.col(vector).cast(kind).alias("v")).filter("v IS NOT NULL AND id IS NOT NULL")
+    asked, given = scratch.put(rows(queries)), rows(candidates)
+    blocks, parts = (max(1, -(-df.count() // size)) for df, size in ((asked, QUERY_BLOCK), (given, PART)))
+    number = lambda n: F.pmod(F.xxhash64("id", F.lit(n)), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    dealt = asked.select(number(blocks).alias("block"), every(parts).alias("part"), F.lit(True).alias("is_query"), "id", "v").unionByName(
+        given.select(every(blocks).alias("block"), number(parts).alias("part"), F.lit(False).alias("is_query"), "id", "v")
+    )
+    dealt = dealt.repartition("block", "part").sortWithinPartitions("block", "part", F.desc("is_query"), "id")
+    found = dealt.mapInArrow(_searcher(k, scale), "query_id long, id long, score long")
     ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id")))
     return ranked.filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "id", "score")
 
 
-def _searcher(by_size: dict[int, tuple[np.ndarray, np.ndarray]], k: int, scale: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        searches = {n: ShardSearch(ids, queries, k) for n, (ids, queries) in by_size.items()}
-        for batch in batches:
-            at_rows, kept = read_vectors(batch.column(1))
-            ids = batch.column(0).to_numpy(zero_copy_only=False)[at_rows].astype(np.int64)
-            sizes = np.array([len(v) for v in kept])
-            for n, search in searches.items():
+def _searcher(k: int, scale: int):
+    """Groups of a block's queries and a part's candidates, queries first, in; the best k of each query out."""
+
+    class Group:
+        def __init__(self) -> None:
+            self.asked: dict[int, dict[int, np.ndarray]] = {}
+            self.searches: dict[int, ShardSearch] | None = None
+
+        def ask(self, ids: np.ndarray, vectors: list[np.ndarray]) -> None:
+            for i, v in zip(ids, vectors, strict=True):
+                self.asked.setdefault(len(v), {}).setdefault((int(i), v.tobytes()), v)
+
+        def give(self, ids: np.ndarray, vectors: list[np.ndarray]) -> None:
+            if self.searches is None:
+                self.searches = {n: ShardSearch(np.array([key[0] for key in own]), to_integers(np.stack(list(own.values())), scale), k) for n, own in self.asked.items()}
+            sizes = np.array([len(v) for v in vectors])
+            for n, search in self.searches.items():
                 own = np.flatnonzero(sizes == n)
                 for at in range(0, len(own), SHARD):
                     some = own[at : at + SHARD]
-                    search.add(ids[some], to_integers(np.stack([kept[j] for j in some]), scale))
-        for search in searches.values():
-            rows = [(int(q), i, -s) for q, best in zip(search.ids, search.best, strict=True) for s, i in best]
-            cols = list(zip(*rows, strict=True)) or [(), (), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in cols], names=["query_id", "id", "score"])
+                    search.add(ids[some], to_integers(np.stack([vectors[j] for j in some]), scale))
+
+        def best(self) -> Iterator[pa.RecordBatch]:
+            for search in (self.searches or {}).values():
+                of_id: dict[int, list[tuple[int, int]]] = {}
+                for q, best in zip(search.ids, search.best, strict=True):
+                    of_id.setdefault(int(q), []).extend(best)
+                rows = [(q, i, -s) for q, best in of_id.items() for s, i in best]
+                cols = list(zip(*rows, strict=True)) or [(), (), ()]
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in cols], names=["query_id", "id", "score"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, group = None, Group()
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            block, part = (batch.column(c).to_numpy() for c in (0, 1))
+            is_query = batch.column(2).to_numpy(zero_copy_only=False)
+            edges = np.flatnonzero(np.r_[True, (block[1:] != block[:-1]) | (part[1:] != part[:-1]) | (is_query[1:] != is_query[:-1]), True])
+            for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+                if key != (block[lo], part[lo]):
+                    yield from group.best()
+                    key, group = (block[lo], part[lo]), Group()
+                own = batch.slice(lo, hi - lo)
+                at, vectors = read_vectors(own.column(4))
+                ids = own.column(3).to_numpy()[at]
+                (group.ask if is_query[lo] else group.give)(ids, vectors)
+        yield from group.best()
 
     return run
 
