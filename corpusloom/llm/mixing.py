@@ -9,9 +9,10 @@ seed, id and copy number and sorted by it: a global shuffle that no source can s
 Only the count per source is gathered from the corpus. The table of rates is written to the shared folder, so the
 planner knows its size and broadcasts it while small; a larger one is joined by sort-merge with AQE's skew splitting.
 
-Defined results: a null source is a source of its own; a null id hashes as the word null; repeated ids get equal
-numbers of copies; an empty table gives an empty table; a source without weight, or with a weight of zero or less, gets
-no copies; columns named like the added ones are replaced.
+Defined results: a null source is a source of its own; a row without id draws by a hash of its content (columns that hold
+maps left out); repeated ids get equal numbers of copies, and so do equal rows without id; an empty table gives an empty
+table; a source without weight, or with a weight of zero or less, gets no copies; columns named like the added ones are
+replaced. Copies are dealt by key and content, so rows of one id meet in a task only where they are equal.
 """
 
 from __future__ import annotations
@@ -38,6 +39,10 @@ def uniform(*parts) -> F.Column:
     return F.conv(F.substring(_hash(*parts), 1, 13), 16, 10).cast("double") / F.lit(float(2**52))
 
 
+def _holds_map(kind: T.DataType) -> bool:
+    return "map<" in kind.simpleString() or "variant" in kind.simpleString()
+
+
 def rates(docs: DataFrame, weights: dict[str, float] | None, total: float | None, alpha: float, source: str) -> DataFrame:
     """Per source: documents, rate, parts, and the cumulative distribution of a part."""
     spark = docs.sparkSession
@@ -74,20 +79,21 @@ def mix_sources(
     """Replicates and shuffles docs; adds rate (double), copy (int, from 1), n_copies (int) and shuffle_key (string).
 
     weights: target weight of each source; None: documents to the power alpha. total: expected rows out; None: as many as come in."""
-    docs = without(docs, "rate", "copy", "n_copies", "shuffle_key", "mix_source", "mix_rate", "mix_parts", "mix_cdf")
+    docs = without(docs, "rate", "copy", "n_copies", "shuffle_key", "mix_source", "mix_rate", "mix_parts", "mix_cdf", "mix_row")
     per_source = Scratch(docs.sparkSession, "mix-rates").put(rates(docs, weights, total, alpha, source_col))
-    joined = docs.join(per_source, docs[source_col].eqNullSafe(per_source["mix_source"]))
-    ident = F.col(id_col)
-    drawn = F.aggregate(
-        F.sequence(F.lit(1), F.col("mix_parts")),
-        F.lit(0),
-        lambda acc, part: acc + F.size(F.filter("mix_cdf", lambda c: c <= uniform(F.lit(seed), ident, part))),
-    )
+    hashable = [f"`{f.name}`" for f in docs.schema.fields if not _holds_map(f.dataType)]
+    marked = docs.withColumn("mix_row", F.xxhash64(*hashable)) if hashable else docs.withColumn("mix_row", F.lit(0))
+    ident = F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("row "), F.col("mix_row").cast("string")))
+    joined = marked.join(per_source, marked[source_col].eqNullSafe(per_source["mix_source"]))
+    # one uniform value for each part, drawn once and held as an array element while the distribution is walked
+    draws = F.transform(F.sequence(F.lit(1), F.col("mix_parts")), lambda part: uniform(F.lit(seed), ident, part))
+    drawn = F.aggregate(draws, F.lit(0), lambda acc, u: acc + F.size(F.filter("mix_cdf", lambda c: c <= u)))
     counted = joined.withColumn("n_copies", drawn).filter("n_copies > 0")
     copies = counted.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n_copies"))))
     keyed = copies.withColumn("shuffle_key", _hash(F.lit(seed), F.lit("order"), ident, F.col("copy"))).withColumnRenamed("mix_rate", "rate")
-    dealt = keyed.drop("mix_source", "mix_parts", "mix_cdf").repartition("shuffle_key")
-    return dealt.sortWithinPartitions("shuffle_key", id_col, "copy")
+    # rows of one id that differ go their own ways
+    dealt = keyed.drop("mix_source", "mix_parts", "mix_cdf").repartition("shuffle_key", "mix_row")
+    return dealt.sortWithinPartitions("shuffle_key", id_col, "copy").drop("mix_row")
 
 
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
