@@ -4,11 +4,18 @@ A response record carries an id, a target, a date, its own headers and the HTTP
 a metadata record (JSON: HTTP status and headers, title, links, the source record's headers and digests) and a
 conversion record (the page's text). Both refer to the response by WARC-Refers-To and keep its target and date; both
 have ids that follow from the response's id, so a repeated task writes the same records. Digests are sha1 in base 32, as
-WARC files write them.
+WARC files write them. Headers are lists of names and values in their order, so repeated ones stay.
+
+A page is read by one scanner that goes forward only: from each "<" to the next ">", past comments and past the content
+of scripts and the like. Its time grows with the page, whatever stands in it.
 
 Defined results: a null or empty payload gives a metadata record without title and links, and an empty conversion; a
 null url gives a record without WARC-Target-URI; very large payloads are handled whole, one at a time; repeated
-responses give repeated derivatives; an empty table gives an empty table; other columns are not carried over.
+responses give repeated derivatives; an empty table gives an empty table; other columns are not carried over. Chunked
+and compressed payloads (gzip, deflate) are unpacked for text and links, as far as they can be; digests are those of the
+payload as it came. Text is decoded by the charset of the Content-Type header, else of the page's first kilobyte, else
+as UTF-8; unknown charsets count as UTF-8. In files, records with a damaged length are skipped up to the next record,
+and a damaged gzip file gives the records before the damage. A file is one cell of binaryFile, so at most 2 GB.
 """
 
 from __future__ import annotations
@@ -21,6 +28,7 @@ import io
 import json
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
 from urllib.parse import urljoin
 
@@ -30,23 +38,28 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm.common import table
 
-RESPONSES = "record_id string, target_uri string, warc_date string, headers map<string,string>, http_status int, http_headers map<string,string>, payload binary"
+HEADERS = "array<struct<name:string,value:string>>"
+RESPONSES = f"record_id string, target_uri string, warc_date string, headers {HEADERS}, http_status int, http_headers {HEADERS}, payload binary"
 DERIVED = (
     "record_id string, warc_type string, refers_to string, target_uri string, warc_date string, content_type string, "
-    "source_headers map<string,string>, source_payload_digest string, block_digest string, content_length long, n_links int, title string, block binary"
+    f"source_headers {HEADERS}, source_payload_digest string, block_digest string, content_length long, n_links int, title string, block binary"
 )
 FIELDS = [x.strip().split(" ")[0] for x in DERIVED.split(", ")]
+#: A payload that unpacks to more is taken as it came.
+MOST_UNPACKED = 1 << 30
 NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
 
-DROPPED = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template)\b[^>]*>.*?(?:</\1\s*>|\Z)", re.S | re.I)
-COMMENT = re.compile(r"<!--.*?(?:-->|\Z)", re.S)
-TITLE = re.compile(r"<title\b[^>]*>(.*?)</title\s*>", re.S | re.I)
-LINK = re.compile(r"""<(a|link|img|script|iframe|form)\b[^>]*?\s(href|src|action)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
-BREAK = re.compile(
-    r"</?(?:p|div|br|li|ul|ol|h[1-6]|tr|table|article|section|header|footer|nav|title|body|head|html|blockquote|pre|dl|dt|dd|form|aside|main|hr|option|figure)\b[^>]*>", re.I
+#: Elements whose content is no text, that begin a line, and that link.
+SILENT = {"script", "style", "noscript", "template"}
+BREAKING = set(
+    "p div br li ul ol h1 h2 h3 h4 h5 h6 tr table article section header footer nav title body head html blockquote pre dl dt dd form aside main hr option figure".split()
 )
-TAG = re.compile(r"</?[A-Za-z!?][^>]*>")
-BLANKS, LINES = re.compile(r"[ \t\r\f\v ]+"), re.compile(r" ?\n[ \n]*")
+LINKING = {"a", "link", "img", "script", "iframe", "form"}
+NAME = re.compile(r"[A-Za-z][A-Za-z0-9]*")
+TARGET = re.compile(r"""\s(href|src|action)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
+CLOSING = {name: re.compile(rf"</{name}\s*>", re.I) for name in (*sorted(SILENT), "title")}
+CHARSET = re.compile(r"""charset\s*=\s*["']?([A-Za-z0-9._:-]+)""", re.I)
+BLANKS, LINES = re.compile(r"[ \t\r\f\v ]+"), re.compile(r" ?\n[ \n]*")
 
 
 def digest(data: bytes) -> str:
@@ -57,42 +70,144 @@ def derived_id(record_id: str | None, kind: str) -> str:
     return f"<urn:uuid:{uuid.uuid5(NAMESPACE, f'{record_id}|{kind}')}>"
 
 
-def plain_text(page: str) -> str:
-    """The text of a page: no scripts, styles, comments or tags; blocks on lines of their own; entities resolved."""
-    s = DROPPED.sub(" ", page)
-    s = TAG.sub("", BREAK.sub("\n", s.replace("\n", " ")))
+def scan(page: str) -> tuple[str, str | None, list[tuple[str, str, str]]]:
+    """The text of a page with a line break for each block element, its raw title, and (element, attribute, value) of links."""
+    text, title, links = [], None, []
+    at, titled, kept = 0, False, 0
+
+    def keep(upto: int, mark: str) -> None:
+        text.append(page[kept:upto].replace("\n", " "))
+        text.append(mark)
+
+    while (i := page.find("<", at)) >= 0:
+        follows = page[i + 1 : i + 2]
+        if page.startswith("<!--", i):
+            end = page.find("-->", i + 4)
+            keep(i, " ")
+            at = kept = len(page) if end < 0 else end + 3
+            continue
+        closing = follows == "/"
+        name = NAME.match(page, i + 1 + closing)
+        if not name and follows not in ("!", "?"):
+            at = i + 1
+            continue
+        end = page.find(">", i + 1)
+        if end < 0:
+            break
+        tag = name[0].lower() if name else ""
+        if not closing and tag in LINKING and (found := TARGET.search(page, name.end(), end)):
+            links.append((tag, found[1].lower(), found[2]))
+        at = end + 1
+        if not closing and tag == "title" and not titled:
+            titled = True
+            if close := CLOSING["title"].search(page, at):
+                title = page[at : close.start()]
+        if not closing and tag in SILENT:
+            close = CLOSING[tag].search(page, at)
+            at = close.end() if close else len(page)
+            keep(i, " ")
+        else:
+            keep(i, "\n" if tag in BREAKING else "")
+        kept = at
+    keep(len(page), "")
+    return "".join(text), title, links
+
+
+def tidy(s: str) -> str:
+    """Entities resolved, blanks and line breaks in runs of one."""
     if "&" in s:
         s = html_lib.unescape(s)
     return LINES.sub("\n", BLANKS.sub(" ", s)).strip()
 
 
-def page_links(page: str, base: str | None) -> list[dict[str, str]]:
+def page_links(found: list[tuple[str, str, str]], base: str | None) -> list[dict[str, str]]:
     out = []
-    for tag, name, value in LINK.findall(page):
+    for tag, name, value in found:
         url = html_lib.unescape(value.strip("\"'")).strip()
         try:
             url = urljoin(base, url) if base else url
         except ValueError:
             pass
-        out.append({"path": f"{tag.upper()}@/{name.lower()}", "url": url})
+        out.append({"path": f"{tag.upper()}@/{name}", "url": url})
     return out
 
 
+Pairs = list[tuple[str, str]]
+
+
+def pairs_of(headers) -> Pairs:
+    """A column of headers as a list of pairs."""
+    return [(h["name"], h["value"]) if isinstance(h, dict) else tuple(h) for h in headers or ()]
+
+
+def value_of(headers: Pairs, name: str) -> str:
+    return next((v or "" for k, v in headers if (k or "").lower() == name.lower()), "")
+
+
+def as_json(headers: Pairs) -> dict:
+    """Names to values; a name that repeats has the list of them."""
+    out: dict = {}
+    for k, v in headers:
+        out.setdefault(k, []).append(v)
+    return {k: v[0] if len(v) == 1 else v for k, v in out.items()}
+
+
+def unchunked(data: bytes) -> bytes:
+    """A body in chunks as one; raises ValueError where it is none."""
+    out, at = [], 0
+    while True:
+        end = data.index(b"\r\n", at)
+        size = int(data[at:end].split(b";")[0], 16)
+        if size == 0:
+            return b"".join(out)
+        if size < 0 or end + 2 + size > len(data):
+            raise ValueError("a chunk beyond the end")
+        out.append(data[end + 2 : end + 2 + size])
+        at = end + 4 + size
+
+
+def unpacked(payload: bytes, http: Pairs) -> bytes:
+    """The payload without transfer and content encodings, as far as they can be undone."""
+    try:
+        if "chunked" in value_of(http, "Transfer-Encoding").lower():
+            payload = unchunked(payload)
+    except ValueError:
+        pass  # some archives store the body without its chunks
+    coding = value_of(http, "Content-Encoding").lower().strip()
+    for bits in {"gzip": (31,), "x-gzip": (31,), "deflate": (15, -15)}.get(coding, ()):
+        try:
+            unpack = zlib.decompressobj(bits)
+            out = unpack.decompress(payload, MOST_UNPACKED)
+            if not unpack.unconsumed_tail:
+                return out
+        except zlib.error:
+            continue
+    return payload
+
+
+def decoded(data: bytes, http: Pairs) -> str:
+    found = CHARSET.search(value_of(http, "Content-Type")) or CHARSET.search(data[:1024].decode("latin-1"))
+    try:
+        return data.decode(found[1] if found else "utf-8", errors="replace")
+    except (LookupError, UnicodeError, ValueError):
+        return data.decode("utf-8", errors="replace")
+
+
 def derivatives(r: dict) -> list[dict]:
     """The metadata and the conversion record of one response."""
-    payload = r["payload"] or b""
-    page = payload.decode("utf-8", errors="replace")
-    found = TITLE.search(page)
-    title = BLANKS.sub(" ", html_lib.unescape(found[1]).replace("\n", " ")).strip() if found else None
-    links = page_links(COMMENT.sub("", page), r["target_uri"])
+    payload = bytes(r["payload"] or b"")
+    headers, http = pairs_of(r["headers"]), pairs_of(r["http_headers"])
+    text, title, found = scan(decoded(unpacked(payload, http), http))
+    title = None if title is None else BLANKS.sub(" ", html_lib.unescape(title).replace("\n", " ")).strip()
+    links = page_links(found, r["target_uri"])
     of_source = digest(payload)
     envelope = {
         "Envelope": {
-            "WARC-Header-Metadata": dict(r["headers"] or {}),
+            "WARC-Header-Metadata": as_json(headers),
             "Payload-Metadata": {
                 "HTTP-Response-Metadata": {
                     "Response-Message": {"Status": r["http_status"]},
-                    "Headers": dict(r["http_headers"] or {}),
+                    "Headers": as_json(http),
                     "Entity-Length": len(payload),
                     "Entity-Digest": of_source,
                     "HTML-Metadata": {"Head": {"Title": title}, "Links": links},
@@ -100,7 +215,8 @@ def derivatives(r: dict) -> list[dict]:
             },
         }
     }
-    blocks = [("metadata", "application/json", json.dumps(envelope, ensure_ascii=False, sort_keys=True).encode()), ("conversion", "text/plain", plain_text(page).encode())]
+    as_stored = json.dumps(envelope, ensure_ascii=False, sort_keys=True).encode(errors="replace")
+    blocks = [("metadata", "application/json", as_stored), ("conversion", "text/plain", tidy(text).encode(errors="replace"))]
     return [
         {
             "record_id": derived_id(r["record_id"], kind),
@@ -109,7 +225,7 @@ def derivatives(r: dict) -> list[dict]:
             "target_uri": r["target_uri"],
             "warc_date": r["warc_date"],
             "content_type": content,
-            "source_headers": list((r["headers"] or {}).items()),
+            "source_headers": [{"name": k, "value": v} for k, v in headers],
             "source_payload_digest": of_source,
             "block_digest": digest(block),
             "content_length": len(block),
@@ -121,9 +237,9 @@ def derivatives(r: dict) -> list[dict]:
     ]
 
 
-MAP = pa.map_(pa.string(), pa.string())
+LIST = pa.list_(pa.struct([("name", pa.string()), ("value", pa.string())]))
 ARROW = pa.schema(
-    [(f, MAP if f == "source_headers" else pa.int64() if f == "content_length" else pa.int32() if f == "n_links" else pa.binary() if f == "block" else pa.string()) for f in FIELDS]
+    [(f, LIST if f == "source_headers" else pa.int64() if f == "content_length" else pa.int32() if f == "n_links" else pa.binary() if f == "block" else pa.string()) for f in FIELDS]
 )
 
 
@@ -135,7 +251,6 @@ def build_derivatives(responses: DataFrame) -> DataFrame:
             rows, size = [], 0
             for i in range(batch.num_rows):
                 r = {n: batch.column(k)[i].as_py() for k, n in enumerate(batch.schema.names)}
-                r["headers"], r["http_headers"] = dict(r["headers"] or ()), dict(r["http_headers"] or ())
                 made = derivatives(r)
                 rows += made
                 size += sum(x["content_length"] for x in made)
@@ -148,39 +263,54 @@ def build_derivatives(responses: DataFrame) -> DataFrame:
     return responses.select(*names).mapInArrow(run, DERIVED)
 
 
-def parse_http(message: bytes) -> tuple[int | None, dict[str, str], bytes]:
+def parse_http(message: bytes) -> tuple[int | None, Pairs, bytes]:
     head, _, body = message.partition(b"\r\n\r\n")
     lines = head.decode("latin-1").split("\r\n")
     status = re.match(r"HTTP/\S+ (\d{3})", lines[0])
-    headers = dict((k.strip(), v.strip()) for k, _, v in (x.partition(":") for x in lines[1:]) if k.strip())
+    headers = [(k.strip(), v.strip()) for k, _, v in (x.partition(":") for x in lines[1:]) if k.strip()]
     return (int(status[1]) if status else None), headers, body
 
 
-def read_records(stream) -> Iterator[tuple[dict[str, str], bytes]]:
+def read_records(stream) -> Iterator[tuple[Pairs, bytes]]:
     """Headers and block of each record of a WARC stream, one at a time; the stream may be several gzip members."""
-    while line := stream.readline():
-        if not line.startswith(b"WARC/"):
-            continue
-        headers = {}
-        while (line := stream.readline()) not in (b"\r\n", b"\n", b""):
-            k, _, v = line.decode("utf-8", errors="replace").partition(":")
-            headers[k.strip()] = v.strip()
-        yield headers, stream.read(int(headers.get("Content-Length", 0)))
+    try:
+        line = stream.readline()
+        while line:
+            if not line.startswith(b"WARC/"):
+                line = stream.readline()
+                continue
+            headers: Pairs = []
+            while (line := stream.readline()) not in (b"\r\n", b"\n", b""):
+                k, _, v = line.decode("utf-8", errors="replace").partition(":")
+                headers.append((k.strip(), v.strip()))
+            size = value_of(headers, "Content-Length") or "0"
+            line = b""
+            if size.isdecimal():
+                block = stream.read(int(size))
+                if len(block) == int(size):
+                    yield headers, block
+            line = stream.readline()
+    except (EOFError, OSError, zlib.error):
+        return  # the rest of a damaged gzip file
 
 
 def parse_warc(files: DataFrame) -> DataFrame:
     """Responses of WARC files read as binaryFile (column content), gzipped or not, in the columns of RESPONSES."""
+    schema = pa.schema([("record_id", pa.string()), ("target_uri", pa.string()), ("warc_date", pa.string()), ("headers", LIST), ("http_status", pa.int32()), ("http_headers", LIST), ("payload", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("record_id", pa.string()), ("target_uri", pa.string()), ("warc_date", pa.string()), ("headers", MAP), ("http_status", pa.int32()), ("http_headers", MAP), ("payload", pa.binary())])
         for batch in batches:
             for value in batch.column(0):
-                data = value.as_py() or b""
-                raw = io.BytesIO(data)
-                for headers, block in read_records(gzip.open(raw) if data[:2] == b"\x1f\x8b" else raw):
-                    if headers.get("WARC-Type") == "response":
+                if not value.is_valid:
+                    continue
+                raw = io.BytesIO(value.as_py())
+                zipped = raw.read(2) == b"\x1f\x8b"
+                raw.seek(0)
+                for headers, block in read_records(gzip.open(raw) if zipped else raw):
+                    if value_of(headers, "WARC-Type") == "response":
                         status, http, body = parse_http(block)
-                        row = {"record_id": headers.get("WARC-Record-ID"), "target_uri": headers.get("WARC-Target-URI"), "warc_date": headers.get("WARC-Date"), "headers": list(headers.items()), "http_status": status, "http_headers": list(http.items()), "payload": body}
+                        named = [[{"name": k, "value": v} for k, v in pairs] for pairs in (headers, http)]
+                        row = {"record_id": value_of(headers, "WARC-Record-ID") or None, "target_uri": value_of(headers, "WARC-Target-URI") or None, "warc_date": value_of(headers, "WARC-Date") or None, "headers": named[0], "http_status": status, "http_headers": named[1], "payload": body}
                         yield pa.RecordBatch.from_pylist([row], schema=schema)
 
     return files.select("content").mapInArrow(run, RESPONSES)
@@ -225,11 +355,12 @@ def responses_of_pages(pages: DataFrame) -> DataFrame:
     payload = F.col("html").cast("binary")
     date = F.lit("2024-01-01T00:00:00Z")
     size = F.coalesce(F.octet_length("html"), F.lit(0)).cast("string")
-    headers = F.create_map(
-        F.lit("WARC-Type"), F.lit("response"), F.lit("WARC-Record-ID"), rid, F.lit("WARC-Date"), date,
-        F.lit("WARC-Target-URI"), F.coalesce("url", F.lit("")), F.lit("Content-Length"), size,
+    pair = lambda name, value: F.struct(F.lit(name).alias("name"), value.alias("value"))
+    headers = F.array(
+        pair("WARC-Type", F.lit("response")), pair("WARC-Record-ID", rid), pair("WARC-Date", date),
+        pair("WARC-Target-URI", F.coalesce("url", F.lit(""))), pair("Content-Length", size),
     )
-    http = F.create_map(F.lit("Content-Type"), F.lit("text/html; charset=utf-8"), F.lit("Content-Length"), size)
+    http = F.array(pair("Content-Type", F.lit("text/html; charset=utf-8")), pair("Content-Length", size))
     return pages.select(
         rid.alias("record_id"), F.col("url").alias("target_uri"), date.alias("warc_date"), headers.alias("headers"),
         F.lit(200).alias("http_status"), http.alias("http_headers"), payload.alias("payload"),
