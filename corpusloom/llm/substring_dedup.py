@@ -4,19 +4,21 @@ Seeds are winnowed anchors: in each window of words the ANCHOR-word gram of leas
 choice depends on the window's words alone, so equal windows have equal anchors at equal offsets, and windows whose
 anchor occurs once in the corpus are unique without a look. Anchors are about an eighth as many as windows.
 
-1. Anchors of all texts meet by hash; those that occur once are dropped.
+1. Anchors of all texts are counted by hash; those that occur once are dropped by a join with the counts of the others.
 2. Texts with repeated anchors extend them: each occurrence owns the windows whose anchor it is, which reach up to
-   WINDOW - ANCHOR words to either side. These windows' hashes travel with the occurrence.
-3. Occurrences of an anchor, in order of document and position, are compared: a window whose hash came earlier repeats.
+   WINDOW - ANCHOR words to either side. Within a slice of texts, windows that occur earlier in the slice repeat; only the
+   hashes of the others travel, so a line that stands in every text sends one row per slice. The windows of an anchor
+   that occurs often go to several groups, dealt by window hash.
+3. Occurrences in a group, in order of document and position, are compared: a window whose hash came earlier repeats.
 4. Back in its document, overlapping repeated windows merge to maximal repeats, and their words go.
 
-Groups stream through step 3 in sorted order, so a frequent anchor costs its distinct windows' hashes, not its rows. Both
-joins with the texts share one exchange by id.
+Both joins with the texts share one exchange. Anchors and counts go to the shared folder and are dropped once used.
 
 Defined results: a null text has no words; texts with fewer than WINDOW words lose nothing; rows with a null id neither
-lose words nor count for others; rows of equal id count as one document, so equal rows keep the same words; an empty
-table gives an empty table; columns named like the added ones are replaced. Hashes have 64 bits: two different windows
-that agree in anchor and window hash would be taken as equal.
+lose words nor count for others; rows of equal id and equal text count as one document, so they keep the same words; rows
+of equal id and other texts are documents of their own, in the order of a text hash; an empty table gives an empty table;
+columns named like the added ones are replaced. Hashes have 64 bits: two different windows that agree in window hash
+would be taken as equal.
 """
 
 from __future__ import annotations
@@ -29,12 +31,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
-from corpusloom.llm.common import table, without
-from corpusloom.llm.textgrams import Words, ngrams, slices, words_of
+from corpusloom.llm.common import Scratch, table, without
+from corpusloom.llm.textgrams import Words, mix, ngrams, slices, words_of
 
 WINDOW, ANCHOR = 20, 6
+#: Occurrences of an anchor for each of the groups that its windows are dealt to.
+HOT_ROWS = 1000
 
 
 def canonical_anchors(words: Words, window: int, anchor: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -73,7 +76,7 @@ def _emit_anchors(window: int, anchor: int):
             at = np.unique(at)
             doc = _documents(words)[at]
             ids = batch.column(0).to_numpy(zero_copy_only=False)
-            yield pa.RecordBatch.from_arrays([pa.array(grams[at].view(np.int64)), pa.array(ids[doc], pa.int64()), pa.array((at - words.first[doc]).astype(np.int32))], names=["h", "id", "pos"])
+            yield pa.RecordBatch.from_arrays([pa.array(grams[at].view(np.int64)), pa.array(ids[doc], pa.int64()), pa.array((at - words.first[doc]).astype(np.int32))], names=["h", "doc", "pos"])
 
     return run
 
@@ -82,68 +85,102 @@ def _lists(offsets: np.ndarray, values: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values))
 
 
+def _later_than_first(hashes: np.ndarray, order: tuple[np.ndarray, ...]) -> np.ndarray:
+    """For each window whether an equal one comes earlier; order: the keys of a place, the most significant first."""
+    rank = np.lexsort((*reversed(order), hashes))
+    h = hashes[rank]
+    starts = np.r_[True, h[1:] != h[:-1]] if len(h) else np.zeros(0, bool)
+    head = rank[np.flatnonzero(starts)[np.cumsum(starts) - 1]]  # the first place of each equal window
+    later = np.zeros(len(hashes), bool)
+    for key in order:
+        later[rank] |= key[rank] != key[head]
+    return later
+
+
 def _emit_windows(window: int, anchor: int):
-    """Texts with the positions of their repeated anchors in; each such anchor with its windows' hashes out."""
+    """Texts with their repeated anchors (pos, groups) in; out, for each anchor and group, the windows that no earlier text of
+    the slice has (fresh: their bits, windows: their hashes) and the bits of those that one has (mask)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (part for whole in batches for part in slices(whole.filter(whole.column(2).is_valid()), 1)):
+        for batch in (part for whole in batches for part in slices(whole.filter(whole.column(3).is_valid()), 2)):
             if not batch.num_rows:
                 continue
-            words, spots = words_of(batch.column(1)), batch.column(2)
+            words, spots = words_of(batch.column(2)), batch.column(3)
             starts, at, grams = canonical_anchors(words, window, anchor)
             if not len(starts):
                 continue
-            wanted = np.zeros(len(words.hashes) + 1, bool)
+            groups = np.zeros(len(words.hashes) + 1, np.int64)
             per_doc = np.diff(np.asarray(spots.offsets))
-            places = spots.flatten().to_numpy() + np.repeat(words.first[:-1], per_doc)
-            wanted[places] = True
-            keep = wanted[at]
+            pairs = spots.flatten()
+            groups[pairs.field("pos").to_numpy() + np.repeat(words.first[:-1], per_doc)] = pairs.field("groups").to_numpy()
+            keep = groups[at] > 0
             starts, at = starts[keep], at[keep]
             if not len(starts):
                 continue
-            hashes = ngrams(words.hashes, window)[starts].view(np.int64)
-            new = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
-            doc = _documents(words)[at[new]]
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            hashes = ngrams(words.hashes, window)[starts]
+            doc = _documents(words)[at]
+            ids, docs = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+            begin = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
+            first = np.repeat(starts[begin], np.diff(np.r_[begin, len(at)]))  # the first window of the same anchor
+            later = _later_than_first(hashes, (ids[doc], docs[doc], starts - words.first[doc]))
+            # what repeats in the slice needs no group, and is dealt by its place
+            spread = grams[at] + (hashes % groups[at].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+            key = np.where(later, mix(docs[doc].view(np.uint64) + at.astype(np.uint64)), spread)
+            order = np.lexsort((starts, key, at))
+            key, at, later = key[order], at[order], later[order]
+            new = np.flatnonzero(np.r_[True, (at[1:] != at[:-1]) | (key[1:] != key[:-1]) | (later[1:] != later[:-1])])
+            bit = np.int64(1) << (starts[order] - first[order])
+            fresh, mask = (np.bitwise_or.reduceat(np.where(x, bit, 0), new) for x in (~later, later))
+            sent = np.r_[0, np.cumsum(np.add.reduceat((~later).astype(np.int64), new))]
+            row = order[new]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(grams[at[new]].view(np.int64)), pa.array(ids[doc], pa.int64()), pa.array((starts[new] - words.first[doc]).astype(np.int32)), _lists(np.r_[new, len(at)], hashes)],
-                names=["h", "id", "start", "windows"],
-            )
+                [
+                    pa.array(key[new].view(np.int64)), pa.array(ids[doc[row]], pa.int64()), pa.array(docs[doc[row]], pa.int64()),
+                    pa.array((first[row] - words.first[doc[row]]).astype(np.int32)), pa.array(fresh), _lists(sent, hashes[order][~later].view(np.int64)), pa.array(mask),
+                ],
+                names=["g", "id", "doc", "start", "fresh", "windows", "mask"],
+            )
 
     return run
 
 
-def _mark_later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Occurrences sorted by anchor, id and start in; those with repeated windows out, one bit for each window."""
-    held, seen, row = None, np.zeros(0, np.int64), None
-    for batch in batches:
-        h, ids, start = (batch.column(k).to_numpy() for k in range(3))
-        windows = batch.column(3)
-        if not len(h):
-            continue
-        # rows repeated because an id repeats count once
-        same = np.r_[row == (h[0], ids[0], start[0]), (h[1:] == h[:-1]) & (ids[1:] == ids[:-1]) & (start[1:] == start[:-1])]
-        row = (h[-1], ids[-1], start[-1])
-        sizes = np.diff(np.asarray(windows.offsets))
-        flat = windows.flatten().to_numpy()
-        owner = np.repeat(np.arange(len(h)), sizes)
-        bit = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        use = ~same[owner]
-        flat, owner, bit = flat[use], owner[use], bit[use]
-        first = np.zeros(len(flat), bool)
-        first[np.unique(flat, return_index=True)[1]] = True
-        if held is not None and h[0] == held:
-            first &= ~(np.isin(flat, seen) & (h[owner] == held))
-        tail = h[owner] == h[-1]
-        fresh = flat[tail & first]
-        seen = np.concatenate([seen, fresh]) if held == h[-1] else fresh
-        held = h[-1]
-        later = ~first
-        if later.any():
-            mask = np.zeros(len(h), np.int64)
-            np.bitwise_or.at(mask, owner[later], np.int64(1) << bit[later])
+def _bits(masks: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row and place of each bit that is set, row by row."""
+    return np.nonzero((masks[:, None] >> np.arange(min(window, 63))) & 1)
+
+
+def _mark_later(window: int):
+    """Occurrences sorted by group, id, document and start in; those with repeated windows out, one bit for each window."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, seen, row = None, np.zeros(0, np.int64), None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            g, ids, docs, start, fresh = (batch.column(k).to_numpy() for k in range(5))
+            mask = batch.column(6).to_numpy().copy()
+            # equal rows of the table count once
+            keys = (g, docs, start)
+            same = np.r_[row == tuple(int(k[0]) for k in keys), np.logical_and.reduce([k[1:] == k[:-1] for k in keys])]
+            row = tuple(int(k[-1]) for k in keys)
+            flat = batch.column(5).flatten().to_numpy()
+            owner, bit = _bits(fresh, window)
+            use = ~same[owner]
+            flat, owner, bit = flat[use], owner[use], bit[use]
+            first = np.zeros(len(flat), bool)
+            # equal windows are in one group, so groups need no telling apart
+            first[np.unique(flat, return_index=True)[1]] = True
+            if held is not None and g[0] == held:
+                first &= ~(np.isin(flat, seen) & (g[owner] == held))
+            found = flat[(g[owner] == g[-1]) & first]
+            seen = np.concatenate([seen, found]) if held == g[-1] else found
+            held = g[-1]
+            np.bitwise_or.at(mask, owner[~first], np.int64(1) << bit[~first])
             out = np.flatnonzero(mask)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[out]), pa.array(start[out]), pa.array(mask[out])], names=["id", "start", "mask"])
+            if len(out):
+                yield pa.RecordBatch.from_arrays([pa.array(docs[out]), pa.array(start[out]), pa.array(mask[out])], names=["doc", "start", "mask"])
+
+    return run
 
 
 def _remove(window: int, schema: T.StructType):
@@ -161,7 +198,7 @@ def _remove(window: int, schema: T.StructType):
                     kept.append(b" ".join(words))
                     continue
                 at, mask = s.values.to_numpy(), m.values.to_numpy()
-                row, bit = np.nonzero((mask[:, None] >> np.arange(window)) & 1)
+                row, bit = _bits(mask, window)
                 begin = at[row] + bit
                 begin = begin[begin + window <= n]
                 edge = np.zeros(n + 1, np.int64)
@@ -187,21 +224,30 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text: str = "text", wi
     if not 0 < anchor < window or window - anchor + 1 > 60:
         raise ValueError("an anchor is shorter than the window, by at most 59 words")
     df = without(df, *[n for n in ("n_words", "n_removed", "removed", "kept_text", "repeat_starts", "repeat_masks") if n not in (text.lower(), id_col.lower())])
-    texts = df.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("t"))
-    known = texts.filter("id IS NOT NULL")
-    anchors = known.mapInArrow(_emit_anchors(window, anchor), "h long, id long, pos int")
-    repeated = anchors.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("h"))).filter("n > 1")
-    spots = repeated.groupBy("id").agg(F.collect_set("pos").alias("spots"))
-    found = texts.join(spots, "id", "left").select("id", "t", "spots").mapInArrow(_emit_windows(window, anchor), "h long, id long, start int, windows array<long>")
-    later = found.repartition("h").sortWithinPartitions("h", "id", "start").mapInArrow(_mark_later, "id long, start int, mask long")
-    marks = later.groupBy("id").agg(F.collect_list(F.struct("start", "mask")).alias("marks"))
-    marks = marks.select("id", F.col("marks.start").alias("repeat_starts"), F.col("marks.mask").alias("repeat_masks"))
+    scratch = Scratch(df.sparkSession, "substring-dedup")
+    doc = F.xxhash64(F.col(id_col).cast("long"), F.col(text))
+    texts = df.select(F.col(id_col).cast("long").alias("id"), doc.alias("doc"), F.col(text).alias("t"))
+    anchors = scratch.put(texts.filter("id IS NOT NULL").select("doc", "t").mapInArrow(_emit_anchors(window, anchor), "h long, doc long, pos int"))
+    counts = scratch.put(anchors.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
+    scratch.free()
+    groups = F.ceil(F.col("n") / F.lit(HOT_ROWS)).cast("int").alias("groups")
+    repeated = anchors.join(counts.hint("merge"), "h")
+    spots = scratch.put(repeated.groupBy("doc").agg(F.collect_set(F.struct("pos", groups)).alias("spots")))
+    scratch.drop(anchors)
+    scratch.drop(counts)
+    scratch.free()
+    spotted = texts.join(spots.hint("merge"), "doc", "left")
+    found = spotted.select("id", "doc", "t", F.when(F.col("id").isNotNull(), F.col("spots")).alias("spots"))
+    found = found.mapInArrow(_emit_windows(window, anchor), "g long, id long, doc long, start int, fresh long, windows array<long>, mask long")
+    later = found.repartition("g").sortWithinPartitions("g", "id", "doc", "start").mapInArrow(_mark_later(window), "doc long, start int, mask long")
+    marks = later.groupBy("doc").agg(F.collect_list(F.struct("start", "mask")).alias("marks"))
+    marks = marks.select("doc", F.col("marks.start").alias("repeat_starts"), F.col("marks.mask").alias("repeat_masks"))
     schema = T.StructType([*df.schema.fields, *T._parse_datatype_string(ADDED).fields])
     rest = [F.col(f"`{c}`") for c in df.columns]
     if set(df.columns) == {id_col, text}:  # the same exchange serves both joins
-        joined = texts.join(marks, "id", "left").select("t", "repeat_starts", "repeat_masks", *[F.col("id").cast(df.schema[c].dataType).alias(c) if c == id_col else F.col("t").alias(c) for c in df.columns])
+        joined = texts.join(marks.hint("merge"), "doc", "left").select("t", "repeat_starts", "repeat_masks", *[F.col("id").cast(df.schema[c].dataType).alias(c) if c == id_col else F.col("t").alias(c) for c in df.columns])
     else:
-        joined = df.join(marks, F.col(id_col).cast("long") == marks["id"], "left").select(F.col(text).alias("t"), "repeat_starts", "repeat_masks", *rest)
+        joined = df.join(marks.hint("merge"), doc == marks["doc"], "left").select(F.col(text).alias("t"), "repeat_starts", "repeat_masks", *rest)
     return joined.mapInArrow(_remove(window, schema), schema)
 
 
