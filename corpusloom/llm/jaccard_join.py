@@ -38,7 +38,10 @@ named like the added ones are replaced. Shingles and sets are compared by 64-bit
 from __future__ import annotations
 
 import math
+from bisect import bisect_left
 from collections.abc import Iterator
+from heapq import merge
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -48,14 +51,15 @@ from pyspark.sql.window import Window
 
 from corpusloom.llm.common import Scratch, table
 from corpusloom.llm.components import components
-from corpusloom.llm.textgrams import mix, ngrams, slices, words_of
+from corpusloom.llm.textgrams import SLICE, mix, ngrams, slices, text_bytes, words_of
 
 SHINGLE, PERCENT = 5, 80
 CELL_BITS = 18
 MAX_SIGN_BITS = 1 << 16
 GROUP = 256
 ORDERS, ROUNDS = 4, 2
-SPREAD, REMEMBERED = 8, 1_000_000
+#: Rows of the open lists of one least class that meet in a task, and rows of a list beyond which it is cut into blocks.
+PART_ROWS, LIST_ROWS, REMEMBERED = 1024, 1024, 200_000
 
 
 def required(a, b, percent: int = PERCENT):
@@ -137,47 +141,33 @@ def possible(a, b, differing, percent: int = PERCENT):
     return (100 * low >= percent * high) & (most >= required(a, b, percent))
 
 
-def _describe(size: int):
-    """Per row: id, set size, class; for the first row with an id of a class in a slice also its bitmap."""
+def short_lists(s: np.ndarray, cells: np.ndarray, percent: int) -> np.ndarray:
+    """The shingles of a set whose inverted lists are built across the corpus: the first in the global order."""
+    n = len(s)
+    take = min(n, n - -(-percent * n // 100) + meetings(n))
+    rank = cells[(s >> np.uint64(64 - CELL_BITS)).astype(np.int64)]
+    return s[np.argsort(rank, kind="stable")[:take]] if rank.any() else s[:take]
+
+
+def _describe(size: int, percent: int, cells: np.ndarray):
+    """Per row: id, text hash, set size, class; for the first row with an id of a class in a slice also its bitmap and short lists."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, 1):
-                ns, names, signs, known = [], [], [], set()
-                for i, s in shingle_sets(part.column(1), size):
+            for part in slices(batch, 2):
+                ns, names, signs, prefixes, known = [], [], [], [], set()
+                for i, s in shingle_sets(part.column(2), size):
                     name = set_name(s) if len(s) else None
                     ns.append(len(s))
                     names.append(name)
-                    # rows without id are left out later, and a bitmap with them
+                    # rows without id are left out later, and what they carry with them
                     carries = name is not None and name not in known and part.column(0)[i].is_valid
                     signs.append(sign(s) if carries else None)
+                    prefixes.append(short_lists(s, cells, percent).view(np.int64) if carries else None)
                     if carries:
                         known.add(name)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ns, pa.int64()), pa.array(names, pa.int64()), pa.array(signs, pa.binary())], names=["id", "n", "c", "sig"])
-
-    return run
-
-
-def _prefixes(size: int, percent: int, cells: np.ndarray):
-    """Class, set size and prefix of the first row of each class in a slice."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, 0):
-                ns, names, prefixes, known = [], [], [], set()
-                for _, s in shingle_sets(part.column(0), size):
-                    n = len(s)
-                    name = set_name(s) if n else None
-                    if name is None or name in known:
-                        continue
-                    known.add(name)
-                    take = min(n, n - -(-percent * n // 100) + meetings(n))
-                    rank = cells[(s >> np.uint64(64 - CELL_BITS)).astype(np.int64)]
-                    chosen = s[np.argsort(rank, kind="stable")[:take]] if rank.any() else s[:take]
-                    ns.append(n)
-                    names.append(name)
-                    prefixes.append(chosen.view(np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(ns, pa.int32()), pa.array(prefixes, pa.list_(pa.int64()))], names=["c", "n", "prefix"])
+                made = [pa.array(ns, pa.int64()), pa.array(names, pa.int64()), pa.array(signs, pa.binary()), pa.array(prefixes, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *made], names=["id", "th", "n", "c", "sig", "prefix"])
 
     return run
 
@@ -225,9 +215,10 @@ def _joined(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
 
 
 def _across(percent: int):
-    """Lists sorted by shingle and size in; possible pairs of different components out, smaller name first."""
+    """Blocks of lists, sorted by block pair and shingle, in; possible pairs of different components out, smaller name first.
+    Of two blocks only pairs across count: each block meets itself elsewhere."""
 
-    def pairs(n: np.ndarray, c: np.ndarray, comp: np.ndarray, sigs: list[np.ndarray], found: set) -> Iterator[None]:
+    def pairs(n: np.ndarray, c: np.ndarray, comp: np.ndarray, side: np.ndarray, sigs: list[np.ndarray], found: set) -> Iterator[None]:
         width = np.array([len(s) for s in sigs])
         for w in np.unique(width):
             near = np.flatnonzero((width == w) | (width == 2 * w))
@@ -240,7 +231,7 @@ def _across(percent: int):
                 for to in range(0, len(near), GROUP):
                     right = np.arange(to, min(to + GROUP, len(near)))
                     i, j = near[left], near[right]
-                    ok = comp[i][:, None] != comp[j][None, :]
+                    ok = (comp[i][:, None] != comp[j][None, :]) & ((side[i][:, None] == 0) | (side[i][:, None] != side[j][None, :]))
                     low, high = np.minimum(n[i][:, None], n[j][None, :]), np.maximum(n[i][:, None], n[j][None, :])
                     ok &= 100 * low >= percent * high
                     u, v = np.nonzero(ok)
@@ -267,12 +258,12 @@ def _across(percent: int):
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
         for batch in _groups(batches, 0):
-            h, c, n, comp = (batch.column(k).to_numpy() for k in range(4))
-            sigs = batch.column(4)
-            edges = np.flatnonzero(np.r_[True, h[1:] != h[:-1], True])
+            g, c, n, comp, side = (batch.column(k).to_numpy() for k in range(5))
+            sigs = batch.column(5)
+            edges = np.flatnonzero(np.r_[True, g[1:] != g[:-1], True])
             for lo, hi in zip(edges[:-1], edges[1:], strict=True):
                 own = [np.frombuffer(sigs[i].as_buffer(), np.uint8) for i in range(lo, hi)]
-                for _ in pairs(n[lo:hi], c[lo:hi], comp[lo:hi], own, found):
+                for _ in pairs(n[lo:hi], c[lo:hi], comp[lo:hi], side[lo:hi], own, found):
                     if len(found) > REMEMBERED:
                         yield from fresh()
             yield from fresh()
@@ -280,70 +271,85 @@ def _across(percent: int):
     return run
 
 
+class InvertedLists:
+    """The lists of a few texts: for each shingle the texts that have it, in ascending order."""
+
+    def __init__(self, texts: list[np.ndarray]):
+        self.sizes = np.array([len(t) for t in texts], np.int64)
+        values = np.concatenate(texts) if texts else np.zeros(0, np.uint64)
+        order = np.argsort(values, kind="stable")
+        self.values, self.owner = values[order], np.repeat(np.arange(len(texts)), self.sizes)[order]
+
+    def of(self, query: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the list of each shingle of a query begins and ends."""
+        return np.searchsorted(self.values, query, "left"), np.searchsorted(self.values, query, "right")
+
+
 def t_occurrence(query: np.ndarray, texts: list[np.ndarray], percent: int = PERCENT, mu: float = 0.01) -> list[tuple[int, int]]:
-    """(text, overlap) of the texts that share enough of the query's shingles, by DivideSkip."""
-    sizes = np.array([len(t) for t in texts], np.int64)
-    need = required(len(query), sizes, percent)
-    fits = (100 * np.minimum(sizes, len(query)) >= percent * np.maximum(sizes, len(query))) & (sizes > 0)
+    """(text, overlap) of the texts that share enough of the query's shingles, by DivideSkip.
+
+    With T the least overlap of any text of fitting size, the L = T / (mu log2(longest) + 1) longest lists are set apart.
+    The short ones are merged by a heap; a text that comes up T - L times or more there is probed for in the long lists by
+    binary search, as long as the lists left can still lift it to its own T."""
+    index = InvertedLists(texts)
+    need = required(len(query), index.sizes, percent)
+    fits = (100 * np.minimum(index.sizes, len(query)) >= percent * np.maximum(index.sizes, len(query))) & (index.sizes > 0)
     if not fits.any():
         return []
     least = int(need[fits].min())
-    # inverted lists of the query's shingles: texts in ascending order
-    values = np.concatenate(texts)
-    owner = np.repeat(np.arange(len(texts)), sizes)
-    at = np.searchsorted(query, values)
-    hit = (at < len(query)) & (query[np.minimum(at, len(query) - 1)] == values)
-    at, owner = at[hit], owner[hit]
-    order = np.lexsort((owner, at))
-    at, owner = at[order], owner[order]
-    lengths = np.bincount(at, minlength=len(query))
-    ends = np.cumsum(lengths)
+    begins, ends = index.of(query)
+    lengths = ends - begins
     longest = int(lengths.max(initial=1))
     n_long = max(0, min(least - 1, int(least / (mu * math.log2(max(2, longest)) + 1))))
     ranked = np.argsort(lengths, kind="stable")
-    short, long = ranked[: len(query) - n_long], ranked[len(query) - n_long :]
-    # merge of the short lists: sorted runs into one, then the length of each text's run
-    in_short = np.zeros(len(query), bool)
-    in_short[short] = True
-    merged = np.sort(owner[in_short[at]], kind="stable")
-    seen = np.bincount(merged, minlength=len(texts))
-    alive = np.flatnonzero(fits & (seen >= need - n_long))
-    count = seen[alive]
-    for k in long:
-        if not len(alive):
-            break
-        postings = owner[ends[k] - lengths[k] : ends[k]]
-        if len(postings):
-            place = np.searchsorted(postings, alive)
-            count = count + ((place < len(postings)) & (postings[np.minimum(place, len(postings) - 1)] == alive))
-    good = count >= need[alive]
-    return list(zip(alive[good].tolist(), count[good].tolist(), strict=True))
+    owner = index.owner
+    lists = [owner[begins[k] : ends[k]].tolist() for k in ranked]
+    short, long = lists[: len(lists) - n_long], lists[len(lists) - n_long :]
+    out = []
+    for text, run in groupby(merge(*short)):
+        count, left = sum(1 for _ in run), n_long
+        wanted = int(need[text])
+        if not fits[text] or count + left < wanted:
+            continue
+        for postings in reversed(long):
+            if count + left < wanted:
+                break
+            at = bisect_left(postings, text)
+            count += at < len(postings) and postings[at] == text
+            left -= 1
+        if not left and count >= wanted:
+            out.append((text, count))
+    return out
 
 
 def _search(size: int, percent: int):
-    """Groups of a query and its candidates in, with their texts; links out."""
+    """Groups of a query and its candidates in, with their texts; links out. Sets are held for SLICE bytes of text at a time,
+    or for one group."""
+
+    def some(batch: pa.RecordBatch, edges: list[int]) -> Iterator[pa.RecordBatch]:
+        is_query, c = batch.column(1).to_numpy(zero_copy_only=False), batch.column(2).to_numpy()
+        # a row that only shares the id of a class is another text
+        sets = {i: s for i, s in shingle_sets(batch.column(3), size) if len(s) and set_name(s) == c[i]}
+        out: list[tuple[int, int, int]] = []
+        for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+            query = next((i for i in range(lo, hi) if is_query[i] and i in sets), None)
+            own = [i for i in range(lo, hi) if not is_query[i] and i in sets]
+            if query is not None and own:
+                out += [(int(c[query]), int(c[own[k]]), n) for k, n in t_occurrence(sets[query], [sets[i] for i in own], percent)]
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], names=["a", "b", "overlap"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _groups(batches, 0):
-            g, is_query, c = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
-            sets: dict[int, np.ndarray] = {}
-            done = 0
-            for part in slices(batch, 3):
-                for i, s in shingle_sets(part.column(3), size):
-                    if len(s) and set_name(s) == c[done + i]:  # a row that only shares the id is another text
-                        sets[done + i] = s
-                done += part.num_rows
-            out: list[tuple[int, int, int]] = []
+            g = batch.column(0).to_numpy()
             edges = np.flatnonzero(np.r_[True, g[1:] != g[:-1], True])
-            for lo, hi in zip(edges[:-1], edges[1:], strict=True):
-                query = next((i for i in range(lo, hi) if is_query[i] and i in sets), None)
-                own = [i for i in range(lo, hi) if not is_query[i] and i in sets]
-                if query is None or not own:
-                    continue
-                out += [(int(c[query]), int(c[own[k]]), n) for k, n in t_occurrence(sets[query], [sets[i] for i in own], percent)]
-            if out:
-                a, b, n = zip(*out, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (a, b, n)], names=["a", "b", "overlap"])
+            _, offsets = text_bytes(batch.column(3))
+            at = 0
+            while at < len(edges) - 1:
+                to = max(at + 1, int(np.searchsorted(offsets[edges], offsets[edges[at]] + SLICE, side="right")) - 1)
+                lo = int(edges[at])
+                yield from some(batch.slice(lo, int(edges[to]) - lo), [int(e) - lo for e in edges[at : to + 1]])
+                at = to
 
     return run
 
@@ -357,7 +363,7 @@ class JaccardJoin:
     def __init__(self, df: DataFrame, id_col: str = "doc_id", text: str = "text", size: int = SHINGLE, percent: int = PERCENT):
         self.spark, self.size, self.percent = df.sparkSession, size, percent
         self.scratch = Scratch(self.spark, "jaccard")
-        self.rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("t"))
+        self.rows = df.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("th"), F.col(text).alias("t"))
 
     def _order(self) -> np.ndarray:
         """The rank of each cell: the number of bits of its count. The table's size does not depend on the corpus."""
@@ -384,14 +390,30 @@ class JaccardJoin:
             return shared.withColumn("component", F.col("c"))
         return shared.join(joined.select(F.col("node").alias("c"), "component").hint("merge"), "c", "left").withColumn("component", F.coalesce("component", "c"))
 
+    def _across(self, open_lists: DataFrame, signs: DataFrame) -> DataFrame:
+        """Possible pairs (a, b) across components. Lists of one least class meet in parts of about PART_ROWS rows, which send a
+        pair once each; a longer list is cut into blocks, and each pair of blocks is a group of its own."""
+        open_lists = self.scratch.put(open_lists)
+        parts = open_lists.groupBy("lead").agg(F.ceil(F.count(F.lit(1)) / F.lit(PART_ROWS)).alias("parts"))
+        blocks = open_lists.groupBy("h").agg(F.ceil(F.count(F.lit(1)) / F.lit(LIST_ROWS)).cast("int").alias("blocks"))
+        cut = open_lists.join(blocks.hint("merge"), "h").withColumn("own", F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int"))
+        cut = cut.join(parts.hint("merge"), "lead").join(signs.select("c", "sig").hint("merge"), "c")
+        met = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        low, high = F.least("own", "other"), F.greatest("own", "other")
+        list_ = F.when(F.col("blocks") > 1, F.xxhash64("h", low, high)).otherwise(F.col("h"))
+        side = F.when(low != high, (F.col("own") == high).cast("int") + 1).otherwise(0)
+        met = met.select(list_.alias("g"), "c", "n", "component", side.alias("side"), "sig", "lead", F.when(F.col("blocks") > 1, list_).otherwise(F.pmod("h", "parts")).alias("part"))
+        dealt = met.repartition("lead", "part").sortWithinPartitions("g", "n", "c").select("g", "c", "n", "component", "side", "sig")
+        return dealt.mapInArrow(_across(self.percent), "a long, b long").groupBy("a", "b").agg(F.lit(1).alias("one")).select("a", "b")
+
     def run(self, exact: bool = False) -> DataFrame:
-        """(id, n_shingles, component_id), a row for each row; exact: pairs inside components are searched too."""
+        """(id, n_shingles, component_id, text_hash, is_first), a row for each row; is_first: the component's least id and text
+        hash, or linked with nothing. exact: pairs inside components are searched too."""
         put, drop = self.scratch.put, self.scratch.drop
         cells = self._order()
-        described = put(self.rows.mapInArrow(_describe(self.size), "id long, n long, c long, sig binary"))
+        described = put(self.rows.mapInArrow(_describe(self.size, self.percent, cells), "id long, th long, n long, c long, sig binary, prefix array<long>"))
         known = described.filter("id IS NOT NULL AND c IS NOT NULL")
-        prefixes = self.rows.filter("id IS NOT NULL").select("t").mapInArrow(_prefixes(self.size, self.percent, cells), "c long, n int, prefix array<long>")
-        postings = prefixes.select("c", "n", F.explode("prefix").alias("h"))
+        postings = described.filter("prefix IS NOT NULL").select("c", F.col("n").cast("int").alias("n"), F.explode("prefix").alias("h"))
         # one row for each class of a list; both steps use the exchange by shingle
         listed = postings.repartition("h").groupBy("h", "c").agg(F.min("n").alias("n"))
         over = Window.partitionBy("h").orderBy("n", "c")
@@ -407,11 +429,11 @@ class JaccardJoin:
         drop(met)
         self.scratch.free()
         signs = put(known.filter("sig IS NOT NULL").join(wanted.hint("merge"), "c", "left_semi").groupBy("c").agg(F.min("n").alias("n"), F.min("sig").alias("sig")))
-        first = put(known.select("id", "c").join(wanted.hint("merge"), "c", "left_semi").groupBy("c").agg(F.min("id").alias("id")))
-        members = put(described.select("id", "n", "c"))
+        first = put(known.select("id", "th", "c").join(wanted.hint("merge"), "c", "left_semi").groupBy("c").agg(F.min(F.struct("id", "th")).alias("m")).select("c", "m.id", "m.th"))
+        members = put(described.select("id", "th", "n", "c"))
         drop(described)
         self.scratch.free()
-        texts = put(self.rows.join(first.hint("merge"), "id").select("c", "t"))
+        texts = put(self.rows.join(first.hint("merge"), ["id", "th"]).select("c", "t"))
         self.scratch.free()
         left, right = (signs.select(F.col("c").alias(x), F.col("n").alias(f"n{x}"), F.col("sig").alias(f"sig{x}")) for x in "ab")
         tested = joined = None
@@ -436,10 +458,7 @@ class JaccardJoin:
         # lists of several components; of lists with equal members one is enough
         mixed = placed.groupBy("h").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("k"), F.bit_xor(F.xxhash64("c")).alias("who"), F.min("c").alias("lead")).filter("low <> high")
         mixed = mixed.groupBy("k", "who").agg(F.min(F.struct("h", "lead")).alias("m")).select("m.h", "m.lead")
-        open_lists = placed.join(mixed.hint("merge"), "h").join(signs.select("c", "sig").hint("merge"), "c").select("h", "c", "n", "component", "sig", "lead")
-        # lists of one least class meet in SPREAD tasks, which send a pair once each
-        dealt = open_lists.withColumn("part", F.pmod("h", F.lit(SPREAD))).repartition("lead", "part").sortWithinPartitions("h", "n", "c").select("h", "c", "n", "component", "sig")
-        more = dealt.mapInArrow(_across(self.percent), "a long, b long").groupBy("a", "b").agg(F.lit(1).alias("one")).select("a", "b")
+        more = self._across(placed.join(mixed.hint("merge"), "h").select("h", "c", "n", "component", "lead"), signs)
         if tested is not None:
             more = more.join(tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).hint("merge"), ["a", "b"], "left_anti")
         more = put(more)
@@ -454,15 +473,23 @@ class JaccardJoin:
         final = components(roots.toDF("a", "b"), scratch=self.scratch)
         self.members = members
         placed = members.join(final.select(F.col("node").alias("c"), "component").hint("merge"), "c", "left").withColumn("component", F.coalesce("component", "c"))
-        least = placed.filter("id IS NOT NULL AND c IS NOT NULL").groupBy("component").agg(F.min("id").alias("least"))
+        least = placed.filter("id IS NOT NULL AND c IS NOT NULL").groupBy("component").agg(F.min(F.struct("id", "th")).alias("least"))
         out = placed.join(least.hint("merge"), "component", "left")
-        return out.select("id", F.col("n").alias("n_shingles"), F.when(F.col("c").isNull(), F.col("id")).otherwise(F.when(F.col("id").isNotNull(), F.col("least"))).alias("component_id"))
+        linked = F.col("id").isNotNull() & F.col("c").isNotNull()
+        own = (F.col("id") == F.col("least.id")) & F.col("th").eqNullSafe(F.col("least.th"))
+        return out.select(
+            "id",
+            F.col("n").alias("n_shingles"),
+            F.when(F.col("c").isNull(), F.col("id")).when(linked, F.col("least.id")).alias("component_id"),
+            F.col("th").alias("text_hash"),
+            (~linked | own).alias("is_first"),
+        )
 
 
 def near_duplicate_groups(df: DataFrame, id_col: str = "doc_id", text: str = "text", size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """(id_col, n_shingles, component_id) for each row of df."""
     out = JaccardJoin(df, id_col, text, size, percent).run()
-    return out.withColumnRenamed("id", id_col)
+    return out.select(F.col("id").alias(id_col), "n_shingles", "component_id")
 
 
 def near_duplicate_links(df: DataFrame, id_col: str = "doc_id", text: str = "text", size: int = SHINGLE, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
@@ -473,10 +500,10 @@ def near_duplicate_links(df: DataFrame, id_col: str = "doc_id", text: str = "tex
 
 
 def keep_one_of_each(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows whose id is the least of their group; rows without id stay. Of rows of equal id and text all stay."""
-    groups = near_duplicate_groups(df, id_col, text).select(F.col(id_col).alias("group_id"), "component_id")
-    later = groups.filter("group_id <> component_id").groupBy("group_id").agg(F.lit(1).alias("one")).select("group_id")
-    return df.join(later, F.col(id_col) == later["group_id"], "left_anti")
+    """The row of least id (and least text hash) of each group; rows without id or words stay. Rows are told apart by id and
+    text: of rows equal in both all stay or none."""
+    later = JaccardJoin(df, id_col, text).run().filter("NOT is_first").groupBy(F.col("id").alias("later_id"), F.col("text_hash").alias("later_hash")).agg(F.lit(1).alias("one"))
+    return df.join(later, (F.col(id_col).cast("long") == later["later_id"]) & (F.xxhash64(text) == later["later_hash"]), "left_anti")
 
 
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
