@@ -415,7 +415,7 @@ def test_warc_derivatives(spark):
     assert len(rows) == 10 and len({r["record_id"] for r in rows}) == 8
     meta, text = (next(r for r in rows if r["target_uri"] == "http://x.org/d/" and r["warc_type"] == k) for k in ("metadata", "conversion"))
     assert bytes(text["block"]).decode() == "A & B\nTop\nOne\ntwo <3\ngo" and meta["title"] == "A & B" and meta["n_links"] == 2
-    assert b"http://x.org/rel?q=1" in bytes(meta["block"]) and meta["refers_to"] == text["refers_to"] == meta["source_headers"]["WARC-Record-ID"]
+    assert b"http://x.org/rel?q=1" in bytes(meta["block"]) and meta["refers_to"] == text["refers_to"] == {h["name"]: h["value"] for h in meta["source_headers"]}["WARC-Record-ID"]
     assert meta["source_payload_digest"] == warc.digest(PAGE.encode()) and text["block_digest"] == warc.digest(bytes(text["block"]))
     empty = [r for r in rows if r["target_uri"] is None]
     assert {r["warc_type"]: r["title"] for r in empty} == {"metadata": None, "conversion": None}
@@ -434,6 +434,7 @@ def test_warc_files_round_trip(spark, tmp_path):
     for r in out:
         assert bytes(r["warc_record"]) == warc.format_record(r.asDict())
         headers, block = next(warc.read_records(io.BytesIO(bytes(r["warc_record"]))))
+        headers = dict(headers)
         assert headers["WARC-Refers-To"] == "<urn:uuid:1>" and headers["WARC-Date"] == "2024-05-06T00:00:00Z" and block == bytes(r["block"])
 
 
