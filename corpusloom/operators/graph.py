@@ -13,12 +13,10 @@ from corpusloom.functions import constants as C
 from corpusloom.functions import paths as P
 
 # --- fixed values: import statements; every repetition has a bound ----------------------------------------------
-JS_IMPORTS = [
-    r"""(?:^|[^\w$.])(?:import|export)\s[^'"`;]{0,400}?\sfrom\s*['"]([^'"\n]{1,300})['"]""",
-    r"""(?:^|[^\w$.])import\s*['"]([^'"\n]{1,300})['"]""",
-    r"""(?:^|[^\w$.])require\(\s*['"]([^'"\n]{1,300})['"]\s*\)""",
-    r"""(?:^|[^\w$.])import\(\s*['"]([^'"\n]{1,300})['"]\s*\)""",
-]
+JS_IMPORTS = (
+    r"""(?:^|[^\w$.])(?:(?:import|export)\s[^'"`;]{0,400}?\sfrom\s*|import\s*|require\(\s*(?=['"][^'"\n]{1,300}['"]\s*\))|import\(\s*(?=['"][^'"\n]{1,300}['"]\s*\)))"""
+    r"""['"]([^'"\n]{1,300})['"]"""
+)
 HTML_LINKS = r"""<(?:script|link)\b[^<>]{1,500}?(?:src|href)=["']([^"':]{1,300})["']"""
 CSS_IMPORTS = r"""@(?:import|use|forward)\s+(?:url\(\s*)?['"]([^'"\n]{1,300})['"]"""
 PY_IMPORTS = r"(?m)^[ \t]*import[ \t]+([\w.]+(?:[ \t]*,[ \t]*[\w.]+)*)"
@@ -46,10 +44,6 @@ def all_matches(text: Column, pattern: str, group: int = 1) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
 
 
-def _cat(columns: list[Column]) -> Column:
-    return reduce(lambda a, b: F.concat(a, b), columns)
-
-
 def js_candidates(base: Column) -> Column:
     """Ordered paths that a specifier without a known ending may mean."""
     plain = [F.concat(base, F.lit(e)) for e in JS_RESOLVE]
@@ -60,8 +54,8 @@ def js_candidates(base: Column) -> Column:
 
 
 def js_specifiers(text: Column) -> Column:
-    """G1: the specifiers of import, export-from, require and dynamic import, without query strings."""
-    return F.transform(_cat([all_matches(text, p) for p in JS_IMPORTS]), lambda s: F.substring_index(s, "?", 1))
+    """G1: the specifiers of import, export-from, require and dynamic import in the order of the text, without query strings."""
+    return F.transform(all_matches(text, JS_IMPORTS), lambda s: F.substring_index(s, "?", 1))
 
 
 def _bases(specs: Column, folder: Column, aliases: Column) -> Column:
@@ -101,34 +95,57 @@ def candidate_paths(files: DataFrame, aliases: DataFrame | None = None, hints: D
     for name, kind in (("go_module", "string"), ("py_roots", "array<string>"), ("psr4", "array<struct<prefix:string,dir:string>>"), ("dart_package", "string")):
         if name not in files.columns:
             files = files.withColumn(name, F.lit(None).cast(kind))
-    js = files.filter(F.col("ext").isin([*C.JS_EXTENSIONS, "html"]))
     if aliases is not None:
         order = F.struct((-F.length("scope")).alias("a"), (-F.length("prefix")).alias("b"), F.col("prefix").alias("prefix"), F.col("targets").alias("targets"), F.col("scope").alias("scope"))
         per_repo = aliases.groupBy("repo_id").agg(F.array_sort(F.collect_list(order)).alias("listed"))
-        js = js.join(per_repo, "repo_id", "left")
+        files = files.join(per_repo, "repo_id", "left")
         near = F.filter(F.coalesce("listed", F.array().cast("array<struct<a:int,b:int,prefix:string,targets:array<string>,scope:string>>")), lambda a: (a["scope"] == "") | F.startswith(F.col("path"), F.concat(a["scope"], F.lit("/"))))
         known = F.transform(near, lambda a: F.struct(a["prefix"].alias("prefix"), a["targets"].alias("targets")))
     else:
         known = F.array().cast(NO_ALIASES)
     fallback = F.array(*[F.struct(F.lit(p).alias("prefix"), F.array(*map(F.lit, t)).alias("targets")) for p, t in FALLBACK_ALIASES])
-    js = js.withColumn("known", F.concat(known, fallback))
-    expand = lambda bases: F.transform(bases, lambda options: F.flatten(F.transform(F.filter(options, lambda b: b.isNotNull()), js_candidates)))
-    parts = [_ranked(js, expand(_bases(js_specifiers(text), folder, F.col("known"))))]
-    pages = files.filter("ext = 'html'")
-    linked = F.transform(all_matches(text, HTML_LINKS), lambda s: F.array(P.join_path(folder, F.regexp_replace(s, "^/", ""))))
-    parts.append(_ranked(pages, expand(linked)))
-    sheets = files.filter(F.col("ext").isin(C.STYLE_EXTENSIONS))
+    files = files.withColumn("known", F.concat(known, fallback))
+    # one pass: the extension decides which statements a file can have
+    js, none = _javascript(text, folder), F.array().cast("array<array<string>>")
+    by_kind = [
+        (F.col("ext") == "html", F.concat(js, _page_links(text, folder))),
+        (F.col("ext").isin(C.JS_EXTENSIONS), js),
+        (F.col("ext").isin(C.STYLE_EXTENSIONS), _stylesheets(text, folder)),
+        (F.col("ext").isin("py", "ipynb"), _python(text, folder)),
+        (F.col("ext") == "rb", _ruby(text, folder)),
+        (F.col("ext") == "rs", _rust(text, path, folder)),
+        (F.col("ext").isin(C_EXTENSIONS), F.transform(all_matches(text, C_INCLUDE), lambda s: F.array(P.join_path(folder, s), P.join_path(F.lit("include"), s), P.join_path(F.lit("src"), s), P.normalize_path(s)))),
+        (F.col("ext") == "php", _php(text, folder)),
+        (F.col("ext") == "dart", _dart(text, folder)),
+    ]
+    groups = none
+    for when, found in reversed(by_kind):
+        groups = F.when(when, found).otherwise(groups)
+    return _ranked(files, groups)
+
+
+def _javascript(text: Column, folder: Column) -> Column:
+    bases = _bases(js_specifiers(text), folder, F.col("known"))
+    return F.transform(bases, lambda options: F.flatten(F.transform(F.filter(options, lambda b: b.isNotNull()), js_candidates)))
+
+
+def _page_links(text: Column, folder: Column) -> Column:
+    return F.transform(all_matches(text, HTML_LINKS), lambda s: F.array(P.join_path(folder, F.regexp_replace(s, "^/", ""))))
+
+
+def _stylesheets(text: Column, folder: Column) -> Column:
     specs = F.filter(all_matches(text, CSS_IMPORTS), lambda s: ~F.startswith(s, F.lit("http")))
     bases = F.filter(F.transform(specs, lambda s: P.join_path(folder, s)), lambda b: b.isNotNull())
-    css = F.transform(bases, lambda b: F.array(b, F.concat(b, F.lit(".css")), F.concat(b, F.lit(".scss")), F.concat(F.regexp_replace(b, r"([^/]+)$", "_$1"), F.lit(".scss")), F.concat(b, F.lit(".less"))))
-    parts.append(_ranked(sheets, css))
-    parts.append(_python(files.filter(F.col("ext").isin("py", "ipynb"))))
-    ruby = files.filter("ext = 'rb'")
+    return F.transform(bases, lambda b: F.array(b, F.concat(b, F.lit(".css")), F.concat(b, F.lit(".scss")), F.concat(F.regexp_replace(b, r"([^/]+)$", "_$1"), F.lit(".scss")), F.concat(b, F.lit(".less"))))
+
+
+def _ruby(text: Column, folder: Column) -> Column:
     rel, names = all_matches(text, RUBY_REQUIRE, 1), all_matches(text, RUBY_REQUIRE, 2)
     with_ext = F.transform(names, lambda s: F.when(F.endswith(s, F.lit(".rb")), s).otherwise(F.concat(s, F.lit(".rb"))))
-    rb = F.zip_with(rel, with_ext, lambda r, s: F.when(r != "", F.array(P.join_path(folder, s))).otherwise(F.array(P.join_path(F.lit("lib"), s), P.join_path(F.lit("app"), s), P.normalize_path(s))))
-    parts.append(_ranked(ruby, rb))
-    rust = files.filter("ext = 'rs'")
+    return F.zip_with(rel, with_ext, lambda r, s: F.when(r != "", F.array(P.join_path(folder, s))).otherwise(F.array(P.join_path(F.lit("lib"), s), P.join_path(F.lit("app"), s), P.normalize_path(s))))
+
+
+def _rust(text: Column, path: Column, folder: Column) -> Column:
     home = F.when(P.basename(path).rlike(r"^(main|lib|mod)\.rs$"), folder).otherwise(F.regexp_replace(path, r"\.rs$", ""))
     mods = F.transform(all_matches(text, RUST_MOD), lambda m: F.array(P.join_path(home, F.concat(m, F.lit(".rs"))), P.join_path(home, F.concat(m, F.lit("/mod.rs")))))
 
@@ -137,38 +154,29 @@ def candidate_paths(files: DataFrame, aliases: DataFrame | None = None, hints: D
         heads = F.transform(F.reverse(F.sequence(F.lit(1), F.size(steps))), lambda n: F.concat(F.lit("src/"), F.array_join(F.slice(steps, F.lit(1), n), "/")))
         return F.when(F.size(steps) > 0, F.flatten(F.transform(heads, lambda p: F.array(F.concat(p, F.lit(".rs")), F.concat(p, F.lit("/mod.rs")))))).otherwise(F.array().cast("array<string>"))
 
-    parts.append(_ranked(rust, F.concat(mods, F.transform(all_matches(text, RUST_USE), uses))))
-    native = files.filter(F.col("ext").isin(C_EXTENSIONS))
-    parts.append(_ranked(native, F.transform(all_matches(text, C_INCLUDE), lambda s: F.array(P.join_path(folder, s), P.join_path(F.lit("include"), s), P.join_path(F.lit("src"), s), P.normalize_path(s)))))
-    php = files.filter("ext = 'php'")
+    return F.concat(mods, F.transform(all_matches(text, RUST_USE), uses))
+
+
+def _php(text: Column, folder: Column) -> Column:
     included = F.transform(all_matches(text, PHP_INCLUDE), lambda s: F.array(P.join_path(folder, F.regexp_replace(s, "^/", ""))))
-    loaded = F.flatten(
-        F.transform(
-            all_matches(text, PHP_USE),
-            lambda fq: F.transform(
-                F.filter(F.coalesce("psr4", F.array().cast("array<struct<prefix:string,dir:string>>")), lambda r: F.startswith(fq, r["prefix"])),
-                lambda r: F.array(P.normalize_path(F.concat(r["dir"], F.lit("/"), F.replace(F.substring(fq, F.length(r["prefix"]) + 1, F.length(fq)), F.lit("\\"), F.lit("/")), F.lit(".php")))),
-            ),
-        )
-    )
-    parts.append(_ranked(php, F.concat(included, loaded)))
-    dart = files.filter("ext = 'dart'")
+    spaces = F.coalesce("psr4", F.array().cast("array<struct<prefix:string,dir:string>>"))
+
+    def places(fq: Column) -> Column:
+        own = F.filter(spaces, lambda r: F.startswith(fq, r["prefix"]))
+        inner = lambda r: F.replace(F.substring(fq, F.length(r["prefix"]) + 1, F.length(fq)), F.lit("\\"), F.lit("/"))
+        return F.transform(own, lambda r: F.array(P.normalize_path(F.concat(r["dir"], F.lit("/"), inner(r), F.lit(".php")))))
+
+    return F.concat(included, F.flatten(F.transform(all_matches(text, PHP_USE), places)))
+
+
+def _dart(text: Column, folder: Column) -> Column:
     own = F.concat(F.lit("package:"), F.coalesce("dart_package", F.lit("\x00")), F.lit("/"))
-    parts.append(
-        _ranked(
-            dart,
-            F.transform(
-                F.filter(all_matches(text, DART_IMPORT), lambda s: ~F.startswith(s, F.lit("dart:"))),
-                lambda s: F.array(F.when(F.startswith(s, own), F.concat(F.lit("lib/"), F.substring(s, F.length(own) + 1, F.length(s)))).when(~F.startswith(s, F.lit("package:")), P.join_path(folder, s))),
-            ),
-        )
-    )
-    return reduce(DataFrame.unionByName, parts)
+    stated = F.filter(all_matches(text, DART_IMPORT), lambda s: ~F.startswith(s, F.lit("dart:")))
+    return F.transform(stated, lambda s: F.array(F.when(F.startswith(s, own), F.concat(F.lit("lib/"), F.substring(s, F.length(own) + 1, F.length(s)))).when(~F.startswith(s, F.lit("package:")), P.join_path(folder, s))))
 
 
-def _python(files: DataFrame) -> DataFrame:
+def _python(text: Column, folder: Column) -> Column:
     """Each root may hit, so each root is a statement of its own."""
-    text, folder = F.col("content"), P.dirname(F.col("path"))
     roots = F.coalesce("py_roots", F.array(F.lit("")))
     plain = F.transform(F.flatten(F.transform(all_matches(text, PY_IMPORTS), lambda m: F.split(m, ","))), lambda m: F.trim(m))
     mods, names = all_matches(text, PY_FROM, 1), all_matches(text, PY_FROM, 2)
@@ -192,7 +200,7 @@ def _python(files: DataFrame) -> DataFrame:
 
         return F.transform(bases, hits)
 
-    return _ranked(files, F.flatten(F.transform(modules, options)))
+    return F.flatten(F.transform(modules, options))
 
 
 def folder_imports(files: DataFrame, hints: DataFrame) -> DataFrame:
@@ -255,6 +263,8 @@ def promote_scripts(files: DataFrame, edges: DataFrame, max_rounds: int = 100) -
         if front.isEmpty():
             break
         found = found.unionByName(front)
+    else:
+        raise RuntimeError(f"scripts import each other over more than {max_rounds} steps; pass a larger max_rounds")
     new = found.distinct().withColumn("promoted", F.lit(True))
     out = files.join(new, ["repo_id", "path"], "left")
     return out.withColumn("category", F.when(F.col("promoted"), F.lit("core")).otherwise(F.col("category"))).drop("promoted")
@@ -264,7 +274,10 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """A reliable checkpoint in the folder that the cluster names, or a local one where it names none."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or "file:///tmp/checkpoints/corpusloom")
+        named = sc.getConf().get("spark.checkpoint.dir")
+        if not named and not sc.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(named or "file:///tmp/checkpoints/corpusloom")
     return df.checkpoint()
 
 
@@ -277,7 +290,7 @@ def dependencies(files: DataFrame, keys: tuple[str, ...] = ("dependencies", "dev
 
 def clean_json(text: Column) -> Column:
     """JSON without comments and trailing commas. Strings are matched whole, so what they hold stays."""
-    string = r'"(?:[^"\\]|\\.)*+"'
+    string = r'"(?:[^"\\]++|\\.)*+"'
     bare = F.regexp_replace(text, rf"(?s)({string})|//[^\n]*|/\*.*?(?:\*/|\z)", "$1")
     return F.regexp_replace(bare, rf"(?s)({string})|,(?=\s*[}}\]])", "$1")
 
