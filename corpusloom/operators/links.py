@@ -101,31 +101,37 @@ def link_scores(files: DataFrame, shared: DataFrame, edges: DataFrame) -> DataFr
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy("repo_id", "path").orderBy(F.desc("score"), "other")))
 
 
-def excerpts(files: DataFrame, wanted: DataFrame, around: int = 2, max_chars: int = 1200) -> DataFrame:
-    """(repo_id, path, key, excerpt): lines that mention one of the names (repo_id, path, key, names), with context and gap marks.
-
-    Imports and lines over 400 characters are no hits. One fold per file over its kept lines."""
+def excerpt_pieces(files: DataFrame, wanted: DataFrame, around: int = 2) -> DataFrame:
+    """(repo_id, path, key, pieces): the lines of a file that mention one of the names (repo_id, path, key, names), with those
+    around them, in order; after a gap the line follows a mark. Imports and lines over 400 characters are no hits."""
     lines = F.split("content", "\n", -1)
-    joined = wanted.join(files.select("repo_id", "path", "content"), ["repo_id", "path"]).withColumn("lines", lines)
+    asked = wanted.filter(F.size("names") > 0).join(files.select("repo_id", "path", "content"), ["repo_id", "path"]).withColumn("lines", lines)
     pattern = F.concat(F.lit(r"(?<![\w$])(?:\Q"), F.array_join("names", r"\E|\Q"), F.lit(r"\E)(?![\w$])"))
+    asked = asked.withColumn("pattern", pattern)
     hits = F.filter(F.transform("lines", lambda x, i: F.when((F.length(x) <= 400) & ~x.rlike(IMPORT_LINE) & F.regexp_like(x, F.col("pattern")), i)), lambda i: i.isNotNull())
-    joined = joined.withColumn("pattern", pattern).withColumn("hits", hits)
+    asked = asked.withColumn("hits", hits)
     near = F.array_sort(F.array_distinct(F.flatten(F.transform("hits", lambda i: F.sequence(F.greatest(i - around, F.lit(0)), F.least(i + around, F.size("lines") - 1))))))
-    joined = joined.withColumn("near", F.filter(near, lambda i: ~F.get("lines", i).rlike(IMPORT_LINE)))
-
-    def step(acc: Column, i: Column) -> Column:
-        piece = F.concat(F.when((i != acc["last"] + 1) & (acc["text"] != ""), F.lit("…\n")).otherwise(F.lit("")), F.get("lines", i))
-        full = acc["size"] + F.length(piece) + 1 > max_chars
-        glue = lambda x: F.when(acc["last"] < 0, x).otherwise(F.concat(acc["text"], F.lit("\n"), x))
-        return F.struct(
-            F.when(acc["done"], acc["text"]).when(full, glue(F.lit("…"))).otherwise(glue(piece)).alias("text"),
-            F.when(acc["done"] | full, acc["size"]).otherwise(acc["size"] + F.length(piece) + 1).alias("size"),
-            F.when(acc["done"] | full, acc["last"]).otherwise(i).alias("last"),
-            (acc["done"] | full).alias("done"),
-        )
-
-    start = F.struct(F.lit("").alias("text"), F.lit(0).alias("size"), F.lit(-2).alias("last"), F.lit(False).alias("done"))
-    return joined.select("repo_id", "path", "key", F.aggregate("near", start, step, lambda a: F.trim(a["text"])).alias("excerpt"))
+    asked = asked.withColumn("near", F.filter(near, lambda i: ~F.get("lines", i).rlike(IMPORT_LINE)))
+    before = F.concat(F.array(F.lit(None).cast("int")), F.slice("near", F.lit(1), F.greatest(F.size("near") - 1, F.lit(0))))
+    pieces = F.zip_with("near", before, lambda i, b: F.concat(F.when(i == b + 1, F.lit("")).when(b.isNull(), F.lit("")).otherwise(F.lit("…\n")), F.get("lines", i)))
+    return asked.select("repo_id", "path", "key", F.when(F.size("near") > 0, pieces).otherwise(F.array().cast("array<string>")).alias("pieces"))
+
+
+def excerpts(files: DataFrame, wanted: DataFrame, around: int = 2, max_chars: int = 1200) -> DataFrame:
+    """(repo_id, path, key, excerpt): the lines of excerpt_pieces that fit, joined; a mark where they do not."""
+    pieces = excerpt_pieces(files, wanted, around)
+    # with the sizes so far as the order in which pieces fill the excerpt, those within the bound stay
+    sizes = F.transform("pieces", lambda p: F.length(p) + 1)
+    n = F.aggregate(
+        sizes, F.struct(F.lit(0).alias("size"), F.lit(0).alias("n"), F.lit(False).alias("full")),
+        lambda acc, k: F.struct(
+            (acc["size"] + k).alias("size"), (acc["n"] + (~acc["full"] & (acc["size"] + k <= max_chars)).cast("int")).alias("n"), (acc["full"] | (acc["size"] + k > max_chars)).alias("full")
+        ),
+        lambda acc: acc["n"],
+    )
+    pieces = pieces.withColumn("n", n)
+    cut = F.concat(F.slice("pieces", F.lit(1), F.col("n")), F.when(F.col("n") < F.size("pieces"), F.array(F.lit("…"))).otherwise(F.array().cast("array<string>")))
+    return pieces.select("repo_id", "path", "key", F.trim(F.array_join(cut, "\n")).alias("excerpt"))
 
 
 def paired_screens(state_files: DataFrame, screens: DataFrame, edges: DataFrame, rare: DataFrame, reach: DataFrame) -> DataFrame:

@@ -13,58 +13,107 @@ from corpusloom.operators import links as K
 from corpusloom.operators import plan as PL
 
 
+CODE = ("entry", "route", "core", "component", "helper")
+
+
 def foundations(files: DataFrame) -> DataFrame:
-    """L2, L3's counterpart for helpers: adds is_foundation: helpers that a quarter of the code, four files at least, import."""
-    code = F.sum(F.col("category").isin("entry", "route", "core", "component", "helper").cast("int")).over(Window.partitionBy("repo_id"))
+    """L2: adds is_foundation: helpers that a quarter of all code files, four at least, import. files: all that are told."""
+    code = F.sum(F.col("category").isin(*CODE).cast("int")).over(Window.partitionBy("repo_id"))
     return files.withColumn("is_foundation", (F.col("category") == "helper") & (F.col("n_importers") >= F.greatest(F.lit(4), F.ceil(code * 0.25))))
 
 
-def shell(files: DataFrame, edges: DataFrame) -> DataFrame:
-    """L3: (repo_id, path): what root entries import."""
-    roots = files.filter("is_entry AND n_importers = 0").select("repo_id", F.col("path").alias("src"))
-    return edges.join(roots, ["repo_id", "src"], "left_semi").select("repo_id", F.col("dst").alias("path")).distinct()
+def imports_of(parts: DataFrame, edges: DataFrame) -> DataFrame:
+    """(repo_id, path): what the given parts (repo_id, path) import."""
+    return edges.join(parts.select("repo_id", F.col("path").alias("src")), ["repo_id", "src"], "left_semi").select("repo_id", F.col("dst").alias("path")).distinct()
+
+
+def told_files(files: DataFrame, readmes: DataFrame) -> DataFrame:
+    """The files of a tour: all but the README and trivial ones; of a repository without others, all. Adds is_markup."""
+    marks = files.join(readmes.select("repo_id", F.col("readme_path").alias("path"), F.lit(True).alias("is_readme")), ["repo_id", "path"], "left")
+    marks = marks.withColumn("told", F.col("is_readme").isNull() & ((F.col("category") == "config") | ~PL.is_trivial(F.col("content"))))
+    some = F.max(F.col("told").cast("int")).over(Window.partitionBy("repo_id")) == 1
+    marks = marks.withColumn("some", some).filter("told OR NOT some")
+    return marks.withColumn("is_markup", PL.is_mostly_markup(F.col("path"), F.col("content"), F.col("lines"))).drop("is_readme", "told", "some")
+
+
+def rare_names_of(files: DataFrame) -> DataFrame:
+    """A4 over the code of a tour."""
+    sizes = files.filter(F.col("category").isin(C.CODE_CATEGORIES)).groupBy("repo_id").agg(F.count(F.lit(1)).alias("n_code"))
+    return K.rare_names(K.postings(files), sizes)
 
 
 def tour(files: DataFrame, edges: DataFrame, readmes: DataFrame, length: str = "medium") -> DataFrame:
-    """(repo_id, ord, section_id, kind, chapter, depth, paths): the sections in order.
+    """(repo_id, ord, section_id, kind, chapter, chapter_title, depth, paths): the sections in order.
+
+    Parts of their own by tier (L5), with the host page among the entries (F16), foundations in the core (L2) and the shell
+    among the routes (L3); short ones of a folder as one (L7); groups and what overflows (L8); similar screens together (L9);
+    a screen's own state after it (J11, L10); chapters shaped, named and split (L11, L12).
 
     files: as ingested (repo_id, seq, path, content, lines, category, is_entry, n_importers, importance)."""
-    budget = C.BUDGETS[length]
-    told = files.join(readmes.select("repo_id", F.col("readme_path").alias("path")), ["repo_id", "path"], "left_anti")
-    told = told.withColumn("trivial", (F.col("category") != "config") & PL.is_trivial(F.col("content"))).withColumn("is_markup", PL.is_mostly_markup(F.col("path"), F.col("content"), F.col("lines")))
-    told = told.filter("NOT trivial")
-    listed = PL.split_overflow(PL.split_groups(told.drop("trivial")), budget["max_sections"])
+    budget, keep = C.BUDGETS[length], G.checkpointed
+    whole = told_files(files, readmes)
+    host = PL.is_host_page(F.col("path"), F.col("content"), F.lit(True))
+    # texts are read here, and not again
+    told = keep(foundations(whole.withColumn("is_host", host).withColumn("is_list", K.is_registry(F.col("content"))).drop("content", "size", "language")))
+    rare = keep(rare_names_of(whole))
+    inner = keep(G.kept_edges(edges, told).select("repo_id", "src", "dst", "ord"))
+    reach = keep(G.reach_order(told, inner))
+    listed = keep(PL.split_overflow(PL.split_groups(told), budget["max_sections"]))
     own = PL.depths(listed.filter("group_kind IS NULL AND NOT is_overflow"), budget["max_full"], budget["max_major"])
-    own = foundations(own).join(shell(files, edges).withColumn("in_shell", F.lit(True)), ["repo_id", "path"], "left")
-    tier = F.when(F.col("is_foundation"), "core").when((F.col("category") == "component") & F.col("in_shell"), "route").otherwise(F.col("category"))
-    reach = G.reach_order(files, edges)
-    placed = PL.tier_order(own.withColumn("tier_kind", tier).join(reach, ["repo_id", "path"], "left").drop("content"))
+    roots = own.filter("is_entry AND n_importers = 0").select("repo_id", "path")
+    own = own.join(imports_of(roots, inner).withColumn("in_shell", F.lit(True)), ["repo_id", "path"], "left")
+    own = own.join(roots.select("repo_id").distinct().withColumn("has_roots", F.lit(True)), "repo_id", "left")
+    host = F.col("is_host") & F.col("has_roots").isNotNull()
+    tier = F.when(host, "entry").when(F.col("is_foundation"), "core").when((F.col("category") == "component") & F.col("in_shell"), "route").otherwise(F.col("category"))
+    own = keep(own.withColumn("tier_kind", tier).drop("in_shell", "has_roots"))
+    # state of one or two screens follows the first of them
+    states = own.filter("category IN ('core', 'helper') AND NOT is_foundation AND NOT is_entry AND NOT is_list")
+    pairs = keep(K.paired_screens(states, own.filter("tier_kind = 'component'"), inner, rare, reach))
+    paired = own.select("repo_id", "path", "seq", "depth").join(pairs, ["repo_id", "path"])
+    alone = own.join(pairs.select("repo_id", "path"), ["repo_id", "path"], "left_anti")
+    placed = PL.tier_order(alone.join(reach, ["repo_id", "path"], "left"))
     folded = PL.fold_folders(placed.withColumn("tier", PL.tier_of(F.col("tier_kind")).cast("double")))
-    depth = placed.select("repo_id", F.concat(F.lit("file:"), "path").alias("section_id"), "depth")
-    folded = folded.join(depth, ["repo_id", "section_id"], "left").select("repo_id", "tier", "ord", "section_id", "kind", "depth", "paths", F.lit(False).alias("is_overflow"))
-    late = F.lit(10_000)
-    groups = PL.group_sections(listed).select("repo_id", "tier", late.alias("ord"), "section_id", F.lit("group").alias("kind"), F.lit(None).cast("string").alias("depth"), "paths", F.lit(False).alias("is_overflow"))
+    file_id = F.concat(F.lit("file:"), "path")
+    depth = own.select("repo_id", file_id.alias("section_id"), "depth")
+    none = F.lit(None).cast("string")
+    folded = folded.join(depth, ["repo_id", "section_id"], "left").select("repo_id", "tier", "ord", "section_id", "kind", "depth", "paths", F.lit(False).alias("is_overflow"), none.alias("group_kind"))
+    late, group = F.lit(10_000), F.lit("group").alias("kind")
+    groups = PL.group_sections(listed).select("repo_id", "tier", late.alias("ord"), "section_id", group, none.alias("depth"), "paths", F.lit(False).alias("is_overflow"), F.substring_index("section_id", ":", -1).alias("group_kind"))
     more = PL.overflow_sections(listed.filter("is_overflow")).filter("section_id IS NOT NULL")
-    more = more.select("repo_id", F.col("tier").cast("double").alias("tier"), late.alias("ord"), "section_id", F.lit("group").alias("kind"), F.lit(None).cast("string").alias("depth"), "paths", F.lit(True).alias("is_overflow"))
-    sections = folded.unionByName(groups).unionByName(more)
+    more = more.select("repo_id", F.col("tier").cast("double").alias("tier"), late.alias("ord"), "section_id", group, none.alias("depth"), "paths", F.lit(True).alias("is_overflow"), none.alias("group_kind"))
     order = Window.partitionBy("repo_id").orderBy("tier", "ord", "section_id")
-    sections = PL.drop_excess(sections.withColumn("ord", F.row_number().over(order)), budget["max_sections"])
-    sections = PL.unique_ids(sections.withColumn("chapter", PL.chapter_of(F.col("tier"))))
-    return PL.merge_small_chapters(sections).select("repo_id", "ord", "section_id", "kind", "chapter", "depth", "paths")
-
-
-def with_siblings(sections: DataFrame, files: DataFrame) -> DataFrame:
-    """Sections in the order after similar screens moved together. Screens are route files and what entries mount."""
-    sizes = files.filter(F.col("category").isin(C.CODE_CATEGORIES)).groupBy("repo_id").agg(F.count(F.lit(1)).alias("n_code"))
-    rare = K.rare_names(K.postings(files), sizes)
-    screens = sections.filter("kind = 'file'").select("repo_id", "section_id", "ord", F.get("paths", 0).alias("path"), (F.col("chapter").isin("start", "interface")).alias("is_screen"))
-    names = rare.join(screens, ["repo_id", "path"]).select("repo_id", "section_id", "name")
+    sections = folded.unionByName(groups).unionByName(more).withColumn("ord", F.row_number().over(order))
+    sections = keep(PL.drop_excess(sections, budget["max_sections"]).withColumn("chapter", PL.chapter_of(F.col("tier"))))
+    # screens: what routes and entries import
+    screens = keep(imports_of(own.filter("tier_kind = 'route' OR is_entry"), inner))
+    ordered = with_siblings(sections, rare, screens)
+    anchors = sections.select("repo_id", F.explode("paths").alias("screen"), F.col("section_id").alias("after"))
+    after = paired.join(anchors, ["repo_id", "screen"], "left").select("repo_id", file_id.alias("section_id"), "after", F.col("seq").cast("int").alias("ord"))
+    ordered = PL.place_pairs(keep(ordered), keep(after))
+    facts = sections.select("repo_id", "section_id", "kind", "depth", "paths", "group_kind").unionByName(
+        paired.select("repo_id", file_id.alias("section_id"), F.lit("file").alias("kind"), "depth", F.array("path").alias("paths"), none.alias("group_kind"))
+    )
+    shaped = keep(PL.shape_chapters(ordered.join(facts, ["repo_id", "section_id"])))
+    marked = shaped.join(_screen_ids(screens), ["repo_id", "section_id"], "left").withColumn("is_screen", F.coalesce("is_screen", F.lit(False)))
+    cut = PL.split_long_chapters(marked).select("repo_id", "section_id", F.col("chapter").alias("run"))
+    out = shaped.join(cut, ["repo_id", "section_id"]).withColumn("chapter", F.col("run")).withColumn("chapter_title", PL.split_title(F.col("run"), F.col("chapter_title")))
+    return PL.unique_ids(out).select("repo_id", F.col("ord").cast("int").alias("ord"), "section_id", "kind", "chapter", "chapter_title", "depth", "paths")
+
+
+def _screen_ids(screens: DataFrame) -> DataFrame:
+    return screens.select("repo_id", F.concat(F.lit("file:"), "path").alias("section_id"), F.lit(True).alias("is_screen"))
+
+
+def with_siblings(sections: DataFrame, rare: DataFrame, screens: DataFrame) -> DataFrame:
+    """(repo_id, section_id, chapter, ord) after similar screens moved together: those of one chapter that share three rare
+    names, and half of those of the one with fewer. rare: repo_id, name, path; screens: repo_id, path."""
+    marked = sections.select("repo_id", "section_id", "chapter", F.col("ord").cast("int").alias("ord")).join(_screen_ids(screens), ["repo_id", "section_id"], "left").withColumn("is_screen", F.coalesce("is_screen", F.lit(False)))
+    names = rare.join(screens, ["repo_id", "path"], "left_semi").select("repo_id", F.concat(F.lit("file:"), "path").alias("section_id"), "name").distinct()
     n = names.groupBy("repo_id", "section_id").agg(F.count(F.lit(1)).alias("n"))
     other = names.select("repo_id", "name", F.col("section_id").alias("other"))
     shared = names.join(other, ["repo_id", "name"]).filter("section_id > other").groupBy("repo_id", "section_id", "other").agg(F.count(F.lit(1)).alias("shared"))
-    good = shared.join(n, ["repo_id", "section_id"]).join(n.select("repo_id", F.col("section_id").alias("other"), F.col("n").alias("m")), ["repo_id", "other"]).filter((F.col("shared") >= 3) & (F.col("shared") >= 0.5 * F.least("n", "m")))
-    marked = sections.join(screens.select("repo_id", "section_id", "is_screen"), ["repo_id", "section_id"], "left").withColumn("is_screen", F.coalesce("is_screen", F.lit(False)))
-    return PL.move_siblings(marked.withColumn("ord", F.col("ord").cast("int")), good)
+    sized = shared.join(n, ["repo_id", "section_id"]).join(n.select("repo_id", F.col("section_id").alias("other"), F.col("n").alias("m")), ["repo_id", "other"])
+    return PL.move_siblings(marked, sized.filter((F.col("shared") >= 3) & (F.col("shared") >= 0.5 * F.least("n", "m"))))
 
 
 def narration_input(sections: DataFrame, files: DataFrame, length: str = "medium") -> DataFrame:

@@ -61,9 +61,65 @@ def test_tour_and_narration(spark):
     assert len(set(ids)) == len(ids) and ids[0] == "file:src/main.ts"
     told = [p for r in rows for p in r["paths"]]
     assert len(told) == len(set(told)) and "README.md" not in told and {"src/lib/store.ts", "src/App.tsx", "tools/go.ts"} <= set(told)
-    assert ids.index("file:src/pages/home.tsx") < ids.index("file:src/lib/store.ts")
+    assert rows[0]["chapter_title"] == "Where it all starts"
     assert {r["chapter"] for r in rows} <= {"start", "core", "interface", "support", "setup"}
-    assert PT.with_siblings(sections, got.files).count() == len(ids)
     out = N.narrate(PT.narration_input(sections, got.files), N.StubWriter()).collect()
     assert {r["status"] for r in out} == {"done"} and len(out) == len(ids)
     assert PT.tree_outline(got.files, 3).count() == 3
+
+
+CATEGORIES = {"src/index.js": "entry", "src/main.jsx": "entry"}
+
+
+def planned(spark, texts: dict[str, str], repo: str = "r"):
+    """Ingested texts as the tour sees them."""
+    rows = [(repo, i, p, len(t), bytearray(t.encode())) for i, (p, t) in enumerate(texts.items())]
+    return PI.ingest(spark.createDataFrame(rows, "repo_id string, seq long, path string, size long, bytes binary"))
+
+
+def many(n, start="run"):
+    return "\n".join(f"{start}{i} = step({i});" for i in range(n))
+
+
+def screen(name):
+    return (
+        f"import {{ connect }} from 'react-redux';\nconst map = d => ({{ a: () => d({{ type: {name}_LOADED }}), b: () => d({{ type: UPDATE_FIELD_AUTH }}), onChangeEmail: 1, onChangePassword: 2, submitForm: 3 }});\n"
+        + many(60)
+    )
+
+
+def test_tour_keeps_state_and_similar_screens_together(spark):
+    got = planned(spark, {
+        "package.json": '{ "dependencies": { "react": "16", "redux": "4" } }',
+        "src/index.js": "import App from './App';\n" + many(30),
+        "src/App.js": "import Login from './components/Login';\nimport Home from './components/Home';\nimport Register from './components/Register';\n" + many(60),
+        "src/components/Login.js": screen("LOGIN"),
+        "src/components/Home.js": "const x = HOME_LOADED;\n" + many(70),
+        "src/components/Register.js": screen("REGISTER"),
+        "src/reducers/auth.js": "export default (s, a) => a.type === UPDATE_FIELD_AUTH ? { ...s, onChangeEmail: 1 } : a.type === LOGIN_LOADED ? s : s;\n" + "\n".join(f"run({i});" for i in range(60)),
+    })
+    rows = PT.tour(got.files, got.edges, got.readmes).orderBy("ord").collect()
+    ids = [r["section_id"] for r in rows]
+    at = {p: ids.index(f"file:src/{p}.js") for p in ("components/Login", "components/Register", "components/Home", "reducers/auth")}
+    assert at["reducers/auth"] == at["components/Login"] + 1 and at["components/Register"] == at["components/Login"] + 2 and at["components/Home"] > at["components/Register"]
+    assert rows[at["reducers/auth"]]["chapter"] == rows[at["components/Login"]]["chapter"]
+
+
+def test_tour_splits_and_names_chapters(spark):
+    pages = [f"src/pages/P{i}.jsx" for i in range(6)]
+    texts = {
+        "package.json": '{ "dependencies": { "react": "19" } }',
+        "public/index.html": "<!doctype html>\n<html>\n<head>\n<title>Demo</title>\n</head>\n<body>\n<div id='root'></div>\n</body>\n</html>",
+        "src/main.jsx": "import App from './App';\n" + many(30),
+        "src/App.jsx": "\n".join(f"import P{i} from './pages/P{i}';" for i in range(6)) + "\n" + many(60),
+    }
+    for i, p in enumerate(pages):
+        texts[p] = f"import A{i} from '../components/A{i}';\nimport B{i} from '../components/B{i}';\n" + many(60, f"p{i}_")
+        texts[f"src/components/A{i}.jsx"], texts[f"src/components/B{i}.jsx"] = many(60, f"a{i}_"), many(60, f"b{i}_")
+    got = planned(spark, texts)
+    rows = PT.tour(got.files, got.edges, got.readmes).orderBy("ord").collect()
+    by = {r["section_id"]: r for r in rows}
+    assert by["file:public/index.html"]["chapter"] == "start"
+    split = [r for r in rows if ":" in r["chapter"]]
+    assert split and {r["chapter_title"] for r in split if r["chapter"] == "interface:2"} <= {"More of what you see on screen"}
+    assert by["group:config"]["chapter_title"] == "The project setup"
