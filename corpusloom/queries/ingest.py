@@ -304,13 +304,6 @@ T3_SQL = f"WITH {FILES_SQL} SELECT repo_id, seq FROM files QUALIFY row_number()
 
 
 def g17_notebooks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    line = F.regexp_replace(F.substring("text", 1, 40), r'["\\\n]', " ")
-    raw = F.concat(F.lit('{"cells":[{"cell_type":"markdown","source":["'), line, F.lit('\\n","two"]},{"cell_type":"code","source":"x = '), F.col("doc_id").cast("string"), F.lit('"},{"cell_type":"code","source":" "}]}'))
-    return docs.select("doc_id", I.notebook_text(raw).alias("text"))
-
-
-def g17_notebooks_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole texts as the first line of a notebook's notes."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     source = F.when(F.col("text").isNotNull(), F.to_json(F.array(F.concat("text", F.lit("\n")), F.lit("two"))))
@@ -318,20 +311,17 @@ def g17_notebooks_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", I.notebook_text(raw).alias("text"))
 
 
-G17_SQL = r"""SELECT doc_id, '# --- Cell 1 (notes) ---' || chr(10) || '# ' || regexp_replace(substr(text, 1, 40), '["\\\n]', ' ', 'g') || chr(10) || '# two' || chr(10) || chr(10)
-  || '# --- Cell 2 (code) ---' || chr(10) || 'x = ' || doc_id AS text FROM documents"""
-
 QUERIES = {
     "f1_classify_path": f1_classify_path, "f1_reason_hist": f1_reason_hist, "f2_secret_names": f2_secret_names, "f3_skipped_dirs": f3_skipped_dirs,
     "f4_decode_text": f4_decode_text, "f5_empty": f5_empty, "f6_generated": f6_generated, "f7_arrival_limit": f7_arrival_limit,
     "f8_ignore_last_match": f8_ignore_last_match, "f11_ignore_anti_join": f11_ignore_anti_join, "f17_readme": f17_readme, "p1_path_parts": p1_path_parts,
     "p3_language": p3_language, "p4_category": p4_category, "p7_entry_paths": p7_entry_paths, "p8_importance": p8_importance,
     "t2_greedy_trim": t2_greedy_trim, "t3_skip_listing": t3_skip_listing, "a1_ingest_stats": a1_ingest_stats, "a2_language_share": a2_language_share,
-    "g17_notebooks": g17_notebooks, "g17_notebooks_whole": g17_notebooks_whole,
+    "g17_notebooks": g17_notebooks,
 }
 ORACLES = {
     "f1_classify_path": F1_SQL, "f1_reason_hist": HIST_SQL, "f2_secret_names": F2_SQL, "f3_skipped_dirs": F3_SQL, "f4_decode_text": F4_SQL, "f5_empty": F5_SQL,
     "f6_generated": F6_SQL, "f7_arrival_limit": F7_SQL, "f8_ignore_last_match": F8_SQL, "f11_ignore_anti_join": F11_SQL, "f17_readme": F17_SQL,
     "p1_path_parts": P1_SQL, "p3_language": P3_SQL, "p4_category": P4_SQL, "p7_entry_paths": P7_SQL, "p8_importance": P8_SQL, "t2_greedy_trim": T2_SQL,
-    "t3_skip_listing": T3_SQL, "a1_ingest_stats": A1_SQL, "a2_language_share": A2_SQL, "g17_notebooks": G17_SQL,
+    "t3_skip_listing": T3_SQL, "a1_ingest_stats": A1_SQL, "a2_language_share": A2_SQL,
 }

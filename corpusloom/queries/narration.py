@@ -335,16 +335,11 @@ SELECT conv, key, arg_min(part, (part, pos, line)) AS part, arg_min(line, (part,
 
 
 def w5_terms_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = _parts(spark, sf_dir).select("conv", "part", F.explode(F.slice(X.words(F.col("body")), 1, 12)).alias("term"))
-    return A.terms_seen(t)
-
-
-def w5_terms_seen_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All words of each body."""
     return A.terms_seen(_parts(spark, sf_dir).select("conv", "part", F.explode(X.words(F.col("body"))).alias("term")))
 
 
-W5_SQL = f"""WITH {PARTS_SQL}, t AS (SELECT conv, part, unnest({_words_sql("body")}[1:12]) AS term FROM parts),
+W5_SQL = f"""WITH {PARTS_SQL}, t AS (SELECT conv, part, unnest({_words_sql("body")}) AS term FROM parts),
 f AS (SELECT conv, term, min(part) AS part FROM t GROUP BY ALL)
 SELECT p.conv, p.part, least(40, (SELECT count(*) FROM f WHERE f.conv = p.conv AND f.part < p.part))::BIGINT AS known FROM (SELECT DISTINCT conv, part FROM t) p"""
 
@@ -454,7 +449,7 @@ QUERIES = {
     "t5_depth": t5_depth, "l6_cluster_order": l6_cluster_order, "l7_fold_folders": l7_fold_folders, "l13_chunks": l13_chunks,
     "p10_word_targets": p10_word_targets, "a6_tree_rollup": a6_tree_rollup, "w1_dedupe_ids": w1_dedupe_ids, "w6_lag_lead": w6_lag_lead,
     "w7_chapter_runs": w7_chapter_runs, "w9_disambiguate": w9_disambiguate, "n10_script": n10_script, "a15_ledger": a15_ledger,
-    "w5_terms_seen": w5_terms_seen, "w5_terms_seen_whole": w5_terms_seen_whole, "n12_run_state": n12_run_state, "w10_failure_runs": w10_failure_runs, "s1_repo_url": s1_repo_url,
+    "w5_terms_seen": w5_terms_seen, "n12_run_state": n12_run_state, "w10_failure_runs": w10_failure_runs, "s1_repo_url": s1_repo_url,
     "s2_ref_candidates": s2_ref_candidates, "f18_private_ip": f18_private_ip, "p14_error_class": p14_error_class, "x18_backoff": x18_backoff,
     "f12_trivial": f12_trivial, "t10_natural_order": t10_natural_order,
 }
