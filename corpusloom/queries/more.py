@@ -102,7 +102,15 @@ def l8_group_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def l8_overflow(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = _planned(spark, sf_dir).withColumn("repo_id", F.lit("r")).withColumn("path", F.concat(F.lit("d"), (F.col("seq") % 7).cast("string"), F.lit("/f"), F.col("seq").cast("string")))
-    return PL.overflow_sections(f.withColumn("category", F.when(F.col("seq") % 2 == 0, "core").otherwise("helper"))).groupBy("repo_id").agg(F.sum(F.size("paths")).alias("files"), F.max(F.size("paths")).alias("largest"))
+    out = PL.overflow_sections(f.withColumn("category", F.when(F.col("seq") % 2 == 0, "core").otherwise("helper")))
+    return out.select("section_id", F.size("paths").alias("n"), F.get("paths", 0).alias("first"))
+
+
+L8_OVERFLOW_SQL = f"""WITH {_plan_sql()}, c AS (SELECT seq, importance, CASE WHEN seq % 2 = 0 THEN 'core' ELSE 'helper' END AS cat, 'd' || (seq % 7) AS cl, 'd' || (seq % 7) || '/f' || seq AS p FROM planned),
+m AS (SELECT *, count(*) OVER (PARTITION BY cat) AS n, count(*) OVER (PARTITION BY cat, cl) AS m, min(seq) OVER (PARTITION BY cat, cl) AS f FROM c),
+r AS (SELECT *, dense_rank() OVER (PARTITION BY cat ORDER BY m DESC, f) AS c, row_number() OVER (PARTITION BY cat, cl ORDER BY seq) - 1 AS i FROM m),
+s AS (SELECT *, CASE WHEN n = 1 THEN NULL WHEN n <= 16 THEN 'group:more:' || cat WHEN m >= 4 AND c <= 4 THEN 'group:more:' || cat || ':' || cl || ':' || (i // 16 * 16) ELSE 'group:more:' || cat || ':rest' END AS section_id FROM r)
+SELECT section_id, count(*)::INT AS n, arg_min(p, (-importance, p)) AS first FROM s GROUP BY section_id"""
 
 
 def l11_merge_chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -112,8 +120,17 @@ def l11_merge_chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def l12_split_chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = _docs(spark, sf_dir).select(F.col("source").alias("repo_id"), F.col("doc_id").cast("string").alias("section_id"), F.lit("interface").alias("chapter"), F.col("doc_id").cast("int").alias("ord"), (F.col("doc_id") % 5 == 0).alias("is_screen"))
-    out = PL.split_long_chapters(d).groupBy("repo_id", "chapter").agg(F.count(F.lit(1)).alias("n"))
-    return out.groupBy("repo_id").agg(F.sum("n").alias("sections"), F.min("n").alias("least"))
+    return PL.split_long_chapters(d).groupBy("repo_id", "chapter").agg(F.count(F.lit(1)).alias("n"), F.min("ord").alias("first"))
+
+
+L12_SQL = """WITH RECURSIVE d AS (SELECT source, doc_id, doc_id % 5 = 0 OR row_number() OVER (PARTITION BY source ORDER BY doc_id) = 1 AS starts FROM documents),
+r AS (SELECT *, sum(starts::INT) OVER (PARTITION BY source ORDER BY doc_id) AS run, count(*) OVER (PARTITION BY source) AS total FROM d),
+k AS (SELECT source, run, count(*) AS k, min(doc_id) AS first, any_value(total) AS total FROM r GROUP BY source, run),
+f AS (SELECT source, run, k AS held, 1 AS g FROM k WHERE run = 1
+  UNION ALL SELECT k.source, k.run, CASE WHEN f.held >= 3 AND f.held + k.k > 8 THEN k.k ELSE f.held + k.k END, f.g + (f.held >= 3 AND f.held + k.k > 8)::INT FROM f JOIN k ON k.source = f.source AND k.run = f.run + 1),
+l AS (SELECT source, arg_max(held, run) AS held, max(g) AS g FROM f GROUP BY source),
+z AS (SELECT k.*, CASE WHEN k.total <= 10 THEN 1 WHEN l.held < 3 AND l.g > 1 AND f.g = l.g THEN f.g - 1 ELSE f.g END AS g FROM k JOIN f USING (source, run) JOIN l ON l.source = k.source)
+SELECT source AS repo_id, 'interface' || CASE WHEN g > 1 THEN ':' || g ELSE '' END AS chapter, sum(k)::BIGINT AS n, min(first)::INT AS first FROM z GROUP BY source, g"""
 
 
 def t6_drop_excess(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -167,6 +184,8 @@ QUERIES = {
     "s11_model_list": s11_model_list,
 }
 ORACLES = {
+    "l8_overflow": L8_OVERFLOW_SQL,
+    "l12_split_chapters": L12_SQL,
     "f9_linguist_hints": f"WITH {FILES_SQL} SELECT DISTINCT repo_id, path FROM files WHERE ends_with(path, '.scss') OR starts_with(path, 'db/')",
     "f10_rule_budget": "SELECT source AS repo_id, least(3000, 100 * count(*)) AS n FROM documents GROUP BY source",
     "f14_page_predicates": """SELECT page_id, page_id % 3 = 0 OR page_id % 2 = 0 AS markup, page_id % 3 = 1 AND page_id % 2 = 1 AS host_page, page_id % 3 = 2 AS ui_kit FROM pages""",

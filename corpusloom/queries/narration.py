@@ -261,8 +261,17 @@ SELECT repo_id, seq, tier::INT AS tier, (row_number() OVER (PARTITION BY repo_id
 
 
 def l7_fold_folders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = _planned(spark, sf_dir).withColumn("tier", PL.tier_of(F.col("category")).cast("int")).withColumn("ord", F.col("seq").cast("int")).withColumn("depth", F.when(F.col("seq") % 3 == 0, "full").otherwise("brief"))
-    return PL.fold_folders(f.dropDuplicates(["repo_id", "path"])).groupBy("repo_id", "kind").agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("paths")).alias("files"))
+    f = _planned(spark, sf_dir).groupBy("repo_id", "path", "category").agg(F.min("seq").alias("seq"))
+    f = f.withColumn("tier", PL.tier_of(F.col("category")).cast("int")).withColumn("ord", F.col("seq").cast("int")).withColumn("depth", F.when(F.col("seq") % 3 == 0, "full").otherwise("brief"))
+    return PL.fold_folders(f).select("repo_id", "tier", "ord", "section_id", "kind", F.size("paths").alias("n"))
+
+
+L7_SQL = """, u AS (SELECT repo_id, path, category, min(seq) AS seq FROM planned GROUP BY ALL),
+t AS (SELECT *, CASE category WHEN 'entry' THEN 0 WHEN 'route' THEN 1 WHEN 'core' THEN 2 WHEN 'component' THEN 3 WHEN 'helper' THEN 4 WHEN 'script' THEN 5 WHEN 'style' THEN 6 WHEN 'data' THEN 7 WHEN 'config' THEN 8 WHEN 'test' THEN 9 WHEN 'docs' THEN 10 END AS tier,
+  CASE WHEN contains(path, '/') THEN regexp_replace(path, '/[^/]*$', '') ELSE '' END AS dir, seq % 3 <> 0 AS brief FROM u),
+b AS (SELECT *, brief AND count(*) FILTER (brief) OVER (PARTITION BY repo_id, tier, dir) >= 3 AS fold FROM t)
+SELECT repo_id, tier::INT AS tier, min(seq)::INT AS ord, CASE WHEN fold THEN 'group:folder:' || tier || ':' || dir ELSE 'file:' || path END AS section_id, CASE WHEN fold THEN 'group' ELSE 'file' END AS kind, count(*)::INT AS n
+FROM b GROUP BY repo_id, tier, fold, CASE WHEN fold THEN 'group:folder:' || tier || ':' || dir ELSE 'file:' || path END"""
 
 
 def l13_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -472,7 +481,7 @@ ORACLES = {
     "a5_link_score": A5_SQL, "j9_best_siblings": J9_SQL, "x12_excerpt": X12_SQL,
     "l1_group_split": f"WITH {_plan_sql()} SELECT seq, coalesce(group_kind, '-') AS group_kind FROM groups",
     "t4_topk_overflow": f"WITH {_plan_sql()}, n AS (SELECT repo_id, count(DISTINCT group_kind) AS k FROM groups GROUP BY ALL) SELECT seq, group_kind IS NULL AND row_number() OVER (PARTITION BY g.repo_id, group_kind IS NULL ORDER BY importance DESC, seq) > greatest(8, 14 - n.k) AS is_overflow FROM groups g JOIN n USING (repo_id)",
-    "t5_depth": f"WITH {_plan_sql()}{T5_SQL}", "l6_cluster_order": f"WITH {_plan_sql()}{L6_SQL}", "l13_chunks": L13_SQL, "p10_word_targets": P10_SQL,
+    "t5_depth": f"WITH {_plan_sql()}{T5_SQL}", "l7_fold_folders": f"WITH {_plan_sql()}{L7_SQL}", "l6_cluster_order": f"WITH {_plan_sql()}{L6_SQL}", "l13_chunks": L13_SQL, "p10_word_targets": P10_SQL,
     "a6_tree_rollup": A6_SQL,
     "w1_dedupe_ids": "SELECT repo_id, ord, CASE WHEN n > 1 THEN section_id || '#' || n ELSE section_id END AS section_id FROM (SELECT conv_id AS repo_id, turn AS ord, role AS section_id, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) AS n FROM conversations)",
     "w6_lag_lead": f"WITH {PARTS_SQL} SELECT conv, part AS ord, lag(chapter || part) OVER w AS before, lead(chapter || part) OVER w AS next_one, lead(chapter || part, 2) OVER w AS next_two FROM parts WINDOW w AS (PARTITION BY conv ORDER BY part)",

@@ -3,6 +3,7 @@ from __future__ import annotations
 from corpusloom.narrate import pipeline as N
 from corpusloom.plans import ingest as PI
 from corpusloom.plans import tour as PT
+from pyspark.sql import functions as F
 
 CODE = "\n".join(f"export function step{i}() {{ return {i}; }}" for i in range(60))
 REPO = [
@@ -123,3 +124,36 @@ def test_tour_splits_and_names_chapters(spark):
     split = [r for r in rows if ":" in r["chapter"]]
     assert split and {r["chapter_title"] for r in split if r["chapter"] == "interface:2"} <= {"More of what you see on screen"}
     assert by["group:config"]["chapter_title"] == "The project setup"
+
+
+def test_depth_first_order_by_hand(spark, sf_dir):
+    from collections import defaultdict
+
+    from corpusloom.operators import graph as G
+    from corpusloom.queries.graph import _edges
+
+    m, e = _edges(spark, sf_dir)
+    files = m.select("repo_id", "path", (m["seq"] < 20).alias("is_entry")).collect()
+    out, into = defaultdict(list), defaultdict(int)
+    for r in sorted(e.collect(), key=lambda r: r["ord"]):
+        out[r["repo_id"], r["src"]].append(r["dst"])
+        into[r["repo_id"], r["dst"]] += 1
+    want = {}
+    for repo in {r["repo_id"] for r in files}:
+        seen: dict[str, int] = {}
+
+        def visit(path, repo=repo, seen=seen):
+            if path not in seen:
+                seen[path] = len(seen)
+                for dst in out[repo, path]:
+                    visit(dst)
+
+        for r in sorted((r for r in files if r["repo_id"] == repo and r["is_entry"]), key=lambda r: (into[repo, r["path"]] > 0, r["path"])):
+            visit(r["path"])
+        want |= {(repo, p): k for p, k in seen.items()}
+    from corpusloom.queries import QUERIES
+
+    got = {(r["repo_id"], r["path"]): r["reach"] for r in QUERIES["l4_dfs_reach"](spark, sf_dir).collect()}
+    assert {k: v for k, v in got.items() if v is not None} == want
+    text = "require('./b');\nimport './a';\nexport { x } from './c';\nconst y = import('./d');"
+    assert spark.sql("select 1").select(G.js_specifiers(F.lit(text)).alias("s")).first()["s"] == ["./b", "./a", "./c", "./d"]

@@ -153,3 +153,32 @@ def test_groups_are_cut_once_and_later_failures_keep_what_is_written():
         return "TITLE: T\nBody."
 
     assert N.draft(second_fails, "f.ts", ["x", "y"], N.Ledger(), None, [], 100, 200)["body"] == "Body."
+
+
+def test_refs_results_and_errors(spark, tmp_path):
+    from corpusloom.operators import plan as PL
+    from corpusloom.sources import results as S
+    from pyspark.sql import functions as F
+
+    asked = spark.createDataFrame([("a", 0, "x", "y/z"), ("a", 1, "x/y", "z"), ("b", 0, "q", ""), ("c", 0, "q", "")], "repo_id string, ord int, ref string, subpath string")
+    there = spark.createDataFrame([("a", "x/y"), ("a", "main"), ("b", "main")], "repo_id string, ref string")
+    assert {tuple(r) for r in S.chosen_refs(asked, there).collect()} == {("a", "x/y", "z", None), ("b", None, None, "bad_ref"), ("c", None, None, "not_found")}
+    assert S.load_tours(spark, f"{tmp_path}/none") is None
+    tours_ = spark.sql("select 'A b' conv, 'All.' overview, '' closing, array('x') parts union all select 'c', null, '', array('y')")
+    S.save_tours(tours_, f"{tmp_path}/t")
+    assert [r["conv"] for r in S.load_tours(spark, f"{tmp_path}/t").collect()] == ["A b"]
+    S.save_tours(tours_.drop("parts"), f"{tmp_path}/u")
+    assert S.load_tours(spark, f"{tmp_path}/u") is None
+    S.write_scripts(spark.sql("select 'A b' conv, 'One.\n\nTwo.\n' script"), f"{tmp_path}/s")
+    assert [p.read_text() for p in tmp_path.glob("s/tour=a-b/part-*")] == ["One.\n\nTwo.\n"]
+    paths = spark.createDataFrame([("b",), ("B",), ("a-1",), ("a",), ("Z",)], "p string")
+    assert [r["p"] for r in paths.orderBy(S.path_order(F.col("p"))).collect()] == ["a", "a-1", "b", "B", "Z"]
+    codes = spark.createDataFrame([("auth",), ("server",), ("not_found",), (None,)], "c string")
+    assert [tuple(r) for r in codes.select(S.error_title(F.col("c")), S.is_resumable(F.col("c")), S.needs_fix(F.col("c"))).collect()] == [
+        ("Your API key didn't work", True, True), ("The provider is having trouble", True, False), ("Something went wrong", False, False), ("Something went wrong", False, False),
+    ]
+    ids = ["file:a/b.ts", "group:config", "group:folder:core:src/lib", "group:folder:core:", "group:more:helper", "group:more:helper:src/ui:16", "group:more:data:rest", "group:tests#2"]
+    labels = spark.createDataFrame([(i, ["a/b.ts"]) for i in ids], "s string, p array<string>").select(PL.section_label(F.col("s"), F.col("p")).alias("l")).collect()
+    assert [r["l"] for r in labels] == [
+        "a/b.ts", "How the project is set up", "Smaller pieces in the lib folder", "Smaller pieces in the project root", "More helpers", "More from the ui folder", "Everything else", "The tests",
+    ]
