@@ -38,7 +38,8 @@ from pyspark.sql import types as T
 from corpusloom.llm.common import table, without
 
 BLOCK = 1 << 15
-CACHE_WORDS, CACHE_CHARS = 400_000, 48
+#: Words that a task remembers (twice as many at most) and the longest of them: some 25 MB.
+CACHE_WORDS, CACHE_CHARS = 60_000, 48
 SPACE = r"\p{White_Space}"
 SPLIT = regex.compile(
     rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|{SPACE}+(?!{'[^' + SPACE + ']'})|{SPACE}+"
@@ -68,12 +69,32 @@ def _byte_of_char() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def check_spec(spec: dict) -> None:
+    """Raises unless the file asks for what this module does: byte-level words by the one fixed pattern, plain merges."""
+    model, words, decoder = (spec.get(k) or {} for k in ("model", "pre_tokenizer", "decoder"))
+    wrong = []
+    if spec.get("normalizer"):
+        wrong.append("a normalizer")
+    if (words.get("type"), words.get("add_prefix_space"), words.get("use_regex", True)) != ("ByteLevel", False, True):
+        wrong.append(f"pre-tokenizer {words}")
+    if decoder.get("type") != "ByteLevel":
+        wrong.append(f"decoder {decoder}")
+    if model.get("type", "BPE") != "BPE":
+        wrong.append(f"model {model.get('type')}")
+    wrong += [f"model.{k}" for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "fuse_unk", "byte_fallback", "ignore_merges") if model.get(k)]
+    for token in spec.get("added_tokens", []):
+        wrong += [f"{k} of {token['content']!r}" for k in ("single_word", "lstrip", "rstrip", "normalized") if token.get(k)]
+    if wrong:
+        raise ValueError(f"not a plain byte-level tokenizer: {', '.join(wrong)}")
+
+
 class MergeTable:
     """The vocabulary, the merges by rank and what follows from them."""
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        check_spec(spec)
         as_byte = _byte_of_char()
         vocab, merges = spec["model"]["vocab"], spec["model"]["merges"]
         specials = {x["content"]: x["id"] for x in spec.get("added_tokens", [])}
@@ -88,10 +109,10 @@ class MergeTable:
         self.of_byte = [vocab[c] for c, _ in sorted(as_byte.items(), key=lambda x: x[1])]
         pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in merges]
         self.rules = [(vocab[u], vocab[v], vocab[u + v]) for u, v in pairs]
-        self.merge = {(u, v): (rank, made) for rank, (u, v, made) in enumerate(self.rules)}
-        self.rank = {pair: rank for pair, (rank, _) in self.merge.items()}
+        self.rank = {(u, v): rank for rank, (u, v, _) in enumerate(self.rules)}
         self.made = [made for _, _, made in self.rules]
         self.lookahead = self._lookahead()
+        del self.rules
 
     def _lookahead(self) -> int:
         made_by: dict[int, int] = {}
@@ -123,9 +144,8 @@ class MergeTable:
         n = len(ids)
         if n < 2:
             return ids
-        merge = self.merge
+        get, made = self.rank.get, self.made
         if n <= SHORT:
-            get, made = self.rank.get, self.made
             ranks = [get(x, NEVER) for x in zip(ids, ids[1:])]
             while ranks:
                 low = min(ranks)
@@ -142,28 +162,30 @@ class MergeTable:
         nxt, prv = list(range(1, n + 1)), list(range(-1, n - 1))
         heap = []
         for i in range(n - 1):
-            if found := merge.get((ids[i], ids[i + 1])):
-                heap.append((found[0], i, ids[i], ids[i + 1], found[1]))
+            if (rank := get((ids[i], ids[i + 1]))) is not None:
+                heap.append((rank, i, ids[i], ids[i + 1]))
         heapq.heapify(heap)
         while heap:
-            _, i, u, v, made = heapq.heappop(heap)
+            rank, i, u, v = heapq.heappop(heap)
             j = nxt[i]
             if ids[i] != u or j >= n or ids[j] != v:
                 continue
-            ids[i], ids[j], k = made, -1, nxt[j]
+            new = made[rank]
+            ids[i], ids[j], k = new, -1, nxt[j]
             nxt[i] = k
             if k < n:
                 prv[k] = i
-                if found := merge.get((made, ids[k])):
-                    heapq.heappush(heap, (found[0], i, made, ids[k], found[1]))
+                if (rank := get((new, ids[k]))) is not None:
+                    heapq.heappush(heap, (rank, i, new, ids[k]))
             h = prv[i]
-            if h >= 0 and (found := merge.get((ids[h], made))):
-                heapq.heappush(heap, (found[0], h, ids[h], made, found[1]))
+            if h >= 0 and (rank := get((ids[h], new))) is not None:
+                heapq.heappush(heap, (rank, h, ids[h], new))
         return [x for x in ids if x >= 0]
 
 
-@lru_cache(maxsize=4)
+@lru_cache(maxsize=1)
 def merge_table(path: str) -> MergeTable:
+    """The one table that a process keeps between tasks; its size follows from the vocabulary."""
     return MergeTable(path)
 
 
@@ -289,12 +311,6 @@ class Encoder:
         yield from self._segment(buffer, True)
 
 
-@lru_cache(maxsize=4)
-def shared_encoder(path: str) -> Encoder:
-    """One encoder for each process: its word cache serves every task that runs there."""
-    return Encoder(path)
-
-
 class Decoder:
     """Ids to text: a state machine over bytes that keeps at most the three bytes of an unfinished character."""
 
@@ -335,7 +351,7 @@ def bpe_encode(df: DataFrame, text: str = "text", path: str | None = None, diges
     kinds = "n_tokens long, ids_sha256 string, decoded_sha256 string" + ("" if digests_only else ", ids array<int>")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, decoder = shared_encoder(path), Decoder(path)
+        encoder, decoder = Encoder(path), Decoder(path)
         for batch in batches:
             n, raw, back, ids = [], [], [], []
             for value in batch.column(batch.schema.get_field_index(text)):

@@ -12,7 +12,8 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-CHUNK = 1 << 20
+#: Bytes of a running sum; the tables of powers have this length, whatever the texts.
+CHUNK = 1 << 17
 BASE = np.uint64(0x9E3779B97F4A7C15)
 BASE_INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 STEP = 0xD1342543DE82EF95
@@ -22,16 +23,24 @@ BLANK[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
-_powers: dict[str, np.ndarray] = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
 
+def _powers(base: np.uint64) -> np.ndarray:
+    values = np.full(CHUNK + 1, base, np.uint64)
+    values[0] = 1
+    return np.multiply.accumulate(values)
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers["up"]) < n:
-        for name, base in (("up", BASE), ("down", BASE_INVERSE)):
-            values = np.full(n, base, np.uint64)
-            values[0] = 1
-            _powers[name] = np.multiply.accumulate(values)
-    return _powers["up"], _powers["down"]
+
+UP, DOWN = _powers(BASE), _powers(BASE_INVERSE)
+
+
+def _long_word(data: np.ndarray) -> np.uint64:
+    """The polynomial of one word over CHUNK bytes, piece by piece."""
+    total = 0
+    for at in range(0, len(data), CHUNK):
+        piece = data[at : at + CHUNK]
+        part = int((BYTE_VALUES[piece] * UP[: len(piece)]).sum(dtype=np.uint64))
+        total += part * pow(int(BASE), at, 1 << 64)
+    return np.uint64(total % (1 << 64))
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -91,12 +100,14 @@ def words_of(column: pa.Array, lower: bool = False) -> Words:
     while i < len(starts):
         j = max(i + 1, int(np.searchsorted(ends, starts[i] + CHUNK, side="right")))
         lo, hi = starts[i], ends[j - 1]
-        up, down = _power_tables(max(CHUNK, int(hi - lo)) + 1)
-        total = np.empty(hi - lo + 1, np.uint64)
-        total[0] = 0
-        np.cumsum(BYTE_VALUES[data[lo:hi]] * up[: hi - lo], out=total[1:])
-        at = starts[i:j] - lo
-        hashes[i:j] = mix((total[ends[i:j] - lo] - total[at]) * down[at])
+        if hi - lo > CHUNK:
+            hashes[i] = mix(_long_word(data[lo:hi])[None])[0]
+        else:
+            total = np.empty(hi - lo + 1, np.uint64)
+            total[0] = 0
+            np.cumsum(BYTE_VALUES[data[lo:hi]] * UP[: hi - lo], out=total[1:])
+            at = starts[i:j] - lo
+            hashes[i:j] = mix((total[ends[i:j] - lo] - total[at]) * DOWN[at])
         i = j
     return Words(hashes, starts, ends, np.searchsorted(starts, offsets), data)
 
@@ -126,7 +137,7 @@ def ngrams(h: np.ndarray, n: int) -> np.ndarray:
     return mix(out[: len(h) - n + 1] + np.uint64(n))
 
 
-SLICE = 4 << 20
+SLICE = 2 << 20
 
 
 def slices(batch: pa.RecordBatch, column: int) -> list[pa.RecordBatch]:
