@@ -19,8 +19,8 @@ comes from a count of shingles that recur nearby, in a table of fixed size; it n
    near copies becomes one after a round or two, without its pairs. A round's pairs grow with the classes, not with the
    groups.
 4. Lists that still hold several components, one of those with equal members, are looked through for pairs across
-   components, with the same bounds, in blocks; so every pair that shares a prefix shingle is either inside one
-   component, ruled out by a bound, or searched.
+   components, with the same bounds, in blocks; a pair counts in the first open list that both classes have. So every
+   pair that shares a prefix shingle is either inside one component, ruled out by a bound, or searched.
 5. A search takes a text as query and its candidates as the indexed texts. T - L occurrences are asked of the short
    lists, which are merged; the L longest lists are only probed, by binary search, for candidates that reached it. The
    overlap is then exact.
@@ -58,8 +58,8 @@ CELL_BITS = 18
 MAX_SIGN_BITS = 1 << 16
 GROUP = 256
 ORDERS, ROUNDS = 4, 2
-#: Rows of the open lists of one least class that meet in a task, and rows of a list beyond which it is cut into blocks.
-PART_ROWS, LIST_ROWS, REMEMBERED = 1024, 1024, 200_000
+#: Rows of an open list beyond which it is cut into blocks, and the open lists of a class that its rows carry.
+LIST_ROWS, CARRIED, REMEMBERED = 512, 32, 200_000
 
 
 def required(a, b, percent: int = PERCENT):
@@ -215,10 +215,20 @@ def _joined(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
 
 
 def _across(percent: int):
-    """Blocks of lists, sorted by block pair and shingle, in; possible pairs of different components out, smaller name first.
-    Of two blocks only pairs across count: each block meets itself elsewhere."""
-
-    def pairs(n: np.ndarray, c: np.ndarray, comp: np.ndarray, side: np.ndarray, sigs: list[np.ndarray], found: set) -> Iterator[None]:
+    """Open lists, or pairs of blocks of them, sorted by group and size in; possible pairs of different components out, smaller
+    name first. Of two blocks only pairs across count: each block meets itself elsewhere. A pair counts in the first list
+    that both classes carry, so it is sent once unless their first shared list lies beyond what they carry."""
+
+    def first_shared(own: list[np.ndarray], i: np.ndarray, j: np.ndarray, h: int) -> np.ndarray:
+        out = np.ones(len(i), bool)
+        for k, (x, y) in enumerate(zip(i.tolist(), j.tolist(), strict=True)):
+            a, b = own[x], own[y]
+            at = np.searchsorted(b, a)
+            shared = a[(at < len(b)) & (b[np.minimum(at, len(b) - 1)] == a)]
+            out[k] = not len(shared) or shared[0] >= h
+        return out
+
+    def pairs(h: int, n: np.ndarray, c: np.ndarray, comp: np.ndarray, side: np.ndarray, carried: list[np.ndarray], sigs: list[np.ndarray], found: set) -> Iterator[None]:
         width = np.array([len(s) for s in sigs])
         for w in np.unique(width):
             near = np.flatnonzero((width == w) | (width == 2 * w))
@@ -234,12 +244,16 @@ def _across(percent: int):
                     ok = (comp[i][:, None] != comp[j][None, :]) & ((side[i][:, None] == 0) | (side[i][:, None] != side[j][None, :]))
                     low, high = np.minimum(n[i][:, None], n[j][None, :]), np.maximum(n[i][:, None], n[j][None, :])
                     ok &= 100 * low >= percent * high
+                    # of two classes of one width each pair comes up twice
+                    ok &= (width[j][None, :] != w) | (c[i][:, None] < c[j][None, :])
                     u, v = np.nonzero(ok)
                     if not len(u):
                         continue
                     differing = np.bitwise_count(rows[left[u]] ^ rows[right[v]]).sum(axis=1, dtype=np.int64)
                     good = possible(n[i[u]], n[j[v]], differing, percent)
-                    x, y = c[i[u[good]]], c[j[v[good]]]
+                    x, y = i[u[good]], j[v[good]]
+                    first = first_shared(carried, x, y, h)
+                    x, y = c[x[first]], c[y[first]]
                     found.update(zip(np.minimum(x, y).tolist(), np.maximum(x, y).tolist(), strict=True))
                     yield
 
@@ -258,12 +272,13 @@ def _across(percent: int):
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
         for batch in _groups(batches, 0):
-            g, c, n, comp, side = (batch.column(k).to_numpy() for k in range(5))
-            sigs = batch.column(5)
+            g, h, c, n, comp, side = (batch.column(k).to_numpy() for k in range(6))
+            lists, sigs = batch.column(6), batch.column(7)
             edges = np.flatnonzero(np.r_[True, g[1:] != g[:-1], True])
             for lo, hi in zip(edges[:-1], edges[1:], strict=True):
                 own = [np.frombuffer(sigs[i].as_buffer(), np.uint8) for i in range(lo, hi)]
-                for _ in pairs(n[lo:hi], c[lo:hi], comp[lo:hi], side[lo:hi], own, found):
+                carried = [lists[i].values.to_numpy() for i in range(lo, hi)]
+                for _ in pairs(int(h[lo]), n[lo:hi], c[lo:hi], comp[lo:hi], side[lo:hi], carried, own, found):
                     if len(found) > REMEMBERED:
                         yield from fresh()
             yield from fresh()
@@ -391,19 +406,19 @@ class JaccardJoin:
         return shared.join(joined.select(F.col("node").alias("c"), "component").hint("merge"), "c", "left").withColumn("component", F.coalesce("component", "c"))
 
     def _across(self, open_lists: DataFrame, signs: DataFrame) -> DataFrame:
-        """Possible pairs (a, b) across components. Lists of one least class meet in parts of about PART_ROWS rows, which send a
-        pair once each; a longer list is cut into blocks, and each pair of blocks is a group of its own."""
+        """Possible pairs (a, b) across components. A list is a group; a longer one is cut into blocks, and each pair of blocks
+        is a group."""
         open_lists = self.scratch.put(open_lists)
-        parts = open_lists.groupBy("lead").agg(F.ceil(F.count(F.lit(1)) / F.lit(PART_ROWS)).alias("parts"))
         blocks = open_lists.groupBy("h").agg(F.ceil(F.count(F.lit(1)) / F.lit(LIST_ROWS)).cast("int").alias("blocks"))
-        cut = open_lists.join(blocks.hint("merge"), "h").withColumn("own", F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int"))
-        cut = cut.join(parts.hint("merge"), "lead").join(signs.select("c", "sig").hint("merge"), "c")
+        carried = open_lists.groupBy("c").agg(F.slice(F.array_sort(F.collect_set("h")), 1, CARRIED).alias("carried"))
+        of_class = signs.select("c", "sig").join(carried.hint("merge"), "c")
+        cut = open_lists.join(blocks.hint("merge"), "h").withColumn("own", F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int")).join(of_class.hint("merge"), "c")
         met = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         low, high = F.least("own", "other"), F.greatest("own", "other")
-        list_ = F.when(F.col("blocks") > 1, F.xxhash64("h", low, high)).otherwise(F.col("h"))
+        group = F.when(F.col("blocks") > 1, F.xxhash64("h", low, high)).otherwise(F.col("h"))
         side = F.when(low != high, (F.col("own") == high).cast("int") + 1).otherwise(0)
-        met = met.select(list_.alias("g"), "c", "n", "component", side.alias("side"), "sig", "lead", F.when(F.col("blocks") > 1, list_).otherwise(F.pmod("h", "parts")).alias("part"))
-        dealt = met.repartition("lead", "part").sortWithinPartitions("g", "n", "c").select("g", "c", "n", "component", "side", "sig")
+        met = met.select(group.alias("g"), "h", "c", "n", "component", side.alias("side"), "carried", "sig")
+        dealt = met.repartition("g").sortWithinPartitions("g", "n", "c")
         return dealt.mapInArrow(_across(self.percent), "a long, b long").groupBy("a", "b").agg(F.lit(1).alias("one")).select("a", "b")
 
     def run(self, exact: bool = False) -> DataFrame:
@@ -456,9 +471,9 @@ class JaccardJoin:
             joined = put(components(known_links, scratch=self.scratch))
         placed = self._placed(shared, joined)
         # lists of several components; of lists with equal members one is enough
-        mixed = placed.groupBy("h").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("k"), F.bit_xor(F.xxhash64("c")).alias("who"), F.min("c").alias("lead")).filter("low <> high")
-        mixed = mixed.groupBy("k", "who").agg(F.min(F.struct("h", "lead")).alias("m")).select("m.h", "m.lead")
-        more = self._across(placed.join(mixed.hint("merge"), "h").select("h", "c", "n", "component", "lead"), signs)
+        mixed = placed.groupBy("h").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("k"), F.bit_xor(F.xxhash64("c")).alias("who")).filter("low <> high")
+        mixed = mixed.groupBy("k", "who").agg(F.min("h").alias("h")).select("h")
+        more = self._across(placed.join(mixed.hint("merge"), "h").select("h", "c", "n", "component"), signs)
         if tested is not None:
             more = more.join(tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).hint("merge"), ["a", "b"], "left_anti")
         more = put(more)

@@ -114,7 +114,7 @@ def test_substring_hot_anchor(spark, monkeypatch):
 
 def test_jaccard_blocks_of_lists(spark, monkeypatch):
     monkeypatch.setattr(jaccard_join, "LIST_ROWS", 6)
-    monkeypatch.setattr(jaccard_join, "PART_ROWS", 40)
+    monkeypatch.setattr(jaccard_join, "CARRIED", 5)
     monkeypatch.setattr(jaccard_join, "ROUNDS", 0)
     rows = [x for x in jaccard_fixture(5) if x[0] < 150 or x[0] > 900]
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.near_duplicate_groups(spark.createDataFrame(rows, DOCS).repartition(3)).collect()}
