@@ -73,10 +73,6 @@ def truncate(text: Column, most: int) -> Column:
     return F.when(F.length(flat) > most, F.concat(F.substring(flat, 1, most), F.lit("…"))).otherwise(flat)
 
 
-def clip(text: Column, most: int, mark: str = "\n…") -> Column:
-    return F.when(F.length(text) > most, F.concat(F.substring(text, 1, most), F.lit(mark))).otherwise(text)
-
-
 def number_words(n: Column) -> Column:
     """0 to 999 in words, others in digits."""
     ones, tens = F.lit(ONES), F.lit(TENS)
@@ -137,9 +133,3 @@ def strip_markup(text: Column) -> Column:
     for pattern, new in steps:
         text = F.regexp_replace(text, pattern, new)
     return text
-
-
-def tidy(text: Column) -> Column:
-    """The last step: single spaces, one blank line between paragraphs, no space before punctuation."""
-    lines = F.array_join(F.transform(F.split(text, "\n", -1), lambda x: strip(F.regexp_replace(x, r"[ \t]+", " "))), "\n")
-    return strip(F.regexp_replace(F.regexp_replace(lines, r"\n{3,}", "\n\n"), r" ([,.;:!?])", "$1"))

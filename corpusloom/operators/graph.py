@@ -335,10 +335,6 @@ def nearest_config(files: DataFrame, configs: DataFrame) -> DataFrame:
     return joined.groupBy("repo_id", "path").agg(F.max_by("scope", "depth").alias("scope"))
 
 
-def running_rank(df: DataFrame, by: list[str], order: list[Column], name: str = "rank") -> DataFrame:
-    return df.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
-
-
 # --- what manifests say about a repository ----------------------------------------------------------------------
 
 COMPILER = "compilerOptions struct<baseUrl:string,paths:map<string,array<string>>>"

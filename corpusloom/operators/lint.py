@@ -56,15 +56,20 @@ def _stems(parts: DataFrame) -> DataFrame:
 def repeats(parts: DataFrame, shared: int = 4, ratio: float = 0.7, near_ratio: float = 0.6, most: int = 8) -> DataFrame:
     """(conv, part, pos, sentence, twins, first_part, first_pos): sentences that repeat earlier ones, eight per part at most.
 
-    Sentences meet on the stems they share, within a conversation; the overlap is counted after the join, so no pair of
-    sentences without a common stem is ever made."""
+    Linked sentences share `shared` stems, so with the frequent stems of a conversation last in order, each has one of the
+    shared ones among its first n - shared + 1. Sentences meet on these only; the overlap is counted on what met."""
     s = _stems(parts)
     order = Window.partitionBy("conv").orderBy("part")
     last = parts.select("conv", "part", F.lag("part").over(order).alias("last"))
-    words = s.filter(F.col("n") > 0).select("conv", "part", "pos", "n", F.explode("stems").alias("stem"))
-    a = words.filter(F.col("n") >= 4)
-    b = words.select("conv", "stem", F.col("part").alias("part_b"), F.col("pos").alias("pos_b"), F.col("n").alias("n_b"))
-    pairs = a.join(b, ["conv", "stem"]).filter("part_b < part").groupBy("conv", "part", "pos", "n", "part_b", "pos_b", "n_b").agg(F.count(F.lit(1)).alias("k")).join(last, ["conv", "part"])
+    words = s.filter(F.col("n") >= shared).select("conv", "part", "pos", "n", F.explode("stems").alias("stem"))
+    frequent = words.groupBy("conv", "stem").agg(F.count(F.lit(1)).alias("df"))
+    rank = F.row_number().over(Window.partitionBy("conv", "part", "pos").orderBy("df", "stem"))
+    rare = words.join(frequent, ["conv", "stem"]).withColumn("r", rank).filter(F.col("r") <= F.col("n") - shared + 1).select("conv", "part", "pos", "stem")
+    b = rare.select("conv", "stem", F.col("part").alias("part_b"), F.col("pos").alias("pos_b"))
+    met = rare.join(b, ["conv", "stem"]).filter("part_b < part").select("conv", "part", "pos", "part_b", "pos_b").distinct()
+    held = s.select("conv", "part", "pos", "n", "stems")
+    both = met.join(held, ["conv", "part", "pos"]).join(held.select("conv", F.col("part").alias("part_b"), F.col("pos").alias("pos_b"), F.col("n").alias("n_b"), F.col("stems").alias("stems_b")), ["conv", "part_b", "pos_b"])
+    pairs = both.withColumn("k", F.size(F.array_intersect("stems", "stems_b"))).drop("stems", "stems_b").join(last, ["conv", "part"])
     need = F.when(F.col("part_b") == F.col("last"), near_ratio).otherwise(ratio)
     twins = pairs.filter((F.col("k") >= shared) & (F.col("k") / F.greatest(F.lit(1), F.least("n", "n_b")) >= need))
     found = twins.groupBy("conv", "part", "pos").agg(F.array_sort(F.collect_set("part_b")).alias("twins"), F.min(F.struct("part_b", "pos_b")).alias("first"))

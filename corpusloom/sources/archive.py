@@ -53,10 +53,13 @@ def entries(data: bytes, max_read: int = MAX_READ, max_inflated: int = MAX_INFLA
 
 
 def read_archives(spark: SparkSession, path: str, max_read: int = MAX_READ) -> DataFrame:
-    """All archives under a path, one task per archive; a bad or too large archive is a row with an error."""
+    """All archives under a path, one task per archive; a bad or too large archive is a row with an error. The length
+    comes from the listing, so too large ones are never read."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{tar,tgz,gz}").load(path)
-    repo = F.regexp_replace(F.regexp_extract("path", r"([^/]+)$", 1), r"\.(tar\.gz|tgz|tar|gz)$", "")
-    return read_entries(files.select(repo.alias("repo_id"), "content"), max_read)
+    repo = F.regexp_replace(F.regexp_extract("path", r"([^/]+)$", 1), r"\.(tar\.gz|tgz|tar|gz)$", "").alias("repo_id")
+    none = lambda kind: F.lit(None).cast(kind)
+    large = files.filter(F.col("length") > MAX_ARCHIVE).select(repo, F.lit(-1).cast("long").alias("seq"), none("string").alias("path"), none("long").alias("size"), none("binary").alias("bytes"), F.lit("too_large").alias("error"))
+    return read_entries(files.filter(F.col("length") <= MAX_ARCHIVE).select(repo, "content"), max_read).unionByName(large)
 
 
 def read_entries(archives: DataFrame, max_read: int = MAX_READ) -> DataFrame:

@@ -171,3 +171,14 @@ def test_streamed_states_equal_batch(spark, tmp_path):
     want = {(r["run_id"], r["section_id"]): (r["status"], r["seq"], r["n_events"]) for r in R.latest_states(spark.read.parquet(src)).collect()}
     assert {k: (r["status"], r["seq"], r["n_events"]) for k, r in last.items()} == want
     assert R.progress(R.latest_states(spark.read.parquet(src))).first()["n_sections"] == 3
+
+
+def test_flags_are_folded(spark):
+    rows = [("c", 1, i, f"m{i % 25}") for i in range(60)] + [("c", 2, 0, "x"), ("c", 2, 1, "x")]
+    out = L.fold_flags(spark.createDataFrame(rows, "conv string, part int, ord int, message string")).collect()
+    assert [r["message"] for r in sorted(out, key=lambda r: (r["part"], r["ord"]))] == [f"m{i}" for i in range(20)] + ["x"]
+
+
+def test_windowed_counts(spark):
+    df = spark.sql("select timestamp'2024-01-01 00:10:00' ts, 'a' type union all select timestamp'2024-01-01 00:50:00', 'a' union all select timestamp'2024-01-01 01:10:00', 'b'")
+    assert sorted((r["type"], r["n"]) for r in R.windowed_counts(df).collect()) == [("a", 2), ("b", 1)]
