@@ -132,7 +132,38 @@ def narration_input(sections: DataFrame, files: DataFrame, length: str = "medium
 
 
 def tree_outline(files: DataFrame, most: int = 180) -> DataFrame:
-    """(repo_id, line, path): folders and files in natural order, the first lines of each repository."""
-    names = files.select("repo_id", "path", P.dirname(F.col("path")).alias("dir"))
-    order = Window.partitionBy("repo_id").orderBy(PL.natural_key(F.col("dir")), PL.natural_key(F.col("path")), "path")
-    return names.withColumn("line", F.row_number().over(order)).filter(F.col("line") <= most).select("repo_id", "line", "path")
+    """(repo_id, line, text): an indented outline, folders before files, both in natural order; a folder that holds only
+    one folder shares its line. Beyond most lines a last one counts the files that are not shown.
+
+    Every node, folder or file, is a row that knows its ancestors; which of these share a line is one aggregation."""
+    segments = P.segments(F.col("path"))
+    heads = F.transform(F.sequence(F.lit(1), F.size(segments)), lambda n: F.array_join(F.slice(segments, F.lit(1), n), "/"))
+    nodes = files.select("repo_id", F.posexplode(heads).alias("i", "node"), (F.size(segments) - 1).alias("last"))
+    nodes = nodes.groupBy("repo_id", "node").agg(F.max((F.col("i") < F.col("last")).cast("int")).alias("is_dir"))
+    parent = P.dirname(F.col("node"))
+    chained = nodes.filter(parent != "").groupBy("repo_id", parent.alias("above")).agg(F.count(F.lit(1)).alias("n"), F.min("is_dir").alias("dirs")).filter("n = 1 AND dirs = 1").select("repo_id", "above")
+    own = P.segments(F.col("node"))
+    above = F.transform(F.sequence(F.lit(1), F.greatest(F.size(own) - 1, F.lit(1))), lambda n: F.array_join(F.slice(own, F.lit(1), n), "/"))
+    listed = nodes.join(chained.withColumnRenamed("above", "node").withColumn("shares", F.lit(True)), ["repo_id", "node"], "left").filter("shares IS NULL").drop("shares")
+    ancestors = listed.filter(F.size(own) > 1).select("repo_id", "node", F.posexplode(above).alias("i", "above"))
+    shared = ancestors.join(chained.withColumn("shares", F.lit(1)), ["repo_id", "above"], "left")
+    # the line's name starts after the last ancestor that has a line of its own
+    facts = shared.groupBy("repo_id", "node").agg(F.sum(F.when(F.col("shares").isNull(), 1).otherwise(0)).alias("depth"), F.max(F.when(F.col("shares").isNull(), F.length("above") + 1)).alias("skip"))
+    whole = listed.join(facts, ["repo_id", "node"], "left").na.fill(0, ["depth", "skip"])
+    key = F.transform(own, lambda x, i: F.struct(((i == F.size(own) - 1) & (F.col("is_dir") == 0)).cast("int").alias("file"), PL.natural_key(x).alias("key"), x.alias("name")))
+    ordered = whole.withColumn("line", F.row_number().over(Window.partitionBy("repo_id").orderBy(key)))
+    name = F.expr("concat(repeat('  ', cast(depth as int)), substring(node, cast(skip as int) + 1), if(is_dir = 1, '/', ''))")
+    shown = ordered.filter(F.col("line") <= most).select("repo_id", "line", name.alias("text"))
+    hidden = ordered.filter((F.col("line") > most) & (F.col("is_dir") == 0)).groupBy("repo_id").agg(F.count(F.lit(1)).alias("n"))
+    return shown.unionByName(hidden.select("repo_id", F.lit(most + 1).alias("line"), F.concat(F.lit("(and "), F.col("n").cast("string"), F.lit(" more files)")).alias("text")))
+
+
+def open_folders(files: DataFrame, small: int = 60, large: int = 250) -> DataFrame:
+    """(repo_id, dir): folders that are open at first: all of a small repository, the upper two levels or the first of
+    larger ones. files: repo_id, path."""
+    total = files.groupBy("repo_id").agg(F.count(F.lit(1)).alias("total"))
+    segments = P.segments(F.col("path"))
+    heads = F.when(F.size(segments) > 1, F.transform(F.sequence(F.lit(1), F.greatest(F.size(segments) - 1, F.lit(1))), lambda n: F.array_join(F.slice(segments, F.lit(1), n), "/")))
+    dirs = files.select("repo_id", F.explode(heads).alias("dir")).distinct().join(total, "repo_id")
+    levels = F.when(F.col("total") <= small, F.lit(2**31 - 1)).when(F.col("total") <= large, 2).otherwise(1)
+    return dirs.filter(F.size(F.split("dir", "/")) <= levels).select("repo_id", "dir")

@@ -66,7 +66,7 @@ def test_tour_and_narration(spark):
     assert {r["chapter"] for r in rows} <= {"start", "core", "interface", "support", "setup"}
     out = N.narrate(PT.narration_input(sections, got.files), N.StubWriter()).collect()
     assert {r["status"] for r in out} == {"done"} and len(out) == len(ids)
-    assert PT.tree_outline(got.files, 3).count() == 3
+    assert [r["text"] for r in PT.tree_outline(got.files, 3).orderBy("line").collect()] == ["src/", "  lib/", "    store.ts", "(and 9 more files)"]
 
 
 CATEGORIES = {"src/index.js": "entry", "src/main.jsx": "entry"}
@@ -157,3 +157,39 @@ def test_depth_first_order_by_hand(spark, sf_dir):
     assert {k: v for k, v in got.items() if v is not None} == want
     text = "require('./b');\nimport './a';\nexport { x } from './c';\nconst y = import('./d');"
     assert spark.sql("select 1").select(G.js_specifiers(F.lit(text)).alias("s")).first()["s"] == ["./b", "./a", "./c", "./d"]
+
+
+def test_outline_by_hand(spark):
+    import random
+
+    rng = random.Random(3)
+    names = ["a", "B", "c2", "c10", "src"]
+    paths = sorted({"/".join([*(rng.choice(names) for _ in range(rng.randrange(5))), rng.choice(["x", "Y", "z10", "z2"]) + ".ts"]) for _ in range(60)})
+    root: dict = {}
+    for p in paths:
+        at = root
+        *folders, file = p.split("/")
+        for f in folders:
+            at = at.setdefault(f, {})
+        at[file] = None
+    import re
+
+    natural = lambda s: re.sub(r"\d+", lambda m: m[0].rjust(20, "0"), s.lower())
+    lines: list[str] = []
+
+    def walk(node, depth):
+        for name, below in sorted(node.items(), key=lambda x: (x[1] is None, natural(x[0]), x[0])):
+            while below is not None and len(below) == 1 and next(iter(below.values())) is not None:
+                only = next(iter(below))
+                name, below = f"{name}/{only}", below[only]
+            lines.append("  " * depth + name + ("/" if below is not None else ""))
+            if below is not None:
+                walk(below, depth + 1)
+
+    walk(root, 0)
+    files = spark.createDataFrame([("r", p) for p in paths], "repo_id string, path string")
+    assert [r["text"] for r in PT.tree_outline(files, 500).orderBy("line").collect()] == lines
+    short = [r["text"] for r in PT.tree_outline(files, 5).orderBy("line").collect()]
+    left = sum(not x.endswith("/") for x in lines[5:])
+    assert short == [*lines[:5], f"(and {left} more files)"]
+    assert {r["dir"] for r in PT.open_folders(files, small=1, large=10**6).collect()} == {"/".join(p.split("/")[:k]) for p in paths for k in (1, 2) if len(p.split("/")) > k}
