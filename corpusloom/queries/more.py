@@ -155,7 +155,7 @@ def n11_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def n10_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = _parts(spark, sf_dir).select("conv", F.col("part").alias("ord"), F.lit("a").alias("chapter"), F.lit("").alias("chapter_title"), F.lit("").alias("bridge"), F.concat(F.lit("Turn "), F.col("part").cast("string")).alias("title"), F.lit("Body.").alias("body"), F.array(F.lit("x.ts"), F.lit("y.ts")).alias("paths"))
+    p = _parts(spark, sf_dir).select("conv", F.col("part").alias("ord"), F.lit("a").alias("chapter"), F.lit("").alias("chapter_title"), F.lit("").alias("bridge"), F.concat(F.lit("Turn "), F.col("part").cast("string")).alias("title"), "body", F.array(F.lit("x.ts"), F.lit("y.ts")).alias("paths"))
     tours = p.select("conv").distinct().select("conv", F.lit("Demo").alias("title"), F.lit("[o/r](u)").alias("link"), F.lit("m").alias("model"), F.lit("2024-03-05").cast("timestamp").alias("created_at"), F.lit("All.").alias("overview"), F.lit("").alias("closing"), F.array().cast("array<string>").alias("missing"))
     return A.markdown(p, tours)
 
@@ -208,8 +208,8 @@ ORACLES = {
     "t12_elide": "SELECT doc_id, CASE WHEN doc_id % 5 + 1 > 3 THEN 'p1, p2, p3 and ' || (doc_id % 5 - 2) || ' more' ELSE array_to_string(list_transform(range(1, doc_id % 5 + 2), lambda i: 'p' || i), ', ') END AS shown, greatest(5, floor(doc_id * 37 / 150.0::DOUBLE / 5 + 0.5) * 5)::INT AS minutes FROM documents",
     "n6_narrate": "SELECT conv_id::VARCHAR AS run_key, 's' || turn AS section_id, 'done' AS status, 'part' || turn AS title FROM conversations",
     "n11_resume": "SELECT conv_id::VARCHAR AS run_key, 's' || turn AS section_id FROM conversations WHERE turn % 2 = 1",
-    "n10_markdown": f"""WITH {PARTS_SQL}, n AS (SELECT conv, part, row_number() OVER (PARTITION BY conv ORDER BY part) AS k FROM parts),
-      b AS (SELECT conv, string_agg('## ' || k || '. Turn ' || part || chr(10) || chr(10) || '`x.ts` · `y.ts`' || chr(10) || chr(10) || 'Body.', chr(10) || chr(10) ORDER BY part) AS t FROM n GROUP BY conv)
+    "n10_markdown": f"""WITH {PARTS_SQL}, n AS (SELECT conv, part, body, row_number() OVER (PARTITION BY conv ORDER BY part) AS k FROM parts),
+      b AS (SELECT conv, string_agg('## ' || k || '. Turn ' || part || chr(10) || chr(10) || '`x.ts` · `y.ts`' || chr(10) || chr(10) || trim(body), chr(10) || chr(10) ORDER BY part) AS t FROM n GROUP BY conv)
       SELECT conv, '# Demo' || chr(10) || chr(10) || '*A spoken walkthrough of [o/r](u), written with `m` on March 5, 2024.*' || chr(10) || chr(10) || '## The big picture' || chr(10) || chr(10) || 'All.' || chr(10) || chr(10) || t || chr(10) AS markdown FROM b""",
     "a14_progress": """WITH l AS (SELECT user_id % 50 AS run_id, user_id, ['section-start', 'section-done', 'section-failed'][(max(event_id) % 3 + 1)::INT] AS s FROM events GROUP BY ALL)
       SELECT run_id, count(*) FILTER (s = 'section-start') AS n_section_start, count(*) FILTER (s = 'section-done') AS n_section_done, count(*) FILTER (s = 'section-failed') AS n_section_failed, count(*) AS n_sections FROM l GROUP BY run_id""",

@@ -322,15 +322,15 @@ def w9_disambiguate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def n10_script(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = _parts(spark, sf_dir).select("conv", F.col("part").alias("ord"), F.col("chapter"), F.concat(F.lit("About "), "chapter").alias("chapter_title"), F.lit("").alias("bridge"), F.concat(F.lit("Turn "), F.col("part").cast("string")).alias("title"), F.lit("Body.").alias("body"))
+    p = _parts(spark, sf_dir).select("conv", F.col("part").alias("ord"), F.col("chapter"), F.concat(F.lit("About "), "chapter").alias("chapter_title"), F.lit("").alias("bridge"), F.concat(F.lit("Turn "), F.col("part").cast("string")).alias("title"), "body")
     tours = p.select("conv").distinct().select("conv", F.lit("demo").alias("name"), F.lit("The overview.").alias("overview"), F.lit("The end.").alias("closing"))
     return A.listening_script(p, tours)
 
 
-N10_SQL = f"""WITH {PARTS_SQL}, f AS (SELECT conv, part, chapter, lag(chapter) OVER w IS NULL OR lag(chapter) OVER w <> chapter AS fst, row_number() OVER w AS num FROM parts WINDOW w AS (PARTITION BY conv ORDER BY part)),
+N10_SQL = f"""WITH {PARTS_SQL}, f AS (SELECT conv, part, chapter, body, lag(chapter) OVER w IS NULL OR lag(chapter) OVER w <> chapter AS fst, row_number() OVER w AS num FROM parts WINDOW w AS (PARTITION BY conv ORDER BY part)),
 r AS (SELECT *, sum(fst::INT) OVER (PARTITION BY conv ORDER BY part) AS run FROM f), z AS (SELECT *, count(*) OVER (PARTITION BY conv, run) AS k FROM r),
 w AS (SELECT *, {_ONES} AS ones FROM z),
-b AS (SELECT conv, string_agg(CASE WHEN fst THEN 'Chapter ' || ones[(run + 1)::INT] || '. About ' || chapter || '.' || chr(10) || chr(10) ELSE '' END || CASE WHEN k > 1 THEN 'Part ' || ones[(num + 1)::INT] || '. Turn ' || part || '.' || chr(10) || chr(10) ELSE '' END || 'Body.', chr(10) || chr(10) ORDER BY part) AS t FROM w GROUP BY conv)
+b AS (SELECT conv, string_agg(CASE WHEN fst THEN 'Chapter ' || ones[(run + 1)::INT] || '. About ' || chapter || '.' || chr(10) || chr(10) ELSE '' END || CASE WHEN k > 1 THEN 'Part ' || ones[(num + 1)::INT] || '. Turn ' || part || '.' || chr(10) || chr(10) ELSE '' END || trim(body), chr(10) || chr(10) ORDER BY part) AS t FROM w GROUP BY conv)
 SELECT conv, 'A guided tour of demo.' || chr(10) || chr(10) || 'The overview.' || chr(10) || chr(10) || t || chr(10) || chr(10) || '{A.LAST_STOP}' || chr(10) || chr(10) || 'The end.' || chr(10) AS script FROM b"""
 
 

@@ -193,3 +193,25 @@ def test_outline_by_hand(spark):
     left = sum(not x.endswith("/") for x in lines[5:])
     assert short == [*lines[:5], f"(and {left} more files)"]
     assert {r["dir"] for r in PT.open_folders(files, small=1, large=10**6).collect()} == {"/".join(p.split("/")[:k]) for p in paths for k in (1, 2) if len(p.split("/")) > k}
+
+
+def test_chunks_end_where_they_should():
+    import random
+
+    from corpusloom.operators.plan import chunk_text
+
+    rng = random.Random(8)
+    for _ in range(1500):
+        text = "\n".join(rng.choice(["", "  ", "x" * rng.randrange(30), " y" * rng.randrange(9), "zz"]) for _ in range(rng.randrange(1, 40)))
+        most, lines = rng.choice([1, 5, 20, 50, 100]), text.split("\n")
+        pieces = chunk_text(text, most)
+        assert "\n".join(p["text"] for p in pieces) == text and [p["index"] for p in pieces] == list(range(len(pieces)))
+        if len(text) <= most:
+            assert len(pieces) == 1
+            continue
+        for p in pieces:
+            start, end = p["start_line"] - 1, p["end_line"]
+            size = lambda upto, start=start: sum(len(x) + 1 for x in lines[start:upto])
+            furthest = max([k for k in range(start + 1, len(lines) + 1) if size(k) <= most], default=start + 1)
+            good = [k for k in range(start + 1, min(furthest, len(lines) - 1) + 1) if 0.6 * most < size(k) and not lines[k - 1].strip() and lines[k][:1].strip()]
+            assert end == (furthest if furthest == len(lines) or not good else good[-1])
