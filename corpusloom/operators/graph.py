@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
+import uuid
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -271,14 +271,18 @@ def promote_scripts(files: DataFrame, edges: DataFrame, max_rounds: int = 100) -
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the folder that the cluster names, or a local one where it names none."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        named = sc.getConf().get("spark.checkpoint.dir")
-        if not named and not sc.master.split("[")[0] == "local":
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        sc.setCheckpointDir(named or "file:///tmp/checkpoints/corpusloom")
-    return df.checkpoint()
+    """The same rows from a table in the folder that the cluster names, or a local one where it names none: lineage ends there,
+    each row is computed once, and readers take the columns that they need. The tables go when the driver ends."""
+    spark = df.sparkSession
+    sc = spark.sparkContext
+    named = sc.getConf().get("spark.checkpoint.dir")
+    if not named and sc.master.split("[")[0] != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    path = f"{(named or 'file:///tmp/checkpoints/corpusloom').rstrip('/')}/step-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    at = sc._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def dependencies(files: DataFrame, keys: tuple[str, ...] = ("dependencies", "devDependencies", "peerDependencies")) -> DataFrame:

@@ -11,6 +11,8 @@ from corpusloom.functions import paths as P
 from corpusloom.operators import graph as G
 from corpusloom.operators import links as K
 from corpusloom.operators import plan as PL
+from corpusloom.operators import related as RL
+from corpusloom.operators import stack as ST
 
 
 CODE = ("entry", "route", "core", "component", "helper")
@@ -116,8 +118,9 @@ def with_siblings(sections: DataFrame, rare: DataFrame, screens: DataFrame) -> D
     return PL.move_siblings(marked, sized.filter((F.col("shared") >= 3) & (F.col("shared") >= 0.5 * F.least("n", "m"))))
 
 
-def narration_input(sections: DataFrame, files: DataFrame, length: str = "medium") -> DataFrame:
-    """Sections with chunks of source and word targets, ready for narrate: run_key, section_id, ord, label, chunks, lo, hi."""
+def narration_input(sections: DataFrame, files: DataFrame, length: str = "medium", edges: DataFrame | None = None) -> DataFrame:
+    """Sections with chunks of source and word targets, ready for narrate: run_key, section_id, ord, kind, label,
+    chunks, lo, hi. With edges the last chunk is followed by related code from other files (T7, N14)."""
     budget = C.BUDGETS[length]
     content = files.select("repo_id", "path", "content", "lines")
     first = sections.select("repo_id", "section_id", "ord", "kind", "depth", "paths", F.posexplode(F.slice("paths", 1, PL.MAX_SHOWN)).alias("pos", "path")).join(content, ["repo_id", "path"])
@@ -125,10 +128,34 @@ def narration_input(sections: DataFrame, files: DataFrame, length: str = "medium
     alone = PL.chunked(first.filter("kind = 'file'"), budget["chunk_chars"]).filter("depth <> 'brief' OR chunk.index = 0")
     alone = alone.groupBy("repo_id", "section_id", "ord", "depth", "lines").agg(F.array_sort(F.collect_list(F.struct("chunk.index", "chunk.text"))).alias("c"), F.first("path").alias("label"))
     bounds = lambda i: F.when(F.col("depth") == "major", budget["major"][i]).when(F.col("depth") == "full", budget["full"][i]).otherwise(budget["brief"][i])
-    alone = alone.withColumn("t", PL.word_target(bounds(0), bounds(1), F.col("lines"))).select(F.col("repo_id").alias("run_key"), "section_id", "ord", "label", F.col("c.text").alias("chunks"), "t.lo", "t.hi")
-    grouped = first.filter("kind = 'group'").groupBy("repo_id", "section_id", "ord").agg(F.array_sort(F.collect_list(F.struct("pos", F.concat("path", F.lit("\n"), F.substring(F.col("content"), F.lit(1), share)).alias("text")))).alias("c"))
-    grouped = grouped.select(F.col("repo_id").alias("run_key"), "section_id", "ord", F.col("section_id").alias("label"), F.array(F.array_join("c.text", "\n\n")).alias("chunks"), F.lit(budget["group"][0]).alias("lo"), F.lit(budget["group"][1]).alias("hi"))
-    return alone.unionByName(grouped)
+    alone = alone.withColumn("t", PL.word_target(bounds(0), bounds(1), F.col("lines"))).select("repo_id", "section_id", "ord", F.lit("file").alias("kind"), "label", F.col("c.text").alias("chunks"), "t.lo", "t.hi")
+    grouped = first.filter("kind = 'group'").groupBy("repo_id", "section_id", "ord").agg(F.array_sort(F.collect_list(F.struct("pos", F.concat("path", F.lit("\n"), F.substring(F.col("content"), F.lit(1), share)).alias("text")))).alias("c"), F.first("paths").alias("paths"))
+    grouped = grouped.select("repo_id", "section_id", "ord", F.lit("group").alias("kind"), PL.section_label(F.col("section_id"), F.col("paths")).alias("label"), F.array(F.array_join("c.text", "\n\n")).alias("chunks"), F.lit(budget["group"][0]).alias("lo"), F.lit(budget["group"][1]).alias("hi"))
+    out = alone.unionByName(grouped)
+    if edges is not None:
+        code = files.select("repo_id", "path", "category", "content")
+        rare, inner = G.checkpointed(rare_names_of(code)), G.kept_edges(edges, code).select("repo_id", "src", "dst")
+        of_file = RL.related_excerpts(code, rare, inner, total=budget["related_chars"]).withColumn("section_id", F.concat(F.lit("file:"), "path"))
+        of_group = RL.group_excerpts(sections.filter("kind = 'group'").select("repo_id", "section_id", "paths"), code, rare, inner, budget["related_chars"])
+        columns = ["repo_id", "section_id", "ord", "other", "why", "text"]
+        found = of_file.select(*columns).unionByName(of_group.select(*columns))
+        said = F.concat("other", F.lit(" ("), "why", F.lit("):\n"), "text")
+        listed = found.groupBy("repo_id", "section_id").agg(F.array_sort(F.collect_list(F.struct(F.col("ord").alias("i"), said.alias("s")))).alias("r")).select("repo_id", "section_id", F.array_join("r.s", "\n\n").alias("related"))
+        out = out.join(G.checkpointed(listed), ["repo_id", "section_id"], "left")
+        n = F.size("chunks")
+        more = F.transform("chunks", lambda c, i: F.when((i == n - 1) & F.col("related").isNotNull(), F.concat(c, F.lit("\n\nRelated code:\n"), "related")).otherwise(c))
+        out = out.withColumn("chunks", more).drop("related")
+    return out.withColumnRenamed("repo_id", "run_key")
+
+
+def tour_facts(files: DataFrame, readmes: DataFrame) -> DataFrame:
+    """(run_key, facts): languages and dependencies, the terms to explain once, tests, and the README's opening."""
+    deps = G.checkpointed(ST.manifest_dependencies(files))
+    terms = ST.core_terms(files, deps).groupBy("repo_id").agg(F.array_sort(F.collect_list(F.struct("ord", "term"))).alias("t"))
+    opening = files.join(readmes.select("repo_id", F.col("readme_path").alias("path")), ["repo_id", "path"]).select("repo_id", F.concat(F.lit("README:\n"), ST.clean_readme(F.col("content"))).alias("readme"))
+    both = ST.stack_lines(files, deps).join(terms, "repo_id", "left").join(ST.tests_fact(files), "repo_id", "left").join(opening, "repo_id", "left")
+    listed = F.when(F.size("t") > 0, F.concat(F.lit("Terms to explain once: "), F.array_join("t.term", ", "), F.lit(".")))
+    return both.select(F.col("repo_id").alias("run_key"), F.concat_ws("\n", F.when(F.col("stack") != "", F.col("stack")), listed, "fact", "readme").alias("facts"))
 
 
 def tree_outline(files: DataFrame, most: int = 180) -> DataFrame:

@@ -64,8 +64,12 @@ def test_tour_and_narration(spark):
     assert len(told) == len(set(told)) and "README.md" not in told and {"src/lib/store.ts", "src/App.tsx", "tools/go.ts"} <= set(told)
     assert rows[0]["chapter_title"] == "Where it all starts"
     assert {r["chapter"] for r in rows} <= {"start", "core", "interface", "support", "setup"}
-    out = N.narrate(PT.narration_input(sections, got.files), N.StubWriter()).collect()
+    ready = PT.narration_input(sections, got.files, edges=got.edges).cache()
+    out = N.narrate(ready, N.StubWriter()).collect()
     assert {r["status"] for r in out} == {"done"} and len(out) == len(ids)
+    assert "Related code:\nsrc/App.tsx (is used by this file" in next(r["chunks"][-1] for r in ready.collect() if r["section_id"] == "file:src/main.ts")
+    facts = PT.tour_facts(got.files, got.readmes).first()["facts"]
+    assert facts.startswith("Languages: TypeScript (66%), TypeScript + React (34%).\nMain dependencies: next.\nTerms to explain once: ") and "the repository has 1 test file." in facts and facts.endswith("README:\n# Demo")
     assert [r["text"] for r in PT.tree_outline(got.files, 3).orderBy("line").collect()] == ["src/", "  lib/", "    store.ts", "(and 9 more files)"]
 
 
