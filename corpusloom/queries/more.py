@@ -91,10 +91,28 @@ def x17_endpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def l5_tier_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = _planned(spark, sf_dir).dropDuplicates(["repo_id", "path"]).withColumn("tier_kind", F.lit("route")).withColumn("n_importers", F.lit(0)).withColumn("reach", F.lit(None).cast("int"))
+    """All comparators: tiers, importers, lines and reach vary by id, a third of the files is never reached."""
+    k = F.col("seq")
+    f = _planned(spark, sf_dir).groupBy("repo_id", "path").agg(F.min("seq").alias("seq"))
+    f = f.select(
+        "repo_id", "path", F.element_at(F.lit(["entry", "route", "core", "component", "helper"]), (k % 5 + 1).cast("int")).alias("tier_kind"), (k % 97).cast("int").alias("importance"),
+        (k % 13 * 5).cast("int").alias("lines"), (k % 4).cast("int").alias("n_importers"), F.when(k % 3 > 0, (k * 7 % 101).cast("int")).alias("reach"),
+    )
     return PL.tier_order(f).select("repo_id", "path", "ord")
 
 
+L5_SQL = r"""u AS (SELECT repo_id, path, min(seq) AS seq FROM planned GROUP BY ALL),
+f AS (SELECT repo_id, path, ['entry', 'route', 'core', 'component', 'helper'][(seq % 5 + 1)::INT] AS kind, seq % 97 AS importance, seq % 13 * 5 AS lines, seq % 4 AS n, CASE WHEN seq % 3 > 0 THEN seq * 7 % 101 END AS reach,
+  CASE WHEN contains(path, '/') THEN array_to_string(string_split(regexp_replace(path, '/[^/]*$', ''), '/')[1:2], '/') ELSE '' END AS folders FROM u),
+k AS (SELECT *, kind = 'component' AND reach IS NULL AS late, CASE WHEN kind IN ('entry', 'route') OR (kind = 'component' AND reach IS NOT NULL) THEN '' ELSE folders END AS cluster,
+  CASE kind WHEN 'entry' THEN CASE WHEN regexp_matches(path, '(^|/)layout\.[jt]sx?$') THEN 0 WHEN regexp_matches(path, '(^|/)page\.[jt]sx?$') THEN 1 WHEN regexp_matches(path, '\.html?$') THEN 3 ELSE 2 END
+    WHEN 'route' THEN (regexp_matches(path, '(^|/)api/') OR regexp_matches(path, '(^|/)route\.[jt]s$'))::INT ELSE 0 END AS k1,
+  CASE WHEN kind IN ('entry', 'component') THEN coalesce(reach, 2147483647) ELSE 0 END AS k2, CASE WHEN kind = 'core' THEN -(n * CASE WHEN lines >= 15 THEN 1.0::DOUBLE ELSE 0.3::DOUBLE END) ELSE 0 END AS k3, CASE WHEN kind = 'route' THEN 0 ELSE -importance END AS k4 FROM f),
+i AS (SELECT *, row_number() OVER (PARTITION BY repo_id, kind, late, cluster ORDER BY k1, k2, k3, k4, path) AS i, max(importance) OVER (PARTITION BY repo_id, kind, late, cluster) AS top FROM k),
+l AS (SELECT *, first_value(path) OVER (PARTITION BY repo_id, kind, late, cluster ORDER BY i) AS lead FROM i)
+SELECT repo_id, path, (row_number() OVER (PARTITION BY repo_id, kind ORDER BY late, top DESC, lead, i))::INT AS ord FROM l"""
+
+
 def l8_group_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = PL.group_sections(PL.split_groups(_planned(spark, sf_dir)))
     return g.select("repo_id", "section_id", "chapter", F.size("paths").alias("n"), F.get("paths", 0).alias("first"))
@@ -196,8 +214,7 @@ ORACLES = {
     "x3_polish": "SELECT doc_id, 'The list ' || doc_id || ' grows. It works. It saves toward the end of the file.' AS spoken FROM documents",
     "x4_paragraphs": r"SELECT doc_id, md5(array_to_string(list_filter(list_transform(string_split_regex(text || chr(10) || chr(10) || chr(10) || '  last' || chr(10) || 'line ', '\n{2,}'), lambda p: trim(regexp_replace(p, '\n+', ' ', 'g'))), lambda p: p <> ''), chr(10) || chr(10))) AS text_md5 FROM documents",
     "x17_endpoints": "SELECT page_id, 'https://api' || page_id || '.x.com/v1' AS base, 'https://api' || page_id || '.x.com/v1/chat/completions' AS endpoint FROM pages",
-    "l5_tier_order": f"""WITH {_plan_sql()}, u AS (SELECT DISTINCT repo_id, path FROM planned)
-      SELECT repo_id, path, row_number() OVER (PARTITION BY repo_id ORDER BY CASE WHEN regexp_matches(path, '(^|/)api/') OR regexp_matches(path, '(^|/)route\\.[jt]s$') THEN 1 ELSE 0 END, path)::INT AS ord FROM u""",
+    "l5_tier_order": f"WITH {_plan_sql()}, {L5_SQL}",
     "l8_group_sections": f"""WITH {_plan_sql()} SELECT repo_id, 'group:' || group_kind AS section_id, CASE group_kind WHEN 'ui-kit' THEN 'interface' WHEN 'migrations' THEN 'core' WHEN 'config' THEN 'setup' WHEN 'tests' THEN 'setup' WHEN 'docs' THEN 'setup' ELSE 'support' END AS chapter,
       least(90, count(*))::INT AS n, arg_min(path, (-importance, path)) AS first FROM groups WHERE group_kind IS NOT NULL GROUP BY repo_id, group_kind""",
     "l11_merge_chapters": f"""WITH {PARTS_SQL}, c AS (SELECT conv AS repo_id, part AS ord, CASE WHEN part = 1 THEN 'support' WHEN part < 4 THEN 'setup' ELSE 'core' END AS chapter FROM parts),
