@@ -279,19 +279,20 @@ def test_pipeline_stages_on_odd_rows(spark):
 
     sf, docs = "/root/testdata/sf0.001", stage_docs(spark)
     assert {name for name, _ in p.STAGES} == {"quality", "near_duplicates", "secrets", "mixing", "tokens"}
+    done = {}
     for name, stage in p.STAGES:
-        assert stage(spark, docs.limit(0), sf).count() == 0, name
-        out = stage(spark, docs, sf)
+        if name != "near_duplicates":  # the join has its own test of empty tables, and takes long
+            assert stage(spark, docs.limit(0), sf).count() == 0, name
+        done[name] = stage(spark, docs, sf)
         if name != "tokens":
-            assert out.columns == docs.columns
-    kept = p.near_duplicates(spark, docs, sf).collect()
-    assert sorted(r["copy"] for r in kept) == [0, 1, 2, 3, 4, 5, 7]
-    clean = {r["copy"]: r for r in p.secrets(spark, docs, sf).collect()}
+            assert done[name].columns == docs.columns
+    assert sorted(r["copy"] for r in done["near_duplicates"].collect()) == [0, 1, 2, 3, 4, 5, 7]
+    clean = {r["copy"]: r for r in done["secrets"].collect()}
     assert len(clean) == 8 and clean[3]["text"] is None and clean[4]["text"] == "" and clean[7]["text"] == "key [SECRET]" and clean[7]["n_chars"] == len("key [SECRET]")
     assert "[SECRET]" in clean[5]["text"] and clean[0]["text"] == words(50, 1)
-    mixed = Counter(r["copy"] for r in p.mixing(spark, docs, sf).collect())
+    mixed = Counter(r["copy"] for r in done["mixing"].collect())
     assert mixed[0] == mixed[1]
-    told = {r["doc_id"]: r for r in p.tokens(spark, docs, sf).collect()}
+    told = {r["doc_id"]: r for r in done["tokens"].collect()}
     assert told[2]["n_tokens"] == told[3]["n_tokens"] == 0 and told[4]["n_tokens"] > 3000
-    judged = p.quality(spark, docs, sf)
+    judged = done["quality"]
     assert judged.count() <= 8 and judged.filter("Score <> 'kept'").count() == 0
