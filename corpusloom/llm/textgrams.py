@@ -7,6 +7,7 @@ combine the hashes of n words. Equal words have equal hashes in every process an
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -152,3 +153,36 @@ def slices(batch: pa.RecordBatch, column: int) -> list[pa.RecordBatch]:
         out.append(batch.slice(at, to - at))
         at = to
     return out
+
+
+def text_parts(data: np.ndarray, offsets: np.ndarray, gap: np.ndarray, n: int = 1, size: int = SLICE) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+    """(bytes, offsets within them, number of the first text): groups of whole texts up to `size` bytes, and longer texts in
+    parts. A part begins n - 1 words before the end of the last one, so each run of n words lies in exactly one. gap: the bytes that
+    are of no word."""
+    i = 0
+    while i < len(offsets) - 1:
+        to = max(i + 1, int(np.searchsorted(offsets, offsets[i] + size, side="right")) - 1)
+        lo, hi = int(offsets[i]), int(offsets[to])
+        if hi - lo <= size:
+            yield data[lo:hi], offsets[i : to + 1] - lo, i
+            i = to
+            continue
+        held = size
+        while lo < hi:
+            end = min(lo + held, hi)
+            while end < hi and not gap[data[end]]:  # not within a word
+                end += 1
+            part = data[lo:end]
+            if end == hi:
+                yield part, np.array([0, end - lo]), i
+                break
+            solid = ~gap[part]
+            begins = np.flatnonzero(solid & np.r_[True, ~solid[:-1]])
+            if len(begins) < n:
+                if not len(begins):  # nothing but gaps, which no run of words spans
+                    lo = end
+                held = size if not len(begins) else held * 2
+                continue
+            yield part, np.array([0, end - lo]), i
+            lo, held = lo + int(begins[len(begins) - n + 1]) if n > 1 else end, size
+        i = to
