@@ -173,6 +173,8 @@ def phrases(df: DataFrame, text: str = "text", lang: str = "lang", max_n: int =
     `least` times and not, in `share` percent of their places or more, within a longer one."""
     scratch = Scratch(df.sparkSession, "phrases")
     texts = df.select(F.col(text).alias("text"), F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"))
+    if max_n < 2:
+        raise ValueError("max_n is 2 at least")
     levels, bits, totals = [], None, None
     for n in range(1, max_n + 1):
         rows = texts.mapInArrow(_explode(n, bits, filter_bits), "lang string, phrase string, c long")
@@ -184,28 +186,24 @@ def phrases(df: DataFrame, text: str = "text", lang: str = "lang", max_n: int =
         levels.append(level)
         if n < max_n:
             bits = _bit_table(level, n, filter_bits)
-    counts = levels[0]
+    # one table for all sizes: joins of unions would be joins of each level
+    counts = levels[0].withColumn("size", F.lit(1))
+    for n, level in enumerate(levels[1:], 2):
+        counts = counts.unionByName(level.withColumn("size", F.lit(n)))
+    counts = scratch.put(counts)
     for level in levels[1:]:
-        counts = counts.unionByName(level)
-    longer = candidates = cuts = None
-    more = lambda all_, some: some if all_ is None else all_.unionByName(some)
-    for n in range(2, max_n + 1):
-        level = levels[n - 1].select("lang", "phrase", F.col("f").alias("a"))
-        candidates = more(candidates, level)
-        cut = level.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(n - 1))))
-        cuts = more(cuts, cut.select("lang", "phrase", "a", "k", _first_words("phrase", F.col("k")).alias("left"), _first_words("phrase", F.col("k") - n).alias("right")))
-        if n > 2:
-            parts = F.array(_first_words("phrase", F.lit(n - 1)), _first_words("phrase", F.lit(1 - n)))
-            longer = more(longer, level.select("lang", F.explode(parts).alias("phrase"), F.col("a").alias("longer")))
-    if candidates is None:
-        raise ValueError("max_n is 2 at least")
-    if longer is not None:
-        longer = longer.groupBy("lang", "phrase").agg(F.max("longer").alias("longer"))
-        longer = longer.select(F.col("lang").alias("of_lang"), F.col("phrase").alias("part"), "longer")
-        wide = lambda c: F.col(c).cast("decimal(20,0)")
-        inside = (F.col("lang") == F.col("of_lang")) & (F.col("phrase") == F.col("part")) & (wide("longer") * 100 >= wide("a") * share)
-        candidates = candidates.join(longer, inside, "left_anti")
-        cuts = cuts.join(candidates.select("lang", "phrase"), ["lang", "phrase"], "left_semi")
+        scratch.drop(level)
+    candidates = counts.filter("size > 1").select("lang", "phrase", F.col("f").alias("a"), "size")
+    size = F.col("size")
+    cuts = candidates.withColumn("k", F.explode(F.sequence(F.lit(1), size - 1)))
+    cuts = cuts.select("lang", "phrase", "a", "k", _first_words("phrase", F.col("k")).alias("left"), _first_words("phrase", F.col("k") - size).alias("right"))
+    parts = F.array(_first_words("phrase", size - 1), _first_words("phrase", F.lit(1) - size))
+    longer = candidates.filter("size > 2").select(F.col("lang").alias("of_lang"), F.explode(parts).alias("part"), F.col("a").alias("longer"))
+    longer = longer.groupBy("of_lang", "part").agg(F.max("longer").alias("longer"))
+    wide = lambda c: F.col(c).cast("decimal(20,0)")
+    inside = (F.col("lang") == F.col("of_lang")) & (F.col("phrase") == F.col("part")) & (wide("longer") * 100 >= wide("a") * share)
+    kept = scratch.put(candidates.join(longer, inside, "left_anti").select("lang", "phrase"))
+    cuts = cuts.join(kept, ["lang", "phrase"], "left_semi")
     count_of = lambda part, c: counts.select("lang", F.col("phrase").alias(part), F.col("f").alias(c))
     joined = cuts.join(count_of("left", "l"), ["lang", "left"]).join(count_of("right", "r"), ["lang", "right"])
     score = F.expr("(cast(a AS decimal(20,0)) * cast(2000000 AS decimal(7,0))) div (cast(l AS decimal(20,0)) + cast(r AS decimal(20,0)))")
