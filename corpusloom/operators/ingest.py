@@ -5,6 +5,7 @@ Tables have repo_id and, for arrival order, seq. Everything is per repository an
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -12,6 +13,7 @@ from pyspark.sql.window import Window
 
 from corpusloom.functions import constants as C
 from corpusloom.functions import paths as P
+from corpusloom.operators.rule_trie import RuleTrie, character_set
 
 #: Characters that count as blank, in any script.
 BLANK = r"[\s\u000B\u0085\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF]"
@@ -119,9 +121,7 @@ def rule_regex(pattern: str) -> tuple[str, bool] | None:
             i += 1
         elif c == "[" and "]" in line[i + 2 :]:
             end = line.index("]", i + 2)
-            body = line[i + 1 : end]
-            body = "^" + body[1:] if body[0] in "!^" else body
-            out += "[" + body.replace("\\", "\\\\").replace("[", "\\[") + "]"
+            out += character_set(line[i + 1 : end])
             i = end + 1
         elif c == "\\" and i + 1 < len(line):
             out += _quoted(line[i + 1])
@@ -154,24 +154,57 @@ def parse_rules(rule_files: DataFrame) -> DataFrame:
             parsed = [rule_regex(p) for p in pdf["pattern"]]
             pdf["regex"] = [x[0] if x else None for x in parsed]
             pdf["negated"] = [x[1] if x else None for x in parsed]
-            yield pdf[["repo_id", "scope", "ord", "regex", "negated"]]
+            yield pdf[["repo_id", "scope", "ord", "pattern", "regex", "negated"]]
 
-    out = lines.select("repo_id", "scope", "ord", "pattern").mapInPandas(run, "repo_id string, scope string, ord int, regex string, negated boolean")
+    out = lines.select("repo_id", "scope", "ord", "pattern").mapInPandas(run, "repo_id string, scope string, ord int, pattern string, regex string, negated boolean")
     return out.filter("regex IS NOT NULL").withColumn("depth", F.when(F.col("scope") == "", 0).otherwise(F.size(F.split("scope", "/"))))
 
 
+#: Paths that one task holds of a repository.
+PATHS_TOGETHER = 20_000
+
+
 def ignored_paths(files: DataFrame, rules: DataFrame) -> DataFrame:
     """(repo_id, path) that the rules ignore: of the rules that fit, deepest scope then last rule wins.
 
-    Files meet rules by an equi-join on each folder above the file."""
-    s = P.segments(F.col("path"))
-    scopes = F.transform(F.sequence(F.lit(0), F.size(s) - 1), lambda n: F.array_join(F.slice(s, F.lit(1), n), "/"))
-    above = files.select("repo_id", "path", F.explode(scopes).alias("scope"))
-    joined = above.join(rules, ["repo_id", "scope"])
-    rel = F.when(F.col("scope") == "", F.col("path")).otherwise(F.substring(F.col("path"), F.length("scope") + 2, F.length("path")))
-    hit = joined.filter(F.regexp_like(rel, F.col("regex")))
-    last = hit.groupBy("repo_id", "path").agg(F.max_by("negated", F.struct("depth", "ord")).alias("negated"))
-    return last.filter("NOT negated").select("repo_id", "path")
+    A scope's rules are one trie, built once for each part of a repository's paths; a path walks the tries of the folders
+    above it, the deepest first, until one decides. Parts are of bounded size, and a repository's rules within its budget."""
+    return marked_paths(files, rules.withColumn("hit", F.lit("ignored"))).select("repo_id", "path")
+
+
+def marked_paths(files: DataFrame, rules: DataFrame) -> DataFrame:
+    """(repo_id, path, hit): as ignored_paths, with rules of several kinds (hit) that decide each for itself; of the kinds that
+    ignore a path the greatest is named."""
+    paths = files.select("repo_id", "path").join(rules.select("repo_id").distinct(), "repo_id", "left_semi")
+    parts = paths.groupBy("repo_id").agg(F.ceil(F.count(F.lit(1)) / F.lit(PATHS_TOGETHER)).cast("int").alias("parts"))
+    dealt = paths.join(parts, "repo_id").select("repo_id", F.pmod(F.xxhash64("path"), F.col("parts")).cast("int").alias("part"), "path")
+    copied = rules.join(parts, "repo_id").select("repo_id", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "hit", "scope", "ord", "pattern", "regex", "negated")
+    schema = pa.schema([("repo_id", pa.string()), ("path", pa.string()), ("hit", pa.string())])
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        tries: dict[str, dict[str, RuleTrie]] = {}
+        for r in right.to_pylist():
+            tries.setdefault(r["hit"], {}).setdefault(r["scope"], RuleTrie()).add(r["ord"], r["pattern"], r["regex"], r["negated"])
+        out = []
+        for path in dict.fromkeys(left.column("path").to_pylist()):
+            hits = [hit for hit, scopes in tries.items() if _ignores(scopes, path)]
+            if hits:
+                out.append((left.column("repo_id")[0].as_py(), path, max(hits)))
+        return pa.Table.from_arrays([pa.array([o[k] for o in out], pa.string()) for k in range(3)], schema=schema)
+
+    return dealt.groupBy("repo_id", "part").cogroup(copied.groupBy("repo_id", "part")).applyInArrow(run, "repo_id string, path string, hit string")
+
+
+def _ignores(scopes: dict[str, RuleTrie], path: str) -> bool:
+    at = path.rfind("/")
+    while True:
+        scope = path[:at] if at > 0 else ""
+        found = scopes[scope].last(path[at + 1 :] if at > 0 else path) if scope in scopes else None
+        if found:
+            return not found[1]
+        if not scope:
+            return False
+        at = path.rfind("/", 0, at)
 
 
 def linguist_patterns(attribute_files: DataFrame) -> DataFrame:

@@ -8,11 +8,13 @@ from pyspark.sql.window import Window
 
 from corpusloom.functions import constants as C
 from corpusloom.functions import paths as P
+from corpusloom.operators.graph import checkpointed
 
 # --- fixed values: names and lines ------------------------------------------------------------------------------
 SCREAMING = r"\b[A-Z][A-Z0-9]*(?:_[A-Z0-9]+)+\b"
 CAMEL = r"\b[a-z][a-z0-9]*(?:[A-Z][a-z0-9]+)+\b"
-QUOTED_KEY = r"""(?<!class=)(?<!class =)(?<!class= )(?<!class = )(?<!className=)(?<!className =)(?<!className= )(?<!className = )(?<!class=\{)(?<!className=\{)["'`]([a-z][a-z0-9]*(?:_[a-z0-9]+)*)["'`]"""
+#: The quote comes first, so that what must not stand before it is looked at only there.
+QUOTED_KEY = r"""["'`](?<!class(?:Name)?(?:=| =|= | = |=\{).)([a-z][a-z0-9]*(?:_[a-z0-9]+)*)["'`]"""
 COMMON_NAMES = (
     "useState useEffect useRef useMemo useCallback useContext useReducer useRouter useParams useSearchParams useLayoutEffect "
     "componentDidMount componentWillMount componentWillUnmount componentDidUpdate componentWillReceiveProps shouldComponentUpdate "
@@ -37,6 +39,7 @@ IDENTIFIER = r"^[A-Za-z_$][\w$]*$"
 IMPORT_LINE = r"^\s*(import\b|from\s+\S+\s+import\b|export\s+\{[^}]*\}\s+from\b|export\s+\*\s+from\b|(const|let|var)\s+[\w{}\s,]+=\s*require\()"
 CONSTANT_LINE = r"""^(export\s+)?(const|let|var|final|static)?\s*[A-Za-z_$][\w$]*\s*[:=]\s*(['"`][^'"`]*['"`]|-?\d[\d_.]*|true|false|None|null)\s*[,;]?$"""
 COMMENT = r"^(//|#|/\*|\*)"
+HIT_CHARS = 400
 
 
 def names_in(text: Column) -> Column:
@@ -78,6 +81,7 @@ def rare_names(post: DataFrame, sizes: DataFrame) -> DataFrame:
     """A4: postings of names that two to a few files hold, with holders. sizes: repo_id, n_code.
 
     The bound prunes before any self-join: a name adds at most 12 * 12 pairs, whatever the corpus's size."""
+    post = checkpointed(post)  # read twice, and texts once
     most = F.least(F.lit(12), F.greatest(F.lit(5), F.ceil(F.col("n_code") * 0.03)))
     counted = post.groupBy("repo_id", "name").agg(F.countDistinct("path").alias("holders")).join(sizes, "repo_id")
     return post.join(counted.filter((F.col("holders") >= 2) & (F.col("holders") <= most)).select("repo_id", "name", "holders"), ["repo_id", "name"])
@@ -90,36 +94,42 @@ def shared_names(rare: DataFrame) -> DataFrame:
     return pairs.groupBy("repo_id", "path", "other").agg(F.array_sort(F.collect_set("name")).alias("names"), F.sum(F.lit(4.0) / F.col("holders")).alias("weight"))
 
 
-def link_scores(files: DataFrame, shared: DataFrame, edges: DataFrame) -> DataFrame:
-    """A5: (repo_id, path, other, score, rank): shared names, 1 for an importer, 1.5 for an import; lists of constants count a fifth."""
-    parts = shared.select("repo_id", "path", "other", "weight")
-    parts = parts.unionByName(edges.select("repo_id", F.col("dst").alias("path"), F.col("src").alias("other"), F.lit(1.0).alias("weight")))
-    parts = parts.unionByName(edges.select("repo_id", F.col("src").alias("path"), F.col("dst").alias("other"), F.lit(1.5).alias("weight")))
-    lists = files.select("repo_id", F.col("path").alias("other"), is_registry(F.col("content")).alias("registry"))
-    summed = parts.groupBy("repo_id", "path", "other").agg(F.sum("weight").alias("score")).join(lists, ["repo_id", "other"])
-    scored = summed.withColumn("score", F.when(F.col("registry"), F.col("score") * 0.2).otherwise(F.col("score"))).drop("registry")
-    return scored.withColumn("rank", F.row_number().over(Window.partitionBy("repo_id", "path").orderBy(F.desc("score"), "other")))
+def positional_index(files: DataFrame, names: DataFrame | None = None) -> DataFrame:
+    """(repo_id, path, name, lines): every identifier of a file with the lines, from 0, that hold it and are no import and at
+    most HIT_CHARS long; lines is empty where it stands in others only. A whole identifier is a maximal run of letters,
+    digits, _ and $ of ASCII. names: repo_id, name of those to index, else all.
 
+    Built once, it answers every question for a name in a file by an equi-join; a text is cut into lines once."""
+    held = lambda x, i: F.when((F.length(x) <= HIT_CHARS) & ~x.rlike(IMPORT_LINE), i)
+    tokens = lambda x, i: F.transform(F.array_distinct(F.regexp_extract_all(x, F.lit(r"[\w$]+"), F.lit(0))), lambda t: F.struct(t.alias("name"), held(x, i).alias("line")))
+    found = files.select("repo_id", "path", F.explode(F.flatten(F.transform(F.split("content", "\n", -1), tokens))).alias("t")).select("repo_id", "path", "t.name", "t.line")
+    if names is not None:
+        found = found.join(names.select("repo_id", "name").distinct(), ["repo_id", "name"], "left_semi")
+    return found.groupBy("repo_id", "path", "name").agg(F.array_sort(F.collect_list("line")).alias("lines"))
 
-def excerpt_pieces(files: DataFrame, wanted: DataFrame, around: int = 2) -> DataFrame:
+
+def excerpt_pieces(files: DataFrame, wanted: DataFrame, around: int = 2, index: DataFrame | None = None) -> DataFrame:
     """(repo_id, path, key, pieces): the lines of a file that mention one of the names (repo_id, path, key, names), with those
-    around them, in order; after a gap the line follows a mark. Imports and lines over 400 characters are no hits."""
-    lines = F.split("content", "\n", -1)
-    asked = wanted.filter(F.size("names") > 0).join(files.select("repo_id", "path", "content"), ["repo_id", "path"]).withColumn("lines", lines)
-    pattern = F.concat(F.lit(r"(?<![\w$])(?:\Q"), F.array_join("names", r"\E|\Q"), F.lit(r"\E)(?![\w$])"))
-    asked = asked.withColumn("pattern", pattern)
-    hits = F.filter(F.transform("lines", lambda x, i: F.when((F.length(x) <= 400) & ~x.rlike(IMPORT_LINE) & F.regexp_like(x, F.col("pattern")), i)), lambda i: i.isNotNull())
-    asked = asked.withColumn("hits", hits)
-    near = F.array_sort(F.array_distinct(F.flatten(F.transform("hits", lambda i: F.sequence(F.greatest(i - around, F.lit(0)), F.least(i + around, F.size("lines") - 1))))))
-    asked = asked.withColumn("near", F.filter(near, lambda i: ~F.get("lines", i).rlike(IMPORT_LINE)))
-    before = F.concat(F.array(F.lit(None).cast("int")), F.slice("near", F.lit(1), F.greatest(F.size("near") - 1, F.lit(0))))
-    pieces = F.zip_with("near", before, lambda i, b: F.concat(F.when(i == b + 1, F.lit("")).when(b.isNull(), F.lit("")).otherwise(F.lit("…\n")), F.get("lines", i)))
-    return asked.select("repo_id", "path", "key", F.when(F.size("near") > 0, pieces).otherwise(F.array().cast("array<string>")).alias("pieces"))
+    around them, in order; after a gap the line follows a mark. Imports and lines over HIT_CHARS characters are no hits; a key
+    without hits has no row. Names are identifiers, as positional_index has them."""
+    asked = wanted.select("repo_id", "path", "key", F.explode("names").alias("name"))
+    if index is None:
+        index = positional_index(files, asked)
+    hits = asked.join(index.filter(F.size("lines") > 0), ["repo_id", "path", "name"]).select("repo_id", "path", "key", F.explode("lines").alias("at"))
+    near = hits.select("repo_id", "path", "key", F.explode(F.sequence(F.greatest(F.col("at") - around, F.lit(0)), F.col("at") + around)).alias("line")).distinct()
+    held = files.join(hits.select("repo_id", "path").distinct(), ["repo_id", "path"], "left_semi")
+    texts = held.select("repo_id", "path", F.posexplode(F.split("content", "\n", -1)).alias("line", "text")).filter(~F.col("text").rlike(IMPORT_LINE))
+    rows = near.join(texts, ["repo_id", "path", "line"]).groupBy("repo_id", "path", "key").agg(F.array_sort(F.collect_list(F.struct("line", "text"))).alias("rows"))
+    before = F.concat(F.array(F.lit(None).cast("int")), F.transform(F.slice("rows", F.lit(1), F.size("rows") - 1), lambda r: r["line"]))
+    pieces = F.zip_with("rows", before, lambda r, b: F.concat(F.when(r["line"] > b + 1, F.lit("…\n")).otherwise(F.lit("")), r["text"]))
+    return rows.select("repo_id", "path", "key", pieces.alias("pieces"))
 
 
 def excerpts(files: DataFrame, wanted: DataFrame, around: int = 2, max_chars: int = 1200) -> DataFrame:
     """(repo_id, path, key, excerpt): the lines of excerpt_pieces that fit, joined; a mark where they do not."""
-    pieces = excerpt_pieces(files, wanted, around)
+    # one row for each key of a file that there is, with or without hits
+    asked = wanted.filter(F.size("names") > 0).join(files.select("repo_id", "path"), ["repo_id", "path"], "left_semi").select("repo_id", "path", "key")
+    pieces = asked.join(excerpt_pieces(files, wanted, around), ["repo_id", "path", "key"], "left").withColumn("pieces", F.coalesce("pieces", F.array().cast("array<string>")))
     # with the sizes so far as the order in which pieces fill the excerpt, those within the bound stay
     sizes = F.transform("pieces", lambda p: F.length(p) + 1)
     n = F.aggregate(

@@ -48,10 +48,8 @@ def ingest(entries: DataFrame, max_bytes: int = I.C.MAX_TOTAL_BYTES) -> Ingest:
     rest = entries.filter(~base.isin(".gitignore", ".gitattributes"))
     texts = G.checkpointed(read_texts(rest))
     good = texts.filter("reason IS NULL").drop("reason")
-    ignored = I.ignored_paths(good, ignores).withColumn("hit", F.lit("gitignored"))
-    generated = I.ignored_paths(good, linguist).withColumn("hit", F.lit("generated"))
-    marked = ignored.unionByName(generated.join(ignored, ["repo_id", "path"], "left_anti"))
-    marked = G.checkpointed(marked)
+    rules = ignores.withColumn("hit", F.lit("gitignored")).unionByName(linguist.withColumn("hit", F.lit("generated")))
+    marked = G.checkpointed(I.marked_paths(good, rules))
     files = G.checkpointed(good.join(marked, ["repo_id", "path"], "left_anti"))
     hints, aliases = G.project_hints(files), G.alias_table(files)
     hints = G.checkpointed(hints)

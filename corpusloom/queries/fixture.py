@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusloom.session import read_table
+
 PATHS = [
     "src/app/page{k}.tsx", "src/lib/store{k}.ts", "src/components/ui/button{k}.tsx", "node_modules/pkg{k}/index.js", "dist/bundle{k}.js",
     "docs/guide{k}.md", "package-lock.json", "tests/unit/test_{k}.py", "server/api/users{k}.py", "scripts/build{k}.sh", "assets/logo{k}.png",
@@ -21,7 +23,7 @@ PATHS = [
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """repo_id, seq, path, size, content."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = read_table(spark, sf_dir, "documents")
     k = F.col("doc_id").cast("string")
     path = F.replace(F.element_at(F.lit(PATHS), (F.col("doc_id") % len(PATHS) + 1).cast("int")), F.lit("{k}"), k)
     size = F.when(F.col("doc_id") % 37 == 5, 200_000).when(F.col("doc_id") % 41 == 7, 0).when(F.col("doc_id") % 29 == 3, 70_000).otherwise(F.octet_length("text"))
@@ -41,7 +43,7 @@ ENDINGS = [".ts", ".tsx", "/index.ts", ".js"]
 
 def modules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """repo_id, seq, path, content: files that import the tenth and the thirtieth file after them."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = read_table(spark, sf_dir, "documents")
     k = F.col("doc_id")
     at = lambda x: F.element_at(F.lit(FOLDERS), (x % 5 + 1).cast("int"))
     path = lambda x: F.concat(at(x), F.lit("/m"), x.cast("string"), F.element_at(F.lit(ENDINGS), (F.floor(x / 5) % 4 + 1).cast("int")))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions import paths as P
 from corpusloom.operators import graph as G
 from corpusloom.queries.fixture import FILES_SQL, MODULES_SQL, files, modules
+from corpusloom.session import read_table
 
 
 def _edges(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -54,19 +55,19 @@ def p8_degrees(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def g16_json_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ev = spark.read.parquet(f"{sf_dir}/events.parquet")
+    ev = read_table(spark, sf_dir, "events")
     return ev.select(F.explode(F.json_object_keys("props")).alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
 
 
 def g15_jsonc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = read_table(spark, sf_dir, "documents")
     text = F.concat(F.lit('{ // note, one\n "a": "x//y,}", /* two */ "n": '), F.col("doc_id").cast("string"), F.lit(', "list": [1, 2,],\n}'))
     j = G.clean_json(text)
     return docs.select("doc_id", F.get_json_object(j, "$.a").alias("a"), F.get_json_object(j, "$.n").cast("long").alias("n"), F.get_json_object(j, "$.list").alias("list"))
 
 
 def g16_dependencies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = read_table(spark, sf_dir, "documents")
     k = F.col("doc_id").cast("string")
     text = F.concat(F.lit('{"dependencies": {"dep'), (F.col("doc_id") % 13).cast("string"), F.lit('": "1"}, "devDependencies": {"dev'), k, F.lit('": "2"}}'))
     f = docs.select(F.col("source").alias("repo_id"), F.concat(F.lit("p"), k, F.lit("/package.json")).alias("path"), text.alias("content"))

@@ -9,6 +9,7 @@ from corpusloom.functions import constants as C
 from corpusloom.functions import paths as P
 from corpusloom.operators import ingest as I
 from corpusloom.queries.fixture import FILES_SQL, files
+from corpusloom.session import read_table
 
 
 def _in(values) -> str:
@@ -85,7 +86,7 @@ WHERE low IN {_in(C.SECRET_NAMES)} OR ext IN {_in(C.SECRET_EXTENSIONS)} OR (CASE
 
 
 def p1_path_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    pages = read_table(spark, sf_dir, "pages")
     path = F.regexp_replace(F.regexp_extract("url", r"^[a-z]+://([^?#]*)", 1), "^", "./x/../")
     clean = P.normalize_path(path)
     return pages.select("page_id", clean.alias("path"), P.basename(clean).alias("base"), P.dirname(clean).alias("dir"), P.extension(clean).alias("ext"), P.depth(clean).alias("depth"))
@@ -177,7 +178,7 @@ SELECT seq, ({_WEIGHT} + CASE WHEN entry THEN 40 ELSE 0 END + least(36, (seq % 8
 
 
 def f4_decode_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = read_table(spark, sf_dir, "documents")
     extra = F.when(F.col("doc_id") % 5 == 1, F.lit("a\r\nb\rc")).when(F.col("doc_id") % 5 == 2, F.lit("a\x00b")).otherwise(F.lit(""))
     text = I.decode_text(F.concat(extra, F.col("text")).cast("binary"))
     return docs.select("doc_id", F.coalesce(F.md5(text), F.lit("binary")).alias("text_md5"))
@@ -187,7 +188,7 @@ F4_SQL = """SELECT doc_id, CASE WHEN doc_id % 5 = 2 THEN 'binary' ELSE md5(repla
 
 
 def f5_empty(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = read_table(spark, sf_dir, "documents")
     text = F.when(F.col("doc_id") % 7 == 0, F.lit(" \t\n  ")).when(F.col("doc_id") % 7 == 1, F.lit("")).otherwise(F.col("text"))
     return docs.select("doc_id", (I.is_blank(text)).alias("is_empty"))
 
@@ -196,7 +197,7 @@ F5_SQL = "SELECT doc_id, doc_id % 7 IN (0, 1) OR length(regexp_replace(text, '\\
 
 
 def f6_generated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = read_table(spark, sf_dir, "documents")
     k = F.col("doc_id") % 6
     text = F.when(k == 0, F.concat(F.lit("// Code generated by a tool. DO NOT EDIT.\n"), "text")).when(k == 1, F.concat(F.repeat(F.lit("x"), 5000), "text")).when(k == 2, F.concat(F.repeat(F.lit("\n"), 7), F.lit("@generated "), F.col("text"))).otherwise(F.col("text"))
     path = F.when(F.col("doc_id") % 12 == 0, F.lit("a.md")).otherwise(F.lit("a.ts"))
@@ -285,7 +286,7 @@ FROM (SELECT DISTINCT repo_id FROM files) r"""
 
 
 def a2_language_share(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = read_table(spark, sf_dir, "documents")
     f = docs.select(F.col("source").alias("repo_id"), F.col("doc_id").alias("seq"), F.col("lang").alias("language"), F.octet_length("text").alias("bytes"), F.when(F.col("doc_id") % 7 == 0, "docs").otherwise("core").alias("category"))
     return I.language_shares(f)
 
@@ -305,7 +306,7 @@ T3_SQL = f"WITH {FILES_SQL} SELECT repo_id, seq FROM files QUALIFY row_number()
 
 def g17_notebooks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole texts as the first line of a notebook's notes."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = read_table(spark, sf_dir, "documents")
     source = F.when(F.col("text").isNotNull(), F.to_json(F.array(F.concat("text", F.lit("\n")), F.lit("two"))))
     raw = F.concat(F.lit('{"cells":[{"cell_type":"markdown","source":'), source, F.lit('},{"cell_type":"code","source":"x = '), F.col("doc_id").cast("string"), F.lit('"},{"cell_type":"code","source":" "}]}'))
     return docs.select("doc_id", I.notebook_text(raw).alias("text"))

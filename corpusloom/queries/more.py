@@ -16,12 +16,13 @@ from corpusloom.operators import links as K
 from corpusloom.operators import plan as PL
 from corpusloom.queries.fixture import FILES_SQL, files
 from corpusloom.queries.narration import PARTS_SQL, _events, _parts, _plan_sql, _planned
+from corpusloom.session import read_table
 from corpusloom.sources import archive, models
 from corpusloom.streaming import run_state as R
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return read_table(spark, sf_dir, "documents")
 
 
 def f9_linguist_hints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,12 +43,12 @@ def f14_page_predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("page_id")
     path = F.when(k % 3 == 0, "src/icons/a.tsx").when(k % 3 == 1, "web/index.html").otherwise("src/ui/primitives/x.tsx")
     text = F.concat(F.when(k % 2 == 0, F.repeat(F.lit("<path d>\n"), 30)).otherwise(F.lit('<div id="root">')), F.lit("x"))
-    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    pages = read_table(spark, sf_dir, "pages")
     return pages.select("page_id", PL.is_mostly_markup(path, text, F.size(F.split(text, "\n"))).alias("markup"), PL.is_host_page(path, text, F.lit(True)).alias("host_page"), PL.is_ui_kit(path).alias("ui_kit"))
 
 
 def f19_relay_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    pages = read_table(spark, sf_dir, "pages")
     return pages.select("page_id", F.coalesce(U.relay_target_error(F.col("url")), F.lit("ok")).alias("verdict"))
 
 
@@ -87,7 +88,7 @@ def x17_endpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("page_id").cast("string")
     raw = F.concat(F.when(F.col("page_id") % 2 == 0, "https://").otherwise(""), F.lit("api"), k, F.lit(".x.com/v1"), F.when(F.col("page_id") % 3 == 0, "/chat/completions").otherwise("//"))
     base = U.normalise_base_url(raw)
-    return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", base.alias("base"), U.chat_endpoint(base).alias("endpoint"))
+    return read_table(spark, sf_dir, "pages").select("page_id", base.alias("base"), U.chat_endpoint(base).alias("endpoint"))
 
 
 def l5_tier_order(spark: SparkSession, sf_dir: str) -> DataFrame:

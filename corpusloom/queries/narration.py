@@ -14,16 +14,17 @@ from corpusloom.operators import lint as L
 from corpusloom.operators import links as K
 from corpusloom.operators import plan as PL
 from corpusloom.queries.fixture import FILES_SQL, files
+from corpusloom.session import read_table
 from corpusloom.streaming import run_state as R
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return read_table(spark, sf_dir, "documents")
 
 
 def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations as parts with injected sentences."""
-    c = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    c = read_table(spark, sf_dir, "conversations")
     k = (F.col("conv_id") + F.col("turn")) % 5
     extra = F.when(k == 0, "Keep in mind that this part probably starts below. ").when(k == 1, "The login screen stores tokens inside browser storage safely. Worth knowing, the catch is here. ").when(k == 2, "The login screen quietly stores tokens inside browser storage. Keep in mind the same rule as before applies. ").otherwise("")
     return c.select(F.col("conv_id").alias("conv"), F.col("turn").alias("part"), F.col("role").alias("chapter"), F.concat(extra, F.col("text")).alias("body"))
@@ -111,7 +112,7 @@ SELECT doc_id, md5(CASE WHEN len(s) > 0 THEN array_to_string(list_transform(s[1:
 
 
 def x1_strip_markup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    pages = read_table(spark, sf_dir, "pages")
     text = F.concat(F.lit("> see [the docs](http://x.y/z) & `code` -> done\n"), F.col("html"))
     return pages.select("page_id", F.md5(X.strip_markup(text)).alias("text_md5"))
 
@@ -304,7 +305,7 @@ SELECT repo_id, dir, count(*) FILTER (NOT gone) AS included, count(*) FILTER (go
 
 
 def w1_dedupe_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = spark.read.parquet(f"{sf_dir}/conversations.parquet").select(F.col("conv_id").alias("repo_id"), F.col("turn").alias("ord"), F.col("role").alias("section_id"))
+    c = read_table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("repo_id"), F.col("turn").alias("ord"), F.col("role").alias("section_id"))
     return PL.unique_ids(c)
 
 
@@ -354,7 +355,7 @@ SELECT p.conv, p.part, least(40, (SELECT count(*) FROM f WHERE f.conv = p.conv A
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    e = read_table(spark, sf_dir, "events")
     return e.select((F.col("user_id") % 50).alias("run_id"), F.col("user_id").alias("section_id"), F.col("event_id").alias("seq"), F.col("event_type").alias("type"), "ts")
 
 
@@ -372,7 +373,7 @@ f AS (SELECT *, row_number() OVER (PARTITION BY run_id, k ORDER BY seq) AS n FRO
 
 
 def s1_repo_url(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    pages = read_table(spark, sf_dir, "pages")
     k = F.col("page_id")
     raw = F.when(k % 6 == 0, F.concat(F.lit("git@github.com:own-er/repo"), k.cast("string"), F.lit(".git"))).when(k % 6 == 1, F.concat(F.lit("owner/repo"), k.cast("string"))).when(k % 6 == 2, F.concat(F.lit("  https://www.github.com/owner/repo/tree/main/src/x"), k.cast("string"), F.lit("?tab=1#top"))).when(k % 6 == 3, F.lit("github.com/settings/profile")).when(k % 6 == 4, F.lit("https://github.com/o/r/blob/dev/a%20b/c.ts")).otherwise(F.col("url"))
     t = pages.select("page_id", U.repo_target(raw).alias("t"))
@@ -386,7 +387,7 @@ CASE page_id % 6 WHEN 3 THEN 'owner' WHEN 5 THEN 'host' END AS error FROM pages"
 
 
 def s2_ref_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    pages = read_table(spark, sf_dir, "pages")
     tree = F.slice(F.array(F.lit("feature"), F.lit("login"), F.lit("src"), F.lit("a"), F.lit("b.ts")), F.lit(1), (F.col("page_id") % 6).cast("int"))
     c = pages.select("page_id", F.posexplode(U.ref_candidates(tree, F.col("page_id") % 2 == 1)).alias("rank", "c"))
     return c.select("page_id", "rank", "c.ref", "c.subpath")

@@ -13,6 +13,7 @@ from corpusloom.operators import related as RL
 from corpusloom.operators import stack as ST
 from corpusloom.queries.fixture import FILES_SQL, files
 from corpusloom.queries.narration import PARTS_SQL, _parts
+from corpusloom.session import read_table
 
 
 def _nth(k: Column, *cases) -> Column:
@@ -39,7 +40,7 @@ def _manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
         say('source "x"\ngem "rails"\n  gem \'lib-', n, "'\n"),
         F.coalesce("text", F.lit("")),
     )
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.floor(k / 7).cast("long").cast("string").alias("repo_id"), k.alias("seq"), path.alias("path"), text.alias("content"))
+    return read_table(spark, sf_dir, "documents").select(F.floor(k / 7).cast("long").cast("string").alias("repo_id"), k.alias("seq"), path.alias("path"), text.alias("content"))
 
 
 def g16_manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,7 +58,7 @@ def x13_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("doc_id")
     r = F.floor(k / 7).cast("long")
     code = F.concat(_nth(k % 3, F.lit("useState(1);\n"), F.lit("dispatch (x);\n"), F.lit("a.then(b);\n")), F.coalesce("text", F.lit("")))
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(r.alias("repo"), r.cast("string").alias("repo_id"), k.alias("seq"), F.concat(F.lit("src/m"), k.cast("string"), _nth(k, F.lit(".ts"), F.lit(".ts"), F.lit(".md"))).alias("path"), code.alias("content"))
+    docs = read_table(spark, sf_dir, "documents").select(r.alias("repo"), r.cast("string").alias("repo_id"), k.alias("seq"), F.concat(F.lit("src/m"), k.cast("string"), _nth(k, F.lit(".ts"), F.lit(".ts"), F.lit(".md"))).alias("path"), code.alias("content"))
     deps = docs.groupBy("repo", "repo_id").agg(F.min("seq").alias("ord")).select("repo_id", _nth(F.col("repo"), F.lit("react"), F.lit("vuex"), F.lit("@ai-sdk/x"), F.lit("none")).alias("dep"), "ord")
     terms = ST.core_terms(docs, deps).filter(~F.col("term").isin("slug", "payload", "context", "migration", "endpoint", "connect"))
     return terms.groupBy("repo_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "term"))), lambda x: x["term"]), ", ").alias("terms"))
@@ -74,7 +75,7 @@ SELECT r::VARCHAR AS repo_id, array_to_string(t, ', ') AS terms FROM l WHERE len
 def x13_readme(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("doc_id").cast("string")
     raw = F.concat(F.lit("<!-- hidden\nlines -->\n[![badge](a.svg)](b) <img src='x'>\n<div align='center'>Logo "), k, F.lit("</div>\n\n\n\nSee [docs](http://x/"), k, F.lit(").&nbsp;A &amp; B\n"), F.coalesce("text", F.lit("")))
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.md5(ST.clean_readme(raw)).alias("clean_md5"))
+    return read_table(spark, sf_dir, "documents").select("doc_id", F.md5(ST.clean_readme(raw)).alias("clean_md5"))
 
 
 def l15_spoken_names(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,7 +84,7 @@ def l15_spoken_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     n, m = k.cast("string"), (F.floor(k / 8) % 2).cast("long").cast("string")
     say = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
     path = _nth(k, say("src/reducer.js"), say("src/reducers/articleList", n, ".js"), say("src/components/Card", n, "/index.js"), say("src/components/Box", n, "/SubmitButton", n, ".js"), say("src/agent", n, ".js"), say("src/constants/actionTypes", n, ".js"), say("lib", m, "/helpers.ts"), say("web/index.html"))
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("source", path.alias("path"))
+    docs = read_table(spark, sf_dir, "documents").select("source", path.alias("path"))
     return ST.spoken_names(docs.select(F.lit("r").alias("repo_id"), "path")).select("path", "spoken")
 
 
@@ -107,7 +108,7 @@ def _code(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataF
     group = F.floor(k / 4).cast("long")
     n = k.cast("string")
     lines = F.concat(F.lit("import { load"), (k + 1).cast("string"), F.lit(" } from './m"), (k + 1).cast("string"), F.lit("';\nexport function load"), n, F.lit("() {\n  return SHARED_NAME_"), group.cast("string"), F.lit(";\n}\n\n\n\nload"), (k + 1).cast("string"), F.lit("();\n"), F.coalesce("text", F.lit("")))
-    f = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.floor(k / 60).cast("long").cast("string").alias("repo_id"), k.alias("seq"), F.concat(F.lit("src/m"), n, F.lit(".ts")).alias("path"), _nth(k, F.lit("core"), F.lit("component")).alias("category"), lines.alias("content"))
+    f = read_table(spark, sf_dir, "documents").select(F.floor(k / 60).cast("long").cast("string").alias("repo_id"), k.alias("seq"), F.concat(F.lit("src/m"), n, F.lit(".ts")).alias("path"), _nth(k, F.lit("core"), F.lit("component")).alias("category"), lines.alias("content"))
     next_ = f.select("repo_id", F.concat(F.lit("src/m"), (F.col("seq") - 1).cast("string"), F.lit(".ts")).alias("src"), F.col("path").alias("dst"))
     edges = next_.join(f.select("repo_id", F.col("path").alias("src")), ["repo_id", "src"], "left_semi")
     sizes = f.groupBy("repo_id").agg(F.count(F.lit(1)).alias("n_code"))

@@ -25,8 +25,15 @@ def build_session(app: str = "corpusloom", cpus: int | str = "*", shuffle: int =
     )
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The rows of a scan over as many tasks as the session runs at once, if the scan has fewer splits than that: the texts of a
+    small table are often one row group. A large table has more splits and stays where it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def ship_package(spark: SparkSession) -> None:
