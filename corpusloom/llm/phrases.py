@@ -1,8 +1,7 @@
 """Phrase collocations: n-grams exploded into rows, hash-aggregated per language, scored by their parts, window-ranked.
 
 Level by level, for n = 1 up to max_n, texts are cut into pieces and words, and every run of n words of a piece becomes a
-row (lang, phrase, count), counted within a slice of text first; Spark's partial and final aggregation by (lang, phrase)
-add them up. A phrase is no more frequent than any part of it, so runs whose two parts of n - 1 words are not both
+row (lang, phrase, count), counted within a part of 2 MB of text first; Spark's aggregation by (lang, phrase) adds them up. A phrase is no more frequent than any part of it, so runs whose two parts of n - 1 words are not both
 frequent need no row: a bit table of fixed size, in which the frequent phrases of the level before set a bit each, tells
 most of them. A bit set by another phrase lets a row through in vain and changes no count; the table's size does not
 depend on the corpus, its use fades as it fills, and the results stay the same. Phrases are told apart by their words
@@ -100,7 +99,8 @@ def _explode(n: int, shared, size: int):
         at = np.flatnonzero(piece[: len(piece) - n + 1] == piece[n - 1 :])
         if n > 1:
             own = words_of(words).hashes[ids]  # a distinct word is a text of one word
-            known = bits[_positions(ngrams(own, n - 1), salt[lang[: len(lang) - n + 2]], size)]
+            place = _positions(ngrams(own, n - 1), salt[lang[: len(lang) - n + 2]], size)
+            known = (bits[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8) & np.uint8(1)).view(bool)
             at = at[known[at] & known[at + 1]]
         if not len(at):
             return
@@ -118,7 +118,7 @@ def _explode(n: int, shared, size: int):
         return pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), phrase, pa.array(c, pa.int64())], names=["lang", "phrase", "c"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = None if shared is None else np.unpackbits(shared.value).view(bool)
+        bits = None if shared is None else shared.value
         for batch in batches:
             names, of_row, salt = _names(batch.column(1))
             data, offsets = text_bytes(batch.column(0))
@@ -152,9 +152,7 @@ def _bit_table(frequent: DataFrame, n: int, size: int):
     blocks = np.zeros(1 << (size - 6), np.uint64)
     if marks.num_rows:
         blocks[marks.column("block").to_numpy()] = marks.column("bits").to_numpy().view(np.uint64)
-    # unpackbits reads the highest bit of a byte first
-    packed = np.packbits(np.unpackbits(blocks.view(np.uint8), bitorder="little"))
-    return frequent.sparkSession.sparkContext.broadcast(packed)
+    return frequent.sparkSession.sparkContext.broadcast(blocks.astype("<u8").view(np.uint8))
 
 
 def _ranked(rows: DataFrame, top: int) -> DataFrame:
@@ -178,7 +176,8 @@ def phrases(df: DataFrame, text: str = "text", lang: str = "lang", max_n: int =
     levels, bits, totals = [], None, None
     for n in range(1, max_n + 1):
         rows = texts.mapInArrow(_explode(n, bits, filter_bits), "lang string, phrase string, c long")
-        counted = rows.groupBy("lang", "phrase").agg(F.sum("c").alias("f")).filter((F.col("f") >= least) | F.col("phrase").isNull())
+        # counted within parts already: tasks hold no table of all their phrases, and a phrase sends a row for each part at most
+        counted = rows.repartition("lang", "phrase").groupBy("lang", "phrase").agg(F.sum("c").alias("f")).filter((F.col("f") >= least) | F.col("phrase").isNull())
         level = scratch.put(counted)
         if n == 1:
             totals = level.filter("phrase IS NULL").select("lang", F.col("f").alias("n"))
