@@ -149,6 +149,8 @@ class Archives(InputPartition):
 
 
 class ArchiveReader(DataSourceReader):
+    ENDINGS = ENDINGS
+
     def __init__(self, options):
         self.path, self.limits = options["path"], Limits.of(options)
         self.together = int(options.get("partition_bytes", PARTITION_BYTES))
@@ -170,7 +172,7 @@ class ArchiveReader(DataSourceReader):
         listed = files.get_file_info(fs.FileSelector(root, recursive=True)) if info.type == fs.FileType.Directory else [info]
         out: list[Archives] = []
         some: list[tuple[str, int]] = []
-        for f in sorted((x for x in listed if x.type == fs.FileType.File and x.path.endswith(ENDINGS)), key=lambda x: x.path):
+        for f in sorted((x for x in listed if x.type == fs.FileType.File and x.path.endswith(self.ENDINGS)), key=lambda x: x.path):
             if some and sum(size for _, size in some) + f.size > self.together:
                 out.append(Archives(tuple(some)))
                 some = []
