@@ -6,25 +6,26 @@ conversion record (the page's text). Both refer to the response by WARC-Refers-T
 have ids that follow from the response's id, so a repeated task writes the same records. Digests are sha1 in base 32, as
 WARC files write them. Headers are lists of names and values in their order, so repeated ones stay.
 
-A page is read by one scanner that goes forward only: from each "<" to the next ">", past comments and past the content
-of scripts and the like. Its time grows with the page, whatever stands in it.
+A page is read by one scanner that goes forward only: from each "<" to the ">" that ends the tag, past quoted values, past
+comments and past the content of scripts and the like. Its time grows with the page, whatever stands in it.
+
+Files are read by a data source: a stream for each file, a record at a time, so memory follows the largest record.
 
 Defined results: a null or empty payload gives a metadata record without title and links, and an empty conversion; a
 null url gives a record without WARC-Target-URI; very large payloads are handled whole, one at a time; repeated
 responses give repeated derivatives; an empty table gives an empty table; other columns are not carried over. Chunked
-and compressed payloads (gzip, deflate) are unpacked for text and links, as far as they can be; digests are those of the
-payload as it came. Text is decoded by the charset of the Content-Type header, else of the page's first kilobyte, else
-as UTF-8; unknown charsets count as UTF-8. In files, records with a damaged length are skipped up to the next record,
-and a damaged gzip file gives the records before the damage. A file is one cell of binaryFile, so at most 2 GB.
+and compressed payloads (gzip, deflate) are unpacked for text and links, as far as they can be; one that unpacks to more
+than MOST_UNPACKED bytes says so in its metadata (Unpack-Error) and has no text; digests are those of the payload as it
+came. Text is decoded by the charset of the Content-Type header, else of a meta element of the page's head, else as
+UTF-8; unknown charsets count as UTF-8. In files, records with a damaged length are skipped up to the next record, and
+after a damaged gzip member reading goes on at the next sound one.
 """
 
 from __future__ import annotations
 
 import base64
-import gzip
 import hashlib
 import html as html_lib
-import io
 import json
 import re
 import uuid
@@ -37,6 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm.common import table
+from corpusloom.sources.archive import BATCH_BYTES, Archives, ArchiveReader, ArchiveSource
 
 HEADERS = "array<struct<name:string,value:string>>"
 RESPONSES = f"record_id string, target_uri string, warc_date string, headers {HEADERS}, http_status int, http_headers {HEADERS}, payload binary"
@@ -45,7 +47,7 @@ DERIVED = (
     f"source_headers {HEADERS}, source_payload_digest string, block_digest string, content_length long, n_links int, title string, block binary"
 )
 FIELDS = [x.strip().split(" ")[0] for x in DERIVED.split(", ")]
-#: A payload that unpacks to more is taken as it came.
+#: A payload that unpacks to more gives an error in place of text.
 MOST_UNPACKED = 1 << 30
 NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
 
@@ -56,9 +58,15 @@ BREAKING = set(
 )
 LINKING = {"a", "link", "img", "script", "iframe", "form"}
 NAME = re.compile(r"[A-Za-z][A-Za-z0-9]*")
-TARGET = re.compile(r"""\s(href|src|action)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
+TARGETS = {"href", "src", "action"}
+#: A tag to its end: quoted values are passed over, also where they hold a ">".
+TAG = re.compile(r"""(?:[^>=]|=\s*"[^"]*"|=\s*'[^']*'|=)*+>""")
+ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
 CLOSING = {name: re.compile(rf"</{name}\s*>", re.I) for name in (*sorted(SILENT), "title")}
 CHARSET = re.compile(r"""charset\s*=\s*["']?([A-Za-z0-9._:-]+)""", re.I)
+META, BODY = re.compile(rb"<meta\b[^>]*", re.I), re.compile(rb"</head\b|<body\b", re.I)
+#: Bytes of a file that are read at a time, and of a damaged gzip member that are searched for the next one.
+CHUNK, RESCAN = 1 << 18, 16 << 20
 BLANKS, LINES = re.compile(r"[ \t\r\f\v ]+"), re.compile(r" ?\n[ \n]*")
 
 
@@ -91,13 +99,14 @@ def scan(page: str) -> tuple[str, str | None, list[tuple[str, str, str]]]:
         if not name and follows not in ("!", "?"):
             at = i + 1
             continue
-        end = page.find(">", i + 1)
-        if end < 0:
+        whole = TAG.match(page, name.end()) if name else None
+        at = whole.end() if whole else page.find(">", i + 1) + 1
+        if not at:
             break
         tag = name[0].lower() if name else ""
-        if not closing and tag in LINKING and (found := TARGET.search(page, name.end(), end)):
-            links.append((tag, found[1].lower(), found[2]))
-        at = end + 1
+        if not closing and tag in LINKING:
+            named = (a for a in ATTRIBUTE.finditer(page, name.end(), at - 1) if a[2] and a[1].lower() in TARGETS)
+            links += [(tag, a[1].lower(), a[2]) for a in [next(named, None)] if a]
         if not closing and tag == "title" and not titled:
             titled = True
             if close := CLOSING["title"].search(page, at):
@@ -166,8 +175,9 @@ def unchunked(data: bytes) -> bytes:
         at = end + 4 + size
 
 
-def unpacked(payload: bytes, http: Pairs) -> bytes:
-    """The payload without transfer and content encodings, as far as they can be undone."""
+def unpacked(payload: bytes, http: Pairs, most: int = MOST_UNPACKED) -> tuple[bytes, str | None]:
+    """The payload without transfer and content encodings, as far as they can be undone, and what is wrong where they unpack to
+    more than `most` bytes."""
     try:
         if "chunked" in value_of(http, "Transfer-Encoding").lower():
             payload = unchunked(payload)
@@ -177,16 +187,19 @@ def unpacked(payload: bytes, http: Pairs) -> bytes:
     for bits in {"gzip": (31,), "x-gzip": (31,), "deflate": (15, -15)}.get(coding, ()):
         try:
             unpack = zlib.decompressobj(bits)
-            out = unpack.decompress(payload, MOST_UNPACKED)
-            if not unpack.unconsumed_tail:
-                return out
+            out = unpack.decompress(payload, most)
+            return (b"", f"unpacks to more than {most} bytes") if unpack.unconsumed_tail else (out, None)
         except zlib.error:
             continue
-    return payload
+    return payload, None
 
 
 def decoded(data: bytes, http: Pairs) -> str:
-    found = CHARSET.search(value_of(http, "Content-Type")) or CHARSET.search(data[:1024].decode("latin-1"))
+    found = CHARSET.search(value_of(http, "Content-Type"))
+    if not found:
+        end = BODY.search(data)
+        named = (CHARSET.search(m[0].decode("latin-1")) for m in META.finditer(data, 0, end.start() if end else len(data)))
+        found = next((f for f in named if f), None)
     try:
         return data.decode(found[1] if found else "utf-8", errors="replace")
     except (LookupError, UnicodeError, ValueError):
@@ -197,7 +210,8 @@ def derivatives(r: dict) -> list[dict]:
     """The metadata and the conversion record of one response."""
     payload = bytes(r["payload"] or b"")
     headers, http = pairs_of(r["headers"]), pairs_of(r["http_headers"])
-    text, title, found = scan(decoded(unpacked(payload, http), http))
+    page, wrong = unpacked(payload, http)
+    text, title, found = scan(decoded(page, http))
     title = None if title is None else BLANKS.sub(" ", html_lib.unescape(title).replace("\n", " ")).strip()
     links = page_links(found, r["target_uri"])
     of_source = digest(payload)
@@ -215,6 +229,8 @@ def derivatives(r: dict) -> list[dict]:
             },
         }
     }
+    if wrong:
+        envelope["Envelope"]["Payload-Metadata"]["HTTP-Response-Metadata"]["Unpack-Error"] = wrong
     as_stored = json.dumps(envelope, ensure_ascii=False, sort_keys=True).encode(errors="replace")
     blocks = [("metadata", "application/json", as_stored), ("conversion", "text/plain", tidy(text).encode(errors="replace"))]
     return [
@@ -271,81 +287,192 @@ def parse_http(message: bytes) -> tuple[int | None, Pairs, bytes]:
     return (int(status[1]) if status else None), headers, body
 
 
+class Damaged(Exception):
+    """What is being read breaks off; reading may go on behind it."""
+
+
+class Unzipped:
+    """The content of gzip members one after another, read forward. Where a member is damaged, what was read of it and not yet
+    taken is dropped, Damaged is raised once, and the next read goes on at the next member."""
+
+    def __init__(self, raw, head: bytes = b""):
+        self.raw, self.packed, self.out, self.unzip, self.tried = raw, head, bytearray(), None, bytearray()
+
+    def _begin(self) -> bool:
+        while (i := self.packed.find(b"\x1f\x8b\x08")) < 0:
+            more = self.raw.read(CHUNK)
+            if not more:
+                return False
+            self.packed = self.packed[-2:] + more
+        self.packed, self.unzip, self.tried = self.packed[i:], zlib.decompressobj(31), bytearray()
+        return True
+
+    def _more(self) -> bool:
+        if self.unzip is None and not self._begin():
+            return False
+        data, self.packed = self.packed or self.raw.read(CHUNK), b""
+        self.tried += data
+        del self.tried[:-RESCAN]
+        try:
+            if not data:
+                raise zlib.error("cut off")
+            self.out += self.unzip.decompress(data)
+        except zlib.error as e:
+            self.packed, self.unzip, self.out = bytes(self.tried[1:]), None, bytearray()
+            raise Damaged from e
+        if self.unzip.eof:
+            self.packed, self.unzip = self.unzip.unused_data, None
+        return True
+
+    def _take(self, n: int) -> bytes:
+        out = bytes(self.out[:n])
+        del self.out[:n]
+        return out
+
+    def read(self, n: int) -> bytes:
+        while len(self.out) < n and self._more():
+            pass
+        return self._take(n)
+
+    def readline(self) -> bytes:
+        seen = 0
+        while (end := self.out.find(b"\n", seen)) < 0:
+            seen = len(self.out)
+            if not self._more():
+                return self._take(seen)
+        return self._take(end + 1)
+
+
 def read_records(stream) -> Iterator[tuple[Pairs, bytes]]:
     """Headers and block of each record of a WARC stream, one at a time; the stream may be several gzip members."""
-    try:
-        line = stream.readline()
-        while line:
-            if not line.startswith(b"WARC/"):
-                line = stream.readline()
-                continue
-            headers: Pairs = []
-            while (line := stream.readline()) not in (b"\r\n", b"\n", b""):
-                k, _, v = line.decode("utf-8", errors="replace").partition(":")
-                headers.append((k.strip(), v.strip()))
-            size = value_of(headers, "Content-Length") or "0"
-            line = b""
-            if size.isdecimal():
-                block = stream.read(int(size))
-                if len(block) == int(size):
-                    yield headers, block
+    line = None
+    while line != b"":
+        try:
             line = stream.readline()
-    except (EOFError, OSError, zlib.error):
-        return  # the rest of a damaged gzip file
+            while line.startswith(b"WARC/"):
+                headers: Pairs = []
+                while (line := stream.readline()) not in (b"\r\n", b"\n", b""):
+                    k, _, v = line.decode("utf-8", errors="replace").partition(":")
+                    headers.append((k.strip(), v.strip()))
+                size = value_of(headers, "Content-Length") or "0"
+                if size.isdecimal():
+                    block = stream.read(int(size))
+                    if len(block) == int(size):
+                        yield headers, block
+                line = stream.readline()
+        except Damaged:
+            line = None
+
+
+class _Plain:
+    """A stream with lines, and the bytes that were read ahead of it."""
+
+    def __init__(self, raw, head: bytes):
+        self.raw, self.out = raw, bytearray(head)
+
+    def _more(self) -> bool:
+        more = self.raw.read(CHUNK)
+        self.out += more
+        return bool(more)
+
+    _take, read, readline = Unzipped._take, Unzipped.read, Unzipped.readline
+
+
+def opened(raw):
+    """A WARC file's bytes, unzipped if they are gzip members."""
+    head = raw.read(2)
+    return Unzipped(raw, head) if head == b"\x1f\x8b" else _Plain(raw, head)
+
+
+RESPONSE_ARROW = pa.schema([("record_id", pa.string()), ("target_uri", pa.string()), ("warc_date", pa.string()), ("headers", LIST), ("http_status", pa.int32()), ("http_headers", LIST), ("payload", pa.binary())])
+
+
+def responses(raw) -> Iterator[pa.RecordBatch]:
+    """The responses of one WARC file, in batches of about BATCH_BYTES."""
+    rows, held = [], 0
+    for headers, block in read_records(opened(raw)):
+        if value_of(headers, "WARC-Type") != "response":
+            continue
+        status, http, body = parse_http(block)
+        named = [[{"name": k, "value": v} for k, v in pairs] for pairs in (headers, http)]
+        of = lambda name: value_of(headers, name) or None  # noqa: B023, E731
+        rows.append({"record_id": of("WARC-Record-ID"), "target_uri": of("WARC-Target-URI"), "warc_date": of("WARC-Date"), "headers": named[0], "http_status": status, "http_headers": named[1], "payload": body})
+        held += len(block)
+        if held > BATCH_BYTES:
+            yield pa.RecordBatch.from_pylist(rows, schema=RESPONSE_ARROW)
+            rows, held = [], 0
+    if rows:
+        yield pa.RecordBatch.from_pylist(rows, schema=RESPONSE_ARROW)
+
+
+class WarcReader(ArchiveReader):
+    ENDINGS = (".warc", ".warc.gz")
+
+    def read(self, partition: Archives) -> Iterator[pa.RecordBatch]:
+        files, _ = self._at()
+        for path, _ in partition.files:
+            with files.open_input_stream(path, compression=None) as raw:
+                yield from responses(raw)
+
+
+class WarcSource(ArchiveSource):
+    """spark.read.format("warc").load(path): the responses of all WARC files below a path, in the columns of RESPONSES, each file
+    as a stream. Option: partition_bytes (0: a partition for each file)."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "warc"
+
+    def schema(self) -> str:
+        return RESPONSES
+
+    def reader(self, schema) -> WarcReader:
+        return WarcReader(self.options)
+
+
+def read_warc(spark: SparkSession, path: str) -> DataFrame:
+    spark.dataSource.register(WarcSource)
+    return spark.read.format("warc").load(path)
 
 
 def parse_warc(files: DataFrame) -> DataFrame:
-    """Responses of WARC files read as binaryFile (column content), gzipped or not, in the columns of RESPONSES."""
-    schema = pa.schema([("record_id", pa.string()), ("target_uri", pa.string()), ("warc_date", pa.string()), ("headers", LIST), ("http_status", pa.int32()), ("http_headers", LIST), ("payload", pa.binary())])
+    """Responses of WARC files that a table holds (column content), for stores that only Spark's own readers open; a file of at
+    most 2 GB."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for value in batch.column(0):
-                if not value.is_valid:
-                    continue
-                raw = io.BytesIO(value.as_py())
-                zipped = raw.read(2) == b"\x1f\x8b"
-                raw.seek(0)
-                for headers, block in read_records(gzip.open(raw) if zipped else raw):
-                    if value_of(headers, "WARC-Type") == "response":
-                        status, http, body = parse_http(block)
-                        named = [[{"name": k, "value": v} for k, v in pairs] for pairs in (headers, http)]
-                        row = {"record_id": value_of(headers, "WARC-Record-ID") or None, "target_uri": value_of(headers, "WARC-Target-URI") or None, "warc_date": value_of(headers, "WARC-Date") or None, "headers": named[0], "http_status": status, "http_headers": named[1], "payload": body}
-                        yield pa.RecordBatch.from_pylist([row], schema=schema)
+                if value.is_valid:
+                    yield from responses(pa.BufferReader(value.as_buffer()))
 
     return files.select("content").mapInArrow(run, RESPONSES)
 
 
+#: Header names of a derived record, and the columns that hold their values.
+RECORD_HEADERS = (
+    ("WARC-Type", "warc_type"), ("WARC-Record-ID", "record_id"), ("WARC-Refers-To", "refers_to"), ("WARC-Refers-To-Target-URI", "target_uri"), ("WARC-Refers-To-Date", "warc_date"),
+    ("WARC-Target-URI", "target_uri"), ("WARC-Date", "warc_date"), ("WARC-Block-Digest", "block_digest"), ("Content-Type", "content_type"), ("Content-Length", "content_length"),
+    ("X-Source-Payload-Digest", "source_payload_digest"),
+)
+#: Before the name of each header of the source record.
+SOURCE = "X-Source-"
+
+
 def format_record(r: dict) -> bytes:
-    """A derived record as it stands in a WARC file."""
-    head = {
-        "WARC-Type": r["warc_type"],
-        "WARC-Record-ID": r["record_id"],
-        "WARC-Refers-To": r["refers_to"],
-        "WARC-Target-URI": r["target_uri"],
-        "WARC-Date": r["warc_date"],
-        "WARC-Block-Digest": r["block_digest"],
-        "Content-Type": r["content_type"],
-        "Content-Length": r["content_length"],
-    }
-    lines = "".join(f"{k}: {v}\r\n" for k, v in head.items() if v is not None)
+    """A derived record as it stands in a WARC file, with the headers and the digest of its source."""
+    one = lambda v: re.sub(r"[\r\n]+", " ", str(v))
+    head = [(k, r[c]) for k, c in RECORD_HEADERS] + [(SOURCE + (k or ""), v) for k, v in pairs_of(r["source_headers"])]
+    lines = "".join(f"{one(k)}: {one(v)}\r\n" for k, v in head if v is not None)
     return b"WARC/1.1\r\n" + lines.encode() + b"\r\n" + bytes(r["block"] or b"") + b"\r\n\r\n"
 
 
 def with_warc_bytes(derived: DataFrame) -> DataFrame:
     """Adds warc_record: each record's bytes, ready to be concatenated into files."""
-    head = F.concat_ws(
-        "\r\n",
-        F.lit("WARC/1.1"),
-        *[
-            F.concat(F.lit(f"{k}: "), F.col(c).cast("string"))
-            for k, c in (
-                ("WARC-Type", "warc_type"), ("WARC-Record-ID", "record_id"), ("WARC-Refers-To", "refers_to"), ("WARC-Target-URI", "target_uri"),
-                ("WARC-Date", "warc_date"), ("WARC-Block-Digest", "block_digest"), ("Content-Type", "content_type"), ("Content-Length", "content_length"),
-            )
-        ],
-    )
-    return derived.withColumn("warc_record", F.concat(F.concat(head, F.lit("\r\n\r\n")).cast("binary"), F.coalesce("block", F.lit(b"")), F.lit(b"\r\n\r\n")))
+    one = lambda c: F.regexp_replace(c.cast("string"), r"[\r\n]+", " ")
+    own = F.array(*[F.concat(F.lit(f"{k}: "), one(F.col(c))) for k, c in RECORD_HEADERS])
+    sources = F.transform("source_headers", lambda h: F.concat(F.lit(SOURCE), one(F.coalesce(h["name"], F.lit(""))), F.lit(": "), one(h["value"])))
+    lines = F.array_join(F.concat(F.array(F.lit("WARC/1.1")), own, F.coalesce(sources, F.array().cast("array<string>"))), "\r\n")  # headers without value are null and go
+    return derived.withColumn("warc_record", F.concat(F.concat(lines, F.lit("\r\n\r\n")).cast("binary"), F.coalesce("block", F.lit(b"")), F.lit(b"\r\n\r\n")))
 
 
 def responses_of_pages(pages: DataFrame) -> DataFrame:
