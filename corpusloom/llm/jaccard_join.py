@@ -56,7 +56,8 @@ from corpusloom.llm.textgrams import SLICE, mix, ngrams, slices, text_bytes, wor
 SHINGLE, PERCENT = 5, 80
 CELL_BITS = 18
 MAX_SIGN_BITS = 1 << 16
-GROUP = 256
+#: Candidates of a group, and bytes of their texts, about: a group's texts are sent to a task together.
+GROUP, GROUP_BYTES = 256, 8 << 20
 ORDERS, ROUNDS = 4, 2
 #: Rows of an open list beyond which it is cut into blocks, and the open lists of a class that its rows carry.
 LIST_ROWS, CARRIED, REMEMBERED = 512, 32, 200_000
@@ -389,9 +390,10 @@ class JaccardJoin:
         return cells
 
     def _verify(self, pairs: DataFrame, texts: DataFrame) -> DataFrame:
-        """Links among pairs (a: query, b); a query with many candidates becomes several groups."""
-        many = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("k"))
-        split = pairs.join(many.hint("merge"), "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.ceil(F.col("k") / F.lit(GROUP))))
+        """Links among pairs (a: query, b); a query with many candidates, or with long ones, becomes several groups."""
+        sized = pairs.join(texts.select(F.col("c").alias("b"), "bytes").hint("merge"), "b")
+        many = sized.groupBy("a").agg(F.greatest(F.ceil(F.count(F.lit(1)) / F.lit(GROUP)), F.ceil(F.sum("bytes") / F.lit(GROUP_BYTES))).alias("groups"))
+        split = pairs.join(many.hint("merge"), "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("groups")))
         split = split.select(F.xxhash64("a", "salt").alias("g"), "a", "b")
         roles = split.select("g", F.lit(False).alias("q"), F.col("b").alias("c")).union(
             split.groupBy("g", "a").agg(F.lit(1).alias("one")).select("g", F.lit(True).alias("q"), F.col("a").alias("c"))
@@ -448,7 +450,7 @@ class JaccardJoin:
         members = put(described.select("id", "th", "n", "c"))
         drop(described)
         self.scratch.free()
-        texts = put(self.rows.join(first.hint("merge"), ["id", "th"]).select("c", "t"))
+        texts = put(self.rows.join(first.hint("merge"), ["id", "th"]).select("c", "t", F.octet_length("t").cast("long").alias("bytes")))
         self.scratch.free()
         left, right = (signs.select(F.col("c").alias(x), F.col("n").alias(f"n{x}"), F.col("sig").alias(f"sig{x}")) for x in "ab")
         tested = joined = None
