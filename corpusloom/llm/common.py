@@ -8,12 +8,15 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from corpusloom.session import read_table
+
 #: Used only where the cluster names no shared folder, as in tests on one machine.
 LOCAL_CHECKPOINTS = "file:///tmp/checkpoints/corpusloom"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """One of the tables, over all cores where its files have fewer splits than that."""
+    return read_table(spark, sf_dir, name)
 
 
 def shared_dir(spark: SparkSession) -> str:
