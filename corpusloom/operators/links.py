@@ -156,8 +156,8 @@ def paired_screens(state_files: DataFrame, screens: DataFrame, edges: DataFrame,
     return first.select("repo_id", "path", "screen")
 
 
-def best_siblings(rare: DataFrame, order: DataFrame, least: int = 3, ratio: float = 0.5) -> DataFrame:
-    """(repo_id, path, sibling, shared): the earlier file with most names in common, enough of the smaller set.
+def best_siblings(rare: DataFrame, order: DataFrame, least: int = 3, ratio: float = 0.4) -> DataFrame:
+    """(repo_id, path, sibling, shared): the earlier file with most names in common, enough of the smaller set.
 
     order: repo_id, path, ord."""
     sizes = rare.groupBy("repo_id", "path").agg(F.countDistinct("name").alias("n"))
