@@ -10,18 +10,21 @@ from pyspark.sql import functions as F
 from corpusloom.functions import paths as P
 from corpusloom.operators import graph as G
 from corpusloom.operators import ingest as I
+from corpusloom.sources.archive import archive_errors
 
 
 @dataclass
 class Ingest:
     """files: repo_id, seq, path, size, content, lines, language, category, is_entry, n_imports, n_importers, importance.
-    edges: repo_id, src, dst, ord. skipped: repo_id, path, reason, is_dir. readmes: repo_id, readme_path. stats: per repository."""
+    edges: repo_id, src, dst, ord. skipped: repo_id, path, reason, is_dir. readmes: repo_id, readme_path. stats: per repository.
+    errors: repo_id, stage, code of the repositories that have no files here, and why."""
 
     files: DataFrame
     edges: DataFrame
     skipped: DataFrame
     readmes: DataFrame
     stats: DataFrame
+    errors: DataFrame
 
 
 def read_texts(entries: DataFrame) -> DataFrame:
@@ -41,6 +44,12 @@ def read_texts(entries: DataFrame) -> DataFrame:
 
 
 def ingest(entries: DataFrame, max_bytes: int = I.C.MAX_TOTAL_BYTES) -> Ingest:
+    """All repositories of entries (repo_id, seq, path, size, bytes, and error if read_archives made them). A repository whose
+    archive could not be read to its end, or that keeps no file, is an error row and in no other table but skipped."""
+    errors = None
+    if "error" in entries.columns:
+        errors = G.checkpointed(archive_errors(entries).distinct())
+        entries = entries.filter("error IS NULL").join(errors.select("repo_id"), "repo_id", "left_anti")
     base = P.basename(F.col("path"))
     rule_files = entries.filter(base.isin(".gitignore", ".gitattributes")).withColumn("content", I.decode_text(F.col("bytes")))
     ignores = I.parse_rules(rule_files.filter(base == ".gitignore").select("repo_id", "seq", "path", "size", "content"))
@@ -51,6 +60,8 @@ def ingest(entries: DataFrame, max_bytes: int = I.C.MAX_TOTAL_BYTES) -> Ingest:
     rules = ignores.withColumn("hit", F.lit("gitignored")).unionByName(linguist.withColumn("hit", F.lit("generated")))
     marked = G.checkpointed(I.marked_paths(good, rules))
     files = G.checkpointed(good.join(marked, ["repo_id", "path"], "left_anti"))
+    empty = entries.select("repo_id").distinct().join(files.select("repo_id").distinct(), "repo_id", "left_anti").select("repo_id", F.lit("filter").alias("stage"), F.lit("empty").alias("code"))
+    errors = empty if errors is None else errors.unionByName(empty)
     hints, aliases = G.project_hints(files), G.alias_table(files)
     hints = G.checkpointed(hints)
     edges = G.checkpointed(G.import_edges(files, G.candidate_paths(files, aliases, hints.drop("deps", "src_has_main")), G.folder_imports(files, hints)))
@@ -74,4 +85,4 @@ def ingest(entries: DataFrame, max_bytes: int = I.C.MAX_TOTAL_BYTES) -> Ingest:
     final = G.checkpointed(G.degrees(final.drop("n_imports", "n_importers"), kept_edges))
     line = lambda df, reason: df.select("repo_id", "path", reason.alias("reason"), F.lit(False).alias("is_dir"))
     skipped = I.skipped_paths(rest).unionByName(line(texts.filter("reason IS NOT NULL"), F.col("reason"))).unionByName(line(marked, F.col("hit"))).unionByName(line(judged.filter("NOT kept"), F.lit("limit")))
-    return Ingest(final, kept_edges, skipped, readmes, I.ingest_stats(final, skipped))
+    return Ingest(final, kept_edges, skipped, readmes, I.ingest_stats(final, skipped), errors)

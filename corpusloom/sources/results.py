@@ -5,12 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusloom.sources.store import Store
+
 # --- fixed values: titles of failures, and codes after which a run can't go on -----------------------------------
 ERROR_TITLES = {
     "auth": "Your API key didn't work", "credits": "Out of credits", "model": "Model not found", "rate_limit": "The provider is rate-limiting us",
     "context": "Too long for this model", "server": "The provider is having trouble", "network": "Couldn't reach the model provider",
     "bad_request": "The provider turned the request down", "empty": "The model went quiet", "aborted": "Stopped",
 }
+#: What an answer with an error code is sent with.
+ERROR_STATUS = {"invalid_url": 400, "not_found": 404, "too_large": 413, "empty": 422, "rate_limited": 429, "unreachable": 502, "unreadable": 502, "misconfigured": 500, "internal": 500}
 FINAL_CODES = ("invalid_url", "not_found", "empty", "too_large")
 FIX_FIRST = ("auth", "credits", "model")
 TOUR_COLUMNS = {"conv": "string", "overview": "string", "closing": "string", "parts": "array"}
@@ -28,19 +32,15 @@ def chosen_refs(candidates: DataFrame, existing: DataFrame) -> DataFrame:
 
 
 def save_tours(tours: DataFrame, path: str) -> None:
-    """Tours (as walkthroughs has them) as JSON lines; the newest save replaces what is there."""
-    tours.write.mode("overwrite").json(path)
+    """Tours (as walkthroughs has them), stored under their key; of a tour the newest save counts. What was stored before
+    stays readable until the new rows are complete."""
+    Store(tours.sparkSession, path, ("conv",)).save(tours)
 
 
 def load_tours(spark: SparkSession, path: str) -> DataFrame | None:
     """Stored tours, or None where nothing of that shape is stored. Rows without overview or parts are left out."""
-    try:
-        stored = spark.read.json(path)
-        kinds = {f.name: f.dataType.typeName() for f in stored.schema.fields}
-    except Exception as e:  # the reader says in many ways that there is nothing to read
-        if "PATH_NOT_FOUND" in str(e) or "UNABLE_TO_INFER_SCHEMA" in str(e):
-            return None
-        raise
+    stored = Store(spark, path, ("conv",)).load()
+    kinds = {f.name: f.dataType.typeName() for f in stored.schema.fields} if stored is not None else {}
     if any(kinds.get(name) != kind for name, kind in TOUR_COLUMNS.items()):
         return None
     return stored.filter("overview IS NOT NULL AND parts IS NOT NULL")
@@ -70,3 +70,9 @@ def is_resumable(code: Column) -> Column:
 def needs_fix(code: Column) -> Column:
     """Whether something must change before another try can do better."""
     return F.coalesce(code.isin(*FIX_FIRST), F.lit(False))
+
+
+def error_status(code: Column) -> Column:
+    """The status that an answer has: 200 without an error code, 500 for an unknown one."""
+    table = F.create_map(*[F.lit(x) for kv in ERROR_STATUS.items() for x in kv])
+    return F.when(code.isNull(), 200).otherwise(F.coalesce(F.try_element_at(table, code), F.lit(500)))
