@@ -86,20 +86,39 @@ def signposts(parts: DataFrame, least: int = 2) -> DataFrame:
 
 
 def back_references(parts: DataFrame, shared: int = 3) -> DataFrame:
-    """Sentences that refer back although no earlier sentence shares three stems with them."""
+    """Sentences that refer back although no earlier sentence shares three stems with them.
+
+    Of the stems of a sentence that refers back, the n - shared + 1 rarest of its conversation meet earlier sentences; one of
+    them is shared wherever `shared` are. The overlap is counted on what met."""
     s = _stems(parts)
     refer = s.filter(F.col("sentence").rlike(BACK_REFERENCE))
-    a = refer.select("conv", "part", "pos", F.explode("stems").alias("stem"))
-    b = s.select("conv", F.explode("stems").alias("stem"), F.col("part").alias("part_b"), F.col("pos").alias("pos_b"))
-    met = a.join(b, ["conv", "stem"]).filter("part_b < part").groupBy("conv", "part", "pos", "part_b", "pos_b").agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") >= shared)
-    return refer.join(met.select("conv", "part", "pos").distinct(), ["conv", "part", "pos"], "left_anti").select("conv", "part", "pos", "sentence")
+    held = s.join(refer.select("conv").distinct(), "conv", "left_semi")
+    each = held.select("conv", "part", "pos", F.explode("stems").alias("stem"))
+    frequent = each.groupBy("conv", "stem").agg(F.count(F.lit(1)).alias("df"))
+    rank = F.row_number().over(Window.partitionBy("conv", "part", "pos").orderBy("df", "stem"))
+    own = refer.select("conv", "part", "pos", "n", "stems", F.explode("stems").alias("stem")).join(frequent, ["conv", "stem"]).withColumn("r", rank).filter(F.col("r") <= F.col("n") - shared + 1)
+    b = each.select("conv", "stem", F.col("part").alias("part_b"), F.col("pos").alias("pos_b"))
+    met = own.join(b, ["conv", "stem"]).filter("part_b < part").select("conv", "part", "pos", "stems", "part_b", "pos_b").distinct()
+    both = met.join(held.select("conv", F.col("part").alias("part_b"), F.col("pos").alias("pos_b"), F.col("stems").alias("stems_b")), ["conv", "part_b", "pos_b"])
+    twins = both.filter(F.size(F.array_intersect("stems", "stems_b")) >= shared).select("conv", "part", "pos").distinct()
+    return refer.join(twins, ["conv", "part", "pos"], "left_anti").select("conv", "part", "pos", "sentence")
 
 
 def terms_explained_again(parts: DataFrame, terms: DataFrame) -> DataFrame:
-    """(conv, part, term, sentence): the first sentence that explains a term (conv, term) the listener knows."""
+    """(conv, part, term, sentence): the first sentence that explains a term (conv, term) the listener knows. A term begins
+    with no white space.
+
+    Sentences have postings of the words that follow an article, terms of their first word; these meet by an equi-join, and
+    only what met is compared in full, so the work grows with the sentences, not with sentences times terms."""
     each = parts.select("conv", "part", F.posexplode(X.sentences(F.col("body"))).alias("pos", "sentence"))
+    heads = F.transform(F.regexp_extract_all("sentence", F.lit(r"(?i)\b(?:a|an|the)(?= (\S+))"), F.lit(1)), lambda w: F.lower(w))
+    # a term of one word is followed by a comma, and perhaps by an s before it
+    bare = lambda w: F.regexp_replace(w, ",$", "")
+    keys = F.array_distinct(F.flatten(F.transform(heads, lambda w: F.array(w, bare(w), F.regexp_replace(bare(w), "s$", "")))))
+    posted = each.withColumn("head", F.explode(keys))
+    known = terms.select("conv", "term").distinct().withColumn("head", F.lower(F.regexp_extract("term", r"^\S*", 0)))
     quoted = F.concat(F.lit(r"(?i)\b(?:a|an|the) \Q"), F.col("term"), F.lit(r"\Es?, (?:the|a|an|which|meaning) "))
-    hit = each.join(terms, "conv").filter(F.regexp_like("sentence", quoted))
+    hit = posted.join(known, ["conv", "head"]).filter(F.regexp_like("sentence", quoted))
     return hit.groupBy("conv", "part", "term").agg(F.min_by("sentence", "pos").alias("sentence"))
 
 

@@ -12,6 +12,7 @@ from corpusloom.narrate import assemble as A
 from corpusloom.narrate import speech as S
 from corpusloom.operators import lint as L
 from corpusloom.operators import links as K
+from corpusloom.operators import related as RL
 from corpusloom.operators import plan as PL
 from corpusloom.queries.fixture import FILES_SQL, files
 from corpusloom.session import read_table
@@ -33,9 +34,9 @@ def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 PARTS_SQL = """parts AS (SELECT conv_id AS conv, turn AS part, role AS chapter, (CASE (conv_id + turn) % 5 WHEN 0 THEN 'Keep in mind that this part probably starts below. '
   WHEN 1 THEN 'The login screen stores tokens inside browser storage safely. Worth knowing, the catch is here. '
   WHEN 2 THEN 'The login screen quietly stores tokens inside browser storage. Keep in mind the same rule as before applies. ' ELSE '' END) || text AS body FROM conversations)"""
-SENT_SQL = f"""{PARTS_SQL},
-sents AS (SELECT conv, part, chapter, unnest(range(len(s))) AS pos, unnest(s) AS sentence FROM (
-  SELECT conv, part, chapter, list_filter(list_transform(regexp_extract_all(regexp_replace(body, '\\s+', ' ', 'g'), '[^.!?]+[.!?]+["”'')]*'), lambda x: trim(x)), lambda x: len(string_split(x, ' ')) >= 4) AS s FROM parts))"""
+SENTS_SQL = r"""sents AS (SELECT conv, part, chapter, unnest(range(len(s))) AS pos, unnest(s) AS sentence FROM (
+  SELECT conv, part, chapter, list_filter(list_transform(regexp_extract_all(regexp_replace(body, '\s+', ' ', 'g'), '[^.!?]+[.!?]+["”'')]*'), lambda x: trim(x)), lambda x: len(string_split(x, ' ')) >= 4) AS s FROM parts))"""
+SENT_SQL = f"{PARTS_SQL},\n{SENTS_SQL}"
 
 
 def _words_sql(column: str) -> str:
@@ -177,39 +178,86 @@ def j7_shared_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def a5_link_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links with reasons and names; every seventh file is a list of constants, and every third mentions what it imports."""
     c, rare = _rare(spark, sf_dir)
-    edges = c.select("repo_id", F.col("path").alias("src"), F.concat(F.lit("src/m"), (F.col("seq") + 20).cast("string"), F.lit(".ts")).alias("dst")).join(c.select("repo_id", F.col("path").alias("dst")), ["repo_id", "dst"], "left_semi")
-    return K.link_scores(c, K.shared_names(rare), edges).select("repo_id", "path", "other", F.round("score", 6).alias("score"))
-
-
-A5_SQL = f"""WITH {NAMES_SQL}, e AS (SELECT a.source AS repo_id, 'src/m' || a.doc_id || '.ts' AS src, 'src/m' || b.doc_id || '.ts' AS dst FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 20 AND a.source = b.source),
-w AS (SELECT a.repo_id, a.path, b.path AS other, 4.0 / a.holders AS w FROM rare a JOIN rare b ON a.repo_id = b.repo_id AND a.name = b.name AND a.path <> b.path
-  UNION ALL SELECT repo_id, dst, src, 1.0 FROM e UNION ALL SELECT repo_id, src, dst, 1.5 FROM e)
-SELECT repo_id, path, other, round(sum(w)::DOUBLE, 6) AS score FROM w GROUP BY ALL"""
+    k = F.col("seq")
+    name = lambda n: F.concat(F.lit("m"), n.cast("string"))
+    lists = F.repeat(F.lit("export const limit = 10;\n"), 12)
+    c = c.withColumn("content", F.when(k % 7 == 3, lists).otherwise(F.concat(F.when(k % 3 == 0, F.concat(F.lit("call "), name(k + 20), F.lit("();\n"))).otherwise(F.lit("")), F.coalesce("content", F.lit("")))))
+    edges = c.select("repo_id", F.col("path").alias("src"), F.concat(F.lit("src/"), name(k + 20), F.lit(".ts")).alias("dst")).join(c.select("repo_id", F.col("path").alias("dst")), ["repo_id", "dst"], "left_semi")
+    links = RL.related_candidates(c.select("repo_id", "path", "content"), rare, edges)
+    return links.select("repo_id", "path", "other", F.round("score", 6).alias("score"), F.array_join("names", " ").alias("names"), "why")
+
+
+A5_SQL = f"""WITH {NAMES_SQL}, e AS (SELECT a.source AS repo_id, a.doc_id AS s, b.doc_id AS d, 'src/m' || a.doc_id || '.ts' AS src, 'src/m' || b.doc_id || '.ts' AS dst FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 20 AND a.source = b.source),
+w AS (SELECT a.repo_id, a.path, b.path AS other, 4.0 / a.holders AS w, a.name, 0 AS why FROM rare a JOIN rare b ON a.repo_id = b.repo_id AND a.name = b.name AND a.path <> b.path
+  UNION ALL SELECT repo_id, dst, src, 1.0, CASE WHEN d >= 10 THEN 'm' || d END, 1 FROM e UNION ALL SELECT repo_id, dst, src, 0, CASE WHEN d % 7 = 3 THEN 'limit' END, 1 FROM e
+  UNION ALL SELECT repo_id, src, dst, 1.5, CASE WHEN s % 3 = 0 AND s % 7 <> 3 THEN 'm' || d END, 2 FROM e
+  UNION ALL SELECT repo_id, src, dst, 0, CASE WHEN s % 7 = 3 AND d % 7 = 3 THEN 'limit' END, 2 FROM e)
+SELECT repo_id, path, other, round((sum(w) * CASE WHEN regexp_extract(other, 'm(\\d+)', 1)::BIGINT % 7 = 3 THEN 0.2 ELSE 1 END)::DOUBLE, 6) AS score,
+  coalesce(array_to_string(list_sort(list(DISTINCT name) FILTER (name IS NOT NULL)), ' '), '') AS names,
+  array_to_string(list_transform(list_sort(list(DISTINCT why)), lambda x: ['shares names with this file', 'uses this file', 'is used by this file'][x + 1]), '; ') AS why
+FROM w GROUP BY repo_id, path, other"""
 
 
 def j9_best_siblings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c, rare = _rare(spark, sf_dir)
-    return K.best_siblings(rare, c.select("repo_id", "path", F.col("seq").alias("ord")), least=1, ratio=0.5)
+    """Files of eighty documents share up to four names of their own."""
+    c, k = _code(spark, sf_dir), F.col("seq")
+    g = F.floor(k / 80).cast("long").cast("string")
+    more = F.concat(*[x for i, n in enumerate(("ONE", "TWO", "SIX", "TEN")) for x in (F.when(k % 5 == i, F.lit("")).otherwise(F.concat(F.lit(f"ROW_{n}_"), g, F.lit(" "))),)])
+    c = c.withColumn("content", F.concat(more, "content"))
+    sizes = c.filter("category = 'core'").groupBy("repo_id").agg(F.count(F.lit(1)).alias("n_code"))
+    return K.best_siblings(K.rare_names(K.postings(c), sizes), c.select("repo_id", "path", F.col("seq").alias("ord")))
 
 
-J9_SQL = f"""WITH {NAMES_SQL}, o AS (SELECT source AS repo_id, 'src/m' || doc_id || '.ts' AS path, doc_id AS ord FROM documents),
+_ROWS = " || ".join(f"CASE WHEN doc_id % 5 = {i} THEN '' ELSE 'ROW_{n}_' || (doc_id // 80) || ' ' END" for i, n in enumerate(("ONE", "TWO", "SIX", "TEN")))
+J9_SQL = f"""WITH {NAMES_SQL.replace("'use SET_ITEM_'", _ROWS + " || 'use SET_ITEM_'", 1)}, o AS (SELECT source AS repo_id, 'src/m' || doc_id || '.ts' AS path, doc_id AS ord FROM documents),
 n AS (SELECT repo_id, path, count(DISTINCT name) AS n FROM rare GROUP BY ALL),
 p AS (SELECT a.repo_id, a.path, b.path AS sibling, ob.ord AS ord_b, count(*) AS shared FROM rare a JOIN rare b ON a.repo_id = b.repo_id AND a.name = b.name
   JOIN o oa ON oa.repo_id = a.repo_id AND oa.path = a.path JOIN o ob ON ob.repo_id = b.repo_id AND ob.path = b.path WHERE ob.ord < oa.ord GROUP BY ALL),
-g AS (SELECT p.* FROM p JOIN n x ON x.repo_id = p.repo_id AND x.path = p.path JOIN n y ON y.repo_id = p.repo_id AND y.path = p.sibling WHERE shared >= 1 AND shared >= 0.5 * least(x.n, y.n))
+g AS (SELECT p.* FROM p JOIN n x ON x.repo_id = p.repo_id AND x.path = p.path JOIN n y ON y.repo_id = p.repo_id AND y.path = p.sibling WHERE shared >= 3 AND 10 * shared >= 4 * least(x.n, y.n))
 SELECT repo_id, path, sibling, shared FROM g QUALIFY row_number() OVER (PARTITION BY repo_id, path ORDER BY shared DESC, ord_b) = 1"""
 
 
 def x12_excerpt(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = _docs(spark, sf_dir).select(F.lit("r").alias("repo_id"), F.col("doc_id").cast("string").alias("path"), F.col("doc_id").alias("k"))
-    line = lambda i: F.when(d["k"] % 9 == i, F.lit(f"use targetName {i}")).otherwise(F.lit(f"line {i}"))
-    f = d.withColumn("content", F.concat_ws("\n", *[line(i) for i in range(9)]))
-    return K.excerpts(f, f.select("repo_id", "path", F.lit("k").alias("key"), F.array(F.lit("targetName")).alias("names"))).select("path", "excerpt")
+    """The lines of each whole text that hold its first identifier of three characters or more, with two lines around."""
+    f = _docs(spark, sf_dir).select(F.lit("r").alias("repo_id"), F.col("doc_id").cast("string").alias("path"), F.coalesce("text", F.lit("")).alias("content"))
+    first = F.regexp_extract("content", r"[A-Za-z0-9_$]{3,}", 0)
+    return K.excerpts(f, f.select("repo_id", "path", F.lit("k").alias("key"), F.array(first).alias("names"))).select("path", F.md5("excerpt").alias("excerpt_md5"))
+
+
+X12_SQL = r"""WITH d AS (SELECT doc_id::VARCHAR AS path, string_split(coalesce(text, ''), chr(10)) AS l, regexp_extract(coalesce(text, ''), '[A-Za-z0-9_$]{3,}') AS name FROM documents),
+x AS (SELECT path, name, unnest(range(len(l))) AS i, unnest(l) AS t FROM d),
+v AS (SELECT *, regexp_matches(t, '^\s*(import\b|from\s+\S+\s+import\b|export\s+\{[^}]*\}\s+from\b|export\s+\*\s+from\b|(const|let|var)\s+[\w{}\s,]+=\s*require\()') AS imports FROM x),
+h AS (SELECT path, i FROM v WHERE NOT imports AND length(t) <= 400 AND list_contains(regexp_extract_all(t, '[A-Za-z0-9_$]+'), name)),
+n AS (SELECT DISTINCT path, unnest([i - 2, i - 1, i, i + 1, i + 2]) AS i FROM h),
+p AS (SELECT v.path, v.i, CASE WHEN v.i > lag(v.i) OVER o + 1 THEN '…' || chr(10) ELSE '' END || v.t AS piece FROM n JOIN v ON v.path = n.path AND v.i = n.i WHERE NOT imports WINDOW o AS (PARTITION BY v.path ORDER BY v.i)),
+c AS (SELECT *, sum(length(piece) + 1) OVER (PARTITION BY path ORDER BY i) <= 1200 AS fits FROM p),
+e AS (SELECT path, coalesce(string_agg(piece, chr(10) ORDER BY i) FILTER (fits) || CASE WHEN bool_and(fits) THEN '' ELSE chr(10) || '…' END, '…') AS t FROM c GROUP BY path)
+SELECT d.path, md5(trim(coalesce(e.t, ''), ' ')) AS excerpt_md5 FROM d LEFT JOIN e ON e.path = d.path"""
+
+
+def _told(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Parts that end by explaining the first word, or the first two words, of their text, and the terms of each conversation."""
+    p = _parts(spark, sf_dir)
+    one = F.lower(F.regexp_extract("body", r"[A-Za-z]{3,}", 0))
+    term = F.when(F.col("part") % 2 == 0, one).otherwise(F.concat(one, F.lit(" Table")))
+    said = p.select("conv", "part", F.concat("body", F.lit(" We meet the "), term, F.when(F.col("part") % 3 == 0, F.lit("s")).otherwise(F.lit("")), F.lit(", which does it.")).alias("body"), term.alias("term"))
+    return said.select("conv", "part", "body"), said.filter("part % 5 <> 1 AND term <> ''").select("conv", F.lower("term").alias("term")).distinct()
+
+
+def x9_terms_again(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts, terms = _told(spark, sf_dir)
+    return L.terms_explained_again(parts, terms)
 
 
-X12_SQL = """SELECT doc_id::VARCHAR AS path, (SELECT string_agg(CASE WHEN i = doc_id % 9 THEN 'use targetName ' || i ELSE 'line ' || i END, chr(10) ORDER BY i)
-FROM range(9) t(i) WHERE i BETWEEN doc_id % 9 - 2 AND doc_id % 9 + 2) AS excerpt FROM documents"""
+X9_TERMS_SQL = f"""WITH {PARTS_SQL.replace("parts AS", "raw_parts AS", 1)},
+said AS (SELECT *, CASE WHEN part % 2 = 0 THEN w ELSE w || ' Table' END AS term FROM (SELECT conv, part, chapter, body AS b, lower(regexp_extract(body, '[A-Za-z]{{3,}}')) AS w FROM raw_parts)),
+parts AS (SELECT conv, part, chapter, b || ' We meet the ' || term || CASE WHEN part % 3 = 0 THEN 's' ELSE '' END || ', which does it.' AS body FROM said),
+terms AS (SELECT DISTINCT conv, lower(term) AS term FROM said WHERE part % 5 <> 1 AND term <> ''),
+{SENTS_SQL}
+SELECT s.conv, s.part, t.term, arg_min(s.sentence, s.pos) AS sentence FROM sents s JOIN terms t ON t.conv = s.conv
+WHERE regexp_matches(s.sentence, '(?i)\\b(?:a|an|the) ' || regexp_escape(t.term) || 's?, (?:the|a|an|which|meaning) ') GROUP BY s.conv, s.part, t.term"""
 
 
 def _planned(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -451,7 +499,7 @@ def t10_natural_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "x7_sentences": x7_sentences, "x8_content_words": x8_content_words, "x9_rule_flags": x9_rule_flags, "x9_back_references": x9_back_references,
+    "x7_sentences": x7_sentences, "x8_content_words": x8_content_words, "x9_rule_flags": x9_rule_flags, "x9_back_references": x9_back_references, "x9_terms_again": x9_terms_again,
     "w2_same_opening": w2_same_opening, "a9_signposts": a9_signposts, "j8_repeats": j8_repeats, "a12_script_stats": a12_script_stats,
     "x15_number_words": x15_number_words, "x6_first_sentences": x6_first_sentences, "x1_strip_markup": x1_strip_markup, "x1_speakable": x1_speakable,
     "x5_parse_reply": x5_parse_reply, "a4_rare_names": a4_rare_names, "j7_shared_names": j7_shared_names, "a5_link_score": a5_link_score,
@@ -479,7 +527,7 @@ ORACLES = {
     "x15_number_words": X15_SQL, "x6_first_sentences": X6_SQL, "x1_strip_markup": X1_SQL, "x1_speakable": X1S_SQL, "x5_parse_reply": X5_SQL,
     "a4_rare_names": f"WITH {NAMES_SQL} SELECT repo_id, name, path, holders FROM rare",
     "j7_shared_names": f"WITH {NAMES_SQL} SELECT a.repo_id, a.path, b.path AS other, string_agg(a.name, ' ' ORDER BY a.name) AS names, round(sum(4.0 / a.holders)::DOUBLE, 9) AS weight FROM rare a JOIN rare b ON a.repo_id = b.repo_id AND a.name = b.name AND a.path <> b.path GROUP BY ALL",
-    "a5_link_score": A5_SQL, "j9_best_siblings": J9_SQL, "x12_excerpt": X12_SQL,
+    "a5_link_score": A5_SQL, "j9_best_siblings": J9_SQL, "x12_excerpt": X12_SQL, "x9_terms_again": X9_TERMS_SQL,
     "l1_group_split": f"WITH {_plan_sql()} SELECT seq, coalesce(group_kind, '-') AS group_kind FROM groups",
     "t4_topk_overflow": f"WITH {_plan_sql()}, n AS (SELECT repo_id, count(DISTINCT group_kind) AS k FROM groups GROUP BY ALL) SELECT seq, group_kind IS NULL AND row_number() OVER (PARTITION BY g.repo_id, group_kind IS NULL ORDER BY importance DESC, seq) > greatest(8, 14 - n.k) AS is_overflow FROM groups g JOIN n USING (repo_id)",
     "t5_depth": f"WITH {_plan_sql()}{T5_SQL}", "l7_fold_folders": f"WITH {_plan_sql()}{L7_SQL}", "l6_cluster_order": f"WITH {_plan_sql()}{L6_SQL}", "l13_chunks": L13_SQL, "p10_word_targets": P10_SQL,

@@ -53,23 +53,35 @@ n AS (SELECT r::VARCHAR AS repo_id, k, unnest(CASE k % 7 WHEN 0 THEN ['react', '
 SELECT repo_id, dep, row_number() OVER (PARTITION BY repo_id ORDER BY k, pos)::INT AS ord FROM n"""
 
 
+X13_CODE = (
+    "useState(1); dispatch (x);", "connect(a); const slug = 1; a.then(b);", "notes", "componentDidMount() {} dispatch(y); payload", "createContext(0); run migrations; connect (b)", "notes",
+    "app.get (x); new Promise; slug payload", "dispatch(z); @app.route; a migration; connect(c)", "notes", "router.post(x); createContext (1); componentWillUnmount; slug", "useIt(); .then (c); app.put(x)",
+)
+_X13_CODE = "[" + ", ".join(f"'{x}'" for x in X13_CODE) + f"][(doc_id % {len(X13_CODE)} + 1)::INT]"
+
+
 def x13_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Terms of repositories of seven documents whose dependencies and code vary; the documents' texts are in the code."""
     k = F.col("doc_id")
     r = F.floor(k / 7).cast("long")
-    code = F.concat(_nth(k % 3, F.lit("useState(1);\n"), F.lit("dispatch (x);\n"), F.lit("a.then(b);\n")), F.coalesce("text", F.lit("")))
+    code = F.concat(_nth(k, *[F.lit(x) for x in X13_CODE]), F.lit("\n"), F.coalesce("text", F.lit("")))
     docs = read_table(spark, sf_dir, "documents").select(r.alias("repo"), r.cast("string").alias("repo_id"), k.alias("seq"), F.concat(F.lit("src/m"), k.cast("string"), _nth(k, F.lit(".ts"), F.lit(".ts"), F.lit(".md"))).alias("path"), code.alias("content"))
     deps = docs.groupBy("repo", "repo_id").agg(F.min("seq").alias("ord")).select("repo_id", _nth(F.col("repo"), F.lit("react"), F.lit("vuex"), F.lit("@ai-sdk/x"), F.lit("none")).alias("dep"), "ord")
-    terms = ST.core_terms(docs, deps).filter(~F.col("term").isin("slug", "payload", "context", "migration", "endpoint", "connect"))
+    terms = ST.core_terms(docs, deps)
     return terms.groupBy("repo_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "term"))), lambda x: x["term"]), ", ").alias("terms"))
 
 
-X13_SQL = r"""WITH d AS (SELECT doc_id // 7 AS r, doc_id AS k, doc_id % 3 = 2 AS md, ['useState(1);', 'dispatch (x);', 'a.then(b);'][(doc_id % 3 + 1)::INT] || chr(10) || coalesce(text, '') AS t FROM documents),
-c AS (SELECT r, bool_or(NOT md AND regexp_matches(t, '\buse[A-Z]\w*\s*\(')) AS hook, count(*) FILTER (NOT md AND regexp_matches(t, '\bdispatch\s*\(')) AS di, count(*) FILTER (NOT md AND regexp_matches(t, '\bPromise\b|\.then\s*\(')) AS pr,
-  count(*) FILTER (NOT md AND regexp_matches(t, '\bcomponent(Did|Will)(Mount|Update|Unmount|ReceiveProps)\b')) AS li FROM d GROUP BY r),
-l AS (SELECT r, list_concat(CASE r % 4 WHEN 0 THEN list_concat(['component', 'props', 'state'], CASE WHEN hook THEN ['hook'] ELSE [] END) WHEN 1 THEN ['store'] WHEN 2 THEN ['prompt', 'model', 'streaming'] ELSE [] END,
-  list_filter([CASE WHEN di >= 3 THEN 'dispatch' END, CASE WHEN pr >= 3 THEN 'promise' END, CASE WHEN li >= 3 THEN 'lifecycle method' END], lambda x: x IS NOT NULL)) AS t FROM c)
-SELECT r::VARCHAR AS repo_id, array_to_string(t, ', ') AS terms FROM l WHERE len(t) > 0"""
+#: Fixed values, typed here and not taken from the operator: jargon in order, each with its pattern.
+_JARGON = (
+    ("dispatch", r"\bdispatch\s*\("), ("connect", r"\bconnect\s*\("), ("slug", r"\bslug\b"), ("payload", r"\bpayload\b"), ("promise", r"\bPromise\b|\.then\s*\("),
+    ("lifecycle method", r"\bcomponent(Did|Will)(Mount|Update|Unmount|ReceiveProps)\b"), ("context", r"\bcreateContext\s*\("), ("migration", r"\bmigrations?\b"),
+    ("endpoint", r"\bapp\.(get|post|put|delete)\s*\(|@app\.(get|post|route)\b|\brouter\.(get|post)\s*\("),
+)
+X13_SQL = rf"""WITH d AS (SELECT doc_id // 7 AS r, doc_id AS k, doc_id % 3 = 2 AS md, {_X13_CODE} || chr(10) || coalesce(text, '') AS t FROM documents),
+c AS (SELECT r, bool_or(NOT md AND regexp_matches(t, '\buse[A-Z]\w*\s*\(')) AS hook,
+  list_filter([{", ".join(f"CASE WHEN count(*) FILTER (NOT md AND regexp_matches(t, '{p}')) >= 3 THEN '{t}' END" for t, p in _JARGON)}], lambda x: x IS NOT NULL) AS jargon FROM d GROUP BY r),
+l AS (SELECT r, list_concat(CASE r % 4 WHEN 0 THEN list_concat(['component', 'props', 'state'], CASE WHEN hook THEN ['hook'] ELSE [] END) WHEN 1 THEN ['store'] WHEN 2 THEN ['prompt', 'model', 'streaming'] ELSE [] END, jargon) AS t FROM c)
+SELECT r::VARCHAR AS repo_id, array_to_string(t[1:12], ', ') AS terms FROM l WHERE len(t) > 0"""
 
 
 def x13_readme(spark: SparkSession, sf_dir: str) -> DataFrame:
