@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from corpusloom.queries import graph, ingest, more, narration, tours
+from corpusloom.queries import graph, ingest, languages, more, narration, tours
 
-MODULES = (ingest, graph, narration, more, tours)
+MODULES = (ingest, graph, narration, more, tours, languages)
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in MODULES for name, sql in module.ORACLES.items()}
 flagship = ingest.f1_reason_hist
