@@ -27,7 +27,7 @@ KINDS = (
     ("rs{k}/main.rs", "mod net{k};", "rs{k}/net{k}.rs"),
     ("cc{k}/x.c", '#include "x{k}.h"', "cc{k}/x{k}.h"),
     ("p{k}/a.php", "<?php require 'b{k}.php';", "p{k}/b{k}.php"),
-    ("q{k}/a.php", "<?php use App\\Model\\U{k};", "app/Model/U{k}.php"),
+    ("q{k}/a.php", "<?php\nuse App\\Model\\U{k};", "app/Model/U{k}.php"),
     ("j{k}/App.java", "import j{k}.util.Tool{k};", "j{k}/util/Tool{k}.java"),
     ("da{k}/a.dart", "import 'package:demo/z{k}.dart';", "lib/z{k}.dart"),
 )
