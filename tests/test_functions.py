@@ -229,6 +229,12 @@ def test_number_words(spark, n, want):
     assert one(spark, X.number_words(F.col("n")), n=n) == want
 
 
+def test_natural_key_of_long_numbers(spark):
+    names = ["a" + "9" * 25, "a1" + "0" * 25, "a10" + "0" * 24 + "1", "a2", "a007", "a10b2", "a10b10"]
+    df = spark.createDataFrame([(n,) for n in names], "n string")
+    assert [r["n"] for r in df.orderBy(PL.natural_key(F.col("n"))).collect()] == ["a2", "a007", "a10b2", "a10b10", "a" + "9" * 25, "a1" + "0" * 25, "a10" + "0" * 24 + "1"]
+
+
 def test_natural_key_and_elide(spark):
     names = ["file10", "File2", "file1"]
     df = spark.createDataFrame([(n,) for n in names], ["n"])
