@@ -11,9 +11,12 @@ compete. The threshold rises from shard to shard, and the cut moves with it. Eac
 a last step merges them.
 
 Queries and candidates are both rows of one exchange: queries lie in blocks of about QUERY_BLOCK, candidates in parts of
-about PART, both by hash, and every pair of a block and a part is a group. A task holds one block of queries and one
-shard of candidates at a time. The plan does not depend on the number of queries, and nothing but two counts comes to
-the driver. What is shuffled are the candidates once for each block and the queries once for each part.
+up to PART, both by hash, and every pair of a block and a part is a group. A task holds one block of queries and one
+shard of candidates at a time; the candidates of a part stream past, so parts may be large. A first pass compares each
+query with one pilot shard of about PILOT candidates, chosen by hash; the k-th best score there is a threshold that the
+true k-th best reaches, and every group starts with it. The plan does not depend on the number of queries, and nothing
+but two counts comes to the driver. What is shuffled are the candidates once for each block of queries and the queries
+once for each part.
 
 Defined results: null vectors and those with null or non-finite components take part on neither side; a zero vector
 scores 0; ties go to the smaller id; a query with fewer than k other vectors gets them all; a repeated id is a candidate
@@ -34,7 +37,9 @@ from pyspark.sql.window import Window
 
 from corpusloom.llm.common import Scratch, table
 
-QUERY_BLOCK, PART, SHARD = 8192, 8192, 4096
+QUERY_BLOCK, PART, SHARD, PILOT = 8192, 1 << 20, 4096, 4096
+#: Candidates that make a part of their own where there are fewer groups than cores.
+LEAST_PART = 8192
 #: Integers below this keep every product and sum exact in double precision, which is what makes the products fast.
 EXACT = 2.0**53
 LARGEST = 2**63 - 1
@@ -61,10 +66,12 @@ def read_vectors(column: pa.Array) -> tuple[np.ndarray, list[np.ndarray]]:
 
 
 class ShardSearch:
-    """The best k per query over the shards given so far."""
+    """The best k per query over the shards given so far. floors: a score for each query that its k-th best reaches, or -inf;
+    `products` counts the terms that were multiplied, of candidates of moderate size."""
 
-    def __init__(self, ids: np.ndarray, queries: np.ndarray, k: int):
-        self.ids, self.queries, self.k = ids, queries, k
+    def __init__(self, ids: np.ndarray, queries: np.ndarray, k: int, floors: np.ndarray | None = None):
+        self.ids, self.queries, self.k, self.products = ids, queries, k, 0
+        self.floors = np.full(len(ids), -np.inf) if floors is None else floors
         self.best: list[list[tuple[int, int]]] = [[] for _ in ids]
 
     def _keep(self, q: int, scores: np.ndarray, ids: np.ndarray) -> None:
@@ -97,7 +104,7 @@ class ShardSearch:
             # what the terms from a place on can add at most, and the span of their bounds
             left = np.r_[np.cumsum(most[own][::-1])[::-1], 0.0]
             spans = np.r_[np.cumsum(span[own][::-1])[::-1], 0.0]
-            floor = float(-self.best[q][-1][0]) if len(self.best[q]) == self.k else -np.inf
+            floor = max(float(self.floors[q]), float(-self.best[q][-1][0]) if len(self.best[q]) == self.k else -np.inf)
             if left[0] < floor:
                 continue
             # essential: up to the place from which the spans no longer add up to what the threshold asks for
@@ -105,6 +112,7 @@ class ShardSearch:
             cut = min(cut, dims)
             alive = np.flatnonzero(ids != self.ids[q])
             part = (vectors[:, own[:cut]] @ query[own[:cut]])[alive]
+            self.products += cut * len(alive)
             at = cut
             while len(alive):
                 if floor > -np.inf:
@@ -114,6 +122,7 @@ class ShardSearch:
                     break
                 to = min(dims, at + max(4, dims // 8))
                 part = part + vectors[np.ix_(alive, own[at:to])] @ query[own[at:to]]
+                self.products += (to - at) * len(alive)
                 at = to
             if len(alive):
                 self._keep(q, part, ids[alive])
@@ -134,16 +143,28 @@ def maxscore_topk(candidates: DataFrame, queries: DataFrame, id_col: str = "vec_
     kind = "array<float>" if {df.schema[vector].dataType.simpleString() for df in (candidates, queries)} == {"array<float>"} else "array<double>"
     rows = lambda df: df.select(F.col(id_col).cast("long").alias("id"), F.col(vector).cast(kind).alias("v")).filter("v IS NOT NULL AND id IS NOT NULL")
     asked, given = scratch.put(rows(queries)), rows(candidates)
-    blocks, parts = (max(1, -(-df.count() // size)) for df, size in ((asked, QUERY_BLOCK), (given, PART)))
+    n_asked, n_given = asked.count(), given.count()
+    blocks = max(1, -(-n_asked // QUERY_BLOCK))
+    # as few parts as memory and the cores allow: each takes all queries
+    cores = candidates.sparkSession.sparkContext.defaultParallelism
+    parts = max(1, -(-n_given // PART), min(-(-n_given // LEAST_PART), -(-2 * cores // blocks)))
+    pilot = given.filter(F.pmod(F.xxhash64("id", F.lit("pilot")), F.lit(max(1, n_given // PILOT))) == 0)
+    first = _met(asked.withColumn("floor", F.lit(None).cast("long")), pilot, blocks, 1, k, scale)
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
+    floors = first.withColumn("rank", rank).filter(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").alias("floor"))
+    found = _met(scratch.put(asked.join(floors, "id", "left")), given, blocks, parts, k, scale)
+    return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "id", "score")
+
+
+def _met(asked: DataFrame, given: DataFrame, blocks: int, parts: int, k: int, scale: int) -> DataFrame:
+    """(query_id, id, score): the k best of each query (id, v, floor) in each part of the candidates (id, v)."""
     number = lambda n: F.pmod(F.xxhash64("id", F.lit(n)), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    dealt = asked.select(number(blocks).alias("block"), every(parts).alias("part"), F.lit(True).alias("is_query"), "id", "v").unionByName(
-        given.select(every(blocks).alias("block"), number(parts).alias("part"), F.lit(False).alias("is_query"), "id", "v")
+    dealt = asked.select(number(blocks).alias("block"), every(parts).alias("part"), F.lit(True).alias("is_query"), "id", "v", "floor").unionByName(
+        given.select(every(blocks).alias("block"), number(parts).alias("part"), F.lit(False).alias("is_query"), "id", "v", F.lit(None).cast("long").alias("floor"))
     )
     dealt = dealt.repartition("block", "part").sortWithinPartitions("block", "part", F.desc("is_query"), "id")
-    found = dealt.mapInArrow(_searcher(k, scale), "query_id long, id long, score long")
-    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id")))
-    return ranked.filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "id", "score")
+    return dealt.mapInArrow(_searcher(k, scale), "query_id long, id long, score long")
 
 
 def _searcher(k: int, scale: int):
@@ -151,16 +172,17 @@ def _searcher(k: int, scale: int):
 
     class Group:
         def __init__(self) -> None:
-            self.asked: dict[int, dict[int, np.ndarray]] = {}
+            self.asked: dict[int, dict[tuple[int, bytes], tuple[np.ndarray, float]]] = {}
             self.searches: dict[int, ShardSearch] | None = None
 
-        def ask(self, ids: np.ndarray, vectors: list[np.ndarray]) -> None:
-            for i, v in zip(ids, vectors, strict=True):
-                self.asked.setdefault(len(v), {}).setdefault((int(i), v.tobytes()), v)
+        def ask(self, ids: np.ndarray, vectors: list[np.ndarray], floors: np.ndarray) -> None:
+            for i, v, floor in zip(ids, vectors, floors, strict=True):
+                self.asked.setdefault(len(v), {}).setdefault((int(i), v.tobytes()), (v, floor))
 
         def give(self, ids: np.ndarray, vectors: list[np.ndarray]) -> None:
             if self.searches is None:
-                self.searches = {n: ShardSearch(np.array([key[0] for key in own]), to_integers(np.stack(list(own.values())), scale), k) for n, own in self.asked.items()}
+                known = {n: (np.array([key[0] for key in own]), to_integers(np.stack([v for v, _ in own.values()]), scale), np.array([f for _, f in own.values()])) for n, own in self.asked.items()}
+                self.searches = {n: ShardSearch(of, queries, k, floors) for n, (of, queries, floors) in known.items()}
             sizes = np.array([len(v) for v in vectors])
             for n, search in self.searches.items():
                 own = np.flatnonzero(sizes == n)
@@ -192,7 +214,11 @@ def _searcher(k: int, scale: int):
                 own = batch.slice(lo, hi - lo)
                 at, vectors = read_vectors(own.column(4))
                 ids = own.column(3).to_numpy()[at]
-                (group.ask if is_query[lo] else group.give)(ids, vectors)
+                if is_query[lo]:
+                    floors = own.column(5).cast(pa.float64(), safe=False).fill_null(-np.inf).to_numpy(zero_copy_only=False)[at]
+                    group.ask(ids, vectors, floors)
+                else:
+                    group.give(ids, vectors)
         yield from group.best()
 
     return run

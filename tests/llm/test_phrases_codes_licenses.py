@@ -10,7 +10,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
-from corpusloom.llm import licenses, phrases, textgrams, vector_codes
+from corpusloom.llm import licenses, phrases, textgrams, topk, vector_codes
 
 UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 LARGEST = 2**63 - 1
@@ -173,6 +173,39 @@ def test_later_rounds_rescan_few(spark):
     assert len(heaps.pop(drift)) < 40
 
 
+# --- thresholds of the top-k search ---------------------------------------------------------------------------
+
+
+def test_shards_after_the_first_prune_and_so_do_floors(spark, monkeypatch):
+    """Scores are those of brute force over many shards, parts and a pilot; a threshold saves products from the first shard on."""
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(20, 16)) * 3
+    points = (centres[rng.integers(0, 20, 3000)] + rng.normal(size=(3000, 16)) * 0.2).astype(np.float32)
+    whole = topk.to_integers(points, 1024)
+    queries, ids = whole[:40], np.arange(3000)
+    scores = (queries @ whole.T).astype(np.int64)
+    scores[np.arange(40), np.arange(40)] = -(2**60)
+    want = {q: [(int(i), int(scores[q, i])) for i in np.lexsort((ids, -scores[q]))[:10]] for q in range(40)}
+    floors = np.sort(scores, axis=1)[:, -10].astype(float)
+    cost = {}
+    for name, floor in (("none", None), ("known", floors)):
+        search = topk.ShardSearch(ids[:40], queries, 10, floor)
+        for at in range(0, 3000, 500):
+            before = search.products
+            search.add(ids[at : at + 500], whole[at : at + 500])
+            cost[name, at] = search.products - before
+        assert {q: [(i, -s) for s, i in search.best[q]] for q in range(40)} == want
+    assert all(cost["none", at] < 0.6 * cost["none", 0] for at in range(500, 3000, 500)) and cost["known", 0] < 0.6 * cost["none", 0]
+    monkeypatch.setattr(topk, "PILOT", 200)
+    monkeypatch.setattr(topk, "PART", 400)
+    monkeypatch.setattr(topk, "QUERY_BLOCK", 15)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(points)], "vec_id long, embedding array<float>").repartition(3)
+    got: dict = {}
+    for r in sorted(topk.maxscore_topk(df, df.filter("vec_id < 40")).collect(), key=lambda r: r["rank"]):
+        got.setdefault(r["query_id"], []).append((r["id"], r["score"]))
+    assert got == want
+
+
 # --- licenses -------------------------------------------------------------------------------------------------
 
 
