@@ -51,13 +51,13 @@ from pyspark.sql.window import Window
 
 from corpusloom.llm.common import Scratch, table
 from corpusloom.llm.components import components
-from corpusloom.llm.textgrams import SLICE, mix, ngrams, slices, text_bytes, words_of
+from corpusloom.llm.textgrams import mix, ngrams, slices, text_bytes, words_of
 
 SHINGLE, PERCENT = 5, 80
 CELL_BITS = 18
 MAX_SIGN_BITS = 1 << 16
-#: Candidates of a group, and bytes of their texts, about: a group's texts are sent to a task together.
-GROUP, GROUP_BYTES = 256, 8 << 20
+#: Candidates of a group, about.
+GROUP = 256
 ORDERS, ROUNDS = 4, 2
 #: Rows of an open list beyond which it is cut into blocks, and the open lists of a class that its rows carry.
 LIST_ROWS, CARRIED, REMEMBERED = 512, 32, 200_000
@@ -339,33 +339,30 @@ def t_occurrence(query: np.ndarray, texts: list[np.ndarray], percent: int = PERC
 
 
 def _search(size: int, percent: int):
-    """Groups of a query and its candidates in, with their texts; links out. Sets are held for SLICE bytes of text at a time,
-    or for one group."""
-
-    def some(batch: pa.RecordBatch, edges: list[int]) -> Iterator[pa.RecordBatch]:
-        is_query, c = batch.column(1).to_numpy(zero_copy_only=False), batch.column(2).to_numpy()
-        # a row that only shares the id of a class is another text
-        sets = {i: s for i, s in shingle_sets(batch.column(3), size) if len(s) and set_name(s) == c[i]}
-        out: list[tuple[int, int, int]] = []
-        for lo, hi in zip(edges[:-1], edges[1:], strict=True):
-            query = next((i for i in range(lo, hi) if is_query[i] and i in sets), None)
-            own = [i for i in range(lo, hi) if not is_query[i] and i in sets]
-            if query is not None and own:
-                out += [(int(c[query]), int(c[own[k]]), n) for k, n in t_occurrence(sets[query], [sets[i] for i in own], percent)]
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], names=["a", "b", "overlap"])
+    """Groups of a query and its candidates in, queries first, with their texts; links out. A group streams past: its query's set
+    is held, and the sets of SLICE bytes of candidates at a time, or of one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _groups(batches, 0):
-            g = batch.column(0).to_numpy()
-            edges = np.flatnonzero(np.r_[True, g[1:] != g[:-1], True])
-            _, offsets = text_bytes(batch.column(3))
-            at = 0
-            while at < len(edges) - 1:
-                to = max(at + 1, int(np.searchsorted(offsets[edges], offsets[edges[at]] + SLICE, side="right")) - 1)
-                lo = int(edges[at])
-                yield from some(batch.slice(lo, int(edges[to]) - lo), [int(e) - lo for e in edges[at : to + 1]])
-                at = to
+        now, query = None, None
+        for batch in batches:
+            for part in slices(batch, 3):
+                if not len(part):
+                    continue
+                g, is_query, c = part.column(0).to_numpy(), part.column(1).to_numpy(zero_copy_only=False), part.column(2).to_numpy()
+                # a row that only shares the id of a class is another text
+                sets = {i: s for i, s in shingle_sets(part.column(3), size) if len(s) and set_name(s) == c[i]}
+                edges = np.flatnonzero(np.r_[True, g[1:] != g[:-1], True])
+                out: list[tuple[int, int, int]] = []
+                for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+                    if now is None or g[lo] != now:
+                        now, query = g[lo], None
+                    if query is None:
+                        query = next(((int(c[i]), sets[i]) for i in range(lo, hi) if is_query[i] and i in sets), None)
+                    own = [i for i in range(lo, hi) if not is_query[i] and i in sets]
+                    if query is not None and own:
+                        out += [(query[0], int(c[own[k]]), n) for k, n in t_occurrence(query[1], [sets[i] for i in own], percent)]
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], names=["a", "b", "overlap"])
 
     return run
 
@@ -390,15 +387,14 @@ class JaccardJoin:
         return cells
 
     def _verify(self, pairs: DataFrame, texts: DataFrame) -> DataFrame:
-        """Links among pairs (a: query, b); a query with many candidates, or with long ones, becomes several groups."""
-        sized = pairs.join(texts.select(F.col("c").alias("b"), "bytes").hint("merge"), "b")
-        many = sized.groupBy("a").agg(F.greatest(F.ceil(F.count(F.lit(1)) / F.lit(GROUP)), F.ceil(F.sum("bytes") / F.lit(GROUP_BYTES))).alias("groups"))
-        split = pairs.join(many.hint("merge"), "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("groups")))
+        """Links among pairs (a: query, b); a query with many candidates becomes several groups."""
+        many = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("k"))
+        split = pairs.join(many.hint("merge"), "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.ceil(F.col("k") / F.lit(GROUP))))
         split = split.select(F.xxhash64("a", "salt").alias("g"), "a", "b")
         roles = split.select("g", F.lit(False).alias("q"), F.col("b").alias("c")).union(
             split.groupBy("g", "a").agg(F.lit(1).alias("one")).select("g", F.lit(True).alias("q"), F.col("a").alias("c"))
         )
-        dealt = roles.join(texts.hint("merge"), "c").select("g", "q", "c", "t").repartition("g").sortWithinPartitions("g")
+        dealt = roles.join(texts.hint("merge"), "c").select("g", "q", "c", "t").repartition("g").sortWithinPartitions("g", F.desc("q"))
         return dealt.mapInArrow(_search(self.size, self.percent), "a long, b long, overlap long")
 
     def _placed(self, shared: DataFrame, joined: DataFrame | None) -> DataFrame:
@@ -450,7 +446,7 @@ class JaccardJoin:
         members = put(described.select("id", "th", "n", "c"))
         drop(described)
         self.scratch.free()
-        texts = put(self.rows.join(first.hint("merge"), ["id", "th"]).select("c", "t", F.octet_length("t").cast("long").alias("bytes")))
+        texts = put(self.rows.join(first.hint("merge"), ["id", "th"]).select("c", "t"))
         self.scratch.free()
         left, right = (signs.select(F.col("c").alias(x), F.col("n").alias(f"n{x}"), F.col("sig").alias(f"sig{x}")) for x in "ab")
         tested = joined = None

@@ -60,7 +60,8 @@ LINKING = {"a", "link", "img", "script", "iframe", "form"}
 NAME = re.compile(r"[A-Za-z][A-Za-z0-9]*")
 TARGETS = {"href", "src", "action"}
 #: A tag to its end: quoted values are passed over, also where they hold a ">".
-TAG = re.compile(r"""(?:[^>=]|=\s*"[^"]*"|=\s*'[^']*'|=)*+>""")
+TAG = re.compile(r"""(?:[^>=]++|=\s*"[^"]*"|=\s*'[^']*'|=)*+>""")
+TARGET = re.compile(r"""\s(href|src|action)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
 CLOSING = {name: re.compile(rf"</{name}\s*>", re.I) for name in (*sorted(SILENT), "title")}
 CHARSET = re.compile(r"""charset\s*=\s*["']?([A-Za-z0-9._:-]+)""", re.I)
@@ -78,6 +79,12 @@ def derived_id(record_id: str | None, kind: str) -> str:
     return f"<urn:uuid:{uuid.uuid5(NAMESPACE, f'{record_id}|{kind}')}>"
 
 
+def closed(page: str, lo: int, hi: int) -> bool:
+    """Whether a stretch of a tag surely ends outside of quotes: it has them of one kind at most, in pairs."""
+    double, single = page.count('"', lo, hi), page.count("'", lo, hi)
+    return not (double % 2 or single % 2 or (double and single))
+
+
 def scan(page: str) -> tuple[str, str | None, list[tuple[str, str, str]]]:
     """The text of a page with a line break for each block element, its raw title, and (element, attribute, value) of links."""
     text, title, links = [], None, []
@@ -99,14 +106,18 @@ def scan(page: str) -> tuple[str, str | None, list[tuple[str, str, str]]]:
         if not name and follows not in ("!", "?"):
             at = i + 1
             continue
-        whole = TAG.match(page, name.end()) if name else None
-        at = whole.end() if whole else page.find(">", i + 1) + 1
+        at = page.find(">", i + 1) + 1
+        if name and (not at or not closed(page, name.end(), at)):
+            whole = TAG.match(page, name.end())
+            at = whole.end() if whole else at
         if not at:
             break
         tag = name[0].lower() if name else ""
-        if not closing and tag in LINKING:
-            named = (a for a in ATTRIBUTE.finditer(page, name.end(), at - 1) if a[2] and a[1].lower() in TARGETS)
-            links += [(tag, a[1].lower(), a[2]) for a in [next(named, None)] if a]
+        if not closing and tag in LINKING and (found := TARGET.search(page, name.end(), at - 1)):
+            if not closed(page, name.end(), found.start()):  # perhaps within the value of another attribute
+                found = next((a for a in ATTRIBUTE.finditer(page, name.end(), at - 1) if a[2] and a[1].lower() in TARGETS), None)
+            if found:
+                links.append((tag, found[1].lower(), found[2]))
         if not closing and tag == "title" and not titled:
             titled = True
             if close := CLOSING["title"].search(page, at):

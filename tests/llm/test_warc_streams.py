@@ -8,9 +8,9 @@ import json
 import random
 import zlib
 
+import pyarrow as pa
 import pytest
-from corpusloom.llm import jaccard_join, warc
-from pyspark.sql import functions as F
+from corpusloom.llm import jaccard_join, textgrams, warc
 
 
 def record(k, body=b"<p>", kind=b"response") -> bytes:
@@ -118,27 +118,27 @@ def test_derived_bytes_keep_source_headers_and_digest(spark):
             assert [v for k, v in head if k == "X-Source-X-Odd"] == ["a b", "again"] and warc.value_of(head, "WARC-Refers-To-Target-URI") == "http://x.org/é"
 
 
-def test_groups_of_long_texts_are_bounded_by_bytes(spark, monkeypatch):
-    """Near copies of long texts: a query's candidates are dealt to groups by their bytes, and the links stay."""
+def test_groups_of_long_texts_stream_past(monkeypatch):
+    """A group of long near copies, in batches that cut it anywhere: few sets are held at a time, and every link is found."""
     rng = random.Random(3)
     words = [f"w{rng.randrange(5000)}" for _ in range(4000)]
-    rows = []
+    texts = []
     for k in range(40):
         own = list(words)
         for _ in range(20):
             own[rng.randrange(len(own))] = f"x{k}"
-        rows.append((k, " ".join(own)))
-    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
-    want = {(r["doc_id"], r["component_id"]) for r in jaccard_join.near_duplicate_groups(df).collect()}
-    assert want == {(k, 0) for k in range(40)}
-    monkeypatch.setattr(jaccard_join, "GROUP_BYTES", 50_000)
-    join = jaccard_join.JaccardJoin(df)
-    seen = []
-    search = jaccard_join._search
-    monkeypatch.setattr(jaccard_join, "_search", lambda *a: seen.append(a) or search(*a))
-    got = {(r["id"], r["component_id"]) for r in join.run().collect()}
-    assert got == want and seen
-    pairs = spark.createDataFrame([(0, k) for k in range(1, 40)], "a long, b long")
-    texts = df.select(F.col("doc_id").alias("c"), F.col("text").alias("t"), F.octet_length("text").cast("long").alias("bytes"))
-    sized = pairs.join(texts, pairs["b"] == texts["c"]).groupBy("a").agg(F.sum("bytes").alias("n")).first()["n"]
-    assert sized > 10 * 50_000
+        texts.append(" ".join(own))
+    sets = [s for _, s in jaccard_join.shingle_sets(pa.array(texts), 5)]
+    names = [int(jaccard_join.set_name(s)) for s in sets]
+    rows = [(7, k == 0, names[k], texts[k]) for k in range(40)] + [(8, True, 1, texts[0]), (8, True, names[1], texts[1]), (8, False, names[2], texts[2]), (9, False, names[3], texts[3])]
+    want = {(names[0], names[k]) for k in range(1, 40)} | {(names[1], names[2])}
+    most: list[int] = []
+    real = jaccard_join.t_occurrence
+    monkeypatch.setattr(jaccard_join, "t_occurrence", lambda query, some, percent: most.append(len(some)) or real(query, some, percent))
+    for cut in (1, 7, 100):
+        for size in (60_000, 2 << 20):
+            monkeypatch.setattr(textgrams, "SLICE", size)
+            most.clear()
+            batches = [pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows[at : at + cut], strict=True), (pa.int64(), pa.bool_(), pa.int64(), pa.string()), strict=True)], names=["g", "q", "c", "t"]) for at in range(0, len(rows), cut)]
+            got = {(r["a"], r["b"]) for b in jaccard_join._search(5, 80)(iter(batches)) for r in b.to_pylist()}
+            assert got == want and max(most) <= (3 if size == 60_000 else cut)
