@@ -331,14 +331,14 @@ texts AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
 ),
 places AS (
-  SELECT doc_id, label, unnest(list_filter(range(1, len(w) - len(pw) + 2), lambda i: w[i:i + len(pw) - 1] = pw)) - 1 AS at FROM texts, phrases
+  SELECT doc_id, label, unnest(list_filter(range(1, len(w) - len(pw) + 2), lambda i: w[i:i + len(pw) - 1] = pw)) - 1 AS spot FROM texts, phrases
 ),
 base AS (
-  SELECT doc_id, count(*) AS n_base, min(at) AS first_word, max(at) AS last_word, list(DISTINCT label) AS labels FROM places GROUP BY doc_id
+  SELECT doc_id, count(*) AS n_base, min(spot) AS first_word, max(spot) AS last_word, list(DISTINCT label) AS labels FROM places GROUP BY doc_id
 ),
 windows AS (
   SELECT doc_id, step, list_distinct(w[b * step + 1:b * step + 2 * step]) AS block
-  FROM (SELECT doc_id, w, step, unnest(range(0, greatest(0, -(-len(w) // step) - 2) + 1)) AS b FROM texts, (SELECT DISTINCT step FROM templates) AS steps)
+  FROM (SELECT doc_id, w, step, unnest(range(0, greatest(0, (len(w) + step - 1) // step - 2) + 1)) AS b FROM texts, (SELECT DISTINCT step FROM templates) AS steps)
 ),
 more AS (
   SELECT doc_id, list(DISTINCT label) AS labels, max(o / n) AS share
