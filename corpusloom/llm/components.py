@@ -44,17 +44,20 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return _distinct(links)
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b", scratch: Scratch | None = None) -> DataFrame:
-    """(node, component): the least node reachable, for every node that has a link. Links may repeat, in either direction."""
+def components(edges: DataFrame, a: str = "a", b: str = "b", scratch: Scratch | None = None, most: int | None = None) -> DataFrame:
+    """(node, component): the least node reachable, for every node that has a link. Links may repeat, in either direction.
+    most: a bound on their number, if known; the tables of rounds then have few parts where they are small."""
     scratch = scratch or Scratch(edges.sparkSession, "components")
     edges = edges.filter(F.col(a).isNotNull() & F.col(b).isNotNull())
-    now = scratch.put(_distinct(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))))
+    now = scratch.put(_distinct(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))), most)
     mark = None
     for _ in range(MAX_ROUNDS):
-        after = scratch.put(_small_star(_large_star(now)))
+        # a round makes two links of one at most
+        after = scratch.put(_small_star(_large_star(now)), None if most is None else 2 * most)
         scratch.drop(now)
         now = after
         seen = now.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v") % 1_000_000_007).alias("h")).first()
+        most = None if most is None else seen["n"]
         if seen["n"] == 0 or (seen["n"], seen["h"]) == mark:
             break
         mark = (seen["n"], seen["h"])

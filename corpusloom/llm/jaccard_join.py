@@ -437,12 +437,13 @@ class JaccardJoin:
         self.scratch.free()
         # the smallest fitting size is ceil(percent of n); its k is the least number of meetings with it
         least_k = F.floor(F.ceil(F.col("n") * F.lit(self.percent) / 100) / 20) + 1
-        wanted = put(met.groupBy("c", "n").agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") >= least_k).select("c"))
+        wanted = put(met.groupBy("c", "n").agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") >= least_k).select("c"), met.count())
+        classes = wanted.count()
         shared = put(met.join(wanted.hint("merge"), "c", "left_semi"))
         drop(met)
         self.scratch.free()
         signs = put(known.filter("sig IS NOT NULL").join(wanted.hint("merge"), "c", "left_semi").groupBy("c").agg(F.min("n").alias("n"), F.min("sig").alias("sig")))
-        first = put(known.select("id", "th", "c").join(wanted.hint("merge"), "c", "left_semi").groupBy("c").agg(F.min(F.struct("id", "th")).alias("m")).select("c", "m.id", "m.th"))
+        first = put(known.select("id", "th", "c").join(wanted.hint("merge"), "c", "left_semi").groupBy("c").agg(F.min(F.struct("id", "th")).alias("m")).select("c", "m.id", "m.th"), classes)
         members = put(described.select("id", "th", "n", "c"))
         drop(described)
         self.scratch.free()
@@ -461,12 +462,12 @@ class JaccardJoin:
             if tested is not None:
                 stars = stars.join(tested.hint("merge"), ["a", "b"], "left_anti")
             full = stars.join(right.hint("merge"), "b").join(left.hint("merge"), "a").filter(100 * F.least("na", "nb") >= self.percent * F.greatest("na", "nb"))
-            bounded = put(full.select("a", "b", "na", "nb", "siga", "sigb").mapInArrow(_bound(self.percent), "a long, b long"))
+            bounded = put(full.select("a", "b", "na", "nb", "siga", "sigb").mapInArrow(_bound(self.percent), "a long, b long"), ORDERS * classes)
             tested = bounded if tested is None else tested.union(bounded)
-            found = put(self._verify(bounded, texts))
+            found = put(self._verify(bounded, texts), ORDERS * classes)
             known_links = found.select("a", "b") if joined is None else joined.select(F.col("node").alias("a"), F.col("component").alias("b")).union(found.select("a", "b"))
             self.scratch.free()
-            joined = put(components(known_links, scratch=self.scratch))
+            joined = put(components(known_links, scratch=self.scratch, most=(1 + ORDERS) * classes), classes)
         placed = self._placed(shared, joined)
         # lists of several components; of lists with equal members one is enough
         mixed = placed.groupBy("h").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("k"), F.bit_xor(F.xxhash64("c")).alias("who")).filter("low <> high")
@@ -475,15 +476,16 @@ class JaccardJoin:
         if tested is not None:
             more = more.join(tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).hint("merge"), ["a", "b"], "left_anti")
         more = put(more)
+        searched = more.count()
         self.scratch.free()
-        found = put(self._verify(more, texts))
+        found = put(self._verify(more, texts), searched)
         self.scratch.free()
         self.links = found if exact else None
         for done in (shared, signs, texts, more):
             drop(done)
         # what is left to join: first components as nodes
         roots = found.select("a", "b") if joined is None else joined.withColumnRenamed("node", "a").union(found.select("a", "b"))
-        final = components(roots.toDF("a", "b"), scratch=self.scratch)
+        final = components(roots.toDF("a", "b"), scratch=self.scratch, most=classes + searched)
         self.members = members
         placed = members.join(final.select(F.col("node").alias("c"), "component").hint("merge"), "c", "left").withColumn("component", F.coalesce("component", "c"))
         least = placed.filter("id IS NOT NULL AND c IS NOT NULL").groupBy("component").agg(F.min(F.struct("id", "th")).alias("least"))
