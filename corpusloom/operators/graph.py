@@ -33,6 +33,9 @@ JVM_IMPORT = r"(?m)^\s*import\s+(?:static\s+)?([\w.]+)\s*;?"
 DART_IMPORT = r"""(?m)^\s*(?:import|export|part)\s+['"]([^'"]+)['"]"""
 JS_RESOLVE = ["", ".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs", ".mts", ".cts", ".vue", ".svelte", ".astro", ".json", ".css", ".scss"]
 JS_SWAPS = [".ts", ".tsx", ".mts", ".cts"]
+JS_TAILS = JS_RESOLVE + ["/index" + e for e in JS_RESOLVE[1:]]
+JS_SWAPPED = r"(?s)^(.*)\.(m|c)?jsx?$"
+JS_ENDING = rf"(?:/index)?\.(?:{'|'.join(e[1:] for e in JS_RESOLVE[1:])})\z"
 C_EXTENSIONS = "c h cc cpp cxx hpp hh m mm".split()
 FALLBACK_ALIASES = [("@/", ["src", ""]), ("~/", ["src", "app", ""]), ("$lib/", ["src/lib"])]
 CONFIG_MANIFESTS = r"^(tsconfig|jsconfig)(\.[\w-]+)?\.json$"
@@ -46,11 +49,28 @@ def all_matches(text: Column, pattern: str, group: int = 1) -> Column:
 
 def js_candidates(base: Column) -> Column:
     """Ordered paths that a specifier without a known ending may mean."""
-    plain = [F.concat(base, F.lit(e)) for e in JS_RESOLVE]
-    inner = [F.concat(base, F.lit("/index" + e)) for e in JS_RESOLVE[1:]]
-    stem = F.regexp_extract(base, r"(?s)^(.*)\.(m|c)?jsx?$", 1)
-    swapped = [F.when(base.rlike(r"(?s)^.*\.(m|c)?jsx?$"), F.concat(stem, F.lit(e))) for e in JS_SWAPS]
-    return F.array(*plain, *inner, *swapped)
+    plain = [F.concat(base, F.lit(e)) for e in JS_TAILS]
+    stem = F.regexp_extract(base, JS_SWAPPED, 1)
+    swapped = [F.when(base.rlike(JS_SWAPPED), F.concat(stem, F.lit(e))) for e in JS_SWAPS]
+    return F.array(*plain, *swapped)
+
+
+def js_stem(path: Column) -> Column:
+    """A path without an ending of JS_RESOLVE, and without the /index before one."""
+    return F.regexp_replace(path, JS_ENDING, "")
+
+
+def candidate_stems(base: Column) -> Column:
+    """The stems that js_candidates(base) have, four at most where the candidates are 33: a join on stems keeps to few rows."""
+    no_index = lambda c: F.regexp_replace(c, r"/index\z", "")
+    swapped = F.when(base.rlike(JS_SWAPPED), no_index(F.regexp_extract(base, JS_SWAPPED, 1)))
+    return F.array_distinct(F.array_compact(F.array(base, js_stem(base), no_index(base), swapped)))
+
+
+def candidate_place(base: Column, path: Column) -> Column:
+    """The place of a path among js_candidates(base), from 1, or 0. Only paths that do not begin as the base does need the list."""
+    tail = F.substring(path, F.length(base) + 1, F.length(path))
+    return F.when(F.startswith(path, base), F.array_position(F.lit(JS_TAILS), tail)).otherwise(F.array_position(js_candidates(base), path))
 
 
 def js_specifiers(text: Column) -> Column:
@@ -393,9 +413,11 @@ def declared_entries(files: DataFrame) -> DataFrame:
     named = manifests.select("repo_id", folder.alias("dir"), F.explode(F.concat(F.array(value("$.main"), value("$.module"), exports), bins, scripts)).alias("spec"))
     pages = files.filter(base == "index.html").select("repo_id", folder.alias("dir"), F.explode(all_matches(F.col("content"), r"""<script[^>]{1,500}?src=["']([^"':]{1,300})["']""")).alias("spec"))
     specs = named.unionByName(pages.withColumn("spec", F.regexp_replace("spec", "^/", ""))).filter("spec IS NOT NULL AND spec <> ''")
-    joined = specs.select("repo_id", P.join_path(F.col("dir"), F.regexp_replace("spec", r"^\./", "")).alias("base")).distinct().filter("base IS NOT NULL")
-    options = joined.select("repo_id", "base", F.posexplode(js_candidates(F.col("base"))).alias("rank", "path")).filter("path IS NOT NULL")
-    hit = options.join(files.select("repo_id", "path"), ["repo_id", "path"]).groupBy("repo_id", "base").agg(F.min_by("path", "rank").alias("path"))
+    joined = specs.select("repo_id", P.join_path(F.col("dir"), F.regexp_replace("spec", r"^\./", "")).alias("base")).filter("base IS NOT NULL")
+    keyed = joined.select("repo_id", "base", F.explode(candidate_stems(F.col("base"))).alias("stem")).distinct()
+    pairs = keyed.join(files.select("repo_id", "path", js_stem(F.col("path")).alias("stem")), ["repo_id", "stem"])
+    found = pairs.select("repo_id", "base", "path", candidate_place(F.col("base"), F.col("path")).alias("place")).filter("place > 0")
+    hit = found.groupBy("repo_id", "base").agg(F.min_by("path", "place").alias("path"))
     block = F.regexp_extract(F.col("content"), r"\[(?:project\.scripts|tool\.poetry\.scripts)\]([\s\S]*?)(?:\n\[|\z)", 1)
     modules = files.filter(base == "pyproject.toml").select("repo_id", F.explode(F.regexp_extract_all(block, F.lit(r"""=\s*["']([\w.]+):"""), F.lit(1))).alias("m"))
     stems = modules.select("repo_id", F.explode(F.array(F.lit(""), F.lit("src/"))).alias("root"), F.replace("m", F.lit("."), F.lit("/")).alias("stem"))
