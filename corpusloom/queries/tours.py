@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.narrate import pipeline as N
+from corpusloom.operators import graph as G
 from corpusloom.operators import links as K
 from corpusloom.operators import related as RL
 from corpusloom.operators import stack as ST
@@ -186,10 +187,17 @@ def n8_named_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts.select("conv", "section_id", "chapter_title", "bridge", "title")
 
 
+def _stored(texts: DataFrame) -> DataFrame:
+    """Rows that a writer is asked for once, from a table. By its files a table of like texts looks far smaller than it is, so
+    the planner is told to merge and not to broadcast it."""
+    return G.checkpointed(texts).hint("merge")
+
+
 def n9_walkthroughs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts and frames are read more than once, and asked for once."""
     s = _sections(spark, sf_dir)
-    results = N.narrate(s, FixedWriter())
-    frames = N.frame_tours(results, FixedWriter())
+    results = _stored(N.narrate(s, FixedWriter()))
+    frames = _stored(N.frame_tours(results, FixedWriter()))
     out = N.walkthroughs(s, N.named_parts(results, s, frames), frames)
     return out.select("conv", "name", "title", "overview", "closing", F.size("parts").alias("n_parts"), F.array_join("missing", ", ").alias("missing"))
 
